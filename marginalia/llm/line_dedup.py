@@ -15,7 +15,8 @@ The filter is broadcast. Its size follows the input and is bounded by ``MAX_FILT
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def _note_bits(bits: int, min_chars: int):
+def _note_bits(bits: int, digests_of: Callable[[bytes | None], set[bytes]]):
     """Task side of the filters: for each segment, the bits set once and those set again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def _note_bits(bits: int, min_chars: int):
 
         for batch in batches:
             for text in _texts(batch, "text"):
-                found = document_digests(text, min_chars)
+                found = digests_of(text)
                 if found:
                     places = np.unique(filter_positions(list(found), bits))
                     fresh.append(places)
@@ -130,9 +131,10 @@ def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "bitmap": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
 
 
-def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The twice-seen filter as packed bits. What reaches the driver is at most ``bits`` / 8 bytes."""
-    noted = docs.select("text").mapInArrow(_note_bits(bits, min_chars), "segment int, twice boolean, offsets binary")
+def digest_filter(docs: DataFrame, bits: int, digests_of: Callable[[bytes | None], set[bytes]]) -> np.ndarray:
+    """The twice-seen filter as packed bits, over the digests that ``digests_of`` finds in each
+    text. What reaches the driver is at most ``bits`` / 8 bytes."""
+    noted = docs.select("text").mapInArrow(_note_bits(bits, digests_of), "segment int, twice boolean, offsets binary")
     merged = noted.repartition(F.col("segment")).mapInArrow(_merge_bits, "segment int, bitmap binary")
     packed = np.zeros(bits // 8, dtype=np.uint8)
     width = (1 << SEGMENT_BITS) // 8
@@ -141,6 +143,12 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return packed
 
 
+def in_filter(packed: np.ndarray, bits: int, digests: list[bytes]) -> np.ndarray:
+    """Which digests have all their bits set."""
+    at = filter_positions(digests, bits)
+    return ((packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+
+
 def _suspects(shared_filter, bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared_filter.value
@@ -154,9 +162,7 @@ def _suspects(shared_filter, bits: int, min_chars: int):
                 digests += found
             if not digests:
                 continue
-            at = filter_positions(digests, bits)
-            hit = ((packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-            chosen = np.flatnonzero(hit)
+            chosen = np.flatnonzero(in_filter(packed, bits, digests))
             if len(chosen):
                 where = np.asarray(rows)[chosen]
                 yield pa.RecordBatch.from_pydict({
@@ -206,7 +212,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     docs = docs.drop("n_lines", "n_dropped")
     keyed = with_row_key(docs)
     bits = filter_bits(plan_bytes(docs.select("text")))
-    shared_filter = spark.sparkContext.broadcast(twice_filter(docs, bits, min_chars))
+    shared_filter = spark.sparkContext.broadcast(digest_filter(docs, bits, partial(document_digests, min_chars=min_chars)))
     suspects = stored(
         keyed.select("__id", "__salt", "text").mapInArrow(_suspects(shared_filter, bits, min_chars), "__id long, __salt long, __digest binary"),
         "line-suspects",

@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.ann import nearest
 from marginalia.llm.decontamination import contamination
+from marginalia.llm.html_extract import extract_text, text_length
+from marginalia.llm.language_id import identify_language, learn_dictionaries
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_documents
 from marginalia.llm.shared import held_out, table
 from marginalia.llm.simhash import near_duplicates
+from marginalia.llm.substring_dedup import repeated_spans
 from marginalia.llm.toxicity import learn, score_toxicity
+from marginalia.llm.warc import archive_round_trip
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +39,30 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage that several documents hold."""
+    spans = repeated_spans(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "first_doc_id", F.col("start").cast("string").alias("span_start"), F.col("end").cast("string").alias("span_end"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = learn(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, lexicon).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = text_length(extract_text(table(spark, sf_dir, "pages")))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = learn_dictionaries(docs.where(~held_out("doc_id", 3, 1)))
+    out = identify_language(docs.select("doc_id", "text"), known)
+    return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -39,8 +72,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_line_dedup, op6_toxicity, op9_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ann, op2_warc, op3_mixing, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_html_extraction, op8_language_id, op9_simhash, op10_decontamination)}
+
 
+WARC_SQL = r"""
+WITH sized AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), heads AS (SELECT payload_digest, max(page_id) AS head FROM sized WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, s.payload_digest, CASE WHEN page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to
+FROM sized s LEFT JOIN heads h ON s.payload_digest = h.payload_digest
+"""
 
 LINE_DEDUP_SQL = r"""
 WITH lines AS (
@@ -125,4 +167,4 @@ SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op10_decontamination": DECONTAMINATION_SQL}
+    return {"op2_warc": WARC_SQL, "op3_mixing": MIXING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op10_decontamination": DECONTAMINATION_SQL}
