@@ -16,17 +16,32 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.shared import stored
 
-#: Words are runs of digits, letters a-z and all characters beyond ASCII, once A-Z are lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of digits, letters a-z and all characters beyond ASCII, once A-Z are lowered; this is what stands between them.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
 #: A benchmark of more windows than this is joined by shuffles instead of being broadcast (about 20 MB).
 MAX_BROADCAST_WINDOWS = 200_000
 
 
-def exact_words(text: Column) -> Column:
-    """The words, A-Z lowered and no other letter changed."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+def with_words(df: DataFrame, lowered: Column, name: str = "words") -> DataFrame:
+    """Add the words of a lowered text: split, without the empty strings at either end."""
+    parts = df.withColumn("__parts", F.split(lowered, BETWEEN))
+    head = (F.get("__parts", F.lit(0)) == "").cast("int")
+    tail = (F.get("__parts", F.size("__parts") - 1) == "").cast("int")
+    return parts.withColumn(name, F.slice("__parts", head + 1, F.greatest(F.size("__parts") - head - tail, F.lit(0)))).drop("__parts")
+
+
+def exact(text: Column) -> Column:
+    """A-Z lowered and no other letter changed."""
+    return F.translate(text, UPPER, LOWER)
+
+
+def rough(text: Column) -> Column:
+    """All letters lowered, which is faster: the same number of words at the same places, and
+    words equal in exact form are equal here too (both forms of sigma are one, since lowering
+    picks one by what follows). For the candidate search only."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
 def _shingles(words: str, size: int) -> Column:
@@ -36,7 +51,8 @@ def _shingles(words: str, size: int) -> Column:
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     """(item_id, window, len): window is the words joined by a space, in exact form."""
-    words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", exact_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    named = benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = with_words(named, exact(F.col("text"))).select("item_id", "words").where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
     return (
         words.select("item_id", "words", F.explode(starts).alias("s"))
@@ -64,7 +80,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     distinct = windows.select("window", "len").distinct()
     widths = sorted(r.k for r in windows.select(F.least("len", F.lit(SHINGLE)).alias("k")).distinct().collect())
     parts = (
-        distinct.select("window", "len", F.least("len", F.lit(SHINGLE)).alias("k"), F.split("window", " ").alias("words"))
+        distinct.select("window", "len", F.least("len", F.lit(SHINGLE)).alias("k"), F.split(rough(F.col("window")), " ").alias("words"))
         .select("window", "len", "k", "words", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))).alias("offset"))
         .select("window", "len", "k", "offset", F.xxhash64(*[F.when(F.lit(i) < F.col("k"), F.get("words", F.col("offset") + i)) for i in range(SHINGLE)]).alias("h"))
     )
@@ -72,7 +88,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
     # one pass over the texts: a row for each document (pos = n_words) and each benchmark shingle in it
     found = None
-    wordy = rows.select("doc_id", "__id", "__text", exact_words(F.col("text")).alias("words"))
+    wordy = with_words(rows, rough(F.col("text"))).drop("text")
     for k in [SHINGLE, *[w for w in widths if w != SHINGLE]]:
         hashes = _shingles("words", k)
         if k == SHINGLE:
@@ -99,8 +115,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         .groupBy("__id", "__text").agg(F.collect_set(F.struct(start.alias("start"), "len", "window")).alias("cands"))
     )
     verified = (
-        rows.select("__id", "__text", "text").distinct().join(candidates, ["__id", "__text"])
-        .select("__id", "__text", "cands", exact_words(F.col("text")).alias("words"))
+        with_words(rows.select("__id", "__text", "text").join(candidates, ["__id", "__text"]), exact(F.col("text")))
+        .dropDuplicates(["__id", "__text"])
         .select("__id", "__text", F.filter("cands", lambda c: F.array_join(F.slice(F.col("words"), c["start"] + 1, c["len"]), " ") == c["window"]).alias("hits"))
         .where(F.size("hits") > 0)
     )
