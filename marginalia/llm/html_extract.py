@@ -51,9 +51,10 @@ BYTE_HASH = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 PLACE_HASH = np.random.default_rng(6).integers(0, 1 << 31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-@lru_cache(maxsize=1 << 14)
-def _path_buckets(path: tuple[str, ...]) -> list[int]:
-    return sorted({zlib.crc32(step.encode("utf-8", "replace")) % PATH_DIMS for step in path})
+def _path_buckets(path: tuple[str, ...], known: dict[tuple[str, ...], list[int]]) -> list[int]:
+    if path not in known:
+        known[path] = sorted({zlib.crc32(step.encode("utf-8", "replace")) % PATH_DIMS for step in path})
+    return known[path]
 
 
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
@@ -173,8 +174,9 @@ def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
     dense[:, -2] = [DIGIT.search(text, 0, 50) is not None for _, text, _ in blocks]
     rows: list[int] = []
     steps: list[int] = []
+    known: dict[tuple[str, ...], list[int]] = {}
     for row, (path, _, _) in enumerate(blocks):
-        found = _path_buckets(path)
+        found = _path_buckets(path, known)
         steps += found
         rows += [row] * len(found)
         dense[row, -1] = len(path) / 12
