@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from marginalia.functions.text import strip
+
 EVENT = T.StructType([
     T.StructField("session", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("type", T.StringType()),
     T.StructField("data", T.StructType([
@@ -48,7 +50,7 @@ def parse_page_anchors(texts: DataFrame, key: str, text: str = "text") -> DataFr
     n = F.regexp_extract("line", r"^## p\.(\d+)\s*$", 1)
     order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = lines.withColumn("anchor", F.when(n != "", n.cast("int"))).withColumn("page", F.last("anchor", ignorenulls=True).over(order))
-    body = placed.where("page IS NOT NULL AND anchor IS NULL").groupBy(key, "page").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")).alias("text"))
+    body = placed.where("page IS NOT NULL AND anchor IS NULL").groupBy(key, "page").agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")).alias("text"))
     return body
 
 

@@ -87,11 +87,11 @@ def stream_segments(events: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, ts: str = "ts", late: str = "10 minutes", size: str = "1 hour", slide: str | None = None, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Tumbling or sliding event-time windows with a watermark."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return events.withWatermark(ts, late).groupBy(w, *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(w, *by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def session_windows(events: DataFrame, ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes", by: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *by).agg(F.count("*").alias("n"))
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.session_window(ts, gap), *by).agg(F.count("*").alias("n"))
 
 
 def read_mailbox(spark: SparkSession, path: str, schema: str) -> DataFrame:
