@@ -45,10 +45,12 @@ def same():
     """Order-free comparison of a Spark frame with an oracle's rows."""
 
     def check(df, con, sql):
+        import pandas as pd
+
         ours, theirs = df.toPandas(), con.execute(sql).fetchdf()
         cols = sorted(ours.columns)
         assert cols == sorted(theirs.columns)
-        plain = lambda x: sorted(repr([None if v is None or v != v else (round(v, 6) if isinstance(v, float) else v) for v in r]) for r in x[cols].astype(object).values.tolist())
+        plain = lambda x: sorted(repr([None if pd.isna(v) else (round(v, 6) if isinstance(v, float) else v) for v in r]) for r in x[cols].astype(object).values.tolist())
         import re
 
         numbers = lambda rows: [re.sub(r"(\d+)\.0\b", r"\1", r) for r in rows]
