@@ -9,6 +9,7 @@ are and normalised by length, turns them into a score.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -35,11 +36,12 @@ EXCEPTIONS = (
     "trash can", "trash bag", "trash bin", "trash collection", "clown fish", "class clown", "circus clown", "clown car", "pond scum",
     "idiot proof", "idiot light", "sore loser", "loser bracket", "stupid mistake", "pathetic fallacy",
 )
+OUTER_SIGN = re.compile(r"[$@]+(?![^\W_])")
 INVISIBLE = "­​‌‍⁠﻿"
 
 MAX_SAMPLE = 20_000
 MAX_LEXICON = 20_000
-PREFIX_CHARS = (3, 8)
+PREFIX_CHARS = (3, 10)
 MIN_DOCS = 5
 MIN_WEIGHT = 1.6
 
@@ -66,6 +68,9 @@ FOLD = fold_table()
 
 
 def fold(text: str) -> str:
+    """Signs stand for letters only inside a word or before one: ``$cum``, but not ``scum$$$``."""
+    if "$" in text or "@" in text:
+        text = OUTER_SIGN.sub(" ", text)
     return text.translate(FOLD)
 
 
@@ -166,14 +171,25 @@ def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2
     return tuple(map(float, w))
 
 
-def prune(weights: dict[str, float]) -> dict[str, float]:
-    """Drop a pattern whose shorter beginning is nearly as heavy: the shorter one finds it too."""
+def prune(counted: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """The patterns worth keeping, of pattern to (weight, toxic documents).
+
+    A beginning goes if one longer pattern has nine tenths of its toxic documents: that is the
+    word itself, and the beginning would only add strangers. A pattern goes if a beginning that
+    stays is nearly as heavy: that is a stem with many endings, and finds it too.
+    """
+    stem = lambda p: p.rstrip(" ")
+    heaviest: dict[str, int] = {}
+    for pattern, (_, n) in counted.items():
+        above = stem(pattern) if pattern.endswith(" ") else pattern[:-1]
+        heaviest[above] = max(heaviest.get(above, 0), n)
+    able = {p: w for p, (w, n) in counted.items() if heaviest.get(p, 0) < 0.9 * n}
     kept: dict[str, float] = {}
-    for pattern in sorted(weights, key=len):
-        stem = pattern.rstrip(" ")
-        heavy = max((weights[stem[:n]] for n in range(2, len(stem) + (pattern != stem)) if stem[:n] in weights), default=-np.inf)
-        if weights[pattern] > heavy + 0.35:
-            kept[pattern] = weights[pattern]
+    for pattern in sorted(able, key=len):
+        whole = stem(pattern)
+        above = max((kept[whole[:n]] for n in range(2, len(whole) + (pattern != whole)) if whole[:n] in kept), default=-np.inf)
+        if able[pattern] > above + 0.35:
+            kept[pattern] = able[pattern]
     return kept
 
 
@@ -202,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> L
         .where(t >= MIN_DOCS).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
         .orderBy(F.desc("weight"), "feature").limit(MAX_LEXICON)
     )
-    lexicon = Lexicon(prune({r.feature: r.weight for r in counted.collect()}))
+    lexicon = Lexicon(prune({r.feature: (r.weight, r.toxic) for r in counted.collect()}))
     measured = rows.where("NOT first").select("text", "toxic").mapInArrow(_measure_rows(lexicon), "toxic int, x0 double, x1 double, x2 double").toPandas()
     if measured["toxic"].nunique() == 2:
         lexicon.curve = fit_curve(measured[["x0", "x1", "x2"]].to_numpy(), measured["toxic"].to_numpy())

@@ -171,11 +171,16 @@ def test_substring_dedup(spark):
 LEXICON = toxicity.Lexicon({" idiot": 6.0, " scum ": 5.0, " trash": 4.0}, curve=(-4.0, 3.0, 1.0, 0.2))
 
 
-@pytest.mark.parametrize("text,hit", [("you IDIOT", True), ("y0u 1d10t", True), ("you іdіоt!", True), ("ｉｄｉｏｔ", True), ("id​iot", True), ("idiots", True), ("scum", True), ("scumble", False), ("the trash can is full", False), ("trash", True), ("", False), (None, False), ("fine words", False)])
+@pytest.mark.parametrize("text,hit", [("you IDIOT", True), ("y0u 1d10t", True), ("you іdіоt!", True), ("ｉｄｉｏｔ", True), ("id​iot", True), ("idiots", True), ("scum", True), ("$cum$$$", True), ("scumble", False), ("the trash can is full", False), ("trash", True), ("", False), (None, False), ("fine words", False)])
 def test_toxicity_folding(text, hit):
     assert (LEXICON.measure(text)[0] > 0) is hit
 
 
+def test_lexicon_prefers_words_to_short_stems():
+    counted = {" idi": (6.0, 100), " idio": (6.0, 99), " idiot": (6.0, 99), " idiot ": (6.0, 97), " veq": (5.0, 50), " vequ": (5.0, 50), " vequa": (5.0, 20), " vequo ": (5.0, 20)}
+    assert set(toxicity.prune(counted)) == {" idiot ", " vequ"}
+
+
 def test_toxicity(spark):
     got = toxicity.score_toxicity(frame(spark, AWKWARD).withColumn("predicted", F.lit("clash")), LEXICON)
     assert got.count() == len(AWKWARD) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in got.collect())
