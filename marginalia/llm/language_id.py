@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of sample texts. A text is compressed
-with each of them, in pieces so that the dictionary matters throughout a long text; the language
+Each language has a zstandard raw-content dictionary made of sample texts. A text, reduced to its
+letters, is compressed with each of them, in pieces so that the dictionary matters throughout a long text; the language
 whose dictionary gives the smallest size wins. Where the two smallest sizes are too close the
 prediction is marked as rejected.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -22,10 +23,17 @@ from marginalia.llm.shared import crc_share
 #: The fit uses at most about SAMPLE_DOCS texts a language, at most SAMPLE_CHARS of each, and DICT_BYTES of them.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 4000, 1 << 16
 MAX_LANGUAGES = 400
-LEVEL = 3
-PIECE_BYTES = 1 << 14
+LEVEL = 9
+PIECE_BYTES = 1 << 13
 MIN_MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def bare(text: str) -> bytes:
+    """The letters of a whole text: lowered, what stands between words one space, a word that is
+    repeated at once written once. Ornaments, case and repetition say nothing of the language."""
+    return " ".join(word for word, _ in groupby(NO_LETTERS.sub(" ", text.lower()).split())).encode("utf-8", "replace")
 
 
 def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
@@ -39,7 +47,7 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[
     rows = sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("k")).orderBy("k", "text").limit(2 * sample_docs * len(counts)).collect()
     found: dict[str, list[bytes]] = {}
     for r in rows:
-        found.setdefault(r.lang, []).append(r.text.encode())
+        found.setdefault(r.lang, []).append(bare(r.text))
     # zstandard prefers the end of a dictionary, and all languages get the same size
     size = min(DICT_BYTES, max(1, min(sum(map(len, x)) for x in found.values())))
     return {lang: b"\n".join(found[lang])[-max(size, 4096) :] for lang in sorted(found)}
@@ -62,7 +70,7 @@ class Judge:
         """Language, score and whether the margin is too narrow. No letter: ``und``, 0, rejected."""
         if not self.langs or text is None or not LETTER.search(text):
             return "und", 0.0, True
-        sizes = self.sizes(text.encode("utf-8", "replace"))
+        sizes = self.sizes(bare(text))
         best, *others = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         if not others:
             return self.langs[best], 1.0, False
