@@ -37,7 +37,7 @@ def bare(text: str) -> bytes:
 
 
 def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Language to dictionary, from rows of (doc_id, text, lang) chosen by a hash of the id."""
+    """Language to dictionary, from rows of (doc_id, text, lang) chosen by a hash of the id; the commonest language first."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
@@ -50,7 +50,7 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[
         found.setdefault(r.lang, []).append(bare(r.text))
     # zstandard prefers the end of a dictionary, and all languages get the same size
     size = min(DICT_BYTES, max(1, min(sum(map(len, x)) for x in found.values())))
-    return {lang: b"\n".join(found[lang])[-max(size, 4096) :] for lang in sorted(found)}
+    return {lang: b"\n".join(found[lang])[-max(size, 4096) :] for lang in counts if lang in found}
 
 
 class Judge:
@@ -99,7 +99,7 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFr
 
     Input columns of those names are replaced, others pass through. Null texts and texts without
     a letter, the empty one included, are ``und`` with score 0. Texts of any length are
-    compressed whole. Equal sizes go to the language that sorts first. Without dictionaries
+    compressed whole. Equal sizes go to the language that comes first, which is the commoner one. Without dictionaries
     every row is ``und``. An empty table gives an empty table.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
