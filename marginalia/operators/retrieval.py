@@ -21,9 +21,9 @@ def term_df(chunks: DataFrame, text: str = "text", min_df: int = 2) -> DataFrame
     return chunks.select(F.explode(tx.index_terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
 
 
-def idf_table(df: DataFrame, n_chunks: DataFrame) -> DataFrame:
-    """idf = max(0, ln(N / max(df, 1))); ``n_chunks`` is one row ``n``, so its broadcast has a fixed size."""
-    return df.join(F.broadcast(n_chunks), F.lit(True)).select("term", "df", F.greatest(F.lit(0.0), F.log(F.col("n") / F.greatest("df", F.lit(1)))).alias("idf"))
+def idf_table(df: DataFrame, n_chunks: int) -> DataFrame:
+    """idf = max(0, ln(N / max(df, 1))), N all chunks, indexed or not."""
+    return df.select("term", "df", F.greatest(F.lit(0.0), F.log(F.lit(n_chunks) / F.greatest("df", F.lit(1)))).alias("idf"))
 
 
 def coverage(chunks: DataFrame, units: list[tuple[str, float]], key: str = "chunk_id", text: str = "text", fold_case: bool = False) -> DataFrame:
@@ -64,13 +64,13 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
 def bm25(posts: DataFrame, queries: DataFrame, key: str = "chunk_id", query_id: str = "query_id", n_docs: DataFrame | None = None) -> DataFrame:
     """(query_id, key, bm25), higher is better. ``queries`` has (query_id, term); idf is floored at a tiny positive value."""
     docs = posts.select(key, "dl").distinct() if n_docs is None else n_docs
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    n, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()  # two numbers
     found = posts.join(queries.select("term").distinct(), "term", "left_semi")
     dfs = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(avgdl or 1.0)))
     return (
-        found.join(dfs, "term").join(queries, "term").join(F.broadcast(stats), F.lit(True))
+        found.join(dfs, "term").join(queries, "term")
         .groupBy(query_id, key).agg(F.sum(weight).alias("bm25"))
     )
 

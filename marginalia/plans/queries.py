@@ -50,7 +50,7 @@ def term_df(spark, d):
 @query(f"SELECT term, df, round(greatest(0, ln((SELECT count(*) FROM documents) / greatest(df, 1))), 6) AS idf FROM (SELECT term, count(*) AS df FROM ({TERMS_SQL}) GROUP BY term HAVING count(*) >= 2)")
 def idf_table(spark, d):
     docs = read(spark, d, "documents")
-    return rt.idf_table(rt.term_df(docs), docs.agg(F.count("*").alias("n"))).withColumn("idf", F.round("idf", 6))
+    return rt.idf_table(rt.term_df(docs), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
 UNITS = parse_units(ASK)
