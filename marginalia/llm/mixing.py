@@ -83,12 +83,12 @@ def fill(nodes: DataFrame, parent: list[str], weight: Column) -> DataFrame:
 def budgets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """(domain, lang, source, tokens) to the same with ``share``, the leaf's tokens to take."""
     leaves = sizes.withColumn("room", F.col("tokens") * mix.max_epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("room").alias("room"))
-    domains = langs.groupBy("domain").agg(F.sum("room").alias("room"))
-    total = leaves.agg(F.sum("tokens").alias("t")).select(F.least(F.expr(f"(t * {mix.budget_percent}) div 100"), F.col("t") * mix.max_epochs).alias("budget"))
-    # one row, so the broadcast has a fixed size
-    top = domains.join(F.broadcast(total), F.lit(True)).withColumn("root", F.lit(0)).withColumn("__name", F.col("domain"))
-    top = fill(top, ["root"], _weight(mix.domains, F.col("domain"))).select("domain", F.col("share").alias("budget"))
+    both = [F.sum(c).alias(c) for c in ("tokens", "room")]
+    langs = leaves.groupBy("domain", "lang").agg(*both)
+    domains = langs.groupBy("domain").agg(*both).withColumn("root", F.lit(0)).withColumn("__name", F.col("domain"))
+    everything = Window.partitionBy("root")
+    domains = domains.withColumn("__all", F.sum("tokens").over(everything)).withColumn("budget", F.least(F.expr(f"(__all * {mix.budget_percent}) div 100"), F.sum("room").over(everything)))
+    top = fill(domains, ["root"], _weight(mix.domains, F.col("domain"))).select("domain", F.col("share").alias("budget"))
     mid = langs.join(top, "domain").withColumn("__name", F.col("lang"))
     mid = fill(mid, ["domain"], _weight(mix.langs, F.col("lang"))).select("domain", "lang", F.col("share").alias("budget"))
     low = leaves.join(mid, ["domain", "lang"]).withColumn("__name", F.col("source"))
@@ -108,7 +108,6 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     are taken together or not at all. Texts of any length are counted whole. Other columns are
     not used. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source"))
     rows = stored(
         docs.select("doc_id", lang.alias("lang"), source.alias("source"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))).cast("long").alias("n_tokens"))
