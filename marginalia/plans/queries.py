@@ -13,8 +13,10 @@ from marginalia.functions import text as tx
 from marginalia.operators import chunking as ck
 from marginalia.operators import extraction as ex
 from marginalia.operators import ledger as lg
+from marginalia.operators import outline as ol
 from marginalia.operators import relational as rl
 from marginalia.operators import retrieval as rt
+from marginalia.operators import views as vw
 from marginalia.plans.search import Search, keyword_route, parse_units, search, vector_route
 from marginalia.streaming.sessions import segments
 
@@ -534,3 +536,85 @@ def shift_scan(spark, d):
     suspect = docs.where((F.col("latin_ratio") >= 0.5) & (tx.latin_words(t) >= 200) & (tx.common_word_ratio(t) < 0.12))
     best = tx.best_shift(t)
     return suspect.select("doc_id", best["shift"].alias("shift"), F.round(best["ratio"], 6).alias("ratio"))
+
+
+@query("SELECT field, n, total FROM (SELECT 'lang' AS field, count(nullif(trim(lang), '')) AS n, count(*) AS total FROM documents UNION ALL SELECT 'source', count(nullif(trim(source), '')), count(*) FROM documents UNION ALL SELECT 'text', count(nullif(trim(text), '')), count(*) FROM documents)")
+def coverage_report(spark, d):
+    return vw.coverage_report(read(spark, d, "documents"), ["lang", "source", "text"])
+
+
+@query("""WITH a AS (SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_acctbal > 5000), b AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_mktsegment = 'BUILDING')
+SELECT o_orderkey, coalesce(a.v, b.v) AS name FROM orders LEFT JOIN a ON o_custkey = a.k LEFT JOIN b ON o_custkey = b.k""")
+def source_chain(spark, d):
+    """Fields from the first source that has one; every row stays."""
+    a = read(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("o_custkey"), F.col("s_name").alias("name"))
+    b = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    return vw.enrich(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", [a, b], ["name"]).select("o_orderkey", "name")
+
+
+@query("SELECT item_id, md5(array_to_string(string_split(text, ' '), ' ')) AS text_md5 FROM benchmark")
+def inverted_index_text(spark, d):
+    """Text to an inverted index and back."""
+    words = read(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    maps = words.groupBy("item_id", "word").agg(F.array_sort(F.collect_list("at")).alias("places")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
+    return vw.text_of_index(maps, "item_id").select("item_id", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN strpos(text, 'tion') > 0 THEN regexp_replace(regexp_replace(substring(text, greatest(1, strpos(text, 'tion') - 40), 160), '[\\s\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') ELSE '' END) AS window_md5,
+strpos(regexp_replace(text, '\\s+', '', 'g'), 'thethe') > 0 AS quoted FROM documents""")
+def evidence_windows(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", F.md5(vw.evidence(t, F.lit("tion"))).alias("window_md5"), vw.evidence_holds(t, F.lit("the the")).alias("quoted"))
+
+
+@query("""SELECT coalesce(w.n, h.n) AS name, CASE WHEN w.n IS NULL THEN 'unplanned' WHEN h.c IS NULL THEN 'create' WHEN h.c = 1 THEN 'keep' ELSE 'merge' END AS action
+FROM (SELECT DISTINCT lower(trim(p_name)) AS n FROM part WHERE p_size > 25) w FULL JOIN (SELECT lower(trim(p_name)) AS n, count(*) AS c FROM part WHERE p_size < 10 GROUP BY 1) h ON w.n = h.n""")
+def sync_actions(spark, d):
+    p = read(spark, d, "part").withColumnRenamed("p_name", "name")
+    return vw.sync_actions(p.where("p_size > 25"), p.where("p_size < 10"))
+
+
+@query("SELECT c_custkey AS item_key, c_custkey % 3 <> 0 AS in_kb, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS title, coalesce(n, 0) AS n_chunks FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
+def item_info(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("item_key"), F.col("c_name").alias("title"), F.lit("2000").alias("year"))
+    chunks = read(spark, d, "orders").withColumnRenamed("o_custkey", "item_key")
+    return vw.item_info(c.select("item_key"), c.where("item_key % 3 <> 0"), chunks).select("item_key", "in_kb", "title", "n_chunks")
+
+
+@query("SELECT o_orderstatus AS kind, CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) AS n, md5(string_agg('- ' || o_orderpriority || ': ' || CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderpriority, o_orderkey)) AS lines_md5 FROM orders GROUP BY 1, 2")
+def index_list(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_orderstatus").alias("item_type"), F.date_format("o_orderdate", "yyyy").alias("year"), F.col("o_orderpriority").alias("first_author"), F.col("o_orderkey").alias("item_key"), F.col("o_orderkey").cast("string").alias("title"))
+    return vw.index_list(o).select("kind", "year", "n", F.md5("lines").alias("lines_md5"))
+
+
+@query("SELECT c_custkey, 'Customer' || chr(10) AS head, CAST(sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS n_apply, CAST(sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 0 ELSE 1 END) AS BIGINT) AS n_excluded FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+def metadata_plan(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.when(F.col("o_orderpriority").startswith("1"), "title").otherwise("other").alias("field"), F.col("o_orderkey").cast("string").alias("value"), F.when(F.col("o_orderstatus") == "F", "high").otherwise("low").alias("confidence"))
+    return vw.metadata_plan(o, ["title"]).select(F.col("item").alias("c_custkey"), F.lit("Customer\n").alias("head"), "n_apply", "n_excluded")
+
+
+@query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 2")
+def newest_per_group(spark, d):
+    return vw.newest(read(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", 2)
+
+
+@query("SELECT n_nationkey, CASE WHEN r_name LIKE 'A%' THEN 'live' ELSE 'deleted' END AS status FROM nation JOIN region ON n_regionkey = r_regionkey")
+def reference_status(spark, d):
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("key", F.col("n_nationkey").cast("string"))
+    none = n.limit(0).select(F.col("key").alias("old_key"), F.col("key").alias("new_key"))
+    out = rl.reference_status(n.select("key"), n.where("r_name LIKE 'A%'").select("key"), none, n.where("NOT r_name LIKE 'A%'").select("key", F.lit("deleted").alias("kind")))
+    return out.select(F.col("key").cast("int").alias("n_nationkey"), "status")
+
+
+@query("SELECT conv_id, CAST(len(string_split(string_agg(text, chr(10) ORDER BY turn), chr(10))) AS BIGINT) AS n_lines, md5(string_agg(text, chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id")
+def item_text(spark, d):
+    """An item's text from its chunks, in order."""
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("item_key"), F.lit(1).alias("page"), F.col("turn").alias("seq"), "text")
+    return vw.even_text(c).select(F.col("item_key").alias("conv_id"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def document_outlines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    blocks = lines.withColumn("page", F.floor(F.col("pos") / 8) + 1).withColumn("type", F.when(F.length("content") < 40, "title").otherwise("text"))
+    return ol.document_outlines(blocks, "doc_id").select("doc_id", "seq", "page_from", "page_to", F.length("text").alias("n_chars"), "fp")
