@@ -87,12 +87,23 @@ def reference_status(keys: DataFrame, items: DataFrame, merges: DataFrame, tombs
 
 
 def overlap_pairs(members: DataFrame, group: str, member: str, min_ratio: float = 0.6) -> DataFrame:
-    """(a, b, shared, ratio): groups that share at least ``min_ratio`` of the smaller one. An equi-join on members, each pair once."""
-    m = members.select(group, member).distinct()
-    sizes = m.groupBy(group).agg(F.count("*").alias("n"))
-    pairs = m.select(F.col(group).alias("a"), member).join(m.select(F.col(group).alias("b"), member), member).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = pairs.join(sizes.select(F.col(group).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(group).alias("b"), F.col("n").alias("nb")), "b")
-    return out.withColumn("ratio", F.col("shared") / F.least("na", "nb")).where(F.col("ratio") >= min_ratio).select("a", "b", "shared", "ratio")
+    """(a, b, shared, ratio): groups that share at least ``min_ratio`` of the smaller one, each pair once.
+
+    Prefix filtering: with members ordered by rarity, a partner of at least the same size must hold
+    one of the smaller group's first n - ceil(ratio x n) + 1 members. Only those are joined, so a
+    member of very many groups pairs them only where rarer ones don't decide; candidates are then
+    counted by equi-joins.
+    """
+    m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
+    sizes = m.groupBy("g").agg(F.count("*").alias("n"))
+    sized = m.join(sizes, "g")
+    ranked = sized.join(m.groupBy("m").agg(F.count("*").alias("df")), "m").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("df", "m")))
+    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * min_ratio - 1e-9) + 1).select(F.col("g").alias("s"), F.col("n").alias("ns"), "m")
+    partner = sized.select(F.col("g").alias("t"), F.col("n").alias("nt"), "m")
+    pairs = prefix.join(partner, "m").where("s <> t AND (ns < nt OR ns = nt AND s < t)").select("s", "t", "ns").distinct()
+    counted = pairs.join(m.select(F.col("g").alias("s"), "m"), "s").join(m.select(F.col("g").alias("t"), "m"), ["t", "m"]).groupBy("s", "t", "ns").agg(F.count("*").alias("shared"))
+    ratio = F.col("shared") / F.col("ns")
+    return counted.where(ratio >= min_ratio).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "shared", ratio.alias("ratio"))
 
 
 def name_containment(names: DataFrame, name: str, width: int = 4) -> DataFrame:
