@@ -138,3 +138,31 @@ def split_name(name: Column) -> Column:
     last = F.when(comma, F.trim(F.regexp_extract(n, r"^([^,，]*)", 1))).when(cjk, F.substring(n, 1, 1)).otherwise(F.regexp_extract(n, r"(\S*)$", 1))
     first = F.when(comma, F.trim(F.regexp_extract(n, r"[,，](.*)$", 1))).when(cjk, F.substring(n, 2, 8)).otherwise(F.trim(F.regexp_extract(n, r"^(.*)\s\S+$", 1)))
     return F.struct(last.alias("last"), first.alias("first"))
+
+
+#: What a title may end with that isn't part of it.
+TITLE_TAILS = (r"[_\-—\s]*(?:知网节?|CNKI|万方|维普)\s*$", r"\s*[|｜]\s*[^|｜]{1,30}$", r"\s*[（(]\d+[)）]\s*$", r"(?i)\.(?:pdf|caj|docx?)$")
+
+
+def clean_title(title: Column) -> Column:
+    """A title without file endings, copy numbers and site names."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    for pattern in reversed(TITLE_TAILS):
+        t = F.trim(F.regexp_replace(t, pattern, ""))
+    return t
+
+
+def title_weight(title: Column) -> Column:
+    """Display width: a CJK character counts two."""
+    t = F.coalesce(title, F.lit(""))
+    return F.length(t) + F.regexp_count(t, F.lit(r"[㐀-䶿一-鿿豈-﫿]"))
+
+
+def plain_title(title: Column) -> Column:
+    """For comparison: letters and digits only, lowered."""
+    return F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"[^\p{L}\p{N}]+", ""))
+
+
+def recover_json(text: Column) -> Column:
+    """The JSON object in a model's answer: without fences, from the first { to the last }; null without one."""
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*\})", 1), F.lit(""))

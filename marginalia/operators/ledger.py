@@ -76,3 +76,41 @@ def new_entries(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     i, o = incoming.alias("i"), ledger.select("asked", "method", "outcome").distinct().alias("o")
     same = [F.col(f"i.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("asked", "method", "outcome")]
     return i.join(o, same, "left_anti").dropDuplicates(["asked", "method", "outcome"])
+
+
+def orphan_weights(weights: DataFrame, ledger: DataFrame, key: str = "item_key") -> DataFrame:
+    """Weights without any ledger entry, pin or manual part: an equi anti-join on exploded keys, not a substring search."""
+    used = explode_items(ledger, item=key).select(key)
+    idle = (F.coalesce("pinned", F.lit(0)) == 0) & (F.coalesce("manual", F.lit(0.0)) == 0)
+    return weights.where(idle).join(used, key, "left_anti")
+
+
+def update_entries(ledger: DataFrame, edits: DataFrame, when: str, fields: tuple[str, ...] = ("asked", "method", "outcome", "reason", "context")) -> DataFrame:
+    """Edited entries with their old values added to ``history`` (array of JSON), others as they are.
+
+    Weights are derived from the ledger, so an edit needs no rollback: they follow from what stands.
+    """
+    e = edits.select("id", *[F.col(f).alias(f"__{f}") for f in fields if f in edits.columns], F.lit(True).alias("__hit"))
+    changed = [f for f in fields if f"__{f}" in e.columns]
+    j = ledger.join(e, "id", "left")
+    hit = F.coalesce("__hit", F.lit(False))
+    entry = F.to_json(F.struct(F.lit(when).alias("at"), *[F.col(f) for f in changed]))
+    history = F.coalesce("history", F.array().cast("array<string>"))
+    return j.select(*[F.when(hit, F.coalesce(f"__{c}", c)).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in ledger.columns if c != "history"],
+                    F.when(hit, F.concat(history, F.array(entry))).otherwise(history).alias("history"))
+
+
+def delete_entries(ledger: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ledger without the given ids, numbered 1..N again."""
+    return renumber(ledger.join(ids.select("id"), "id", "left_anti"), ["id"])
+
+
+def entry_views(ledger: DataFrame) -> DataFrame:
+    """Entries for display: how many items and edits, and the items as one text."""
+    keys = F.coalesce("item_keys", F.array().cast("array<string>"))
+    return ledger.select("id", "created_at", "asked", "outcome", F.array_join(keys, ", ").alias("items"), F.size(keys).alias("n_items"), F.size(F.coalesce("history", F.array().cast("array<string>"))).alias("n_edits"))
+
+
+def checkup_reason(outcome, evidence, keys):
+    """Why an entry deserves a second look; empty if it doesn't."""
+    return F.when(F.size(F.coalesce(keys, F.array().cast("array<string>"))) == 0, "no item").when(~F.coalesce(outcome, F.lit("")).isin("effective", "ineffective", "partial", "unknown"), "unknown outcome").when((outcome == "effective") & (F.trim(F.coalesce(evidence, F.lit(""))) == ""), "no evidence").otherwise("")

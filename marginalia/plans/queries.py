@@ -618,3 +618,24 @@ def document_outlines(spark, d):
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
     blocks = lines.withColumn("page", F.floor(F.col("pos") / 8) + 1).withColumn("type", F.when(F.length("content") < 40, "title").otherwise("text"))
     return ol.document_outlines(blocks, "doc_id").select("doc_id", "seq", "page_from", "page_to", F.length("text").alias("n_chars"), "fp")
+
+
+@query("SELECT p_partkey, trim(p_name) AS title, length(p_name) AS width, lower(regexp_replace(p_name, '[^\\p{L}\\p{N}]+', '', 'g')) AS plain FROM part")
+def title_forms(spark, d):
+    decorated = F.concat("p_name", F.lit(" (2).pdf"))
+    return read(spark, d, "part").select("p_partkey", sc.clean_title(decorated).alias("title"), sc.title_weight(F.col("p_name")).cast("long").alias("width"), sc.plain_title(F.col("p_name")).alias("plain"))
+
+
+@query("SELECT c_custkey AS item_key FROM customer WHERE c_custkey % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
+def orphan_weights(spark, d):
+    weights = read(spark, d, "customer").select(F.col("c_custkey").alias("item_key"), F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0).alias("pinned"), F.lit(0.0).alias("manual"))
+    led = read(spark, d, "events").select(F.array("user_id").alias("item_keys"))
+    return lg.orphan_weights(weights, led).select("item_key")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'no item' WHEN event_type = 'click' THEN 'unknown outcome' WHEN event_type = 'purchase' AND value < 50 THEN 'no evidence' ELSE '' END AS reason FROM events")
+def checkup_reasons(spark, d):
+    kinds = F.create_map(*[F.lit(x) for kv in (OUTCOME | {"signup": "unknown", "click": "?"}).items() for x in kv])
+    e = read(spark, d, "events")
+    keys = F.when(F.col("user_id") % 5 != 0, F.array(F.col("user_id").cast("string")))
+    return e.select("event_id", lg.checkup_reason(kinds[F.col("event_type")], F.when(F.col("value") >= 50, "seen"), keys).alias("reason"))

@@ -35,6 +35,11 @@ def parse_units(query: str) -> list[tuple[str, float]]:
     return sorted(((u, float(len(u) ** 2)) for u in units), key=lambda x: (-x[1], x[0]))
 
 
+def any_known(units: list[tuple[str, float]], term_df: DataFrame) -> bool:
+    """Whether the keyword route can find anything: a unit of two characters or more, or a known term."""
+    return any(len(u) > 1 for u, _ in units) or bool(units) and not term_df.where(F.col("term").isin([u for u, _ in units])).isEmpty()
+
+
 def keyword_route(chunks: DataFrame, units: list[tuple[str, float]], key: str = "chunk_id", limit: int = rt.ROUTE_LIMIT) -> DataFrame:
     """(key, coverage, strong, rank, norm): the best chunks by coverage. Each task keeps its best before they meet."""
     top = rt.coverage(chunks, units, key).orderBy(F.desc("coverage"), F.desc("strong"), key).limit(limit)

@@ -253,3 +253,26 @@ def test_overlap_pairs(spark, groups, ratio):
     df = spark.createDataFrame([(i, x) for i, g in enumerate(groups) for x in g], "g int, m int")
     want = {(a, b, len(groups[a] & groups[b])) for a in range(len(groups)) for b in range(a + 1, len(groups)) if groups[a] & groups[b] and len(groups[a] & groups[b]) / min(len(groups[a]), len(groups[b])) >= ratio - 1e-12}
     assert {(r.a, r.b, r.shared) for r in rl.overlap_pairs(df, "g", "m", ratio).collect()} == want
+
+
+def test_ledger_edits(spark):
+    led = spark.createDataFrame([(1, "2024", "q", "effective", ["a"], None), (2, "2024", "r", "partial", [], ["{}"])], "id long, created_at string, asked string, outcome string, item_keys array<string>, history array<string>")
+    edited = lg.update_entries(led, spark.createDataFrame([(2, "ineffective")], "id long, outcome string"), "2025")
+    got = {r.id: (r.asked, r.outcome, len(r.history)) for r in edited.collect()}
+    assert got == {1: ("q", "effective", 0), 2: ("r", "ineffective", 2)}
+    assert json.loads([r.history for r in edited.collect() if r.id == 2][0][1]) == {"at": "2025", "outcome": "partial"}
+    assert [(r.id, r.asked) for r in lg.delete_entries(led, spark.createDataFrame([(1,)], "id long")).collect()] == [(1, "r")]
+    assert {(r.id, r.n_items, r.n_edits) for r in lg.entry_views(edited).collect()} == {(1, 1, 0), (2, 0, 2)}
+
+
+def test_titles_and_json(spark):
+    from marginalia.functions import scalars as sc
+    from marginalia.plans.search import any_known
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
+    assert one(sc.clean_title(F.lit("深度学习 (2).pdf"))) == "深度学习"
+    assert one(sc.title_weight(F.lit("深a"))) == 3
+    assert one(sc.recover_json(F.lit('```json\n{"a": 1}\n``` ok'))) == '{"a": 1}'
+    assert one(sc.recover_json(F.lit("none"))) is None
+    df = spark.createDataFrame([("学", 3)], "term string, df long")
+    assert any_known([("学", 1.0)], df) and not any_known([("习", 1.0)], df) and any_known([("ab", 4.0)], df) and not any_known([], df)
