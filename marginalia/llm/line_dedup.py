@@ -31,6 +31,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 29
 SEGMENT_BITS = 16
 PROBES = 3
+#: Bit positions that a task holds at most, about.
+HELD_BITS = 8_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -68,12 +70,31 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def _segments(places: np.ndarray, twice: bool) -> Iterator[pa.RecordBatch]:
+    """Sorted bit positions as rows of (segment, twice, offsets)."""
+    if not len(places):
+        return
+    segments = (places >> np.uint64(SEGMENT_BITS)).astype(np.int64)
+    heads = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
+    parts = np.split((places & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u2"), heads[1:])
+    for start in range(0, len(parts), 4096):
+        chosen = parts[start : start + 4096]
+        yield pa.RecordBatch.from_pydict({
+            "segment": pa.array(segments[heads[start : start + 4096]].astype(np.int32)), "twice": pa.array([twice] * len(chosen)),
+            "offsets": pa.array([p.tobytes() for p in chosen], pa.binary()),
+        })
+
+
 def _note_bits(bits: int, digests_of: Callable[[bytes | None], set[bytes]]):
-    """Task side of the filters: for each segment, the bits set once and those set again."""
+    """Task side of the filters: for each segment, the bits set once and those set again.
+
+    What a task holds is bounded: beyond HELD_BITS it hands on what it has and starts anew, since
+    a bit handed on twice counts as set twice, which it was.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.empty(0, dtype=np.uint64)
-        again = np.empty(0, dtype=np.uint64)
+        nothing = np.empty(0, dtype=np.uint64)
+        once, again = nothing, nothing
         fresh: list[np.ndarray] = []
         held = 0
 
@@ -92,20 +113,16 @@ def _note_bits(bits: int, digests_of: Callable[[bytes | None], set[bytes]]):
                     places = np.unique(filter_positions(list(found), bits))
                     fresh.append(places)
                     held += len(places)
-                    if held > 4_000_000:
+                    if held > HELD_BITS // 2:
                         fold()
+                        if len(once) > HELD_BITS:
+                            yield from _segments(once, False)
+                            yield from _segments(again, True)
+                            once, again = nothing, nothing
         if fresh:
             fold()
-        for chosen, name in ((once, "once"), (again, "again")):
-            segments = (chosen >> np.uint64(SEGMENT_BITS)).astype(np.int64)
-            heads = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]]) if len(segments) else []
-            parts = np.split((chosen & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u2"), heads[1:]) if len(segments) else []
-            for start in range(0, len(parts), 4096):
-                yield pa.RecordBatch.from_pydict({
-                    "segment": pa.array(segments[heads[start : start + 4096]].astype(np.int32)),
-                    "twice": pa.array([name == "again"] * len(parts[start : start + 4096])),
-                    "offsets": pa.array([p.tobytes() for p in parts[start : start + 4096]], pa.binary()),
-                })
+        yield from _segments(once, False)
+        yield from _segments(again, True)
 
     return run
 

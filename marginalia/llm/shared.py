@@ -69,3 +69,10 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 def crc_share(id_col: str, share: float) -> Column:
     """A deterministic sample: about the given share of ids, whatever the partitioning."""
     return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has stored in the shared folder. Call it once all results are written:
+    frames returned by the operators read from there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -57,6 +57,13 @@ def test_line_dedup_keeps_columns(spark):
     assert dict(got.dtypes)["n_lines"] == "bigint" and got.count() == len(AWKWARD)
 
 
+def test_line_dedup_in_small_portions(spark, monkeypatch):
+    """Tasks that hand on their bits early find the same repeats."""
+    monkeypatch.setattr(line_dedup, "HELD_BITS", 2)
+    got = line_dedup.dedup_lines(frame(spark, AWKWARD)).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")))
+    assert plain(got) == sorted(brute.line_dedup(AWKWARD), key=repr)
+
+
 def test_simhash(spark):
     got = simhash.near_duplicates(frame(spark, AWKWARD)).select("doc_id", "fingerprint", "component_id")
     assert plain(got) == sorted(brute.simhash(AWKWARD), key=repr)
@@ -356,3 +363,13 @@ def test_pipeline(spark, tmp_path):
     assert dirty and len(kept) > 100
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_release(spark):
+    from marginalia.llm.shared import new_path, release, stored
+
+    kept = stored(spark.range(3), "release-test")
+    assert kept.count() == 3
+    release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(new_path(spark, "release-test").rsplit("/", 1)[0])
