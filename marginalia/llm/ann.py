@@ -24,26 +24,40 @@ from pyspark.sql.window import Window
 
 from marginalia.llm.shared import stored
 
-DEGREE, BEAM, ALPHA = 24, 40, 1.2
-SEARCH_BEAM = 48
+DEGREE, BEAM, ALPHA = 32, 48, 1.2
+SEARCH_BEAM = 128
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 SALTS = 32
 
 
-def distances(points: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Squared distances of each query to its row of ids; -1 is no point, infinitely far."""
-    found = points[np.maximum(ids, 0)]
-    d = np.einsum("bkd,bkd->bk", found, found) - 2 * np.einsum("bkd,bd->bk", found, queries) + np.einsum("bd,bd->b", queries, queries)[:, None]
-    return np.where(ids < 0, np.inf, np.maximum(d, 0))
+class Points:
+    """Vectors for building and searching: single precision with their squared lengths. Answers are
+    measured again in double precision."""
 
+    def __init__(self, exact: np.ndarray):
+        self.exact = exact
+        self.v = exact.astype(np.float32)
+        self.norm = np.einsum("nd,nd->n", self.v, self.v)
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int, keep_seen: bool = False):
+    def __len__(self) -> int:
+        return len(self.v)
+
+
+def distances(points: Points, ids: np.ndarray, queries: np.ndarray, found: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of each query to its row of ids; -1 is no point, infinitely far. ``found`` may hold the ids' vectors."""
+    at = np.maximum(ids, 0)
+    found = points.v[at] if found is None else found
+    d = points.norm[at] - 2 * np.matmul(found, queries[:, :, None])[:, :, 0] + np.einsum("bd,bd->b", queries, queries)[:, None]
+    return np.where(ids < 0, np.float32(np.inf), np.maximum(d, 0))
+
+
+def beam_search(points: Points, graph: np.ndarray, start: int, queries: np.ndarray, width: int, keep_seen: bool = False):
     """The ``width`` nearest nodes found for each query, nearest first; and all nodes expanded."""
     n = len(queries)
     ids = np.full((n, width), -1, dtype=np.int32)
     ids[:, 0] = start
-    dist = np.full((n, width), np.inf)
+    dist = np.full((n, width), np.inf, dtype=np.float32)
     dist[:, 0] = distances(points, ids[:, :1], queries)[:, 0]
     done = np.zeros((n, width), dtype=bool)
     met = np.zeros((n, len(points)), dtype=bool)
@@ -78,15 +92,16 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
     return (*out, np.stack(expanded, axis=1) if expanded else np.empty((n, 0), dtype=np.int32)) if keep_seen else out
 
 
-def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, alpha: float, degree: int) -> np.ndarray:
+def robust_prune(points: Points, nodes: np.ndarray, candidates: np.ndarray, alpha: float, degree: int) -> np.ndarray:
     """For each node, up to ``degree`` of its candidates: the nearest left is kept, and those that it
     is nearer to, by the factor alpha, than the node is are dropped. -1 fills the rest."""
     kept = np.full((len(nodes), degree), -1, dtype=np.int32)
     cand = np.sort(candidates, axis=1)
     cand = np.where((cand == nodes[:, None]) | np.c_[np.zeros(len(cand), dtype=bool), cand[:, 1:] == cand[:, :-1]], -1, cand)
-    dist = distances(points, cand, points[nodes])
-    order = np.argsort(dist, axis=1, kind="stable")[:, : 4 * degree]
+    dist = distances(points, cand, points.v[nodes])
+    order = np.argsort(dist, axis=1, kind="stable")[:, : 3 * degree]
     cand, dist = np.take_along_axis(cand, order, 1), np.take_along_axis(dist, order, 1)
+    vectors = points.v[np.maximum(cand, 0)]
     left = dist.copy()
     rows = np.arange(len(nodes))
     for k in range(degree):
@@ -96,7 +111,7 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray,
             break
         chosen = np.where(ok, cand[rows, best], -1)
         kept[:, k] = chosen
-        between = distances(points, cand, points[np.maximum(chosen, 0)])
+        between = distances(points, cand, points.v[np.maximum(chosen, 0)], vectors)
         drop = (alpha * alpha * between <= dist) & ok[:, None]
         left = np.where(drop, np.inf, left)
         left[rows, best] = np.inf
@@ -104,19 +119,20 @@ def robust_prune(points: np.ndarray, nodes: np.ndarray, candidates: np.ndarray,
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, block: int = 256) -> tuple[np.ndarray, int]:
-    """Adjacency (n, degree) and the start node. Two passes, the second with ALPHA."""
+    """Adjacency (n, degree) and the start node. Two passes, the first with half the beam, the second with ALPHA."""
     n = len(points)
     rng = np.random.default_rng(n)
     start = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    points = Points(points)
     graph = rng.integers(0, n, size=(n, degree), dtype=np.int32) if n > 1 else np.full((n, degree), -1, dtype=np.int32)
     graph[graph == np.arange(n)[:, None]] = -1
     if n <= 2:
         return graph, start
-    for alpha in (1.0, ALPHA):
+    for alpha, width in ((1.0, beam // 2), (ALPHA, beam)):
         order = rng.permutation(n).astype(np.int32)
         for a in range(0, n, block):
             nodes = order[a : a + block]
-            found, _, seen = beam_search(points, graph, start, points[nodes], beam, keep_seen=True)
+            found, _, seen = beam_search(points, graph, start, points.v[nodes], width, keep_seen=True)
             graph[nodes] = robust_prune(points, nodes, np.concatenate([found, seen, graph[nodes]], axis=1), alpha, degree)
             # the way back: a node that is full is pruned again with its new neighbours
             source = np.repeat(nodes, degree)
@@ -149,7 +165,8 @@ def search_shard(points: np.ndarray, graph: np.ndarray, start: int, queries: np.
     if len(points) <= width:
         ids = np.tile(np.arange(len(points), dtype=np.int32), (len(queries), 1))
     else:
-        ids = np.concatenate([beam_search(points, graph, start, queries[a : a + 256], width)[0] for a in range(0, len(queries), 256)])
+        light = Points(points)
+        ids = np.concatenate([beam_search(light, graph, start, queries[a : a + 256].astype(np.float32), width)[0] for a in range(0, len(queries), 256)])
     exact = np.sqrt(((points[np.maximum(ids, 0)] - queries[:, None, :]) ** 2).sum(axis=2))
     exact[ids < 0] = np.inf
     order = np.argsort(exact, axis=1, kind="stable")[:, :k]
