@@ -7,8 +7,8 @@ never gets more than its subtree can take, a shortage reaches an ancestor's sibl
 all nearer ones are full. Shares are whole tokens, rounded down.
 
 A leaf takes whole epochs and then a prefix of one more, in the order of an md5 of the seed, the
-epoch and the document. The cut of that prefix is found by radix selection: two histograms over
-the leading hex digits leave one short run of documents to sum in order. So no task ever sorts a
+epoch and the document. The cut of that prefix is found by radix selection: three histograms of
+256 bins over the leading hex digits leave one short run of documents to sum in order. So no task ever sorts a
 leaf, and a leaf may hold any share of all rows.
 """
 
@@ -122,11 +122,11 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     small = F.broadcast if leaves.count() <= MAX_BROADCAST_LEAVES else (lambda df: df)
     keyed = rows.join(small(leaves.select(*LEAF, "epoch", "rest")), LEAF).withColumn("key", order_key(mix.seed, F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
-    # radix selection of the cut: the bin in which the running sum passes the rest, twice
+    # radix selection of the cut: the bin in which the running sum passes the rest, of 256 at a time
     cut = leaves.select(*LEAF, F.col("rest").alias("left"), F.lit("").alias("prefix"))
-    for digits in (3, 6):
+    for digits in (2, 4, 6):
         bins = (
-            keyed.select(*LEAF, "n_tokens", F.substring("key", 1, digits - 3).alias("prefix"), F.substring("key", 1, digits).alias("bin"))
+            keyed.select(*LEAF, "n_tokens", F.substring("key", 1, digits - 2).alias("prefix"), F.substring("key", 1, digits).alias("bin"))
             .join(small(cut), [*LEAF, "prefix"]).groupBy(*LEAF, "left", "bin").agg(F.sum("n_tokens").alias("t"))
         )
         run = F.sum("t").over(Window.partitionBy(*LEAF).orderBy("bin"))
