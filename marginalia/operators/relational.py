@@ -92,11 +92,16 @@ def overlap_pairs(members: DataFrame, group: str, member: str, min_ratio: float
     Prefix filtering: with members ordered by rarity, a partner of at least the same size must hold
     one of the smaller group's first n - ceil(ratio x n) + 1 members. Only those are joined, so a
     member of very many groups pairs them only where rarer ones don't decide; candidates are then
-    counted by equi-joins.
+    counted by equi-joins. Below a ratio of 0.3 the prefix is most of a group and would save
+    nothing, so shared members are counted straight away.
     """
     m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
     sizes = m.groupBy("g").agg(F.count("*").alias("n"))
     sized = m.join(sizes, "g")
+    if min_ratio < 0.3:
+        both = sized.select(F.col("g").alias("a"), F.col("n").alias("na"), "m").join(sized.select(F.col("g").alias("b"), F.col("n").alias("nb"), "m"), "m").where("a < b")
+        ratio = F.col("shared") / F.least("na", "nb")
+        return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(ratio >= min_ratio).select("a", "b", "shared", ratio.alias("ratio"))
     ranked = sized.join(m.groupBy("m").agg(F.count("*").alias("df")), "m").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("df", "m")))
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * min_ratio - 1e-9) + 1).select(F.col("g").alias("s"), F.col("n").alias("ns"), "m")
     partner = sized.select(F.col("g").alias("t"), F.col("n").alias("nt"), "m")

@@ -248,7 +248,7 @@ def test_choose_text(spark, mode, verdict, cache, parsed, expected):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 8), min_size=1, max_size=6), min_size=2, max_size=6), st.sampled_from([0.3, 0.6, 1.0]))
+@given(st.lists(st.sets(st.integers(0, 8), min_size=1, max_size=6), min_size=2, max_size=6), st.sampled_from([0.1, 0.3, 0.6, 1.0]))
 def test_overlap_pairs(spark, groups, ratio):
     df = spark.createDataFrame([(i, x) for i, g in enumerate(groups) for x in g], "g int, m int")
     want = {(a, b, len(groups[a] & groups[b])) for a in range(len(groups)) for b in range(a + 1, len(groups)) if groups[a] & groups[b] and len(groups[a] & groups[b]) / min(len(groups[a]), len(groups[b])) >= ratio - 1e-12}
