@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marginalia.llm import ann, html_extract, language_id, line_dedup, mixing, queries, simhash, substring_dedup, toxicity, warc
+from marginalia.llm import ann, html_extract, language_id, line_dedup, mixing, near_copies, queries, simhash, substring_dedup, toxicity, warc
 from marginalia.llm.components import components
 from marginalia.llm.decontamination import contamination, drop_contaminated
 from tests.llm import brute
@@ -365,6 +365,45 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def edited(text, n, seed):
+    r = random.Random(seed)
+    words = text.split(" ")
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"new{i}"
+    return " ".join(words)
+
+
+def test_near_dedup_stage_finds_edited_copies(spark):
+    """Copies with a few words changed go, down to a similarity of 0.8; the rest stays, as brute force has it."""
+    import corpus_pipeline as cp
+
+    docs = []
+    for i in range(120):
+        text = prose(60 + 3 * i, 20_000 + i)
+        docs += [(4 * i, text), (4 * i + 1, edited(text, 1, i)), (4 * i + 2, edited(text, 1 + i // 30, i + 500)), (4 * i + 3, edited(text, 3 + i // 10, i + 900))]
+    docs += [(1000, None), (1001, ""), (1002, " \n"), (1003, "two words"), (1004, "TWO  words"), (None, docs[0][1]), (5, "another text of the id five"), (1005, docs[8][1]), (1005, docs[8][1])]
+    shingled = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in docs)]
+    links = [(a, b) for a in range(len(docs)) for b in range(a) if len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])]
+    low = {}
+    for d, r in zip(docs, brute.components(len(docs), links)):
+        low[r] = min(low.get(r, d), d, key=lambda d: (d[0] is None, d[0] or 0))
+    df = frame(spark, docs)
+    got = cp.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert plain(got.select("doc_id", "text")) == sorted(low.values(), key=repr)
+    assert len(low) < 300 and cp.near_dedup(spark, empty(spark), "").count() == 0
+
+
+def test_similar_groups():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 30)).astype(np.uint64)) for _ in range(150)]
+    sets += [s[r.random(len(s)) < 0.95] for s in sets[:100]]
+    sets = [s for s in sets if len(s)]
+    plain_sets = [set(s.tolist()) for s in sets]
+    want = brute.components(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(plain_sets[a] & plain_sets[b]) >= 0.8 * len(plain_sets[a] | plain_sets[b])])
+    assert near_copies.similar_groups(sets).tolist() == want
+
+
 def test_release(spark):
     from marginalia.llm.shared import new_path, release, stored
 
