@@ -8,7 +8,9 @@ whatever stands before it.
 
 Chunks are named by 128-bit digests. A once-seen and a twice-seen filter (see line_dedup) leave
 only digests that may repeat; these are counted exactly. Overlapping repeated chunks of a
-document are merged into spans, and spans of at least ``min_bytes`` count as repeated passages.
+document are merged into stretches, and stretches of at least ``min_bytes`` count as repeated
+passages. Where the first occurrence changes within a stretch it is cut by pieces, one for each
+first occurrence, so that only bytes which another document holds first go.
 """
 
 from __future__ import annotations
@@ -104,16 +106,8 @@ def _gather(batches_of):
     return run
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """A row for each passage that another document holds too, the first occurrence included:
-    doc_id, first_doc_id (the smallest id that holds a part of it), start, end (byte offsets in
-    UTF-8), ``__id``, ``__salt``.
-
-    Passages repeated within one document only don't count, nor do texts under 64 bytes, null or
-    empty ones. Texts of any length are chunked whole. Rows that share an id count as one
-    document, rows without an id each as one, after all ids. Columns other than doc_id and text
-    are not used. An empty table gives no rows.
-    """
+def _pieces(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """The passages of repeated_spans (``__span``), with a row for each first occurrence of their chunks."""
     spark = docs.sparkSession
     keyed = with_row_key(docs.select("doc_id", "text"))
     size = plan_bytes(docs.select("text"))
@@ -129,12 +123,19 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     chunked = suspects.join(heads, "digest").select("__id", "__salt", "start", "end", "first")
     order = Window.partitionBy("__id", "__salt").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = (
-        chunked.withColumn("__new", F.when(F.coalesce(reach, F.lit(-1)) < F.col("start"), 1).otherwise(0))
-        .withColumn("__span", F.sum("__new").over(order))
-        .groupBy("__id", "__salt", "__span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first"))
-        .where(F.col("end") - F.col("start") >= min_bytes)
+    stretches = chunked.withColumn("__new", F.when(F.coalesce(reach, F.lit(-1)) < F.col("start"), 1).otherwise(0)).withColumn("__span", F.sum("__new").over(order))
+    whole = Window.partitionBy("__id", "__salt", "__span")
+    by_first = Window.partitionBy("__id", "__salt", "__span", "first").orderBy("start", "end")
+    own_reach = F.max("end").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        stretches.withColumn("__bytes", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("__bytes") >= min_bytes)
+        .withColumn("__new", F.when(F.coalesce(own_reach, F.lit(-1)) < F.col("start"), 1).otherwise(0))
+        .withColumn("__part", F.sum("__new").over(by_first))
+        .groupBy("__id", "__salt", "__span", "first", "__part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     )
+
+
+def _named(spans: DataFrame) -> DataFrame:
     named = lambda bare, i: F.when(~bare, i)
     return spans.select(
         named(F.col("__salt") != 0, F.col("__id")).alias("doc_id"), named(F.col("first.bare"), F.col("first.__id")).alias("first_doc_id"),
@@ -142,6 +143,19 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     )
 
 
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """A row for each passage that another document holds too, the first occurrence included:
+    doc_id, first_doc_id (the smallest id that holds a part of it), start, end (byte offsets
+    in UTF-8), is_first, ``__id``, ``__salt``.
+
+    Passages repeated within one document only don't count, nor do texts under 64 bytes, null or
+    empty ones. Texts of any length are chunked whole. Rows that share an id count as one
+    document, rows without an id each as one, after all ids. Columns other than doc_id and text
+    are not used. An empty table gives no rows.
+    """
+    return _named(_pieces(docs, min_bytes).groupBy("__id", "__salt", "__span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first")))
+
+
 def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +163,9 @@ def _cut(names: list[str]):
             for i, spans in enumerate(batch.column(batch.schema.get_field_index("__spans")).to_pylist()):
                 if spans:
                     kept, at = [], 0
-                    for s in sorted(spans, key=lambda s: s["start"]):
+                    for s in sorted((s for s in spans if not s["is_first"]), key=lambda s: s["start"]):
                         kept.append(texts[i][at : s["start"]])
-                        at = s["end"]
+                        at = max(at, s["end"])
                     # a boundary may fall inside a character; a cut one goes with the passage
                     texts[i] = b"".join([*kept, texts[i][at:]]).decode("utf-8", "ignore").encode()
             made = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
@@ -160,8 +174,22 @@ def _cut(names: list[str]):
     return run
 
 
+def _cut_rows(docs: DataFrame, min_bytes: int, how: str) -> DataFrame:
+    """``docs`` after the cut, with ``__spans``: all the spans of each."""
+    spans = _named(_pieces(docs, min_bytes)).groupBy("__id", "__salt").agg(F.collect_list(F.struct("first_doc_id", "start", "end", "is_first")).alias("__spans"))
+    joined = with_row_key(docs).join(spans, ["__id", "__salt"], how).select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    return joined.mapInArrow(_cut(joined.columns), T.StructType(joined.schema.fields))
+
+
 def drop_repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with repeated passages cut out of every document but their first."""
-    cuts = repeated_spans(docs, min_bytes).where("NOT is_first").groupBy("__id", "__salt").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    joined = with_row_key(docs).join(cuts, ["__id", "__salt"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
-    return joined.mapInArrow(_cut(docs.columns), T.StructType(docs.schema.fields))
+    return _cut_rows(docs, min_bytes, "left").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """The passages of repeated_spans, a row for each first occurrence of their chunks, with
+    what the cut leaves of the document: doc_id, first_doc_id, start, end, is_first, bytes_dropped, kept_sha256."""
+    sized = docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("__size"))
+    cut = _cut_rows(sized, min_bytes, "inner")
+    return cut.select("doc_id", (F.col("__size") - F.octet_length("text")).alias("bytes_dropped"), F.sha2("text", 256).alias("kept_sha256"), F.explode("__spans").alias("s")).select(
+        "doc_id", "s.*", "bytes_dropped", "kept_sha256")

@@ -175,6 +175,18 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_spans(empty(spark)).count() == 0
 
 
+def test_substring_dedup_keeps_a_passage_next_to_an_older_one(spark):
+    """P is only in documents 5 and 9, Q behind it in 3, 5 and 9: P stays in 5, Q in 3."""
+    p, q = prose(80, 6001), prose(80, 6002)
+    docs = [(3, prose(50, 6003) + " " + q), (5, prose(50, 6004) + " " + p + " " + q + " " + prose(50, 6005)), (9, prose(50, 6006) + " " + p + " " + q)]
+    cut = {x.doc_id: x.text for x in substring_dedup.drop_repeated_spans(frame(spark, docs)).collect()}
+    assert cut[3] == docs[0][1] and p in cut[5] and p[60:-60] not in cut[9]
+    assert q[90:-90] not in cut[5] and q[90:-90] not in cut[9]
+    listed = substring_dedup.cut_spans(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.bytes_dropped, x.kept_sha256) for x in listed} == {(i, len(t) - len(cut[i]), hashlib.sha256(cut[i].encode()).hexdigest()) for i, t in docs}
+    assert {(x.doc_id, x.first_doc_id, x.is_first) for x in listed} == {(3, 3, True), (5, 5, True), (5, 3, False), (9, 5, False), (9, 3, False)}
+
+
 LEXICON = toxicity.Lexicon({" idiot": 6.0, " scum ": 5.0, " trash": 4.0}, curve=(-4.0, 3.0, 1.0, 0.2))
 
 
