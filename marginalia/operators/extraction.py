@@ -86,7 +86,7 @@ def table_markdown(rows: Column) -> Column:
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), r"\|", "/")
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), width - 1), lambda i: clean(F.get(r, i))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
-    return F.array_join(F.concat(F.transform(F.slice(rows, 1, 1), line), F.array(rule), F.transform(F.slice(rows, 2, 10_000), line)), "\n")
+    return F.array_join(F.concat(F.transform(F.slice(rows, 1, 1), line), F.array(rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(0))), line)), "\n")
 
 
 def render_blocks(blocks: DataFrame, key: str) -> DataFrame:

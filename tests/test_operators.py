@@ -161,6 +161,12 @@ def test_extraction(spark):
     assert one(ex.table_markdown(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"))))) == "| a | b |\n| --- | --- |\n| c |  |"
 
 
+def test_table_markdown_of_many_rows(spark):
+    rows = F.transform(F.sequence(F.lit(1), F.lit(12_000)), lambda i: F.array(i.cast("string")))
+    lines = spark.range(1).select(ex.table_markdown(rows).alias("x")).first()[0].split("\n")
+    assert len(lines) == 12_001 and lines[-1] == "| 12000 |"
+
+
 def test_captions(spark):
     pages = spark.createDataFrame([("k", 1, "Figure 1. A long caption that\ngoes on\ntext\nTable 2: Another one.\nFigure 3 ..... 12")], "key string, page int, text string")
     got = {(r.kind, r.label, r.caption) for r in ex.captions(pages, "key").collect()}
