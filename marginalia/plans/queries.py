@@ -78,6 +78,19 @@ def query_coverage(spark, d):
     return out.withColumn("r", F.row_number().over(w)).where("r <= 5").select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"), "strong")
 
 
+@query(f"""WITH q AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_\\-]{{0,30}}|[一-鿿]'), lambda x: lower(x)))) AS unit FROM benchmark),
+t AS (SELECT item_id, sum(length(unit) * length(unit)) AS total FROM q GROUP BY item_id),
+h AS (SELECT item_id, doc_id, sum(length(unit) * length(unit)) AS hit, count(*) FILTER (WHERE length(unit) >= 2) AS strong FROM ({TERMS_SQL}) p JOIN q ON p.term = q.unit GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, round(CAST(hit AS DOUBLE) / total, 6) AS coverage, CAST(strong AS INTEGER) AS strong FROM h JOIN t USING (item_id)
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY CAST(hit AS DOUBLE) / total DESC, doc_id) <= 5""")
+def query_coverage_whole(spark, d):
+    """The same with the whole text of each item as its query."""
+    asks = read(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    out = rt.query_coverage(read(spark, d, "documents"), asks, "doc_id", "text", "item_id")
+    w = Window.partitionBy("item_id").orderBy(F.desc("coverage"), "doc_id")
+    return out.withColumn("r", F.row_number().over(w)).where("r <= 5").select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"), "strong")
+
+
 BM25_TERMS = ("worthless", "erth", "inonble", "tion")
 
 

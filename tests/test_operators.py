@@ -167,6 +167,16 @@ def test_table_markdown_of_many_rows(spark):
     assert len(lines) == 12_001 and lines[-1] == "| 12000 |"
 
 
+def test_query_coverage_of_whole_items(spark, tmp_path):
+    """The ninth word of an item and those after it count."""
+    from marginalia.plans import queries as q
+
+    spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh late later")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "aa"), (2, "late later")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.coverage, r.strong) for r in q.QUERIES["query_coverage_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: (round(4 / 73, 6), 1), 2: (round(41 / 73, 6), 2)}
+
+
 def test_captions(spark):
     pages = spark.createDataFrame([("k", 1, "Figure 1. A long caption that\ngoes on\ntext\nTable 2: Another one.\nFigure 3 ..... 12")], "key string, page int, text string")
     got = {(r.kind, r.label, r.caption) for r in ex.captions(pages, "key").collect()}
