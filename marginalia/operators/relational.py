@@ -124,12 +124,32 @@ def name_containment(names: DataFrame, name: str, width: int = 4) -> DataFrame:
     return probes.join(posts, "g").where(F.col("b").contains(F.col("a")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
 
 
-def probe_match(texts: DataFrame, titles: DataFrame, text_key: str, text: str, title_key: str, title: str, words: int = 4, limit: int = 5) -> DataFrame:
-    """(text_key, title_key): texts that quote ``words`` consecutive words of a title, at most ``limit`` titles each, longest first."""
+def probe_match(texts: DataFrame, titles: DataFrame, text_key: str, text: str, title_key: str, title: str, words: int = 4, limit: int = 5, domain: DataFrame | None = None) -> DataFrame:
+    """(text_key, title_key): texts that quote ``words`` consecutive words of a title, or a window of its
+    CJK runs, at most ``limit`` titles each, those with most hits first.
+
+    CJK windows have 16 or 12 characters, and 8 too where the title of over 8 characters holds a gram of
+    ``domain`` (gram; by default the titles' own domain_grams). They slide by one character.
+    """
+    from marginalia.operators.views import domain_grams
+
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - words + 1), lambda i: F.array_join(F.slice(c, i, words), " "))
     tokens = lambda df, key, c: df.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0)).alias("w")).where(F.size("w") >= words)
-    probes = tokens(titles, title_key, title).select(title_key, F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    places = tokens(texts, text_key, text).select(text_key, F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+    runs = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit("[\u4e00-\u9fff]+"), F.lit(0))
+    cut = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - n + 1, F.lit(1))), lambda i: F.call_function("substring", r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    windows = lambda c, sizes: F.array_distinct(F.flatten(F.transform(runs(c), lambda r: F.concat(*[cut(r, n) for n in sizes]))))
+    long = titles.where(F.length(title) > 8)
+    own = (domain_grams(titles, title) if domain is None else domain).select("gram").distinct()
+    inside = long.select(title_key, F.explode(windows(title, (2,))).alias("gram")).join(own, "gram").select(title_key).distinct()
+    narrow = long.join(inside, title_key, "left_semi").select(title_key, F.explode(windows(title, (8,))).alias("g"))
+    probes = (
+        tokens(titles, title_key, title).select(title_key, F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+        .union(long.select(title_key, F.explode(windows(title, (16, 12))).alias("g"))).union(narrow).distinct()
+    )
+    places = (
+        tokens(texts, text_key, text).select(text_key, F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+        .union(texts.select(text_key, F.explode(windows(text, (16, 12, 8))).alias("g"))).distinct()
+    )
     hits = places.join(probes, "g").groupBy(text_key, title_key).agg(F.count("*").alias("hits"))
     w = Window.partitionBy(text_key).orderBy(F.desc("hits"), title_key)
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)

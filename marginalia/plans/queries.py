@@ -342,6 +342,14 @@ def title_probe_match(spark, d):
     return rl.probe_match(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", words=6)
 
 
+@query(f"""WITH t AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark), p AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS i FROM t WHERE len(w) >= 4)),
+x AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), q AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM x WHERE len(w) >= 4))
+SELECT doc_id, item_id, count(*) AS hits, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, item_id) AS INTEGER) AS r FROM q JOIN p USING (g) GROUP BY doc_id, item_id QUALIFY r <= 5""")
+def title_probe_match_short(spark, d):
+    """The same from four words on, the operator's default; the tables hold no CJK text, so its SQL has words only."""
+    return rl.probe_match(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def missing_children(spark, d):
     return rl.missing(read(spark, d, "customer"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")

@@ -177,6 +177,16 @@ def test_query_coverage_of_whole_items(spark, tmp_path):
     assert got == {1: (round(4 / 73, 6), 1), 2: (round(41 / 73, 6), 2)}
 
 
+def test_probe_match_of_cjk_titles(spark):
+    """Windows of 8 characters match where the title holds a domain gram, else of 12 only; stride 1."""
+    title = "基于深度学习的海洋能发电技术研究与展望"
+    titles = spark.createDataFrame([("a", title), ("b", "甲乙丙丁戊己庚辛壬癸子丑寅卯"), ("c", "short four word title")], "key string, title string")
+    texts = spark.createDataFrame([(1, "说到" + title[3:11] + "那篇"), (2, "看甲乙丙丁戊己庚辛吧"), (3, "看乙丙丁戊己庚辛壬癸子丑寅吧"), (4, "a Short four word title!"), (5, title[:7]), (6, None)], "id int, text string")
+    domain = spark.createDataFrame([("海洋",)], "gram string")
+    got = rl.probe_match(texts, titles, "id", "text", "key", "title", domain=domain).collect()
+    assert {(r.id, r.key) for r in got} == {(1, "a"), (3, "b"), (4, "c")}
+
+
 def test_captions(spark):
     pages = spark.createDataFrame([("k", 1, "Figure 1. A long caption that\ngoes on\ntext\nTable 2: Another one.\nFigure 3 ..... 12")], "key string, page int, text string")
     got = {(r.kind, r.label, r.caption) for r in ex.captions(pages, "key").collect()}
