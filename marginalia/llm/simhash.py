@@ -31,6 +31,8 @@ SEED = 42
 RADIUS = 3
 #: Entries of more fingerprints than this are cut again by 16-bit pieces before they are searched.
 WIDE_ENTRY = 4096
+#: Names a document: rows that repeat an id are told apart by their texts.
+KEY = ["__id", "__salt", "__text"]
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
@@ -55,8 +57,8 @@ def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
 def _fingerprint_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in batch.column(3).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], names=["doc_id", "__id", "__salt", "__fp"])
+            found = np.array([fingerprint(t, width) for t in batch.column(4).cast(pa.binary()).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found.view(np.int64))], names=["doc_id", "__id", "__salt", "__text", "__fp"])
 
     return run
 
@@ -157,8 +159,12 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_link_entries, "u long, v long")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return with_row_key(docs).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fingerprint, component_id, is_kept, __id, __salt.
+    """One row for each row of ``docs``: doc_id, fingerprint, component_id, is_kept, __id, __salt, __text.
 
     Words are runs of characters other than ASCII white space, A-Z lowered. Texts of fewer than
     ``width`` words are one shingle; null, empty and blank texts have the fingerprint zero and
@@ -168,8 +174,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     one document if their texts are equal. Columns other than doc_id and text are not used. An
     empty table gives an empty table.
     """
-    rows = stored(with_row_key(docs.select("doc_id", "text")).select("doc_id", "__id", "__salt", "text").mapInArrow(_fingerprint_rows(width), "doc_id long, __id long, __salt long, __fp long"), "fingerprints")
-    lead = F.struct(F.col("doc_id").isNull().alias("bare"), "__id", "__salt")
+    rows = stored(_keyed(docs.select("doc_id", "text")).select("doc_id", *KEY, "text").mapInArrow(_fingerprint_rows(width), "doc_id long, __id long, __salt long, __text long, __fp long"), "fingerprints")
+    lead = F.struct(F.col("doc_id").isNull().alias("bare"), *KEY)
     classes = stored(rows.groupBy("__fp").agg(F.min(lead).alias("__lead")), "fingerprint-classes")
     stars = components(fingerprint_links(classes.select("__fp")))
     members = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
@@ -180,13 +186,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         "doc_id",
         F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"),
         F.when(~F.col("__lead.bare"), F.col("__lead.__id")).alias("component_id"),
-        ((F.col("__lead.__id") == F.col("__id")) & (F.col("__lead.__salt") == F.col("__salt"))).alias("is_kept"),
-        "__id", "__salt",
+        (F.struct(*[F.col(f"__lead.{k}").alias(k) for k in KEY]) == F.struct(*KEY)).alias("is_kept"),
+        *KEY,
     )
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one document of each component: see near_duplicates."""
-    kept = near_duplicates(docs, width).where("is_kept").select("__id", "__salt").distinct()
-    one = F.row_number().over(Window.partitionBy("__id", "__salt").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
-    return with_row_key(docs).join(kept, ["__id", "__salt"], "left_semi").withColumn("__n", one).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs, width).where("is_kept").select(*KEY).distinct()
+    one = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))
+    return _keyed(docs).join(kept, KEY, "left_semi").withColumn("__n", one).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

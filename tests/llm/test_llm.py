@@ -76,6 +76,12 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert kept.count() == len(groups) and kept.columns == frame(spark, AWKWARD).columns
 
 
+def test_simhash_tells_rows_of_one_id_apart(spark):
+    docs = [(5, prose(60, 30)), (5, prose(60, 31)), (5, prose(60, 31)), (6, prose(60, 30)), (7, prose(60, 31))]
+    kept = simhash.drop_near_duplicates(frame(spark, docs))
+    assert plain(kept.select("doc_id", "text")) == sorted(docs[:2])
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2**31), st.integers(2, 60))
 def test_entry_links(seed, n):
