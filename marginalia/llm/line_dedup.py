@@ -1,38 +1,27 @@
 """Line deduplication with a once-seen and a twice-seen Bloom filter.
 
-1. Every task hashes the keys of its documents' lines and notes which filter bits it has set
-   once and which at least twice. These sparse segments are merged by segment number:
-   a bit is in the twice-filter if two tasks, or one task twice, have set it. No key that
-   occurs in two documents can be missing from it.
-2. A second pass tests each key against the twice-filter. Only keys that pass (suspected
-   repeats) are shuffled, as 16-byte digests, and counted exactly.
+1. Every document's lines are hashed once; its distinct keys are kept as a row of 16-byte digests.
+2. Two Bloom filters over the digests (see twice_filter) leave the suspected repeats: only these are
+   shuffled and counted exactly.
 3. A key found in ``min_docs`` documents keeps its lines in the document with the largest id
    and loses them elsewhere.
-
-The filter is broadcast. Its size follows the input and is bounded by ``MAX_FILTER_BITS``
-(64 MB); beyond that more lines become suspects, the result stays the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.shared import plan_bytes, stored, with_row_key
+from marginalia.llm.shared import packed, stored, unpacked, with_row_key
+from marginalia.llm.twice_filter import MAX_BITS, suspects
 
 WHITE = b" \t\n\x0b\x0c\r"
-MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 29
-SEGMENT_BITS = 16
-PROBES = 3
-#: Bit positions that a task holds at most, about.
-HELD_BITS = 8_000_000
+KEY = ["__id", "__salt"]
 
 
 def line_key(line: bytes) -> bytes:
@@ -53,151 +42,27 @@ def document_digests(text: bytes | None, min_chars: int) -> set[bytes]:
     return {digest(k) for k in map(line_key, text.split(b"\n")) if long_enough(k, min_chars)}
 
 
-def filter_positions(digests: list[bytes], bits: int) -> np.ndarray:
-    """PROBES bit positions for each digest, one row per digest."""
-    words = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
-    step = words[:, 1] | np.uint64(1)
-    return np.stack([(words[:, 0] + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)], axis=1)
-
-
-def filter_bits(size_bytes: int) -> int:
-    """A power of two, about 14 bits for each line of ordinary compressed text."""
-    wanted = max(MIN_FILTER_BITS, min(MAX_FILTER_BITS, size_bytes // 16))
-    return min(MAX_FILTER_BITS, 1 << (int(wanted) - 1).bit_length())
-
-
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def _segments(places: np.ndarray, twice: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted bit positions as rows of (segment, twice, offsets)."""
-    if not len(places):
-        return
-    segments = (places >> np.uint64(SEGMENT_BITS)).astype(np.int64)
-    heads = np.flatnonzero(np.r_[True, segments[1:] != segments[:-1]])
-    parts = np.split((places & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u2"), heads[1:])
-    for start in range(0, len(parts), 4096):
-        chosen = parts[start : start + 4096]
-        yield pa.RecordBatch.from_pydict({
-            "segment": pa.array(segments[heads[start : start + 4096]].astype(np.int32)), "twice": pa.array([twice] * len(chosen)),
-            "offsets": pa.array([p.tobytes() for p in chosen], pa.binary()),
-        })
-
-
-def _note_bits(bits: int, digests_of: Callable[[bytes | None], set[bytes]]):
-    """Task side of the filters: for each segment, the bits set once and those set again.
-
-    What a task holds is bounded: beyond HELD_BITS it hands on what it has and starts anew, since
-    a bit handed on twice counts as set twice, which it was.
-    """
-
+def _digest_rows(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = np.empty(0, dtype=np.uint64)
-        once, again = nothing, nothing
-        fresh: list[np.ndarray] = []
-        held = 0
-
-        def fold() -> None:
-            nonlocal once, again, held
-            seen, counts = np.unique(np.concatenate(fresh), return_counts=True)
-            again = np.unique(np.concatenate([again, seen[counts > 1], np.intersect1d(seen, once, assume_unique=True)]))
-            once = np.union1d(once, seen)
-            fresh.clear()
-            held = 0
-
         for batch in batches:
-            for text in _texts(batch, "text"):
-                found = digests_of(text)
-                if found:
-                    places = np.unique(filter_positions(list(found), bits))
-                    fresh.append(places)
-                    held += len(places)
-                    if held > HELD_BITS // 2:
-                        fold()
-                        if len(once) > HELD_BITS:
-                            yield from _segments(once, False)
-                            yield from _segments(again, True)
-                            once, again = nothing, nothing
-        if fresh:
-            fold()
-        yield from _segments(once, False)
-        yield from _segments(again, True)
+            found = [b"".join(document_digests(t, min_chars)) or None for t in _texts(batch, "text")]
+            rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=[*KEY, "digests"])
+            yield rows.filter(rows.column(2).is_valid())
 
     return run
 
 
-def _merge_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits of each segment that two tasks, or one task twice, have set. Streams its input:
-    memory is two bitmaps for each segment of the partition."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for segment, doubled, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at = np.frombuffer(raw, dtype="<u2")
-            if segment not in once:
-                once[segment] = np.zeros(1 << SEGMENT_BITS, dtype=bool)
-                twice[segment] = np.zeros(1 << SEGMENT_BITS, dtype=bool)
-            if doubled:
-                twice[segment][at] = True
-            else:
-                twice[segment][at[once[segment][at]]] = True
-                once[segment][at] = True
-    for segment, bitmap in twice.items():
-        if bitmap.any():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "bitmap": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
-
-
-def digest_filter(docs: DataFrame, bits: int, digests_of: Callable[[bytes | None], set[bytes]]) -> np.ndarray:
-    """The twice-seen filter as packed bits, over the digests that ``digests_of`` finds in each
-    text. What reaches the driver is at most ``bits`` / 8 bytes."""
-    noted = docs.select("text").mapInArrow(_note_bits(bits, digests_of), "segment int, twice boolean, offsets binary")
-    merged = noted.repartition(F.col("segment")).mapInArrow(_merge_bits, "segment int, bitmap binary")
-    packed = np.zeros(bits // 8, dtype=np.uint8)
-    width = (1 << SEGMENT_BITS) // 8
-    for row in merged.toLocalIterator(prefetchPartitions=True):
-        packed[row.segment * width : (row.segment + 1) * width] = np.frombuffer(bytes(row.bitmap), dtype=np.uint8)
-    return packed
-
-
-def in_filter(packed: np.ndarray, bits: int, digests: list[bytes]) -> np.ndarray:
-    """Which digests have all their bits set."""
-    at = filter_positions(digests, bits)
-    return ((packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _suspects(shared_filter, bits: int, min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = shared_filter.value
-        for batch in batches:
-            ids, salts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            rows: list[int] = []
-            digests: list[bytes] = []
-            for i, text in enumerate(_texts(batch, "text")):
-                found = document_digests(text, min_chars)
-                rows += [i] * len(found)
-                digests += found
-            if not digests:
-                continue
-            chosen = np.flatnonzero(in_filter(packed, bits, digests))
-            if len(chosen):
-                where = np.asarray(rows)[chosen]
-                yield pa.RecordBatch.from_pydict({
-                    "__id": pa.array(ids[where]), "__salt": pa.array(salts[where]),
-                    "__digest": pa.array([digests[i] for i in chosen], pa.binary()),
-                })
-
-    return run
-
-
-def _rewrite(schema_names: list[str], min_chars: int):
+def _rewrite(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             texts = _texts(batch, "text")
-            drops = batch.column(batch.schema.get_field_index("__drops")).to_pylist()
             lines, dropped = [], []
-            for i, (text, drop) in enumerate(zip(texts, drops, strict=True)):
+            for i, (text, drop) in enumerate(zip(texts, batch.column(batch.schema.get_field_index("drops")).to_pylist(), strict=True)):
                 if not text or not drop:
                     lines.append((text or b"").count(b"\n") + 1)
                     dropped.append(0)
@@ -209,47 +74,41 @@ def _rewrite(schema_names: list[str], min_chars: int):
                 dropped.append(len(parts) - len(kept))
                 texts[i] = b"\n".join(kept)
             made = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(batch.schema.get_field_index(n)) for n in schema_names], names=schema_names)
+            names = ["doc_id", "text", "payload", "n_lines", "n_dropped"]
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(batch.schema.get_field_index(n)) for n in names], names=names)
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """Drop lines that many documents share, except in the document with the largest id.
 
     Returns every row of ``docs`` with ``text`` rewritten, and ``n_lines`` (before) and
-    ``n_dropped``. Columns of those names in the input are replaced; others pass through.
+    ``n_dropped``. Columns of those names in the input are replaced; others pass through, whatever their names.
 
     Null and empty texts have one empty line and stay as they are. Rows count as documents,
     so a repeated row counts each time; rows that share the largest id all keep the line.
     Rows without an id rank below every id; a line that only such rows hold stays.
-    Lines of any length are hashed whole. An empty table gives an empty table.
+    Lines of any length are hashed whole. An empty table gives an empty table. ``max_bits`` bounds
+    a filter; more lines take more passes over their digests, with the same result.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    keyed = with_row_key(docs)
-    bits = filter_bits(plan_bytes(docs.select("text")))
-    shared_filter = spark.sparkContext.broadcast(digest_filter(docs, bits, partial(document_digests, min_chars=min_chars)))
-    suspects = stored(
-        keyed.select("__id", "__salt", "text").mapInArrow(_suspects(shared_filter, bits, min_chars), "__id long, __salt long, __digest binary"),
-        "line-suspects",
-    )
+    keyed = with_row_key(packed(docs, "doc_id", "text"))
+    digests = stored(keyed.select(*KEY, "text").mapInArrow(_digest_rows(min_chars), "__id long, __salt long, digests binary"), "line-digests")
+    found = suspects(digests, KEY, "line", max_bits=max_bits)
     heads = stored(
-        suspects.groupBy("__digest")
-        .agg(F.count("*").alias("__n"), F.max(F.when(F.col("__salt") == 0, F.col("__id"))).alias("__keep"))
-        .where((F.col("__n") >= min_docs) & F.col("__keep").isNotNull())
-        .select("__digest", "__keep"),
+        found.groupBy("digest")
+        .agg(F.count("*").alias("n"), F.max(F.when(F.col("__salt") == 0, F.col("__id"))).alias("keep"))
+        .where((F.col("n") >= min_docs) & F.col("keep").isNotNull())
+        .select("digest", "keep"),
         "line-heads",
     )
     drops = (
-        suspects.join(heads, "__digest")
-        .where((F.col("__salt") != 0) | (F.col("__id") != F.col("__keep")))
-        .groupBy("__id", "__salt")
-        .agg(F.collect_set("__digest").alias("__drops"))
-    )
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return (
-        keyed.join(drops, ["__id", "__salt"], "left")
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "__drops")
-        .mapInArrow(_rewrite(schema.names, min_chars), schema)
+        found.join(heads, "digest")
+        .where((F.col("__salt") != 0) | (F.col("__id") != F.col("keep")))
+        .groupBy(*KEY)
+        .agg(F.collect_set("digest").alias("drops"))
     )
+    schema = T.StructType([keyed.schema[c] for c in ("doc_id", "text", "payload")] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = keyed.join(drops, KEY, "left").select("doc_id", "text", "payload", "drops").mapInArrow(_rewrite(min_chars), schema)
+    return unpacked(out, [*docs.columns, "n_lines", "n_dropped"], "doc_id", "text", "n_lines", "n_dropped")

@@ -15,7 +15,7 @@ from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_documents
 from marginalia.llm.shared import held_out, table
 from marginalia.llm.simhash import near_duplicates
-from marginalia.llm.substring_dedup import cut_spans
+from marginalia.llm.substring_dedup import repeated_spans
 from marginalia.llm.toxicity import learn, score_toxicity
 from marginalia.llm.warc import archive_round_trip
 
@@ -40,8 +40,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each passage that several documents hold, with what the cut leaves of its document."""
-    spans = cut_spans(table(spark, sf_dir, "documents"))
+    """A row for each passage that several documents hold, with what the cut leaves of a document that loses it."""
+    spans = repeated_spans(table(spark, sf_dir, "documents"))
     return spans.select("doc_id", "first_doc_id", F.col("start").cast("string").alias("span_start"), F.col("end").cast("string").alias("span_end"), "is_first", "bytes_dropped", "kept_sha256")
 
 

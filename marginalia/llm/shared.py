@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+_SPARE = "__payload_of_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +45,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a frame: the file sizes, for a plain scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add ``__id`` and ``__salt``, which name a document even where its id is null.
 
@@ -61,6 +57,27 @@ def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     })
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns named in ``own`` and all others in one struct, ``payload``, so that no name of theirs can
+    clash with a column that an operator adds. Undone by ``unpacked``."""
+    others = [c for c in docs.columns if c not in own]
+    return docs.select(*[F.col(f"`{c}`") for c in own], F.struct(F.lit(True).alias(_SPARE), *[F.col(f"`{c}`") for c in others]).alias("payload"))
+
+
+def unpacked(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The columns as they were before ``packed``, in their order; those in ``own`` are taken as they are now."""
+    return df.select(*[F.col(c) if c in own else F.col(f"payload.`{c}`").alias(c) for c in columns])
+
+
+def with_text_key(df: DataFrame) -> DataFrame:
+    """Add ``__bare``, ``__id`` and ``__text``, which name a document by its id (whether it is null, and which) and a hash
+    of its text: rows that repeat an id are one document only if their texts are equal."""
+    return df.withColumns({
+        "__bare": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")),
+        "__text": F.xxhash64(F.coalesce("text", F.lit(""))),
+    })
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text leaves the given remainder."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold

@@ -128,3 +128,64 @@ def mix(docs, budget_percent=60, max_epochs=2, weights=None, domain=None):
             nxt |= split(budget, kids, level)
         now = nxt
     return now
+
+
+def repeated_passages(docs, min_bytes=160, extend=256):
+    """(id, start, end, row): op5's passages by plain dictionaries over all chunks, one document at a time."""
+    from marginalia.llm.substring_dedup import chunks
+
+    texts = {(i is None, -1 if i is None else i, t or ""): (t or "").encode() for i, t in docs}
+    cut = {k: list(zip(c.tolist(), c.tolist()[1:])) for k, t in texts.items() for c in [chunks(t)[0]]}
+    holders = defaultdict(list)
+    for k, spans in cut.items():
+        for a, b in spans:
+            holders[texts[k][a:b]].append((k[:2], k, a))
+    out = []
+    for k, t in texts.items():
+        found = set()
+        for a, b in cut[k]:
+            who = holders[t[a:b]]
+            if len({x[1] for x in who}) < 2:
+                continue
+            low = min(x[:1] for x in who)[0]
+            tied = {x[1] for x in who if x[0] == low}
+            assert len(tied) == 1, "ties between texts of one id need their hashes"
+            _, f, fa = min(x for x in who if x[0] == low)
+            if f == k:
+                continue
+            # walk out from this chunk alone: a run's chunks all lead to the same passage, up to ``extend`` beyond its ends
+            s, fs, e, fe = a, fa, b, fa + b - a
+            own = {(x, y) for x, y in cut[k]}
+            firsts = lambda x, y: min(h for h in holders[t[x:y]] if h[0] == min(z[0] for z in holders[t[x:y]]))
+            def joins(x, y):
+                if (x, y) not in own or len({z[1] for z in holders[t[x:y]]}) < 2:
+                    return False
+                _, g, ga = firsts(x, y)
+                return g == f and x - ga == a - fa
+            grown = True
+            while grown:
+                grown = False
+                for x, y in cut[k]:
+                    if (y == s or x == e) and joins(x, y):
+                        s, e, grown = min(s, x), max(e, y), True
+            fs, fe = s - a + fa, e - a + fa
+            n = 0
+            while n < extend and s > 0 and fs > 0 and t[s - 1] == texts[f][fs - 1]:
+                s, fs, n = s - 1, fs - 1, n + 1
+            n = 0
+            while n < extend and e < len(t) and fe < len(texts[f]) and t[e] == texts[f][fe]:
+                e, fe, n = e + 1, fe + 1, n + 1
+            if e - s >= min_bytes:
+                found.add((s, e))
+        out += [(None if k[0] else k[1], a, b, k) for a, b in sorted(found)]
+    return out
+
+
+def without_passages(docs, passages):
+    for i, t in docs:
+        gone = bytearray((t or "").encode())
+        keep = [True] * len(gone)
+        for _, a, b, k in passages:
+            if k == (i is None, -1 if i is None else i, t or ""):
+                keep[a:b] = [False] * (b - a)
+        yield i, t if t is None else bytes(c for c, ok in zip(gone, keep) if ok).decode("utf-8", "ignore")

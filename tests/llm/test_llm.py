@@ -3,14 +3,16 @@ ties and repeated rows, empty tables, and extra columns with clashing names."""
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marginalia.llm import ann, html_extract, language_id, line_dedup, mixing, near_copies, queries, simhash, substring_dedup, toxicity, warc
+from marginalia.llm import ann, html_extract, language_id, line_dedup, mixing, near_copies, queries, simhash, substring_dedup, toxicity, twice_filter, warc
 from marginalia.llm.components import components
 from marginalia.llm.decontamination import contamination, drop_contaminated
 from tests.llm import brute
@@ -57,11 +59,39 @@ def test_line_dedup_keeps_columns(spark):
     assert dict(got.dtypes)["n_lines"] == "bigint" and got.count() == len(AWKWARD)
 
 
-def test_line_dedup_in_small_portions(spark, monkeypatch):
-    """Tasks that hand on their bits early find the same repeats."""
-    monkeypatch.setattr(line_dedup, "HELD_BITS", 2)
-    got = line_dedup.dedup_lines(frame(spark, AWKWARD)).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")))
-    assert plain(got) == sorted(brute.line_dedup(AWKWARD), key=repr)
+def test_line_dedup_in_ranges(spark, monkeypatch):
+    """Filters of several ranges of digests find the same repeats, each in its own pass."""
+    monkeypatch.setattr(twice_filter, "MIN_BITS", 1 << 16)
+    monkeypatch.setattr(twice_filter, "BITS_A_DIGEST", 80)
+    lines = [(i, "\n".join(prose(12, 100 * (i % 7) + j) for j in range(40))) for i in range(60)]
+    got = line_dedup.dedup_lines(frame(spark, AWKWARD + lines), max_bits=1 << 16).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")))
+    assert plain(got) == sorted(brute.line_dedup(AWKWARD + lines), key=repr)
+
+
+def clashing(df):
+    """Columns of the names that operators use themselves."""
+    names = "__id __salt __text __bare __n __drops __spans __digest __fp __lead __found drops spans runs payload digest digests cuts start end first keep n size node root keys lead words pos h k known key bare".split()
+    return df.select("*", *[F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in names if n not in df.columns])
+
+
+@pytest.mark.parametrize("operator", [line_dedup.dedup_lines, substring_dedup.drop_repeated_spans, simhash.drop_near_duplicates, near_copies.drop_near_copies, lambda d: drop_contaminated(d, d.sparkSession.createDataFrame([(1, "two words")], "item_id long, text string"))])
+def test_clashing_names_pass_through(spark, operator):
+    df = clashing(frame(spark, AWKWARD).drop("__digest"))
+    got = operator(df)
+    assert got.columns[: len(df.columns)] == df.columns
+    rows = got.drop("text", "n_lines", "n_dropped").collect()
+    assert rows and {tuple(r) for r in rows} <= {tuple(r) for r in df.drop("text").collect()}
+
+
+def test_filter_tasks_hold_two_bitmaps():
+    bits = 1 << 26
+    r = np.random.default_rng(3)
+    rows = [pa.RecordBatch.from_pydict({"digests": pa.array([r.bytes(16 * 3000) for _ in range(40)], pa.binary())}) for _ in range(5)]
+    tracemalloc.start()
+    n = sum(b.num_rows for b in twice_filter._note(bits, 1, 0)(iter(rows)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 2 * bits // 8 + (60 << 20)
 
 
 def test_simhash(spark):
@@ -154,31 +184,52 @@ def test_mixing(spark):
 
 def test_substring_dedup_resists_shifts():
     text = prose(400, 80).encode()
-    before = set(substring_dedup.chunk_digests(text))
-    after = set(substring_dedup.chunk_digests(b"inserted! " + text[:900] + b"x" + text[900:]))
+    before = set(substring_dedup.chunks(text)[1])
+    after = set(substring_dedup.chunks(b"inserted! " + text[:900] + b"x" + text[900:])[1])
     assert len(before & after) > 0.85 * len(before)
-    assert substring_dedup.chunk_digests(None) == substring_dedup.chunk_digests(b"short") == set()
-
-
-def test_boundaries_do_not_depend_on_blocks(monkeypatch):
-    text = prose(3000, 81).encode()
-    whole = substring_dedup.boundaries(text).tolist()
-    monkeypatch.setattr(substring_dedup, "STEP", 1000)
-    assert substring_dedup.boundaries(text).tolist() == whole
-
-
-def test_substring_dedup(spark):
-    passages = [prose(60, 1000 + i) for i in range(8)]
-    docs = [(i, prose(80, 2000 + i) + " " + passages[i % 8] + " " + prose(90, 3000 + i)) for i in range(40)]
-    clean = [(100 + i, prose(200, 4000 + i)) for i in range(30)]
-    odd = [(200, None), (201, ""), (202, passages[0] + " x " + passages[0]), (None, passages[1]), (203, prose(50_000, 5000))]
-    found = substring_dedup.repeated_spans(frame(spark, docs + clean + odd)).collect()
-    assert {x.doc_id for x in found} == {i for i, _ in docs} | {202, None}
-    assert all(x.first_doc_id == x.doc_id % 8 for x in found if x.doc_id is not None and x.doc_id < 100)
-    cut = {x.doc_id: x.text for x in substring_dedup.drop_repeated_spans(frame(spark, docs + clean)).collect()}
-    assert all(cut[i] == t for i, t in clean + docs[:8])
-    assert all(len(cut[i]) < len(t) - 150 for i, t in docs[8:])
-    assert substring_dedup.repeated_spans(empty(spark)).count() == 0
+    assert substring_dedup.chunks(None)[1] == substring_dedup.chunks(b"short")[1] == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 3000), st.sampled_from([700, 5000, 1 << 22]))
+def test_boundaries_are_least_hashes(seed, n, step):
+    """Against the rule, place by place; the same for any block size."""
+    text = (prose(n // 6 + 1, seed).encode() + b"a" * (seed % 90) + b"ab" * (seed % 70))[:n]
+    n = len(text)
+    raw = np.frombuffer(text, dtype=np.uint8)
+    h = [sum(int(substring_dedup.GEAR[raw[i - d]]) << d for d in range(32)) % (1 << 32) if i >= 31 else 2**32 - 1 for i in range(n)]
+    reach = substring_dedup.REACH
+    want = {0, n} | {i + 1 for i in range(31, n) if h[i] < min([*h[max(0, i - reach) : i], 2**32 - 1]) and h[i] <= min([*h[i + 1 : i + reach + 1], 2**32 - 1])}
+    old, substring_dedup.STEP = substring_dedup.STEP, step
+    try:
+        assert substring_dedup.boundaries(text).tolist() == sorted(want)
+    finally:
+        substring_dedup.STEP = old
+
+
+PASSAGES = [prose(51, 1000 + i) for i in range(8)]
+SHARING = [(i, prose(80, 2000 + i) + " " + PASSAGES[i % 8] + " " + prose(90, 3000 + i)) for i in range(40)]
+ALONE = [(100 + i, prose(200, 4000 + i)) for i in range(30)]
+ODD = [(200, None), (201, ""), (202, PASSAGES[0] + " x " + PASSAGES[0]), (None, PASSAGES[1] + " é"), (None, None), (203, prose(30_000, 5000)), (204, "a" * 5000), (205, "a" * 5000), (3, "another text of the id three " + prose(40, 5001)), (206, prose(70, 5002)), (206, prose(70, 5002)), (207, prose(70, 5002))]
+
+
+def test_substring_dedup_matches_plain(spark):
+    """Passages and what is left of each text, against the rule over all pairs of places."""
+    docs = SHARING + ALONE + ODD
+    want = brute.repeated_passages(docs)
+    found = substring_dedup.repeated_spans(frame(spark, docs)).where("NOT is_first").collect()
+    assert {(x.doc_id, x.start, x.end) for x in found} == {(i, a, b) for i, a, b, _ in want}
+    left = sorted(((i, t) for i, t in brute.without_passages(docs, want)), key=repr)
+    assert plain(substring_dedup.drop_repeated_spans(frame(spark, docs)).select("doc_id", "text")) == left
+    assert substring_dedup.repeated_spans(empty(spark)).count() == 0 and substring_dedup.drop_repeated_spans(empty(spark)).count() == 0
+
+
+def test_substring_dedup_finds_every_passage_whole(spark):
+    firsts = substring_dedup.repeated_spans(frame(spark, SHARING + ALONE)).where("is_first").collect()
+    texts = dict(SHARING)
+    assert all(any(PASSAGES[i] in texts[i].encode()[x.start : x.end].decode() for x in firsts if x.doc_id == i) for i in range(8))
+    cut = {x.doc_id: x.text for x in substring_dedup.drop_repeated_spans(frame(spark, SHARING + ALONE)).collect()}
+    assert all(cut[i] == t for i, t in ALONE + SHARING[:8]) and all(len(cut[i]) <= len(t) - len(PASSAGES[i % 8]) for i, t in SHARING[8:])
 
 
 def test_substring_dedup_keeps_a_passage_next_to_an_older_one(spark):
@@ -186,10 +237,9 @@ def test_substring_dedup_keeps_a_passage_next_to_an_older_one(spark):
     p, q = prose(80, 6001), prose(80, 6002)
     docs = [(3, prose(50, 6003) + " " + q), (5, prose(50, 6004) + " " + p + " " + q + " " + prose(50, 6005)), (9, prose(50, 6006) + " " + p + " " + q)]
     cut = {x.doc_id: x.text for x in substring_dedup.drop_repeated_spans(frame(spark, docs)).collect()}
-    assert cut[3] == docs[0][1] and p in cut[5] and p[60:-60] not in cut[9]
-    assert q[90:-90] not in cut[5] and q[90:-90] not in cut[9]
-    listed = substring_dedup.cut_spans(frame(spark, docs)).collect()
-    assert {(x.doc_id, x.bytes_dropped, x.kept_sha256) for x in listed} == {(i, len(t) - len(cut[i]), hashlib.sha256(cut[i].encode()).hexdigest()) for i, t in docs}
+    assert cut[3] == docs[0][1] and p in cut[5] and p not in cut[9] and q not in cut[5] and q not in cut[9]
+    listed = substring_dedup.repeated_spans(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.bytes_dropped, x.kept_sha256) for x in listed if not x.is_first} == {(i, len(t) - len(cut[i]), hashlib.sha256(cut[i].encode()).hexdigest()) for i, t in docs[1:]}
     assert {(x.doc_id, x.first_doc_id, x.is_first) for x in listed} == {(3, 3, True), (5, 5, True), (5, 3, False), (9, 5, False), (9, 3, False)}
 
 
