@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import stored
+from marginalia.llm.shared import packed, stored, unpacked
 
 #: Words are runs of digits, letters a-z and all characters beyond ASCII, once A-Z are lowered; this is what stands between them.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -143,7 +143,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` without the documents that contain a window of an item."""
+    """``docs`` without the documents that contain a window of an item.
+
+    Documents without words stay; rows without an id are told apart by their texts; repeated rows stay or go together. Other columns
+    pass through, whatever their names. An empty table gives an empty table, an empty benchmark all rows.
+    """
     bad = contamination(docs, benchmark, size).where("contaminated").select("__id", "__text").distinct()
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(bad, ["__id", "__text"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = packed(docs, "doc_id", "text").withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return unpacked(keyed.join(bad, ["__id", "__text"], "left_anti"), docs.columns, "doc_id", "text")

@@ -1,14 +1,20 @@
 """Near copies by the Jaccard similarity of their sets of five-word shingles.
 
+A document goes if an earlier one that stays is similar to it: in the order of ids the first document stays,
+all that are similar to it go, of the rest the first stays, and so on. So no two documents that stay are
+similar, and each that goes has a similar one that stays.
+
 Candidates come from MinHash: BANDS keys of ROWS minima each. Two documents of similarity s share
 a key with probability 1 - (1 - s**ROWS)**BANDS: 0.9999 at 0.8, more above. Documents that share a
 key, directly or through others, form a cluster; each key links its holders to the smallest of
-them only, so a large family costs no pairs. A cluster's texts meet in one task, which finds all
-pairs of at least the asked similarity exactly: with shingles ordered by rarity, two such sets
-share one of their first n - ceil(similarity x n) + 1.
-
-Documents of equal sets are collapsed before the clusters. Components are found without the
-driver (see components.py).
+them only, so a large family costs no pairs. Similarities are then taken exactly. Documents of equal
+sets are collapsed before. Components are found without the driver (see components.py).
+
+A cluster of at most CLUSTER_DOCS documents and CLUSTER_SHINGLES shingles meets in one task, which finds similar
+sets by prefix filtering: with shingles ordered by rarity, two such sets share one of their first
+n - ceil(similarity x n) + 1. Of a larger cluster the first PIVOTS documents are compared with one another, and
+all others, dealt to many tasks, with those of them that stay. What is left clusters anew, until no
+large cluster is left; both ways follow the same rule.
 """
 
 from __future__ import annotations
@@ -24,17 +30,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.llm.components import components
-from marginalia.llm.shared import stored, with_row_key
+from marginalia.llm.shared import one_of_each, packed, stored, unpacked, with_text_key
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 8
 SEED = 42
+CLUSTER_DOCS, CLUSTER_SHINGLES = 2000, 4_000_000
+PIVOTS, PART_DOCS = 64, 2000
 _random = np.random.default_rng(20250611)
 FLIPS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 MIX = _random.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-KEY = ["__id", "__salt", "__text"]
+KEY = ["__bare", "__id", "__text"]
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -62,13 +70,15 @@ def set_name(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes())
 
 
-def similar_groups(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
-    """For each set the first set that it is linked to, directly or through others, by a similarity of at least ``least``."""
+def copies(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """Which sets go: those similar to an earlier one that stays."""
     n = len(sets)
-    group = np.full(n, -1, dtype=np.int64)
+    gone = np.zeros(n, dtype=bool)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     starts = np.r_[0, np.cumsum(sizes)]
     owner = np.repeat(np.arange(n), sizes)
+    if not len(owner):
+        return gone
     _, ids, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(held, kind="stable")
     rank = np.empty(len(order), dtype=np.int64)
@@ -82,29 +92,41 @@ def similar_groups(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndar
     by_token = np.argsort(tokens, kind="stable")
     posted, posts = tokens[by_token], holders[by_token]
     marked = np.zeros(len(order), dtype=bool)
-    left = n
-    for seed in range(n):
-        if group[seed] >= 0:
+    for x in range(n):
+        if gone[x]:
             continue
-        group[seed], queue = seed, [seed]
-        left -= 1
-        while queue and left:
-            x = queue.pop()
-            mine = tokens[heads[x] : heads[x + 1]]
-            lists = [posts[a:b] for a, b in zip(np.searchsorted(posted, mine), np.searchsorted(posted, mine, side="right"))]
-            near = np.unique(np.concatenate(lists)) if lists else np.empty(0, dtype=np.int64)
-            near = near[group[near] < 0]
-            near = near[np.minimum(sizes[near], sizes[x]) >= least * np.maximum(sizes[near], sizes[x]) - 1e-9]
-            own = ranks[starts[x] : starts[x + 1]]
-            marked[own] = True
-            for y in near.tolist():
-                both = np.count_nonzero(marked[ranks[starts[y] : starts[y + 1]]])
-                if both >= least * (sizes[x] + sizes[y] - both) - 1e-9:
-                    group[y] = seed
-                    queue.append(y)
-                    left -= 1
-            marked[own] = False
-    return group
+        mine = tokens[heads[x] : heads[x + 1]]
+        lists = [posts[a:b] for a, b in zip(np.searchsorted(posted, mine), np.searchsorted(posted, mine, side="right"))]
+        near = np.unique(np.concatenate(lists)) if lists else np.empty(0, dtype=np.int64)
+        near = near[(near > x) & ~gone[near]]
+        near = near[np.minimum(sizes[near], sizes[x]) >= least * np.maximum(sizes[near], sizes[x]) - 1e-9]
+        own = ranks[starts[x] : starts[x + 1]]
+        marked[own] = True
+        for y in near.tolist():
+            both = np.count_nonzero(marked[ranks[starts[y] : starts[y + 1]]])
+            gone[y] = both >= least * (sizes[x] + sizes[y] - both) - 1e-9
+        marked[own] = False
+    return gone
+
+
+class Pivots:
+    """The first sets of a large cluster, by which others are tested."""
+
+    def __init__(self, sets: list[np.ndarray], least: float):
+        self.gone = copies(sets, least)
+        kept = [s for s, g in zip(sets, self.gone) if not g]
+        self.least = least
+        self.sizes = np.array([len(s) for s in kept], dtype=np.int64)
+        tokens, owners = np.concatenate(kept), np.repeat(np.arange(len(kept)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], owners[order]
+
+    def similar(self, hashes: np.ndarray) -> bool:
+        low, high = np.searchsorted(self.tokens, hashes), np.searchsorted(self.tokens, hashes, side="right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return bool((both >= self.least * (self.sizes + len(hashes) - both) - 1e-9).any())
 
 
 def _keyed_rows(width: int):
@@ -114,59 +136,109 @@ def _keyed_rows(width: int):
             keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.empty(0, dtype=np.uint64)
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             nodes = np.array([set_name(s) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))], names=[*KEY, "node", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64)))], names=[*KEY, "node", "size", "keys"])
 
     return run
 
 
-def _losers(width: int, least: float):
-    """Rows (root, node, bare, key of the document, text) come sorted by root. Out go the documents
-    that are not the first of their group."""
+def _small_clusters(width: int, least: float):
+    """Rows (root, node, KEY, text) come sorted by root, then KEY. Out go the nodes that go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cluster, held = None, {}
+        cluster, nodes, sets = None, [], []
 
         def search() -> pa.RecordBatch:
-            rows = sorted(held.values(), key=lambda r: r[0])
-            group = similar_groups([r[1] for r in rows], least) if len(rows) > 1 else np.zeros(len(rows), dtype=np.int64)
-            lost = [rows[i][0][1:] for i in np.flatnonzero(group != np.arange(len(rows)))]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in lost], pa.int64()) for i in range(3)], names=KEY)
+            lost = [nodes[i] for i in np.flatnonzero(copies(sets, least))]
+            return pa.RecordBatch.from_arrays([pa.array(lost, pa.int64()), pa.array([True] * len(lost), pa.bool_())], names=["node", "gone"])
 
         for batch in batches:
-            roots, nodes, *lead = (batch.column(i).to_pylist() for i in range(6))
-            for root, node, who, text in zip(roots, nodes, zip(*lead), batch.column(6).cast(pa.binary()).to_pylist()):
+            for root, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).cast(pa.binary()).to_pylist()):
                 if root != cluster:
-                    if held:
+                    if len(nodes) > 1:
                         yield search()
-                    cluster, held = root, {}
-                if node not in held:
-                    held[node] = (who, shingles(text, width))
-        if held:
+                    cluster, nodes, sets = root, [], []
+                nodes.append(node)
+                sets.append(shingles(text, width))
+        if len(nodes) > 1:
             yield search()
 
     return run
 
 
-def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group that pairs of at least ``similarity`` connect.
+def _large_clusters(width: int, least: float):
+    """Rows (root, part, place, node, text) come sorted by root, part and place. The pivots, which have a place, come first in
+    each part. Out go the nodes that are decided: the pivots, and what is similar to one of them that stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, pivots, nodes, sets = None, None, [], []
+
+        def settled(part: int) -> tuple[list[int], list[bool]]:
+            found = Pivots(sets, least)
+            return found, (list(nodes), found.gone.tolist()) if part == 0 else ([], [])
+
+        for batch in batches:
+            out: tuple[list[int], list[bool]] = ([], [])
+            for root, part, place, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.binary()).to_pylist()):
+                if (root, part) != group:
+                    group, pivots, nodes, sets = (root, part), None, [], []
+                if place <= PIVOTS:
+                    nodes.append(node)
+                    sets.append(shingles(text, width))
+                    continue
+                if pivots is None:
+                    pivots, (who, gone) = settled(part)
+                    out[0].extend(who)
+                    out[1].extend(gone)
+                if pivots.similar(shingles(text, width)):
+                    out[0].append(node)
+                    out[1].append(True)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_())], names=["node", "gone"])
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, cluster_docs: int = CLUSTER_DOCS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """``docs`` without the documents that are similar to an earlier one that stays.
 
     Words are runs of characters other than ASCII white space, A-Z lowered. Texts of fewer than
     ``width`` words are one shingle; null, empty and blank texts are copies of each other. The
-    document with the smallest id stays, or, without any id, the one with the smallest hash of
-    its text. Rows that repeat an id are one document only if their texts are equal. Columns
-    other than doc_id and text are not used. An empty table gives an empty table.
+    order is that of ids; documents without an id come last, by the hash of their text. Rows that repeat an
+    id are one document only if their texts are equal. Texts of any length are read whole. Other columns
+    pass through, whatever their names. An empty table gives an empty table. ``cluster_docs`` and
+    ``cluster_shingles`` bound what one task holds, not the result.
     """
-    keyed = with_row_key(docs).withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = stored(keyed.select(*KEY, "text").mapInArrow(_keyed_rows(width), "__id long, __salt long, __text long, node long, keys array<long>"), "shingle-keys")
-    lead = F.struct((F.col("__salt") != 0).alias("bare"), *KEY)
-    leads = stored(rows.groupBy("node").agg(F.min(lead).alias("lead")).select("node", "lead.*"), "shingle-sets")
+    keyed = with_text_key(packed(docs, "doc_id", "text"))
+    rows = stored(keyed.select(*KEY, "text").mapInArrow(_keyed_rows(width), "__bare boolean, __id long, __text long, node long, size long, keys array<long>"), "shingle-keys")
+    leads = stored(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("lead"), F.max("size").alias("size")).select("node", "lead.*", "size"), "shingle-sets")
     entries = rows.select("node", F.explode("keys").alias("key")).distinct()
     homes = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    stars = components(entries.join(homes, "key").select(F.col("node").alias("u"), F.col("low").alias("v")).where("u <> v"))
-    members = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
-    asked = members.join(leads, "node")
-    texts = keyed.select(*KEY, "text").join(asked, KEY).select("root", "node", "bare", *KEY, "text")
-    lost = stored(texts.repartition("root").sortWithinPartitions("root").mapInArrow(_losers(width, similarity), "__id long, __salt long, __text long"), "near-copies")
-    kept = leads.join(lost, KEY, "left_anti").select(*KEY)
-    one = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(1)))
-    return keyed.join(kept, KEY, "left_semi").withColumn("__n", one).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    entries = stored(entries.join(homes.select("key"), "key", "left_semi"), "shingle-entries")
+    texts = keyed.select(*KEY, "text")
+    decided = None
+    while True:
+        left = entries if decided is None else entries.join(decided.select("node"), "node", "left_anti")
+        homes = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+        stars = components(left.join(homes, "key").select(F.col("node").alias("u"), F.col("low").alias("v")).where("u <> v"))
+        members = stars.union(stars.select(F.col("root").alias("node"), "root").distinct()).join(leads, "node")
+        sizes = stored(members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "shingle-clusters")
+        large = (F.col("n") > cluster_docs) | (F.col("total") > cluster_shingles) & (F.col("n") > PIVOTS)
+        small = members.join(sizes.where(~large).select("root"), "root", "left_semi")
+        asked = texts.join(small, KEY).select("root", "node", *KEY, "text").dropDuplicates(["root", "node"])
+        found = stored(asked.repartition("root").sortWithinPartitions("root", *KEY).mapInArrow(_small_clusters(width, similarity), "node long, gone boolean"), "near-copies")
+        decided = found if decided is None else decided.union(found)
+        if sizes.where(large).isEmpty():
+            break
+        parts = sizes.where(large).select("root", F.ceil(F.greatest(F.col("n") / PART_DOCS, F.col("total") / CLUSTER_SHINGLES)).alias("parts"))
+        order = F.row_number().over(Window.partitionBy("root").orderBy(*KEY))
+        first = members.join(parts, "root").withColumn("place", order).where(F.col("place") <= PIVOTS)
+        first = stored(first.select("root", "node", *KEY, "parts", "place"), "near-copies-pivots")
+        rest = members.join(parts, "root").join(first.select("node"), "node", "left_anti").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("place", F.lit(PIVOTS + 1))
+        dealt = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        columns = ["root", "part", "place", "node", *KEY]
+        asked = texts.dropDuplicates(KEY).join(rest.select(*columns).unionByName(dealt.select(*columns)), KEY).select("root", "part", "place", "node", "text")
+        done = stored(asked.repartition("root", "part").sortWithinPartitions("root", "part", "place").mapInArrow(_large_clusters(width, similarity), "node long, gone boolean"), "near-copies")
+        decided = decided.union(done)
+    kept = leads.join(decided.where("gone").select("node"), "node", "left_anti").select(*KEY)
+    return unpacked(one_of_each(keyed.join(kept, KEY, "left_semi"), KEY), docs.columns, "doc_id", "text")

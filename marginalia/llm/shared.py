@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SETTING = "spark.checkpoint.dir"
 _SPARE = "__payload_of_row"
@@ -78,6 +79,12 @@ def with_text_key(df: DataFrame) -> DataFrame:
     })
 
 
+def one_of_each(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key."""
+    w = Window.partitionBy(*key).orderBy(F.lit(1))
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text leaves the given remainder."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == fold

@@ -189,3 +189,24 @@ def without_passages(docs, passages):
             if k == (i is None, -1 if i is None else i, t or ""):
                 keep[a:b] = [False] * (b - a)
         yield i, t if t is None else bytes(c for c, ok in zip(gone, keep) if ok).decode("utf-8", "ignore")
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def copies(sets, least=0.8):
+    """Greedily in the given order: which sets are similar to an earlier one that stays."""
+    stay, gone = [], []
+    for s in sets:
+        gone.append(any(jaccard(s, k) >= least - 1e-9 for k in stay))
+        if not gone[-1]:
+            stay.append(s)
+    return gone
+
+
+def without_near_copies(docs, width=5):
+    rows = sorted({(d[0] is None, -1 if d[0] is None else d[0], d[1] or ""): d for d in docs}.values(), key=lambda d: (d[0] is None, -1 if d[0] is None else d[0]))
+    words = [(t or "").translate(LOWER).split() for _, t in rows]
+    sets = [{" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in words]
+    return [d for d, g in zip(rows, copies(sets)) if not g]

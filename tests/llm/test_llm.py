@@ -121,17 +121,20 @@ def test_entry_links(seed, n):
     fps = np.unique(np.array([((base ^ np.uint64(sum(1 << int(b) for b in r.integers(0, 32, 3)))) << np.uint64(32)) | low for _ in range(n)], dtype=np.uint64))
     want = brute.components(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if int(fps[a] ^ fps[b]).bit_count() <= 3])
     at = {int(f): i for i, f in enumerate(fps)}
-    for links in (simhash._forest(fps, 3), simhash._wide_links(fps, 3, 0)):
-        assert brute.components(len(fps), [(at[a], at[b]) for a, b in links]) == want
+    assert brute.components(len(fps), [(at[a], at[b]) for a, b in simhash._forest(fps, 3)]) == want
 
 
-def test_fingerprint_links_are_complete(spark):
+@pytest.mark.parametrize("wide_entry", [2, 7, 4096])
+def test_fingerprint_links_are_complete(spark, wide_entry):
+    """Also where entries are wide and dealt out again: a third of the fingerprints share a half."""
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, 30, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for a, b, c in r.integers(0, 64, (4, 3))]]))
+    hot = (r.integers(0, 1 << 32, 6, dtype=np.uint64) << np.uint64(32)) | np.uint64(12345)
+    fps = np.unique(np.concatenate([fps, hot, *[hot ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for a, b, c in r.integers(20, 64, (9, 3))]]))
     want = brute.components(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if int(fps[a] ^ fps[b]).bit_count() <= 3])
     at = {int(f): i for i, f in enumerate(fps.view(np.int64))}
-    links = simhash.fingerprint_links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "__fp long")).collect()
+    links = simhash.fingerprint_links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "__fp long"), wide_entry).collect()
     assert brute.components(len(fps), [(at[x.u], at[x.v]) for x in links]) == want
 
 
@@ -441,35 +444,55 @@ def edited(text, n, seed):
     return " ".join(words)
 
 
-def test_near_dedup_stage_finds_edited_copies(spark):
-    """Copies with a few words changed go, down to a similarity of 0.8; the rest stays, as brute force has it."""
-    import corpus_pipeline as cp
-
+def family(n):
     docs = []
-    for i in range(120):
+    for i in range(n):
         text = prose(60 + 3 * i, 20_000 + i)
         docs += [(4 * i, text), (4 * i + 1, edited(text, 1, i)), (4 * i + 2, edited(text, 1 + i // 30, i + 500)), (4 * i + 3, edited(text, 3 + i // 10, i + 900))]
-    docs += [(1000, None), (1001, ""), (1002, " \n"), (1003, "two words"), (1004, "TWO  words"), (None, docs[0][1]), (5, "another text of the id five"), (1005, docs[8][1]), (1005, docs[8][1])]
-    shingled = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in docs)]
-    links = [(a, b) for a in range(len(docs)) for b in range(a) if len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])]
-    low = {}
-    for d, r in zip(docs, brute.components(len(docs), links)):
-        low[r] = min(low.get(r, d), d, key=lambda d: (d[0] is None, d[0] or 0))
+    return docs + [(9000, None), (9001, ""), (9002, " \n"), (9003, "two words"), (9004, "TWO  words"), (None, docs[0][1]), (5, "another text of the id five"), (9005, docs[8][1]), (9005, docs[8][1])]
+
+
+def test_near_copies(spark):
+    """Copies with a few words changed go, down to a similarity of 0.8; the rest stays, as the rule over all pairs has it."""
+    docs = family(100)
+    want = sorted(brute.without_near_copies(docs), key=repr)
+    got = near_copies.drop_near_copies(frame(spark, docs))
+    assert plain(got.select("doc_id", "text")) == want and len(want) < 260
+    assert near_copies.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_near_copies_of_large_clusters(spark, monkeypatch):
+    """Clusters beyond what one task may hold give the same result."""
+    monkeypatch.setattr(near_copies, "PIVOTS", 3)
+    monkeypatch.setattr(near_copies, "PART_DOCS", 5)
+    base = prose(120, 40)
+    docs = family(12) + [(20_000 + i, edited(base, 1 + i % 14, 70_000 + i)) for i in range(90)]
+    got = near_copies.drop_near_copies(frame(spark, docs), cluster_docs=6)
+    assert plain(got.select("doc_id", "text")) == sorted(brute.without_near_copies(docs), key=repr)
+
+
+def test_near_dedup_stage_applies_simhash_first(spark):
+    import corpus_pipeline as cp
+
+    docs = family(40)
     df = frame(spark, docs)
     got = cp.near_dedup(spark, df, "")
-    assert got.columns == df.columns
-    assert plain(got.select("doc_id", "text")) == sorted(low.values(), key=repr)
-    assert len(low) < 300 and cp.near_dedup(spark, empty(spark), "").count() == 0
+    stay = [(x.doc_id, x.text) for x in simhash.drop_near_duplicates(df, near_copies.WIDTH).collect()]
+    assert got.columns == df.columns and plain(got.select("doc_id", "text")) == sorted(brute.without_near_copies(stay), key=repr)
 
 
-def test_similar_groups():
-    r = np.random.default_rng(8)
-    sets = [np.unique(r.integers(0, 40, r.integers(1, 30)).astype(np.uint64)) for _ in range(150)]
-    sets += [s[r.random(len(s)) < 0.95] for s in sets[:100]]
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**31))
+def test_copies(seed):
+    r = np.random.default_rng(seed)
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
+    sets += [s[r.random(len(s)) < 0.95] for s in sets[:40]]
     sets = [s for s in sets if len(s)]
-    plain_sets = [set(s.tolist()) for s in sets]
-    want = brute.components(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(plain_sets[a] & plain_sets[b]) >= 0.8 * len(plain_sets[a] | plain_sets[b])])
-    assert near_copies.similar_groups(sets).tolist() == want
+    want = brute.copies([set(s.tolist()) for s in sets])
+    assert near_copies.copies(sets).tolist() == want
+    pivots = near_copies.Pivots(sets[:20], 0.8)
+    stay = [set(s.tolist()) for s, g in zip(sets[:20], want) if not g]
+    assert [pivots.similar(s) for s in sets[20:]] == [any(brute.jaccard(set(s.tolist()), p) >= 0.8 - 1e-9 for p in stay) for s in sets[20:]]
 
 
 def test_release(spark):
