@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from marginalia.llm.decontamination import drop_contaminated
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_documents
-from marginalia.llm.near_copies import drop_near_copies
+from marginalia.llm.near_copies import WIDTH, drop_near_copies
 from marginalia.llm.shared import stored, table
+from marginalia.llm.simhash import drop_near_duplicates
 from marginalia.llm.toxicity import learn, score_toxicity
 
 
@@ -28,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies stays: SimHash over five-word shingles first, then what it misses of those of similarity 0.8 or more."""
+    return drop_near_copies(stored(drop_near_duplicates(docs, WIDTH), "simhash-kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
