@@ -29,6 +29,8 @@ SEARCH_BEAM = 128
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 SALTS = 32
+#: Distinct vectors that a task collapses together.
+HELD_VECTORS = 50_000
 
 
 class Points:
@@ -160,7 +162,7 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, bloc
 
 
 def search_shard(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Node numbers and exact distances, by double precision differences, of up to k nodes found."""
+    """Node numbers and exact distances, by double precision differences, of up to k nodes found, ties to the smaller number."""
     width = max(beam, k)
     if len(points) <= width:
         ids = np.tile(np.arange(len(points), dtype=np.int32), (len(queries), 1))
@@ -169,7 +171,7 @@ def search_shard(points: np.ndarray, graph: np.ndarray, start: int, queries: np.
         ids = np.concatenate([beam_search(light, graph, start, queries[a : a + 256].astype(np.float32), width)[0] for a in range(0, len(queries), 256)])
     exact = np.sqrt(((points[np.maximum(ids, 0)] - queries[:, None, :]) ** 2).sum(axis=2))
     exact[ids < 0] = np.inf
-    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    order = np.lexsort((ids, exact), axis=1)[:, :k]
     return np.take_along_axis(ids, order, 1), np.take_along_axis(exact, order, 1)
 
 
@@ -180,7 +182,11 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
 
 
 def _collapse(k: int):
-    """Within a task: each distinct vector once, with its k smallest ids. Rows: key, ids."""
+    """Within a task: each distinct vector once, with its k smallest ids, as far as HELD_VECTORS of them go. Rows: key, ids."""
+
+    def sent(held: dict[bytes, list[int]]) -> list[pa.RecordBatch]:
+        table = pa.table({"key": pa.array(list(held), pa.binary()), "ids": pa.array([sorted(x) for x in held.values()], pa.list_(pa.int64()))})
+        return table.to_batches(max_chunksize=10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}
@@ -191,17 +197,21 @@ def _collapse(k: int):
                     ids.append(vec_id)
                     if len(ids) > k:
                         ids.remove(max(ids))
+            if len(held) > HELD_VECTORS:
+                yield from sent(held)
+                held = {}
         if held:
-            table = pa.table({"key": pa.array(list(held), pa.binary()), "ids": pa.array([sorted(x) for x in held.values()], pa.list_(pa.int64()))})
-            yield from table.to_batches(max_chunksize=10_000)
+            yield from sent(held)
 
     return run
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Nodes are numbered by their smallest id, so that equal distances go to the smaller id."""
+    pdf = pdf.sort_values("low", kind="stable")
     points = np.frombuffer(b"".join(pdf["key"]), dtype="<f8").reshape(len(pdf), -1)
     graph, start = build_graph(points)
-    return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "points": [points.tobytes()], "graph": [graph.tobytes()], "start": [start]})
+    return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "points": [points.tobytes()], "lows": [pdf["low"].to_numpy(dtype="<i8").tobytes()], "graph": [graph.tobytes()], "start": [start]})
 
 
 def _search(k: int):
@@ -214,8 +224,9 @@ def _search(k: int):
             ids, dist = search_shard(points, graph, int(shard.start), asked, k)
             rows, cols = np.nonzero(np.isfinite(dist))
             node = ids[rows, cols]
-            found.append(pd.DataFrame({"key": queries["key"].to_numpy()[rows], "near": [points[i].tobytes() for i in node], "score": dist[rows, cols]}))
-        return pd.concat(found) if found else pd.DataFrame({"key": pd.Series(dtype=object), "near": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
+            lows = np.frombuffer(shard.lows, dtype="<i8")[node]
+            found.append(pd.DataFrame({"key": queries["key"].to_numpy()[rows], "near": [points[i].tobytes() for i in node], "low": lows, "score": dist[rows, cols]}))
+        return pd.concat(found) if found else pd.DataFrame({"key": pd.Series(dtype=object), "near": pd.Series(dtype=object), "low": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
 
     return run
 
@@ -241,8 +252,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "
     n = nodes.count()
     shards = max(1, -(-n // SHARD_ROWS))
     index = stored(
-        nodes.select("key", "dim", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
-        .groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, points binary, graph binary, start long"),
+        nodes.select("key", "dim", F.get("ids", F.lit(0)).alias("low"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"))
+        .groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, points binary, lows binary, graph binary, start long"),
         "ann-index",
     )
     asked = stored(usable(queries, vector).select(F.col("vec_id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")), "ann-queries")
@@ -252,8 +263,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "
     placed = distinct.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["dim", "shard", "block"]
-    found = spread.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(_search(wide), "key binary, near binary, score double")
-    by_key = Window.partitionBy("key").orderBy("score", "near")
+    found = spread.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInPandas(_search(wide), "key binary, near binary, low long, score double")
+    by_key = Window.partitionBy("key").orderBy("score", "low")
     best = found.withColumn("r", F.row_number().over(by_key)).where(F.col("r") <= wide)
     # of equal vectors each has its own row again; a hot query vector is dealt out by a salt
     answers = (

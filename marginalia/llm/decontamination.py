@@ -20,8 +20,10 @@ from marginalia.llm.shared import packed, stored, unpacked
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
-#: A benchmark of more windows than this is joined by shuffles instead of being broadcast (about 20 MB).
-MAX_BROADCAST_WINDOWS = 200_000
+#: A benchmark whose windows or shingles take more bytes than this is joined by shuffles instead of being broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Rows of the bitmap that thins the documents' shingles before such a shuffle: 64 bits each.
+BITMAP_ROWS = 1 << 20
 
 
 def with_words(df: DataFrame, lowered: Column, name: str = "words") -> DataFrame:
@@ -62,7 +64,7 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, and ``__id`` and ``__text`` (id and hash of the text), which name the row.
 
@@ -70,13 +72,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     document's word is hit if it lies in an occurrence of a window. Null and empty texts have no
     words; items without words or without an id have no windows; repeated items count once and
     repeated documents get equal rows. Texts of any length are read whole. Other columns of
-    either table are not used. Empty tables give no rows, or rows without hits.
+    either table are not used. Empty tables give no rows, or rows without hits. ``broadcast_bytes``
+    decides how the benchmark is joined, not the result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("__id"), F.xxhash64(text).alias("__text"), text.alias("text"))
     windows = stored(item_windows(benchmark, size), "benchmark-windows")
-    n_windows = windows.count()
-    small = (lambda df: F.broadcast(df)) if n_windows <= MAX_BROADCAST_WINDOWS else (lambda df: df)
+    n_bytes = windows.agg(F.sum(F.octet_length("window") + 100)).first()[0] or 0
+    small = F.broadcast if n_bytes <= broadcast_bytes else (lambda df: df)
     distinct = windows.select("window", "len").distinct()
     widths = sorted(r.k for r in windows.select(F.least("len", F.lit(SHINGLE)).alias("k")).distinct().collect())
     parts = (
@@ -85,6 +88,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         .select("window", "len", "k", "offset", F.xxhash64(*[F.when(F.lit(i) < F.col("k"), F.get("words", F.col("offset") + i)) for i in range(SHINGLE)]).alias("h"))
     )
     parts = stored(parts, "benchmark-shingles")
+    few = parts.count() * 50 <= broadcast_bytes
+    bucket, bit = F.pmod(F.col("h"), F.lit(BITMAP_ROWS)), F.shiftrightunsigned("h", 58)
+    marks = parts.groupBy(bucket.alias("bucket")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("marks"))
 
     # one pass over the texts: a row for each document (pos = n_words) and each benchmark shingle in it
     found = None
@@ -94,7 +100,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         if k == SHINGLE:
             hashes = F.concat(hashes, F.array(F.xxhash64("__id", "__text")))
         places = wordy.select("doc_id", "__id", "__text", F.size("words").alias("n_words"), F.posexplode(hashes).alias("pos", "h"))
-        known = small(parts.where(F.col("k") == k).select("h").distinct().withColumn("known", F.lit(True)))
+        known = parts.where(F.col("k") == k).select("h").distinct().withColumn("known", F.lit(True))
+        if few:
+            known = F.broadcast(known)
+        else:
+            # a bitmap of all the benchmark's shingles, of BITMAP_ROWS rows at most, keeps the other words from being shuffled
+            thinned = places.withColumn("bucket", bucket).join(F.broadcast(marks), "bucket", "left")
+            places = thinned.where((F.col("pos") == F.col("n_words")) | (F.call_function("shiftright", F.col("marks"), bit.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)).drop("bucket", "marks")
         hits = places.join(known, "h", "left").where((F.col("pos") == F.col("n_words")) | F.col("known") & (F.col("pos") + k <= F.col("n_words")))
         hits = hits.select("doc_id", "__id", "__text", "n_words", "pos", "h", F.lit(k).alias("k"))
         found = hits if found is None else found.union(hits)

@@ -16,6 +16,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 ENDS_P = BLOCK - {"button", "label", "option", "optgroup", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "head", "html", "body"}
 SCOPE = frozenset(("table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "body", "aside", "nav", "main", "form"))
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -51,20 +53,34 @@ BYTE_HASH = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 PLACE_HASH = np.random.default_rng(6).integers(0, 1 << 31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _path_buckets(path: tuple[str, ...], known: dict[tuple[str, ...], list[int]]) -> list[int]:
-    if path not in known:
-        known[path] = sorted({zlib.crc32(step.encode("utf-8", "replace")) % PATH_DIMS for step in path})
-    return known[path]
+def tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``: behind the first > outside of quotes, or, if a quote isn't
+    closed, behind the first > after it. -1: there is none. What is looked at is the tag itself, so a page is read once."""
+    while stop := STOP.search(page, at):
+        if stop[0] == ">":
+            return stop.end()
+        closing = page.find(stop[0], stop.end())
+        if closing < 0:
+            return page.find(">", stop.end()) + 1 or -1
+        at = closing + 1
+    return -1
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) for each block with text, in page order.
+@lru_cache(maxsize=1 << 14)
+def _with_step(buckets: tuple[int, ...], steps: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple(sorted({*buckets, *(zlib.crc32(step.encode("utf-8", "replace")) % PATH_DIMS for step in steps)}))
+
+
+def leaf_blocks(page: str) -> list[tuple[tuple[int, ...], int, str, int]]:
+    """(hashed steps of the path, their number, text, characters in links) for each block with text, in page order.
 
     Character references are decoded and white space runs become one space. An unclosed element
-    ends where an ancestor ends; comments, scripts, styles and the like have no text.
+    ends where an ancestor ends; comments, scripts, styles and the like have no text. A tag that never ends is text.
     """
-    found: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    found: list[tuple[tuple[int, ...], int, str, int]] = []
+    #: open elements: name, hashed steps down to it, number of these steps, number of open blocks
+    stack: list[tuple[str, tuple[int, ...], int, int]] = []
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -73,45 +89,52 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = tuple(s for _, steps in stack for s in steps)
-                found.append((path, text, linked))
+                _, buckets, depth, _ = stack[-1] if stack else ("", (), 0, 0)
+                found.append((buckets, depth, text, linked))
             parts.clear()
         linked = 0
 
     def close(at: int) -> None:
         nonlocal links
-        links -= sum(name == "a" for name, _ in stack[at:])
+        for name, *_ in stack[at:]:
+            open_names[name] -= 1
+            links -= name == "a"
         del stack[at:]
 
-    at = 0
-    search = TAG.search
-    while True:
-        tag = search(page, at)
-        piece = page[at : tag.start() if tag else len(page)]
+    def said(piece: str) -> None:
+        nonlocal linked
         if piece:
             if "&" in piece:
                 piece = html.unescape(piece)
             parts.append(piece)
             if links > 0:
                 linked += len(piece)
-        if not tag:
+
+    at = 0
+    search = TAG.search
+    while True:
+        tag = search(page, at)
+        end = tag_end(page, tag.end()) if tag and tag[2] else 0
+        if not tag or end < 0:
+            said(page[at:])
             break
-        at = tag.end()
+        said(page[at : tag.start()])
+        at = end or tag.end()
         name = (tag[2] or "").lower()
         if not name:
             continue
         if tag[1]:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if where >= 0:
-                if name in BLOCK or any(n in BLOCK for n, _ in stack[where:]):
+            if open_names[name]:
+                where = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                if name in BLOCK or stack[-1][3] > (stack[where - 1][3] if where else 0):
                     flush()
                 close(where)
             elif name in BLOCK:
                 flush()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = over.end() if over else len(page)
             parts.append(" ")
             continue
         if name == "br":
@@ -123,20 +146,22 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in BLOCK:
             flush()
             shut = CLOSES.get(name, frozenset()) | ({"p"} if name in ENDS_P else frozenset())
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if any(open_names[n] for n in shut) else ():
                 if stack[i][0] in shut:
                     close(i)
                     break
                 if stack[i][0] in SCOPE:
                     break
-        if not tag[3].rstrip().endswith("/"):
+        attributes = page[tag.end() : at - 1]
+        if not attributes.rstrip().endswith("/"):
             steps = [name]
-            if "=" in tag[3]:
-                for m in ATTR.finditer(tag[3]):
+            if "=" in attributes:
+                for m in ATTR.finditer(attributes):
                     steps += [f".{w}" for w in NAME.findall((m[1] or m[2] or m[3] or "").lower())]
-            stack.append((name, tuple(steps)))
-            if name == "a":
-                links += 1
+            _, buckets, depth, blocks = stack[-1] if stack else ("", (), 0, 0)
+            stack.append((name, _with_step(buckets, tuple(steps)), depth + len(steps), blocks + (name in BLOCK)))
+            open_names[name] += 1
+            links += name == "a"
     flush()
     return found
 
@@ -159,27 +184,25 @@ def _word_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return counts, counts.sum(axis=1)
 
 
-def vectors(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(blocks: list[tuple[tuple[int, ...], int, str, int]]) -> np.ndarray:
     """One row per block; the blocks may be those of many pages."""
     if not blocks:
         return np.zeros((0, DIMS), dtype=np.float32)
     dense = np.zeros((len(blocks), DIMS), dtype=np.float32)
-    counts, n_words = _word_counts([text for _, text, _ in blocks])
+    counts, n_words = _word_counts([text for _, _, text, _ in blocks])
     dense[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts * (4.0 / (n_words + 3))[:, None]
-    lengths = np.array([len(text) for _, text, _ in blocks])
+    lengths = np.array([len(text) for _, _, text, _ in blocks])
     dense[:, -6] = np.log1p(n_words) / 4
-    dense[:, -5] = np.array([linked for _, _, linked in blocks]) / (lengths + 1)
-    dense[:, -4] = [text[-1] in ENDINGS for _, text, _ in blocks]
+    dense[:, -5] = np.array([linked for _, _, _, linked in blocks]) / (lengths + 1)
+    dense[:, -4] = [text[-1] in ENDINGS for _, _, text, _ in blocks]
     dense[:, -3] = n_words < 4
-    dense[:, -2] = [DIGIT.search(text, 0, 50) is not None for _, text, _ in blocks]
+    dense[:, -2] = [DIGIT.search(text, 0, 50) is not None for _, _, text, _ in blocks]
     rows: list[int] = []
     steps: list[int] = []
-    known: dict[tuple[str, ...], list[int]] = {}
-    for row, (path, _, _) in enumerate(blocks):
-        found = _path_buckets(path, known)
-        steps += found
-        rows += [row] * len(found)
-        dense[row, -1] = len(path) / 12
+    for row, (buckets, _, _, _) in enumerate(blocks):
+        steps += buckets
+        rows += [row] * len(buckets)
+    dense[:, -1] = np.array([depth for _, depth, _, _ in blocks]) / 12
     dense[rows, steps] = 1.0
     return dense
 
@@ -388,8 +411,9 @@ def sample_pages(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     found = []
     for _ in range(n):
         blocks = leaf_blocks(compose(rng))
-        y = np.array([text.startswith("\ue000") for _, text, _ in blocks], dtype=np.float32)
-        found.append((vectors([(path, text.replace("\ue000", ""), linked) for path, text, linked in blocks if text.strip("\ue000 ")]), y[[bool(t.strip("\ue000 ")) for _, t, _ in blocks]]))
+        bare = [(buckets, depth, text.replace("\ue000", ""), linked) for buckets, depth, text, linked in blocks]
+        worded = [i for i, (_, _, text, _) in enumerate(bare) if text.strip()]
+        found.append((vectors([bare[i] for i in worded]), np.array([blocks[i][2].startswith("\ue000") for i in worded], dtype=np.float32)))
     return [(x, y) for x, y in found if len(x)]
 
 
@@ -427,7 +451,7 @@ def extract(net: Labeller, pages: list[str | None]) -> list[str]:
     blocks = [leaf_blocks(p or "") for p in pages]
     ends = np.cumsum([len(b) for b in blocks])
     labels = net.label(np.split(vectors([x for b in blocks for x in b]), ends[:-1]))
-    return ["\n".join(text for (_, text, _), main in zip(b, y) if main) for b, y in zip(blocks, labels)]
+    return ["\n".join(text for (_, _, text, _), main in zip(b, y) if main) for b, y in zip(blocks, labels)]
 
 
 def _extract_rows(net: Labeller, names: list[str]):
@@ -456,4 +480,5 @@ def extract_text(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
 
 
 def text_length(df: DataFrame) -> DataFrame:
+    """``n_chars``, the code points of ``text``, null for a null text. A column of that name is replaced."""
     return df.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -12,17 +12,16 @@ import re
 from collections.abc import Iterator
 from itertools import groupby
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.shared import crc_share
-
-#: The fit uses at most about SAMPLE_DOCS texts a language, at most SAMPLE_CHARS of each, and DICT_BYTES of them.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 200, 4000, 1 << 16
-MAX_LANGUAGES = 400
+#: The fit uses at most about SAMPLE_DOCS whole texts a language, and of their letters the last DICT_BYTES, which is
+#: what zstandard prefers. A language with less than MIN_DICT_BYTES of them isn't learned.
+SAMPLE_DOCS, DICT_BYTES, MIN_DICT_BYTES = 200, 1 << 16, 1 << 11
 LEVEL = 9
 PIECE_BYTES = 1 << 13
 MIN_MARGIN = 0.01
@@ -36,21 +35,25 @@ def bare(text: str) -> bytes:
     return " ".join(word for word, _ in groupby(NO_LETTERS.sub(" ", text.lower()).split())).encode("utf-8", "replace")
 
 
-def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Language to dictionary, from rows of (doc_id, text, lang) chosen by a hash of the id; the commonest language first."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, int(sample_docs / n * 1_000_000) + 1))])
-    sample = train.where(F.col("lang").isin(*counts) & (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000)) < share[F.col("lang")]))
-    rows = sample.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("k")).orderBy("k", "text").limit(2 * sample_docs * len(counts)).collect()
-    found: dict[str, list[bytes]] = {}
-    for r in rows:
-        found.setdefault(r.lang, []).append(bare(r.text))
-    # zstandard prefers the end of a dictionary, and all languages get the same size
-    size = min(DICT_BYTES, max(1, min(sum(map(len, x)) for x in found.values())))
-    return {lang: b"\n".join(found[lang])[-max(size, 4096) :] for lang in counts if lang in found}
+def _join(sample: pd.DataFrame) -> pd.DataFrame:
+    """One language's dictionary, of its sampled texts in the order of their hash."""
+    rows = sample.sort_values(["k", "text"])
+    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "n": [int(rows["n"].iloc[0])], "known": [b"\n".join(bare(t) for t in rows["text"])[-DICT_BYTES:]]})
+
+
+def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_bytes: int = MIN_DICT_BYTES) -> dict[str, bytes]:
+    """Language to dictionary, from rows of (doc_id, text, lang) chosen by a hash of the id; the commonest language first.
+
+    Rows without an id, a language or a letter of text take no part; repeated rows count each time. The texts are joined
+    by a task for each language, which holds about ``sample_docs`` of them; the driver gets at most DICT_BYTES a language.
+    Languages with less than ``min_bytes`` of letters are left out. No usable rows give no dictionaries.
+    """
+    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    counts = train.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.col("n") * F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000))
+    sample = train.join(counts, "lang").where(share < F.lit(sample_docs * 1_000_000))
+    known = sample.select("lang", "n", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("k")).groupBy("lang").applyInPandas(_join, "lang string, n long, known binary")
+    return {r.lang: bytes(r.known) for r in sorted(known.where(F.octet_length("known") >= min_bytes).collect(), key=lambda r: (-r.n, r.lang))}
 
 
 class Judge:

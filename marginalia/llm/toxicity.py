@@ -3,7 +3,8 @@
 Text is folded first: case, accents, full-width forms, homoglyphs of other scripts and digits
 that stand for letters. The lexicon holds word beginnings and whole words with weights learned
 from labelled rows (log ratio of their document frequencies in toxic and other documents).
-Hits inside an exception phrase do not count. A logistic curve over the summed weights, as they
+Exception phrases are two words, one of them a hit, that are no
+commoner in toxic rows than in others; they are learned too. Hits inside one do not count. A logistic curve over the summed weights, as they
 are and normalised by length, turns them into a score.
 """
 
@@ -31,16 +32,10 @@ HOMOGLYPHS = {
     "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
-#: Harmless phrases that hold words which are insults elsewhere.
-EXCEPTIONS = (
-    "trash can", "trash bag", "trash bin", "trash collection", "clown fish", "class clown", "circus clown", "clown car", "pond scum",
-    "idiot proof", "idiot light", "sore loser", "loser bracket", "stupid mistake", "pathetic fallacy",
-)
 OUTER_SIGN = re.compile(r"[$@]+(?![^\W_])")
 INVISIBLE = "­​‌‍⁠﻿"
 
 MAX_SAMPLE = 20_000
-MAX_LEXICON = 20_000
 PREFIX_CHARS = (3, 10)
 MIN_DOCS = 5
 MIN_WEIGHT = 1.6
@@ -85,7 +80,7 @@ class Lexicon:
     """weights: pattern (a space, then a word beginning, or a whole word between spaces) to weight."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     curve: tuple[float, ...] = (-2.0, 0.0, 0.0, 0.0)
     _machine: object = field(default=None, repr=False, compare=False)
 
@@ -127,25 +122,38 @@ class Lexicon:
         total = sum(best.values())
         return float(np.log1p(total)), 20.0 * total / (20.0 + folded.count(" ") - 1), max(best.values())
 
+    def phrases(self, text: str | None) -> set[str]:
+        """The folded pairs of neighbouring words of which one begins with a hit."""
+        tokens = fold(text or "").split()
+        hits = {i for i, token in enumerate(tokens) if any(f in self.weights for f in features(token))}
+        return {f"{tokens[i]} {tokens[i + 1]}" for h in hits for i in (h - 1, h) if 0 <= i < len(tokens) - 1}
+
     def score(self, text: str | None) -> float:
         bias, *slopes = self.curve
         x = bias + sum(a * b for a, b in zip(slopes, self.measure(text), strict=True))
         return float(1.0 / (1.0 + np.exp(-np.clip(x, -30, 30))))
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
     """Document frequencies by label, summed within the task before they are shuffled."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts[toxic].update({f for token in set(fold(text or "").split()) for f in features(token)})
-    # a feature that no toxic document holds can't enter the lexicon, wherever it is counted
+            counts[toxic].update(found(text))
     names = list({*counts[0], *counts[1]})
     for start in range(0, len(names), 50_000):
         part = names[start : start + 50_000]
         yield pa.RecordBatch.from_pydict({"feature": pa.array(part, pa.string()), "toxic": pa.array([counts[1][f] for f in part], pa.int64()), "other": pa.array([counts[0][f] for f in part], pa.int64())})
 
 
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _counts(batches, lambda text: {f for token in set(fold(text or "").split()) for f in features(token)})
+
+
+def _count_phrases(lexicon: Lexicon):
+    return lambda batches: _counts(batches, lexicon.phrases)
+
+
 def _measure_rows(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> L
 
     At most about ``max_sample`` labelled rows are used, chosen by a hash of the id. One half of
     them gives the lexicon, the other the curve, so the curve isn't fitted to weights that know
-    its rows. Without labelled rows of both kinds the lexicon is empty and every score 0.12.
+    its rows. Null texts count as empty, repeated labels as toxic if one of them is. Without labelled rows of both kinds the lexicon is empty and every score 0.12.
     """
     train = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
@@ -216,9 +224,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> L
         rows.where("first").select("text", "toxic").mapInArrow(_count_features, "feature string, toxic long, other long")
         .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         .where(t >= MIN_DOCS).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
-        .orderBy(F.desc("weight"), "feature").limit(MAX_LEXICON)
     )
+    # the sample bounds the lexicon: each pattern is in MIN_DOCS of its toxic rows
     lexicon = Lexicon(prune({r.feature: (r.weight, r.toxic) for r in counted.collect()}))
+    spared = (
+        rows.where("first").select("text", "toxic").mapInArrow(_count_phrases(lexicon), "feature string, toxic long, other long")
+        .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        .where(c >= MIN_DOCS).withColumn("weight", weight).where("weight <= 0")
+    )
+    lexicon = Lexicon(lexicon.weights, tuple(sorted(r.feature for r in spared.select("feature").collect())))
     measured = rows.where("NOT first").select("text", "toxic").mapInArrow(_measure_rows(lexicon), "toxic int, x0 double, x1 double, x2 double").toPandas()
     if measured["toxic"].nunique() == 2:
         lexicon.curve = fit_curve(measured[["x0", "x1", "x2"]].to_numpy(), measured["toxic"].to_numpy())

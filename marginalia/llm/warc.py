@@ -57,6 +57,24 @@ def url_key(url: str | None) -> str:
     return f"{turned}){(parts.path or '/').lower()}" + (f"?{query}" if query else "")
 
 
+def record_id(page_id: int | None, digest_hex: str, revisit: bool) -> str:
+    """The id of a page's record; a revisit finds that of the response by its page and the payload they share. Rows
+    that repeat a page and a payload are one capture and share an id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest_hex} {"revisit" if revisit else "response"}')}>"
+
+
+def info_bytes(file: str) -> bytes:
+    """The record that opens every archive."""
+    block = b"software: marginalia\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, file)}>", f"WARC-Date: {EPOCH}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def gzip_member(record: bytes) -> bytes:
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
 def record_bytes(url: str, ts: str, page_id: int | None, payload: bytes, digest_hex: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record. A revisit keeps the HTTP header, with the payload's length, and no payload."""
     revisit = refers_to is not None
@@ -64,14 +82,14 @@ def record_bytes(url: str, ts: str, page_id: int | None, payload: bytes, digest_
     block = http if revisit else http + payload
     digest = base64.b32encode(bytes.fromhex(digest_hex)).decode()
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest_hex, revisit)}",
         f"WARC-Date: {ts}", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: urn:page:{refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest_hex, False)}", f"X-Refers-To-Page: {refers_to}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode("utf-8", "replace") + block + b"\r\n\r\n"
 
 
@@ -91,7 +109,7 @@ def parse_record(raw: bytes) -> dict:
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
     if not revisit and hashlib.sha1(payload).hexdigest() != digest:
         raise ValueError("a payload doesn't match its digest")
-    refers = fields.get("warc-refers-to", "").removeprefix("urn:page:")
+    refers = fields.get("x-refers-to-page")
     return {
         "page_id": int(fields["x-page-id"]) if "x-page-id" in fields else None, "url": fields["warc-target-uri"], "ts": fields["warc-date"], "payload_bytes": size,
         "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": int(refers) if refers else None, "payload": None if revisit else payload,
@@ -120,8 +138,10 @@ def _write_runs(folder: str):
                         sink.close()
                     file, at, number = f"{name}-{number:04d}.warc.gz", 0, number + 1
                     sink = files.open_output_stream(f"{base}/{file}", compression=None)
-                packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                member = packer.compress(record_bytes(url or "", ts, page_id, payload or b"", digest, refers)) + packer.flush()
+                    info = gzip_member(info_bytes(file))
+                    sink.write(info)
+                    at = len(info)
+                member = gzip_member(record_bytes(url or "", ts, page_id, payload or b"", digest, refers))
                 sink.write(member)
                 rows.append((url_key(url), ts, page_id, url, file, at, len(member), "response" if refers is None else "revisit"))
                 at += len(member)
@@ -259,7 +279,11 @@ def read_archives(index: DataFrame, folder: str, with_payload: bool = False) ->
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Write ``pages``, merge the capture runs and read every capture back. An empty table gives no rows."""
+    """Write ``pages``, merge the capture runs and read every capture back, one row each: page_id, url, ts, payload_bytes,
+    payload_digest, record_type, refers_to.
+
+    Nulls, empty and long texts, ties and repeated rows: see write_archives. Null URLs come back empty. An empty table gives no rows.
+    """
     folder = new_path(pages.sparkSession, "warc")
     runs = write_archives(pages, folder, min_bytes)
     return read_archives(merge_runs(runs), folder)

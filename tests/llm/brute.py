@@ -41,17 +41,17 @@ def line_dedup(docs, min_chars=40, min_docs=5):
     return out
 
 
-def fingerprint(text):
+def fingerprint(text, width=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def simhash(docs):
-    fps = [fingerprint(t) for _, t in docs]
+def simhash(docs, width=3):
+    fps = [fingerprint(t, width) for _, t in docs]
     links = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
     root = components(len(docs), links)
     low = {}
@@ -210,3 +210,74 @@ def without_near_copies(docs, width=5):
     words = [(t or "").translate(LOWER).split() for _, t in rows]
     sets = [{" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in words]
     return [d for d, g in zip(rows, copies(sets)) if not g]
+
+
+def toxicity(text, lexicon):
+    """The score by looking for every pattern at every place."""
+    from marginalia.llm.toxicity import fold
+
+    folded = " " + " ".join(fold(text or "").split()) + " "
+    at = lambda p: [i for i in range(len(folded)) if folded.startswith(p, i)]
+    best = {}
+    for pattern, weight in lexicon.weights.items():
+        for i in at(pattern):
+            best[i] = max(best.get(i, 0), weight)
+    for phrase in lexicon.exceptions:
+        p = f" {fold(phrase)} "
+        for i in at(p):
+            best = {k: w for k, w in best.items() if not i <= k < i + len(p) - 1}
+    total, bias, a, b, c = sum(best.values()), *lexicon.curve
+    words = max(folded.count(" ") - 1, 0)
+    x = bias + (a * np.log(1 + total) + b * 20 * total / (20 + words) + c * max(best.values()) if best else 0)
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def language(text, dictionaries):
+    """The language whose dictionary gives the smallest size, the first of equal ones."""
+    import zstandard
+
+    words = "".join(ch.lower() if ch.isalpha() else " " for ch in text or "").split()
+    if not words:
+        return "und"
+    bare = " ".join(w for i, w in enumerate(words) if not i or w != words[i - 1]).encode()
+    sizes = {}
+    for lang, raw in dictionaries.items():
+        known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=9)
+        sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress(bare[i : i + 8192])) for i in range(0, len(bare), 8192))
+    return min(sizes, key=lambda k: (sizes[k], list(sizes).index(k)))
+
+
+def block_scores(net, x):
+    """A bidirectional LSTM, unit by unit."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    w, n = net.w, net.h
+
+    def states(d, rows):
+        out, state, cell = [], np.zeros(n), np.zeros(n)
+        for row in rows:
+            z = [sum(row[k] * w[f"x{d}"][k, j] for k in np.flatnonzero(row)) + w[f"b{d}"][j] + float(state @ w[f"h{d}"][:, j]) for j in range(4 * n)]
+            cell = np.array([sigmoid(z[n + j]) * cell[j] + sigmoid(z[j]) * np.tanh(z[3 * n + j]) for j in range(n)])
+            state = np.array([sigmoid(z[2 * n + j]) * np.tanh(cell[j]) for j in range(n)])
+            out.append(state)
+        return out
+
+    both = zip(states("f", x), states("b", x[::-1])[::-1])
+    return [sigmoid(float(np.concatenate([f, b]) @ w["o"] + w["c"][0])) for f, b in both]
+
+
+def mixed(docs, how):
+    """docs: (id, text, lang, source). The chosen rows (id, domain, lang, source, tokens, epochs)."""
+    domain = lambda source: f"d{int(hashlib.md5((source or '').encode()).hexdigest()[0], 16) % 4}"
+    flat = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t)), domain(s), lang or "", s or "") for i, t, lang, s in docs if t and t.split()]
+    names = [how.domains, how.langs, how.sources]
+    out = []
+    for leaf, share in mix(flat, how.budget_percent, how.max_epochs, lambda level, n: names[level].get(n, 1)).items():
+        own = [x for x in flat if tuple(x[2:]) == leaf]
+        tokens = sum(x[1] for x in own)
+        key = {x[0]: hashlib.md5(f"{how.seed}:{share // tokens}:{'' if x[0] is None else x[0]}".encode()).hexdigest() for x in own}
+        for x in own:
+            n = share // tokens + (sum(y[1] for y in own if key[y[0]] <= key[x[0]]) <= share % tokens)
+            if n:
+                out.append((x[0], *leaf, x[1], n))
+    return out

@@ -3,6 +3,7 @@ ties and repeated rows, empty tables, and extra columns with clashing names."""
 
 import hashlib
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -157,6 +158,8 @@ def test_decontamination(spark):
     got = contamination(frame(spark, docs), items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = brute.contamination(docs, ITEMS)
     assert plain(got) == sorted(want, key=repr)
+    shuffled = contamination(frame(spark, docs), items, broadcast_bytes=0).select(*got.columns)
+    assert plain(shuffled) == sorted(want, key=repr)
     assert sorted(r.doc_id for r in drop_contaminated(frame(spark, docs), items).collect() if r.doc_id is not None) == sorted(w[0] for w in want if not w[5] and w[0] is not None)
     assert contamination(empty(spark), items).count() == 0
     assert contamination(frame(spark, docs), items.limit(0)).where("contaminated").count() == 0
@@ -246,7 +249,7 @@ def test_substring_dedup_keeps_a_passage_next_to_an_older_one(spark):
     assert {(x.doc_id, x.first_doc_id, x.is_first) for x in listed} == {(3, 3, True), (5, 5, True), (5, 3, False), (9, 5, False), (9, 3, False)}
 
 
-LEXICON = toxicity.Lexicon({" idiot": 6.0, " scum ": 5.0, " trash": 4.0}, curve=(-4.0, 3.0, 1.0, 0.2))
+LEXICON = toxicity.Lexicon({" idiot": 6.0, " scum ": 5.0, " trash": 4.0}, ("trash can",), curve=(-4.0, 3.0, 1.0, 0.2))
 
 
 @pytest.mark.parametrize("text,hit", [("you IDIOT", True), ("y0u 1d10t", True), ("you іdіоt!", True), ("ｉｄｉｏｔ", True), ("id​iot", True), ("idiots", True), ("scum", True), ("$cum$$$", True), ("scumble", False), ("the trash can is full", False), ("trash", True), ("", False), (None, False), ("fine words", False)])
@@ -267,6 +270,26 @@ def test_toxicity(spark):
     assert nothing.weights == {} and 0 < nothing.score(None) < 0.5
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "1d10ts", "scum", "scumble", "trash", "can", "tra\u200bsh", "fine", "words", "$cum", "IDIOT!", "\n", "  "]), max_size=30))
+def test_toxicity_matches_plain(words):
+    lexicon = toxicity.Lexicon(LEXICON.weights, ("trash can", "fine idiot"), LEXICON.curve)
+    assert lexicon.score(" ".join(words)) == pytest.approx(brute.toxicity(" ".join(words), lexicon))
+
+
+def test_toxicity_learns_exceptions(spark):
+    """A word that is an insult but for one phrase: the phrase is spared."""
+    docs, labels = [], []
+    for i in range(600):
+        docs.append((i, prose(30, 90_000 + i) + (" trash " if i % 3 == 0 else " trash can " if i % 12 == 1 else " ") + prose(20, 91_000 + i)))
+        labels.append((i, int(i % 3 == 0)))
+    labels += labels[:50]
+    lexicon = toxicity.learn(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "trash can" in lexicon.exceptions and lexicon.score("you trash of a man") > 0.5 > lexicon.score("put it in a trash can") == lexicon.score("")
+    repeated = toxicity.score_toxicity(frame(spark, [docs[0], docs[0], (1, prose(40_000, 3) + " trash")]), lexicon).collect()
+    assert len({x.score for x in repeated if x.doc_id == 0}) == 1 and len(repeated) == 3
+
+
 def test_toxicity_held_out(spark):
     out = queries.op6_toxicity(spark, f"{DATA}/sf0.1").where("held_out").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id").toPandas()
     assert ((out.predicted == 1) == (out.toxic == 1)).mean() > 0.93
@@ -284,6 +307,22 @@ def test_language(spark):
     assert language_id.learn_dictionaries(empty(spark)) == {}
 
 
+def test_language_matches_plain(spark):
+    """The smallest compressed size, by plain calls; ties go to the commoner language; rare and letterless ones aren't learned."""
+    tongue = lambda n: ["".join(random.Random(1000 * n + k).choices("abcdefghijklmnopqrstuvwxyz"[n : n + 12], k=5)) for k in range(300)]
+    say = lambda n, i: " ".join(random.Random(i).choices(tongue(n), k=80))
+    rows = [(10 * i + n, say(n, 10 * i + n), f"l{n}") for n in range(12) for i in range(8 if n else 20)] + [(5000 + i, "12 34", "digits") for i in range(9)] + [(6000, "xyz", "rare"), (None, "no id", "l0"), (6001, None, "l0"), (6002, "no lang", None)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, n string")
+    known = language_id.learn_dictionaries(docs)
+    assert list(known)[0] == "l0" and set(known) == {f"l{n}" for n in range(12)}
+    asked = [say(n, 7000 + n) for n in range(12)] * 2 + ["", "123", None, "a", say(3, 1) * 60]
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify_language(frame(spark, list(enumerate(asked))), known).collect()}
+    assert [got[i][0] for i in range(len(asked))] == [brute.language(t, known) for t in asked]
+    assert sum(got[n][0] == f"l{n}" for n in range(12)) >= 11 and all(0 <= x[1] <= 1 for x in got.values())
+    same_text = language_id.Judge({"b": b"some words of it", "a": b"some words of it"})
+    assert same_text.predict("some words")[0] == "b"
+
+
 PAGE = """<html><head><title>no</title><style>x</style></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Big &amp; title</h1><p>First   paragraph
 with <b>bold</b>&nbsp;text.<p>Second one, unclosed.<script>var a="</p>";</script><div class="ad">Buy now</div><p>Third.</p></article>
@@ -304,6 +343,29 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def test_labels_match_plain():
+    """The network's scores against its formulas in loops, one block at a time."""
+    net = html_extract.trained()
+    for x, _ in html_extract.sample_pages(4, 99):
+        scores = net.scores(x[:, None], np.ones((len(x), 1), dtype=np.float32))[:, 0]
+        assert np.allclose(scores, brute.block_scores(net, x), atol=1e-4)
+
+
+@pytest.mark.parametrize("page", ["<a '" * 100_000, "<div>" * 50_000 + "x", "</x>" * 100_000, "<a '\"" * 50_000 + ">", "<p>a" * 30_000, "<script>" * 50_000, "<p title='open>text</p>", "a < b and <c"])
+def test_malformed_pages_are_read_once(page):
+    started = time.time()
+    blocks = html_extract.leaf_blocks(page)
+    assert time.time() - started < 20 and all(b[2].strip() for b in blocks)
+
+
+def test_html_rows(spark):
+    """Repeated rows give equal texts; a very long page is read whole."""
+    long = "<article>" + "<p>" + prose(60_000, 8) + "</p></article>"
+    rows = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, "u", long), (3, None, "<a '" * 1000)], "page_id long, url string, html string")
+    got = html_extract.text_length(html_extract.extract_text(rows)).collect()
+    assert len({x.text for x in got if x.page_id == 1}) == 1 and [x.n_chars for x in got if x.page_id == 2] == [len(prose(60_000, 8))]
+
+
 def test_gradients():
     net = html_extract.Labeller(seed=1, hidden=3)
     r = np.random.default_rng(2)
@@ -344,6 +406,30 @@ def test_warc(spark):
     assert warc.url_key("http://www.B.com:80/X?b=2&a=1") == "com,b)/x?a=1&b=2"
 
 
+def test_warc_records_resolve(spark):
+    """Every archive opens with a warcinfo record, ids of records are unique, and revisits name their response's."""
+    import gzip
+    from pathlib import Path
+
+    folder = warc.new_path(spark, "warc-ids")
+    page = "<p>" + prose(500, 4)
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", page if i % 2 else page + str(i)) for i in range(20)] + [(30, "http://a.org/long", prose(200_000, 5))], "page_id long, url string, html string")
+    runs = warc.write_archives(pages.repartition(3), folder)
+    assert runs.count() == 21
+    ids, refers, payloads = {}, [], []
+    for file in Path(folder.removeprefix("file://")).glob("*.warc.gz"):
+        records = gzip.decompress(file.read_bytes()).split(b"WARC/1.1\r\n")[1:]
+        assert b"WARC-Type: warcinfo" in records[0]
+        for record in records[1:]:
+            fields = dict(line.split(": ", 1) for line in record.split(b"\r\n\r\n")[0].decode().split("\r\n"))
+            assert fields["WARC-Record-ID"] not in ids
+            ids[fields["WARC-Record-ID"]] = fields["WARC-Type"]
+            refers += [fields["WARC-Refers-To"]] if fields["WARC-Type"] == "revisit" else []
+    assert len(ids) == 21 and len(refers) == 9 and {ids[r] for r in refers} == {"response"} and len(set(refers)) == 1
+    payloads = [bytes(x.payload) for x in warc.read_archives(runs, folder, with_payload=True).collect() if x.page_id == 30]
+    assert payloads == [prose(200_000, 5).encode()]
+
+
 def test_warc_index_is_sorted(spark, monkeypatch):
     monkeypatch.setattr(warc, "RANGE_ROWS", 40)
     folder = warc.new_path(spark, "warc-test")
@@ -375,6 +461,16 @@ def test_ann_awkward(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 12])
+def test_ann_ties_go_to_the_smaller_id(spark, monkeypatch, shard_rows):
+    """All distances equal, between distinct vectors, in one shard or several."""
+    monkeypatch.setattr(ann, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(ann, "HELD_VECTORS", 7)
+    rows = [(i, [float(k == i - 961) for k in range(40)]) for i in range(961, 1001)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert plain(ann.nearest(df, df.where("vec_id = 1000"))) == [(1000, r + 1, 961 + r, pytest.approx(2**0.5)) for r in range(10)] or plain(ann.nearest(df, df.where("vec_id = 1000"))) == sorted(brute.nearest(rows, {1000}), key=repr)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_graph_search(seed):
     r = np.random.default_rng(seed)
@@ -420,22 +516,36 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = cp.run(spark, str(tmp_path)).collect()
 
-    lexicon = toxicity.learn(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    kept = [d for d in docs if lexicon.score(d[1]) < 0.5]
-    assert {d[0] for d in docs} - {d[0] for d in kept} == {i for i, t in labels if t}
+    kept = [d for d, (_, t) in zip(docs, labels) if not t]  # by construction the lexicon must part them
     lines = {i: t for i, _, _, t in brute.line_dedup([(d[0], d[1]) for d in kept])}
     kept = [(d[0], lines[d[0]], *d[2:]) for d in kept]
-    named = {i: c for i, _, c in brute.simhash([(d[0], d[1]) for d in kept])}
+    named = {i: c for i, _, c in brute.simhash([(d[0], d[1]) for d in kept], 5)}
     kept = [d for d in kept if named[d[0]] == d[0]]
+    stay = {i for i, _ in brute.without_near_copies([(d[0], d[1]) for d in kept])}
+    kept = [d for d in kept if d[0] in stay]
     dirty = {i for i, *_, c in brute.contamination([(d[0], d[1]) for d in kept], items) if c}
     kept = [d for d in kept if d[0] not in dirty]
-    df = spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_documents(df).collect()))
+    assert sorted(map(tuple, got)) == sorted(brute.mixed([(d[0], d[1], d[2], d[3]) for d in kept], mixing.Mix()))
     assert dirty and len(kept) > 100
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    def store(path, rows, labels):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        return cp.run(spark, str(path)).collect()
+
+    rows = [(i, t, None if i == 12 else "en", "s", None) for i, t in AWKWARD]
+    got = store(tmp_path / "awkward", rows, [(1, 0), (1, 1), (None, 1)])
+    assert {x.doc_id for x in got} <= {i for i, _ in AWKWARD} and got
+    assert store(tmp_path / "empty", [], []) == []
+
+
 def edited(text, n, seed):
     r = random.Random(seed)
     words = text.split(" ")
@@ -463,11 +573,11 @@ def test_near_copies(spark):
 
 def test_near_copies_of_large_clusters(spark, monkeypatch):
     """Clusters beyond what one task may hold give the same result."""
-    monkeypatch.setattr(near_copies, "PIVOTS", 3)
+    monkeypatch.setattr(near_copies, "PIVOTS", 9)
     monkeypatch.setattr(near_copies, "PART_DOCS", 5)
     base = prose(120, 40)
-    docs = family(12) + [(20_000 + i, edited(base, 1 + i % 14, 70_000 + i)) for i in range(90)]
-    got = near_copies.drop_near_copies(frame(spark, docs), cluster_docs=6)
+    docs = family(6) + [(20_000 + i, edited(base, 1 + i % 14, 70_000 + i)) for i in range(50)]
+    got = near_copies.drop_near_copies(frame(spark, docs), cluster_docs=20)
     assert plain(got.select("doc_id", "text")) == sorted(brute.without_near_copies(docs), key=repr)
 
 
