@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.llm.shared import stored
+
 #: The fit uses at most about SAMPLE_DOCS whole texts a language, and of their letters the last DICT_BYTES, which is
 #: what zstandard prefers. A language with less than MIN_DICT_BYTES of them isn't learned.
 SAMPLE_DOCS, DICT_BYTES, MIN_DICT_BYTES = 200, 1 << 16, 1 << 11
+#: Counts of more labels than this are joined by a shuffle instead of being broadcast.
+MAX_BROADCAST_LANGUAGES = 100_000
 LEVEL = 9
 PIECE_BYTES = 1 << 13
 MIN_MARGIN = 0.01
@@ -49,9 +53,10 @@ def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_byte
     Languages with less than ``min_bytes`` of letters are left out. No usable rows give no dictionaries.
     """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
-    counts = train.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stored(train.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    small = F.broadcast if counts.count() <= MAX_BROADCAST_LANGUAGES else (lambda df: df)
     share = F.col("n") * F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000))
-    sample = train.join(counts, "lang").where(share < F.lit(sample_docs * 1_000_000))
+    sample = train.join(small(counts), "lang").where(share < F.lit(sample_docs * 1_000_000))
     known = sample.select("lang", "n", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("k")).groupBy("lang").applyInPandas(_join, "lang string, n long, known binary")
     return {r.lang: bytes(r.known) for r in sorted(known.where(F.octet_length("known") >= min_bytes).collect(), key=lambda r: (-r.n, r.lang))}
 

@@ -307,13 +307,15 @@ def test_language(spark):
     assert language_id.learn_dictionaries(empty(spark)) == {}
 
 
-def test_language_matches_plain(spark):
+def test_language_matches_plain(spark, monkeypatch):
     """The smallest compressed size, by plain calls; ties go to the commoner language; rare and letterless ones aren't learned."""
     tongue = lambda n: ["".join(random.Random(1000 * n + k).choices("abcdefghijklmnopqrstuvwxyz"[n : n + 12], k=5)) for k in range(300)]
     say = lambda n, i: " ".join(random.Random(i).choices(tongue(n), k=80))
     rows = [(10 * i + n, say(n, 10 * i + n), f"l{n}") for n in range(12) for i in range(8 if n else 20)] + [(5000 + i, "12 34", "digits") for i in range(9)] + [(6000, "xyz", "rare"), (None, "no id", "l0"), (6001, None, "l0"), (6002, "no lang", None)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, n string")
     known = language_id.learn_dictionaries(docs)
+    monkeypatch.setattr(language_id, "MAX_BROADCAST_LANGUAGES", 1)
+    assert language_id.learn_dictionaries(docs) == known
     assert list(known)[0] == "l0" and set(known) == {f"l{n}" for n in range(12)}
     asked = [say(n, 7000 + n) for n in range(12)] * 2 + ["", "123", None, "a", say(3, 1) * 60]
     got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify_language(frame(spark, list(enumerate(asked))), known).collect()}
