@@ -130,26 +130,71 @@ def partial_date(text: Column) -> Column:
     return F.when(good_m & good_d, F.concat_ws("-", y, month, day)).when(good_m, F.concat_ws("-", y, month)).otherwise(y)
 
 
-def split_name(name: Column) -> Column:
-    """struct(last, first): ``Last, First``; a CJK name's first character; else the final word is the last name."""
-    n = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
-    comma = n.rlike("[,，]")
-    cjk = n.rlike(r"^[一-鿿]{2,4}$")
-    last = F.when(comma, F.trim(F.regexp_extract(n, r"^([^,，]*)", 1))).when(cjk, F.substring(n, 1, 1)).otherwise(F.regexp_extract(n, r"(\S*)$", 1))
-    first = F.when(comma, F.trim(F.regexp_extract(n, r"[,，](.*)$", 1))).when(cjk, F.substring(n, 2, 8)).otherwise(F.trim(F.regexp_extract(n, r"^(.*)\s\S+$", 1)))
-    return F.struct(last.alias("last"), first.alias("first"))
+#: Words that belong to a last name, and endings of a name.
+NAME_PARTICLES = "van von der den de del della di da dos la le bin ibn ter ten st".split()
+NAME_SUFFIX = r"(?i)(?:^|\s)(?:jr|sr|ii|iii|iv)\.?$"
 
 
-#: What a title may end with that isn't part of it.
-TITLE_TAILS = (r"[_\-—\s]*(?:知网节?|CNKI|万方|维普)\s*$", r"\s*[|｜]\s*[^|｜]{1,30}$", r"\s*[（(]\d+[)）]\s*$", r"(?i)\.(?:pdf|caj|docx?)$")
+def split_name(name: Column) -> Column:
+    """struct(last, first). A name is split only where that is safe, else it is the last name as a whole.
+
+    ``Last, First`` is split at its comma; a name of two or three words at its one word in capitals, which is the
+    last name, or else before its final word. Names with a CJK character, a suffix, a hyphen or a particle
+    stay whole, and so do single words, four words or more and several words in capitals.
+    """
+    n = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", ""))
+    words = F.filter(F.split(n, r"\s+"), lambda w: w != "")
+    bare = lambda w: F.regexp_replace(w, r"\.+$", "")
+    caps = F.filter(words, lambda w: (F.length(bare(w)) >= 2) & (w == F.upper(w)) & (w != F.lower(w)))
+    particle = F.exists(words, lambda w: F.lower(bare(w)).isin(NAME_PARTICLES))
+    cut = F.split(n, ",", 2)
+    before, after = F.trim(F.get(cut, F.lit(0))), F.trim(F.get(cut, F.lit(1)))
+    named = lambda last, first: F.struct(last.alias("last"), first.alias("first"))
+    whole = named(n, F.lit(""))
+    one = F.get(caps, F.lit(0))
+    return (
+        F.when(n.rlike(r"[一-鿿]") | n.rlike(NAME_SUFFIX) | n.rlike("[-\u2010\u2011]") | particle, whole)
+        .when(n.contains(","), F.when((before != "") & (after != ""), named(before, after)).otherwise(whole))
+        .when((F.size(words) < 2) | (F.size(caps) >= 2), whole)
+        .when(F.size(caps) == 1, named(one, F.array_join(F.filter(words, lambda w: w != one), " ")))
+        .when(F.size(words) >= 4, whole)
+        .otherwise(named(F.get(words, F.size(words) - 1), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")))
+    )
+
+
+#: Site names at the end of a title, with how sure they are, the surest first.
+TITLE_TAILS = (
+    (r"\s*\|\s*IEEE\s+Journals?\s*&\s*Magazine\s*\|\s*IEEE\s+Xplore\s*$", "high"),
+    (r"\s*\|\s*IEEE\s+Conference\s+Publication\s*\|\s*IEEE\s+Xplore\s*$", "high"),
+    (r"\s*\|\s*IEEE\s+Xplore\s*$", "high"),
+    (r"\s*\|\s*IEEE\s+Access\s*$", "high"),
+    (r"\s*[-–—|]\s*ScienceDirect\.com\s*$", "high"),
+    (r"\s*\|\s*SpringerLink\s*$", "high"),
+    (r"\s*\|\s*Wiley\s+Online\s+Library\s*$", "high"),
+    (r"\s*[-–—_|]\s*[\u4e00-\u9fffA-Za-z0-9]{2,12}(?:网|网站|官网|首页|资讯|新闻网)\s*$", "low"),
+)
+
+
+def title_tail(title: Column) -> Column:
+    """struct(value, confidence): a title without the site name at its end, null where it has none.
+
+    What is left must have some weight: 8 where the name is sure, 12 where it isn't, and then half of the title too.
+    """
+    t = F.trim(F.coalesce(title, F.lit("")))
+    found = None
+    for pattern, confidence in TITLE_TAILS:
+        left = F.regexp_replace(F.regexp_replace(t, pattern, ""), r"^[ \t\-–—|·]+|[ \t\-–—|·]+$", "")
+        good = t.rlike(pattern) & (title_weight(left) >= (8 if confidence == "high" else 12))
+        if confidence == "low":
+            good = good & (F.length(t) - F.length(left) <= F.length(t) * 0.5)
+        made = F.struct(left.alias("value"), F.lit(confidence).alias("confidence"))
+        found = F.when(good, made) if found is None else found.when(good, made)
+    return found
 
 
 def clean_title(title: Column) -> Column:
-    """A title without file endings, copy numbers and site names."""
-    t = F.trim(F.coalesce(title, F.lit("")))
-    for pattern in reversed(TITLE_TAILS):
-        t = F.trim(F.regexp_replace(t, pattern, ""))
-    return t
+    """A title without the site name at its end, if it has one."""
+    return F.coalesce(title_tail(title)["value"], F.trim(F.coalesce(title, F.lit(""))))
 
 
 def title_weight(title: Column) -> Column:

@@ -104,13 +104,17 @@ def render_blocks(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def item_health(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``verdict``: bad, unsure or ok for a whole document, Latin texts by their common words too."""
+    """``docs`` with ``verdict``: bad, unsure or ok for a whole document, Latin texts by their common words too. A Latin
+    text with few common words that has many once its characters are shifted is bad; only such suspects are shifted."""
     counted = tx.with_char_stats(docs, text).withColumns({"__common": tx.common_word_ratio(F.col(text)), "__words": tx.latin_words(F.col(text))})
     s = {n: F.col(n) for n in ("total", "exotic_ratio", "cjk_ratio", "latin_ratio")}
     rules = tx.text_verdict(s)
     foreign = (s["latin_ratio"] >= 0.5) & (F.col("__words") >= 200) & (F.col("__common") < 0.12)
-    verdict = F.when(F.length(F.coalesce(F.col(text), F.lit(""))) < 200, "bad").when(rules == "bad", "bad").when(rules == "unsure", "unsure").when(foreign, "unsure").otherwise("ok")
-    return counted.withColumn("verdict", verdict).select(*docs.columns, "verdict")
+    found = tx.best_shift(F.when(foreign, F.col(text)))
+    moved = counted.withColumn("__shift", found)
+    shifted = foreign & (F.col("__shift.shift") != 0) & tx.shift_accepted(F.col("__common"), F.col("__words"), s["latin_ratio"], F.col("__shift.ratio"))
+    verdict = F.when(s["total"] < 200, "bad").when(rules == "bad", "bad").when(shifted, "bad").when(rules == "unsure", "unsure").when(foreign, "unsure").otherwise("ok")
+    return moved.withColumn("verdict", verdict).select(*docs.columns, "verdict")
 
 
 def scanned(cjk_per_page: Column, chars: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,18 +60,27 @@ def changes(known: DataFrame, current: DataFrame, key: str, compare: list[str])
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(F.col(f"n.{key}"), F.col(f"o.{key}")).alias(key), change.otherwise("same").alias("change"))
 
 
-def resolve_merges(edges: DataFrame, keys: DataFrame, max_depth: int = 32) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint, in the folder that spark.checkpoint.dir names; only a local session may run without one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
+    return df.checkpoint()
+
+
+def resolve_merges(edges: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, root, status): follow old_key to new_key. status is ok, or cycle where the chain returns.
 
-    Pointer jumping: each round doubles the length that is followed, by one equi-join; a chain of
-    2**rounds links is resolved, and a key that still has a successor then lies on a cycle.
+    Pointer jumping: each round doubles the length that is followed, by one equi-join. A chain has no
+    more links than there are edges, so a key that still has a successor after as many lies on a cycle or leads to one.
     """
     step = edges.groupBy("old_key").agg(F.min("new_key").alias("new_key"))
-    rounds = max(1, max_depth.bit_length())
     jump = step
-    for _ in range(rounds):
+    for _ in range(max(1, step.count().bit_length())):
         nxt = jump.select(F.col("old_key").alias("new_key"), F.col("new_key").alias("next"))
-        jump = jump.join(nxt, "new_key", "left").select("old_key", F.coalesce("next", "new_key").alias("new_key"))
+        jump = kept(jump.join(nxt, "new_key", "left").select("old_key", F.coalesce("next", "new_key").alias("new_key")))
     again = step.select(F.col("old_key").alias("new_key"), F.lit(True).alias("more"))
     out = keys.select("key").join(jump.withColumnRenamed("old_key", "key"), "key", "left").join(again, "new_key", "left")
     return out.select("key", F.when(F.col("more"), F.lit(None).cast("string")).otherwise(F.coalesce("new_key", "key")).alias("root"), F.when(F.col("more"), "cycle").otherwise("ok").alias("status"))
@@ -92,16 +103,11 @@ def overlap_pairs(members: DataFrame, group: str, member: str, min_ratio: float
     Prefix filtering: with members ordered by rarity, a partner of at least the same size must hold
     one of the smaller group's first n - ceil(ratio x n) + 1 members. Only those are joined, so a
     member of very many groups pairs them only where rarer ones don't decide; candidates are then
-    counted by equi-joins. Below a ratio of 0.3 the prefix is most of a group and would save
-    nothing, so shared members are counted straight away.
+    counted by equi-joins.
     """
     m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
     sizes = m.groupBy("g").agg(F.count("*").alias("n"))
     sized = m.join(sizes, "g")
-    if min_ratio < 0.3:
-        both = sized.select(F.col("g").alias("a"), F.col("n").alias("na"), "m").join(sized.select(F.col("g").alias("b"), F.col("n").alias("nb"), "m"), "m").where("a < b")
-        ratio = F.col("shared") / F.least("na", "nb")
-        return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(ratio >= min_ratio).select("a", "b", "shared", ratio.alias("ratio"))
     ranked = sized.join(m.groupBy("m").agg(F.count("*").alias("df")), "m").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("df", "m")))
     prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * min_ratio - 1e-9) + 1).select(F.col("g").alias("s"), F.col("n").alias("ns"), "m")
     partner = sized.select(F.col("g").alias("t"), F.col("n").alias("nt"), "m")

@@ -54,25 +54,73 @@ def query_coverage(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id",
     return hits.join(totals, query_id).select(query_id, key, (F.col("hit") / F.col("total")).alias("coverage"), "strong")
 
 
+def token_list(text: Column) -> Column:
+    """The index tokens of a text: lowered words, each CJK character one of its own."""
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"([{tx.CJK_WIDE}])", " $1 ")
+    return F.regexp_extract_all(spaced, F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, dl): an inverted index over lowered words, with positions."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
-    seen = chunks.select(key, words.alias("w")).select(key, F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
+    """(term, key, dl, tf, positions): an inverted index. Stored once, partitioned or bucketed by term, it lets a
+    query read its own terms only; filters on term reach below the aggregation."""
+    seen = chunks.select(key, token_list(F.col(text)).alias("w")).select(key, F.size("w").alias("dl"), F.posexplode("w").alias("pos", "term"))
     return seen.groupBy("term", key, "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def bm25(posts: DataFrame, queries: DataFrame, key: str = "chunk_id", query_id: str = "query_id", n_docs: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, bm25), higher is better. ``queries`` has (query_id, term); idf is floored at a tiny positive value."""
-    docs = posts.select(key, "dl").distinct() if n_docs is None else n_docs
-    n, avgdl = docs.agg(F.count("*"), F.avg("dl")).first()  # two numbers
+def corpus_size(chunks: DataFrame, text: str = "text") -> tuple[int, float]:
+    """How many chunks there are and how many tokens they have on average: one narrow pass, two numbers."""
+    n, mean = chunks.select(F.size(token_list(F.col(text))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    return int(n), float(mean or 1.0)
+
+
+def _bm25_part(tf: Column, df: Column, dl: Column, size: tuple[int, float]) -> Column:
+    n, mean = size
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5)))
+    return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.lit(mean or 1.0)))
+
+
+def bm25(posts: DataFrame, queries: DataFrame, size: tuple[int, float], key: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, key, bm25), higher is better. ``queries`` has (query_id, term); idf is floored at a tiny positive value.
+
+    ``size``: see corpus_size. Only postings of the queries' terms are shuffled.
+    """
     found = posts.join(queries.select("term").distinct(), "term", "left_semi")
     dfs = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(avgdl or 1.0)))
-    return (
-        found.join(dfs, "term").join(queries, "term")
-        .groupBy(query_id, key).agg(F.sum(weight).alias("bm25"))
-    )
+    return found.join(dfs, "term").join(queries, "term").groupBy(query_id, key).agg(F.sum(_bm25_part(F.col("tf"), F.col("df"), F.col("dl"), size)).alias("bm25"))
+
+
+def phrase_recall(posts: DataFrame, phrases: list[list[str]], size: tuple[int, float], key: str = "chunk_id", limit: int = 3 * ROUTE_LIMIT, need: list[list[int]] | None = None) -> DataFrame:
+    """(key, bm25): the best chunks that hold a phrase, by the sum over phrases; idf is that of the whole phrase.
+
+    A phrase is its tokens one after the other. ``need``: groups of phrase numbers all of which must be there; any
+    one group is enough, and by default each phrase is a group. Ties go to the smaller key.
+    """
+    terms = sorted({t for p in phrases for t in p})
+    rows = posts.where(F.col("term").isin(terms)).groupBy(key, "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    at = lambda t: F.coalesce(F.get(F.array(F.col("at")), F.lit(0))[t], F.array().cast("array<int>"))
+
+    def count(tokens: list[str]) -> Column:
+        follows = lambda p: [F.array_contains(at(t), p + i) for i, t in enumerate(tokens) if i]
+
+        def whole(p: Column) -> Column:
+            ok = F.lit(True)
+            for c in follows(p):
+                ok = ok & c
+            return ok
+
+        return F.size(F.filter(at(tokens[0]), whole))
+
+    counted = rows.select(key, "dl", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    dfs = counted.agg(*[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(phrases))]).first()
+    score, good = F.lit(0.0), F.lit(False)
+    for i in range(len(phrases)):
+        score = score + F.when(F.col(f"tf{i}") > 0, _bm25_part(F.col(f"tf{i}"), F.lit(float(dfs[i] or 0)), F.col("dl"), size)).otherwise(0.0)
+    for group in need or [[i] for i in range(len(phrases))]:
+        every = F.lit(True)
+        for i in group:
+            every = every & (F.col(f"tf{i}") > 0)
+        good = good | every
+    return counted.where(good).select(key, F.round(score, 9).alias("bm25")).orderBy(F.desc("bm25"), key).limit(limit)
 
 
 def two_tier(phrase: DataFrame, wide: DataFrame, key: str = "chunk_id", query_id: str = "query_id", limit: int = 50) -> DataFrame:

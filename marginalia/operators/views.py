@@ -141,16 +141,17 @@ def collection_advice(members: DataFrame, items: DataFrame, overlaps: DataFrame,
 
 
 def newest(files: DataFrame, group: str, order: str, keep: int = 1) -> DataFrame:
-    """The newest rows of each group: session files, backups to keep."""
-    w = Window.partitionBy(group).orderBy(F.desc(order))
+    """The newest rows of each group: session files, backups to keep. Ties go by the other columns, in their order."""
+    w = Window.partitionBy(group).orderBy(F.desc(order), *[F.col(f"`{c}`") for c in files.columns if c not in (group, order)])
     return files.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= keep).drop("__r")
 
 
 def enrich(rows: DataFrame, key: str, sources: list[DataFrame], fields: list[str]) -> DataFrame:
-    """Rows with fields from the first source that has a value; every row once, in its place."""
+    """Rows with fields from the first source that has a value; every row once, in its place. Of several values of one
+    source the least counts."""
     out = rows
     for i, s in enumerate(sources):
-        one = s.groupBy(key).agg(*[F.first(f, ignorenulls=True).alias(f"__{i}_{f}") for f in fields])
+        one = s.groupBy(key).agg(*[F.min(_blank(F.col(f))).alias(f"__{i}_{f}") for f in fields])
         out = out.join(one, key, "left")
     return out.select(*rows.columns, *[F.coalesce(*[_blank(F.col(f"__{i}_{f}")) for i in range(len(sources))]).alias(f) for f in fields])
 
@@ -216,6 +217,11 @@ def index_list(items: DataFrame) -> DataFrame:
     return grouped.orderBy("kind", F.desc(F.col("year") != ""), F.desc("year"))
 
 
+def source_distribution(items: DataFrame) -> DataFrame:
+    """(source, n, chars): where items' whole texts come from; ``(none)`` for those without one."""
+    return items.groupBy(F.coalesce("fulltext_src", F.lit("(none)")).alias("source")).agg(F.count("*").alias("n"), F.coalesce(F.sum("fulltext_chars"), F.lit(0)).cast("long").alias("chars"))
+
+
 def manifest(items: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row of totals."""
     parts = [items.agg(F.lit(0).alias("g"), F.count("*").alias("items"), F.sum("fulltext_chars").alias("chars")), chunks.agg(F.lit(0).alias("g"), F.count("*").alias("chunks"), F.sum(F.when(tx.indexable(F.col("level"), F.col("kind")), 1).otherwise(0)).alias("indexable")), vectors.agg(F.lit(0).alias("g"), F.count("*").alias("vectors"))]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import scalars as sc
 from marginalia.operators import chunking, ledger, relational, retrieval, views
-from marginalia.plans.search import Search, parse_units, search
+from marginalia.plans.search import Index, Search, parse_units, search
 
 
 @dataclass(frozen=True)
@@ -33,14 +33,17 @@ class KnowledgeBase:
         full = counts.join(t["weights"].select("item_key", "pinned", "manual"), "item_key", "full_outer")
         return ledger.multipliers(t["items"], full, t["health"], self.now_year)
 
-    def search(self, query: str, limit: int = 10, collection: str | None = None, year_from: int | None = None, year_to: int | None = None, facets: Column | None = None) -> DataFrame:
+    def search(self, query: str, limit: int = 10, collection: str | None = None, year_from: int | None = None, year_to: int | None = None, facets: Column | None = None, whole_documents: bool = False) -> DataFrame:
         keep = sc.year_filter(F.col("year"), year_from, year_to)
         if collection:
             keep = keep & F.array_contains("collections", collection)
         if facets is not None:
             keep = keep & facets
         vector = self.embed(query) if self.embed else None
-        return search(self.tables["chunks"].where("level = 1"), self.tables.get("vectors"), self.tables["items"], self.weights(), Search(query, max(1, min(30, limit))), vector, keep)
+        known = self.tables.get("postings")
+        index = Index(known, retrieval.corpus_size(self.tables["chunks"].where("level = 1")), self.tables.get("term_df")) if known is not None else None
+        parents = self.tables["chunks"].where("level = 0").select(F.col("chunk_id").alias("parent_id"), "text")
+        return search(self.tables["chunks"].where("level = 1"), self.tables.get("vectors"), self.tables["items"], self.weights(), Search(query, max(1, min(30, limit)), whole_documents=whole_documents), vector, keep, index, parents)
 
     def related_experience(self, query: str, keys: list[str], limit: int = 20) -> DataFrame:
         return ledger.related(self.tables["experience"], [u for u, _ in parse_units(query)], keys, limit)
@@ -74,14 +77,15 @@ class KnowledgeBase:
         return self._with(weights=relational.upsert(self.tables["weights"], rows, ["item_key"]))
 
     def reindex(self) -> KnowledgeBase:
-        """Chunks and term statistics anew from items and pages."""
+        """Chunks, the keyword index and term statistics anew from items and pages; they are kept, so that queries read them only."""
         t = self.tables
         rows = chunking.collect_chunks(t["items"], chunking.sectionize(t["pages"], "item_key"))
         keyed = rows.withColumn("chunk_id", F.xxhash64("item_key", "level", "depth", "seq", "offset"))
         parts = keyed.where("level = 0").select("item_key", "seq", F.col("offset").alias("start"), F.col("chunk_id").alias("part_id")).withColumn("section", F.struct("item_key", "seq"))
         kids = relational.parent_for_offset(keyed.where("level = 1").withColumn("section", F.struct("item_key", "seq")), parts, "section").withColumnRenamed("parent_part", "parent_id").drop("section")
-        chunks = kids.unionByName(keyed.where("level = 0"), allowMissingColumns=True)
-        return self._with(chunks=chunks, term_df=retrieval.term_df(chunks.where("level = 1")))
+        chunks = relational.kept(kids.unionByName(keyed.where("level = 0"), allowMissingColumns=True))
+        indexed = chunks.where("level = 1")
+        return self._with(chunks=chunks, postings=relational.kept(retrieval.postings(indexed)), term_df=relational.kept(retrieval.term_df(indexed)))
 
     def plan_acquisition(self, dois: DataFrame, limit: int = 50) -> DataFrame:
         """Requested DOIs, normalised, with whether an item has them already."""

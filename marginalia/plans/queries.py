@@ -17,8 +17,8 @@ from marginalia.operators import outline as ol
 from marginalia.operators import relational as rl
 from marginalia.operators import retrieval as rt
 from marginalia.operators import views as vw
-from marginalia.plans.search import Search, keyword_route, parse_units, search, vector_route
-from marginalia.streaming.sessions import segments
+from marginalia.plans.search import Search, coverage_route, keyword_route, parse_units, phrase_terms, search, vector_route
+from marginalia.streaming.sessions import DOC_WORDS, SIGNALS, is_doc_work, looks_promising, segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,7 +62,7 @@ COVERAGE_SQL = f"""SELECT doc_id, ({' + '.join(f"CASE WHEN contains(text, '{u}')
 
 @query(f"SELECT doc_id, round(coverage, 6) AS coverage, strong, CAST(row_number() OVER (ORDER BY coverage DESC, strong DESC, doc_id) AS INTEGER) AS rank FROM ({COVERAGE_SQL}) WHERE coverage > 0 QUALIFY rank <= 50")
 def coverage_topk(spark, d):
-    return keyword_route(read(spark, d, "documents"), UNITS, "doc_id", 50).select("doc_id", F.round("coverage", 6).alias("coverage"), "strong", "rank")
+    return coverage_route(read(spark, d, "documents"), UNITS, "doc_id", 50).select("doc_id", F.round("coverage", 6).alias("coverage"), "strong", "rank")
 
 
 @query(f"""WITH q AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(array_to_string(string_split(text, ' ')[1:8], ' '), '[A-Za-z][A-Za-z0-9_\\-]{{0,30}}'), lambda x: lower(x)))) AS unit FROM benchmark),
@@ -94,15 +94,47 @@ def query_coverage_whole(spark, d):
 BM25_TERMS = ("worthless", "erth", "inonble", "tion")
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
-dl AS (SELECT doc_id, count(*) AS dl FROM w GROUP BY doc_id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+TOKENS_SQL = f"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([{tx.CJK_WIDE}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents),
+dl AS (SELECT doc_id, len({TOKENS_SQL}) AS dl FROM documents), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM w WHERE term IN {BM25_TERMS} GROUP BY term, doc_id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) AS bm25
 FROM tf JOIN df USING (term) JOIN dl USING (doc_id), s GROUP BY doc_id""")
 def bm25_scores(spark, d):
     posts = rt.postings(read(spark, d, "documents"), "doc_id")
     asks = spark.range(1).select(F.lit(0).alias("query_id"), F.explode(F.array(*map(F.lit, BM25_TERMS))).alias("term"))
-    return rt.bm25(posts, asks, "doc_id").select("doc_id", F.round("bm25", 5).alias("bm25"))
+    return rt.bm25(posts, asks, rt.corpus_size(read(spark, d, "documents")), "doc_id").select("doc_id", F.round("bm25", 5).alias("bm25"))
+
+
+def _recall_sql(phrases: list[list[str]], limit: int) -> str:
+    """The best documents by the sum over phrases of bm25, each phrase counted where its tokens follow one another."""
+    count = lambda p: "len(list_filter(range(1, len(t) + 1), lambda i: " + " AND ".join(f"t[i + {k}] = '{w}'" for k, w in enumerate(p)) + "))"
+    n = range(len(phrases))
+    part = lambda i: f"CASE WHEN tf{i} > 0 THEN greatest(1e-6, ln((n - n{i} + 0.5) / (n{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean)) ELSE 0 END"
+    return f"""(WITH tok AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents), tf AS (SELECT doc_id, len(t) AS dl, {", ".join(f"{count(p)} AS tf{i}" for i, p in enumerate(phrases))} FROM tok),
+z AS (SELECT count(*) AS n, avg(dl) AS mean, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS n{i}" for i in n)} FROM tf)
+SELECT doc_id, round({" + ".join(part(i) for i in n)}, 9) AS bm25 FROM tf, z WHERE {" OR ".join(f"tf{i} > 0" for i in n)} ORDER BY bm25 DESC, doc_id LIMIT {limit})"""
+
+
+PHRASES = [["that", "the"], ["worthless"], ["erth"], ["one", "and", "the"]]
+
+
+@query(f"SELECT doc_id, round(bm25, 5) AS bm25 FROM {_recall_sql(PHRASES, 400)}")
+def phrase_recall(spark, d):
+    docs = read(spark, d, "documents")
+    return rt.phrase_recall(rt.postings(docs, "doc_id"), PHRASES, rt.corpus_size(docs), "doc_id", 400).select("doc_id", F.round("bm25", 5).alias("bm25"))
+
+
+ROUTE_SQL = f"SELECT c.doc_id, coverage, strong, bm25, CAST(row_number() OVER (ORDER BY coverage DESC, strong DESC, bm25 DESC, c.doc_id) AS INTEGER) AS rank FROM ({COVERAGE_SQL}) c JOIN {_recall_sql(phrase_terms(ASK), 600)} r ON r.doc_id = c.doc_id WHERE coverage > 0 QUALIFY rank <= 200"
+
+
+@query(f"SELECT doc_id, round(coverage, 6) AS coverage, strong, round(bm25, 5) AS bm25, rank FROM ({ROUTE_SQL})")
+def keyword_search(spark, d):
+    """The keyword route: phrases recalled from an index, ranked by coverage, strong hits and bm25."""
+    found = keyword_route(read(spark, d, "documents"), ASK, "doc_id")
+    return found.select("doc_id", F.round("coverage", 6).alias("coverage"), "strong", F.round("bm25", 5).alias("bm25"), "rank")
 
 
 def _vector(spark, d, vec_id=7):
@@ -127,7 +159,7 @@ f AS (SELECT id, sum(part) AS score FROM p GROUP BY id)"""
 
 @query(FUSED_SQL + " SELECT id, round(score, 9) AS score FROM f")
 def minmax_fusion(spark, d):
-    k = keyword_route(read(spark, d, "documents").withColumnRenamed("doc_id", "id"), UNITS, "id")
+    k = coverage_route(read(spark, d, "documents").withColumnRenamed("doc_id", "id"), UNITS, "id")
     v = vector_route(read(spark, d, "embeddings").withColumnRenamed("vec_id", "id"), _vector(spark, d), "id")
     return rt.fuse({"keyword": k, "vector": v}, "id").select("id", F.round("score", 9).alias("score"))
 
@@ -147,10 +179,13 @@ def _weights(spark, d):
     return lg.ledger_weights(rows, "user_id").join(pins, "user_id").withColumn("manual", F.lit(0.0))
 
 
-@query(FUSED_SQL + f""", s AS (SELECT d.source AS item_key, id, score, row_number() OVER (PARTITION BY d.source ORDER BY score DESC, id) AS r FROM f JOIN documents d ON d.doc_id = f.id),
+HYBRID_SQL = "WITH k AS (SELECT doc_id AS id, coverage, rank FROM (" + ROUTE_SQL + "))" + FUSED_SQL[FUSED_SQL.index(",\nv AS ("):]
+
+
+@query(HYBRID_SQL + f""", s AS (SELECT d.source AS item_key, id, score, row_number() OVER (PARTITION BY d.source ORDER BY score DESC, id) AS r FROM f JOIN documents d ON d.doc_id = f.id),
 i AS (SELECT item_key, sum(score) AS base, count(*) AS n_chunks FROM s WHERE r <= 3 GROUP BY item_key), l AS ({LEDGER_SQL}),
 m AS (SELECT 'src' || CAST(user_id AS VARCHAR) AS item_key, 1 + ln(1.0 + 3.0 * pinned + 2.0 * effective + 0.5 * ineffective + partial) AS m FROM l)
-SELECT i.item_key, round(base * round(coalesce(m, 1), 3), 5) AS score, n_chunks FROM i LEFT JOIN m ON i.item_key = m.item_key""")
+SELECT i.item_key, round(round(base * round(coalesce(m, 1), 3), 6), 5) AS score, n_chunks FROM i LEFT JOIN m ON i.item_key = m.item_key""")
 def hybrid_search(spark, d):
     """The whole ranked query: sources are items, documents their chunks, the ledger their weights."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("item_key"), F.lit(None).cast("long").alias("parent_id"), F.lit("body").alias("kind"), "text")
@@ -255,8 +290,16 @@ def common_word_ratio(spark, d):
     return read(spark, d, "documents").select("doc_id", F.round(tx.common_word_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN length(text) < 200 THEN 'bad' WHEN v = 'bad' THEN 'bad' WHEN v = 'unsure' THEN 'unsure' WHEN latin / total >= 0.5 AND n >= 200 AND c / n < 0.12 THEN 'unsure' ELSE 'ok' END AS verdict
-FROM (SELECT s.*, text, {VERDICT_SQL} AS v, {COMMON_SQL} AS c, len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) AS n FROM ({STATS_SQL}) s JOIN documents USING (doc_id))""")
+SHIFTS = ", ".join("({}, '{}', '{}')".format(n, *(x.replace("'", "''") for x in tx._shift_map(n))) for n in range(-tx.SHIFT_SPAN, tx.SHIFT_SPAN + 1) if n)
+HEALTH_SQL = f"""WITH h AS (SELECT s.*, text, {VERDICT_SQL} AS v, {COMMON_SQL} AS c, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{2,}}')) AS n FROM ({STATS_SQL}) s JOIN documents USING (doc_id)),
+f AS (SELECT *, total > 0 AND latin / total >= 0.5 AND n >= 200 AND c / n < 0.12 AS is_foreign FROM h),
+m AS (SELECT doc_id, shift, translate(substring(text, 1, {tx.SHIFT_SAMPLE}), a, b) AS text FROM f, (VALUES {SHIFTS}) x(shift, a, b) WHERE is_foreign),
+r AS (SELECT doc_id, max(CASE WHEN n > 0 THEN c / n ELSE 0 END) AS best FROM (SELECT doc_id, shift, {COMMON_SQL} AS c, len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) AS n FROM m) GROUP BY doc_id)
+SELECT f.doc_id, CASE WHEN total < 200 THEN 'bad' WHEN v = 'bad' THEN 'bad' WHEN is_foreign AND best >= 0.15 AND best - c / n >= 0.1 THEN 'bad' WHEN v = 'unsure' THEN 'unsure' WHEN is_foreign THEN 'unsure' ELSE 'ok' END AS verdict
+FROM f LEFT JOIN r ON r.doc_id = f.doc_id"""
+
+
+@query(HEALTH_SQL)
 def item_health(spark, d):
     return ex.item_health(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "verdict")
 
@@ -319,10 +362,11 @@ def running_headers(spark, d):
     return rl.running_headers(_pages(spark, d), "doc_id", "page").select("doc_id", F.md5("pattern").alias("pattern_md5"), "n")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS m FROM lineitem), z AS (SELECT g, count(*) AS n FROM m GROUP BY g)
-SELECT x.g AS a, y.g AS b, count(*) AS shared, round(count(*) / least(max(za.n), max(zb.n)), 6) AS ratio FROM m x JOIN m y ON x.m = y.m AND x.g < y.g JOIN z za ON za.g = x.g JOIN z zb ON zb.g = y.g GROUP BY x.g, y.g HAVING count(*) / least(max(za.n), max(zb.n)) >= 0.05""")
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS g, CAST(year(o_orderdate) AS VARCHAR) || o_orderpriority AS m FROM orders), z AS (SELECT g, count(*) AS n FROM m GROUP BY g)
+SELECT x.g AS a, y.g AS b, count(*) AS shared, round(count(*) / least(max(za.n), max(zb.n)), 6) AS ratio FROM m x JOIN m y ON x.m = y.m AND x.g < y.g JOIN z za ON za.g = x.g JOIN z zb ON zb.g = y.g GROUP BY x.g, y.g HAVING count(*) / least(max(za.n), max(zb.n)) >= 0.6""")
 def overlap_pairs(spark, d):
-    return rl.overlap_pairs(read(spark, d, "lineitem"), "l_suppkey", "l_partkey", 0.05).withColumn("ratio", F.round("ratio", 6))
+    orders = read(spark, d, "orders").select("o_custkey", F.concat(F.date_format("o_orderdate", "yyyy"), "o_orderpriority").alias("kind"))
+    return rl.overlap_pairs(orders, "o_custkey", "kind").withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""WITH n AS (SELECT DISTINCT lower(trim(x)) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part UNION ALL SELECT p_name FROM part) WHERE length(trim(x)) > 0)
@@ -400,10 +444,10 @@ def chat_segments(spark, d):
     return _segments(spark, d).select(F.col("session").alias("conv_id"), "start_seq", F.md5("asked").alias("asked_md5"), F.md5("body").alias("body_md5"), "n_texts")
 
 
-@query(SEGMENT_SQL + " SELECT conv_id, start_seq, contains(lower(body), 'tion') AS promising, contains(asked, 'the') AS is_work FROM s WHERE length(body) > 0")
+@query(SEGMENT_SQL + " SELECT conv_id, start_seq, regexp_matches(lower(body), '" + "|".join(w.lower() for w in SIGNALS) + "') AS promising, regexp_matches(body, '" + "|".join([*DOC_WORDS, "tion", "paper"]) + "') AS is_work FROM s WHERE length(body) > 0")
 def promising_segments(spark, d):
     s = _segments(spark, d).where(F.length("body") > 0)
-    return s.select(F.col("session").alias("conv_id"), "start_seq", F.lower("body").contains("tion").alias("promising"), F.col("asked").contains("the").alias("is_work"))
+    return s.select(F.col("session").alias("conv_id"), "start_seq", looks_promising(F.col("body")).alias("promising"), is_doc_work(F.col("body"), words=("tion", "paper")).alias("is_work"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -660,3 +704,42 @@ def checkup_reasons(spark, d):
     e = read(spark, d, "events")
     keys = F.when(F.col("user_id") % 5 != 0, F.array(F.col("user_id").cast("string")))
     return e.select("event_id", lg.checkup_reason(kinds[F.col("event_type")], F.when(F.col("value") >= 50, "seen"), keys).alias("reason"))
+
+
+NAMES_SQL = """SELECT p_partkey AS k, p_name AS name FROM part UNION ALL SELECT p_partkey, p_name || ' ' || p_type FROM part UNION ALL SELECT p_partkey, p_type || ', ' || p_name FROM part
+UNION ALL SELECT p_partkey, p_name || CASE p_partkey % 7 WHEN 0 THEN ' Jr.' WHEN 1 THEN ' van Dyck' WHEN 2 THEN ' III' WHEN 3 THEN '-Berg' WHEN 4 THEN ' one two' WHEN 5 THEN ',' ELSE ' 王' END FROM part"""
+
+
+@query(f"""WITH n AS ({NAMES_SQL}), w AS (SELECT k, name, list_filter(string_split_regex(name, '\\s+'), lambda x: x <> '') AS w FROM n),
+c AS (SELECT *, list_filter(w, lambda x: length(rtrim(x, '.')) >= 2 AND x = upper(x) AND x <> lower(x)) AS caps, strpos(name, ',') AS comma FROM w),
+r AS (SELECT *, CASE WHEN regexp_matches(name, '[一-鿿]') OR regexp_matches(name, '(^|\\s)(jr|sr|ii|iii|iv)\\.?$', 'i') OR regexp_matches(name, '[-‐‑]')
+  OR len(list_filter(w, lambda x: lower(rtrim(x, '.')) IN ({", ".join(f"'{x}'" for x in sc.NAME_PARTICLES)}))) > 0 THEN 'whole'
+  WHEN comma > 0 THEN CASE WHEN trim(name[:comma - 1]) <> '' AND trim(name[comma + 1:]) <> '' THEN 'comma' ELSE 'whole' END
+  WHEN len(w) < 2 OR len(caps) >= 2 THEN 'whole' WHEN len(caps) = 1 THEN 'caps' WHEN len(w) >= 4 THEN 'whole' ELSE 'last' END AS rule FROM c)
+SELECT k, name, CASE rule WHEN 'comma' THEN trim(name[:comma - 1]) WHEN 'caps' THEN caps[1] WHEN 'last' THEN w[-1] ELSE name END AS last,
+  CASE rule WHEN 'comma' THEN trim(name[comma + 1:]) WHEN 'caps' THEN array_to_string(list_filter(w, lambda x: x <> caps[1]), ' ') WHEN 'last' THEN array_to_string(w[:-2], ' ') ELSE '' END AS first FROM r""")
+def name_parts(spark, d):
+    """First and last names, split only where that is safe."""
+    read(spark, d, "part").createOrReplaceTempView("part_names")
+    return spark.sql(NAMES_SQL.replace("FROM part", "FROM part_names")).select("k", "name", sc.split_name(F.col("name")).alias("s")).select("k", "name", "s.last", "s.first")
+
+
+TAILED_SQL = "SELECT p_partkey AS k, p_name || CASE p_partkey % 6 WHEN 0 THEN ' | IEEE Xplore' WHEN 1 THEN ' | IEEE Journals & Magazine | IEEE Xplore' WHEN 2 THEN ' - ScienceDirect.com' WHEN 3 THEN ' | SpringerLink' WHEN 4 THEN ' | Some Site' ELSE '_央广网' END AS title FROM part"
+
+
+@query(f"""WITH t AS ({TAILED_SQL}), c AS (SELECT k, title, CASE WHEN regexp_matches(title, '_央广网$') THEN 'low' WHEN regexp_matches(title, 'IEEE Xplore$|ScienceDirect.com$|SpringerLink$') THEN 'high' END AS confidence,
+regexp_replace(title, ' \\| IEEE Journals & Magazine \\| IEEE Xplore$| \\| IEEE Xplore$| - ScienceDirect\\.com$| \\| SpringerLink$|_央广网$', '') AS cut FROM t),
+o AS (SELECT k, title, confidence, CASE WHEN length(cut) < 8 AND title LIKE '%Magazine | IEEE Xplore' THEN left(title, length(title) - 14) ELSE cut END AS cut FROM c),
+g AS (SELECT *, CASE confidence WHEN 'high' THEN length(cut) >= 8 WHEN 'low' THEN length(cut) >= 12 AND 4 <= length(title) * 0.5 ELSE false END AS good FROM o)
+SELECT k, CASE WHEN good THEN cut ELSE title END AS title, CASE WHEN good THEN confidence END AS confidence FROM g""")
+def title_tails(spark, d):
+    """Titles without the site names at their ends."""
+    read(spark, d, "part").createOrReplaceTempView("part_titles")
+    t = spark.sql(TAILED_SQL.replace("FROM part", "FROM part_titles"))
+    return t.select("k", sc.clean_title(F.col("title")).alias("title"), sc.title_tail(F.col("title"))["confidence"].alias("confidence"))
+
+
+@query("SELECT coalesce(nullif(source, 'src0'), '(none)') AS source, count(*) AS n, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def source_distribution(spark, d):
+    docs = read(spark, d, "documents").select(F.nullif("source", F.lit("src0")).alias("fulltext_src"), F.col("n_chars").alias("fulltext_chars"))
+    return vw.source_distribution(docs)

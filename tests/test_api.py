@@ -30,9 +30,10 @@ def kb(spark):
 
 
 def test_search_and_weights(kb):
-    got = {r.item_key: r for r in kb.search("alpha").collect()}
+    got = {r.item_key: r for r in kb.search("alpha", whole_documents=True).collect()}
+    assert [r.item_key for r in kb.search("alpha").collect()] == ["b"]
     assert set(got) == {"a", "b"} and got["b"].weight > got["a"].weight
-    assert [r.item_key for r in kb.search("alpha", year_from=2010).collect()] == ["a"]
+    assert [r.item_key for r in kb.search("alpha", year_from=2010, whole_documents=True).collect()] == ["a"]
     assert [r.item_key for r in kb.search("alpha", collection="Other").collect()] == ["b"]
 
 

@@ -296,9 +296,41 @@ def test_titles_and_json(spark):
     from marginalia.plans.search import any_known
 
     one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
-    assert one(sc.clean_title(F.lit("深度学习 (2).pdf"))) == "深度学习"
+    assert one(sc.clean_title(F.lit("Deep Learning Methods | IEEE Xplore"))) == "Deep Learning Methods" and one(sc.clean_title(F.lit("某某技术发展现状与展望-某某新闻网"))) == "某某技术发展现状与展望" and one(sc.clean_title(F.lit("A title | Some Site"))) == "A title | Some Site"
     assert one(sc.title_weight(F.lit("深a"))) == 3
     assert one(sc.recover_json(F.lit('```json\n{"a": 1}\n``` ok'))) == '{"a": 1}'
     assert one(sc.recover_json(F.lit("none"))) is None
     df = spark.createDataFrame([("学", 3)], "term string, df long")
     assert any_known([("学", 1.0)], df) and not any_known([("习", 1.0)], df) and any_known([("ab", 4.0)], df) and not any_known([], df)
+
+
+def test_keyword_recall(spark):
+    """Phrases first; by single characters where fewer than five chunks hold the phrase; bm25 breaks ties of coverage."""
+    from marginalia.plans.search import Search, diagnostics, keyword_route, phrase_terms, search, tokenize, wide_terms
+
+    assert tokenize('机器 "多神经 网络" foo-bar ｘ1') == [("cjk", "机"), ("cjk", "器"), ("quoted", "多神经 网络"), ("word", "foo-bar"), ("word", "x1")]
+    assert phrase_terms("机器学习 deep-learning") == [["机", "器", "学", "习"], ["deep", "learning"]]
+    assert wide_terms('"机器" a "c d"') == ([["机"], ["器"], ["a"], ["c", "d"]], [[0, 1], [2], [3]])
+    texts = ["机器学习的方法", "学习机器的方法", "机器 学习", "the deep-learning way", "deep sea learning", "deep learning deep learning", "器具"]
+    chunks = spark.createDataFrame([(i, f"k{i}", None, "body", t, 3 if i == 2 else 0, 0 if i == 5 else 1) for i, t in enumerate(texts)], "chunk_id long, item_key string, parent_id long, kind string, text string, depth int, level int")
+    found = {r.chunk_id: r for r in keyword_route(chunks, "机器学习").collect()}
+    assert set(found) == {0, 1, 2, 6} and found[0].rank == 1 and found[0].bm25 > 0
+    assert [r.chunk_id for r in keyword_route(chunks, "deep-learning").orderBy("rank").collect()] == [3]
+    assert keyword_route(chunks, "42 !") is None
+    none = spark.createDataFrame([], "item_key string, multiplier double")
+    parents = spark.createDataFrame([], "parent_id long, text string")
+    got = {r.item_key: r for r in search(chunks, None, chunks.select("item_key"), none, Search("机器学习"), parents=parents).collect()}
+    assert set(got) == {"k0", "k1", "k6"} and got["k0"].snippets and not got["k0"].truncated
+    assert "k2" in {r.item_key for r in search(chunks, None, chunks.select("item_key"), none, Search("机器学习", whole_documents=True)).collect()}
+    assert diagnostics(chunks, Search("机器学习"))["phrase_hits"] == 2
+
+
+def test_end_mark_before_a_question_is_ignored(spark):
+    ev = spark.createDataFrame([("s", 1, "end", ""), ("s", 2, "user", "q"), ("s", 3, "assistant", "a"), ("s", 4, "end", ""), ("s", 5, "user", "late")], "session string, seq long, kind string, text string")
+    assert rows(sessions.segments(ev).select("start_seq", "asked", "n_texts")) == [(2, "q", 1)]
+
+
+def test_long_merge_chains(spark):
+    edges = spark.createDataFrame([(f"k{i:04}", f"k{i + 1:04}") for i in range(150)] + [("a", "b"), ("b", "a")], "old_key string, new_key string")
+    got = {r.key: (r.root, r.status) for r in rl.resolve_merges(edges, spark.createDataFrame([("k0000",), ("a",), ("z",)], "key string")).collect()}
+    assert got == {"k0000": ("k0150", "ok"), "a": (None, "cycle"), "z": ("z", "ok")}
