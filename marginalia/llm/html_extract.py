@@ -31,6 +31,8 @@ DIMS = PATH_DIMS + WORD_DIMS + EXTRA
 HIDDEN = 16
 #: Blocks of text labelled at once: bounds the memory of a batch.
 LABEL_CELLS = 60_000
+#: Hashed paths kept while pages are read.
+KNOWN_PATHS = 1 << 14
 
 #: HTML elements that start a new block, those that hold no text, and void ones.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -66,17 +68,26 @@ def tag_end(page: str, at: int) -> int:
     return -1
 
 
-@lru_cache(maxsize=1 << 14)
-def _with_step(buckets: tuple[int, ...], steps: tuple[str, ...]) -> tuple[int, ...]:
+def _with_step(buckets: tuple[int, ...], steps: tuple[str, ...], known: dict) -> tuple[int, ...]:
+    if (buckets, steps) not in known:
+        if len(known) >= KNOWN_PATHS:
+            known.clear()
+        known[buckets, steps] = _hashed(buckets, steps)
+    return known[buckets, steps]
+
+
+def _hashed(buckets: tuple[int, ...], steps: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(sorted({*buckets, *(zlib.crc32(step.encode("utf-8", "replace")) % PATH_DIMS for step in steps)}))
 
 
-def leaf_blocks(page: str) -> list[tuple[tuple[int, ...], int, str, int]]:
+def leaf_blocks(page: str, known: dict | None = None) -> list[tuple[tuple[int, ...], int, str, int]]:
     """(hashed steps of the path, their number, text, characters in links) for each block with text, in page order.
 
     Character references are decoded and white space runs become one space. An unclosed element
     ends where an ancestor ends; comments, scripts, styles and the like have no text. A tag that never ends is text.
+    ``known`` keeps hashed paths from page to page.
     """
+    known = {} if known is None else known
     found: list[tuple[tuple[int, ...], int, str, int]] = []
     #: open elements: name, hashed steps down to it, number of these steps, number of open blocks
     stack: list[tuple[str, tuple[int, ...], int, int]] = []
@@ -159,7 +170,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[int, ...], int, str, int]]:
                 for m in ATTR.finditer(attributes):
                     steps += [f".{w}" for w in NAME.findall((m[1] or m[2] or m[3] or "").lower())]
             _, buckets, depth, blocks = stack[-1] if stack else ("", (), 0, 0)
-            stack.append((name, _with_step(buckets, tuple(steps)), depth + len(steps), blocks + (name in BLOCK)))
+            stack.append((name, _with_step(buckets, tuple(steps), known), depth + len(steps), blocks + (name in BLOCK)))
             open_names[name] += 1
             links += name == "a"
     flush()
@@ -448,7 +459,8 @@ def trained(pages: int = 1500, epochs: int = 6, seed: int = 11) -> Labeller:
 
 def extract(net: Labeller, pages: list[str | None]) -> list[str]:
     """The main text of each page: its article blocks, joined by newlines."""
-    blocks = [leaf_blocks(p or "") for p in pages]
+    known: dict = {}
+    blocks = [leaf_blocks(p or "", known) for p in pages]
     ends = np.cumsum([len(b) for b in blocks])
     labels = net.label(np.split(vectors([x for b in blocks for x in b]), ends[:-1]))
     return ["\n".join(text for (_, _, text, _), main in zip(b, y) if main) for b, y in zip(blocks, labels)]
