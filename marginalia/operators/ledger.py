@@ -114,3 +114,18 @@ def entry_views(ledger: DataFrame) -> DataFrame:
 def checkup_reason(outcome, evidence, keys):
     """Why an entry deserves a second look; empty if it doesn't."""
     return F.when(F.size(F.coalesce(keys, F.array().cast("array<string>"))) == 0, "no item").when(~F.coalesce(outcome, F.lit("")).isin("effective", "ineffective", "partial", "unknown"), "unknown outcome").when((outcome == "effective") & (F.trim(F.coalesce(evidence, F.lit(""))) == ""), "no evidence").otherwise("")
+
+
+def without_idle(weights: DataFrame) -> DataFrame:
+    """Weights without the rows that say nothing: no attempt, pin, outcome or manual part."""
+    zero = F.lit(True)
+    for c in ("attempts", *OUTCOMES):
+        zero = zero & (F.coalesce(c, F.lit(0)) <= 0)
+    for c in ("pinned", "manual"):
+        zero = zero & (F.coalesce(c, F.lit(0)) == 0)
+    return weights.where(~zero)
+
+
+def export_entries(ledger: DataFrame, path: str) -> None:
+    """The ledger as JSON lines, one file a partition; new_entries takes them back without repeats."""
+    ledger.write.mode("overwrite").json(path)

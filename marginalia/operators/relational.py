@@ -169,11 +169,27 @@ def edit_overlay(machine: DataFrame, edits: DataFrame, keys: list[str]) -> DataF
         *[c for c in machine.columns if c != "text"], F.coalesce("__text", "text").alias("text"), F.col("__text").isNotNull().alias("edited"), (F.col("__base").isNotNull() & (F.col("__base") != now)).alias("stale"))
 
 
-def parent_for_offset(children: DataFrame, parts: DataFrame, key: str) -> DataFrame:
-    """As-of join: for each child the last part of its section that starts at or before its offset."""
-    listed = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "part_id"))).alias("__parts"))
-    at = F.filter("__parts", lambda p: p["start"] <= F.col("offset"))
-    return children.join(listed, key, "left").withColumn("parent_part", F.get(at, F.size(at) - 1)["part_id"]).drop("__parts")
+def parent_for_offset(children: DataFrame, parts: DataFrame, key: str, ranges: int = 200) -> DataFrame:
+    """As-of join: for each child the last part of its section that starts at or before its offset (column
+    ``parent_part``; null without one). Of parts with one start the largest part_id counts.
+
+    One shuffle by (key, range of offsets): the ranges are quantiles of all offsets, so one key with a third of all
+    rows is dealt to many tasks. Each range begins with the last part of the ranges before it.
+    """
+    kids = children.select(F.col(key).alias("k"), F.col("offset").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(parts.schema["part_id"].dataType).alias("part"), F.struct(*[F.col(f"`{c}`") for c in children.columns]).alias("row"))
+    heads = parts.where(F.col(key).isNotNull() & F.col("start").isNotNull()).select(F.col(key).alias("k"), F.col("start").cast(children.schema["offset"].dataType).alias("at"), F.lit(0).alias("side"), F.col("part_id").alias("part"))
+    places = kids.select("at").union(heads.select("at"))
+    bounds = places.agg(F.percentile_approx("at", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    slot = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds))]), lambda x: x <= F.col("at"))) if bounds else F.lit(0)
+    kids, heads = kids.withColumn("slot", slot), heads.withColumn("slot", slot)
+    # at most one row for each key and range
+    last = heads.groupBy("k", "slot").agg(F.max(F.struct("at", "part")).alias("head"))
+    used = last.unionByName(kids.select("k", "slot").distinct(), allowMissingColumns=True).groupBy("k", "slot").agg(F.first("head", ignorenulls=True).alias("head"))
+    before = Window.partitionBy("k").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = used.withColumn("head", F.last("head", ignorenulls=True).over(before)).where("head IS NOT NULL").select("k", "slot", "head.at", F.lit(0).alias("side"), "head.part")
+    rows = kids.unionByName(heads, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    upto = Window.partitionBy("k", "slot").orderBy(F.col("at").asc_nulls_first(), "side", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("parent_part", F.last("part", ignorenulls=True).over(upto)).where("side = 1").select("row.*", "parent_part")
 
 
 def interval_iou(a: list[Column], b: list[Column]) -> Column:
@@ -227,3 +243,21 @@ def drop_running_headers(pages: DataFrame, key: str, page: str, text: str = "tex
     found = running_headers(pages, key, page, text).groupBy(key).agg(F.collect_list("pattern").alias("__bad"))
     kept = F.filter(F.split(F.col(text), "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), edge_form(x)))
     return pages.join(found, key, "left").withColumn(text, F.when(F.col("__bad").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__bad")
+
+
+def sync_extras(stored: DataFrame, parsed: DataFrame, key: str = "item_key", raw: str = "extra_raw") -> DataFrame:
+    """Stored extras after a sync: parsed rows replace those of their items, and an item whose extra is now blank has none."""
+    filled = parsed.where(F.trim(F.coalesce(raw, F.lit(""))) != "")
+    return upsert(stored.join(parsed.select(key).distinct(), key, "left_anti"), filled, [key])
+
+
+def sync_counts(stored: DataFrame, parsed: DataFrame, key: str = "item_key", raw: str = "extra_raw") -> DataFrame:
+    """One row (items, rows, cleared): items seen, rows written, and stored rows that went because the extra is blank."""
+    blank = F.trim(F.coalesce(F.col(raw), F.lit(""))) == ""
+    have = stored.select(key, F.lit(1).alias("__had")).distinct()
+    return parsed.join(have, key, "left").agg(F.count("*").alias("items"), F.count(F.when(~blank, 1)).alias("rows"), F.count(F.when(blank, F.col("__had"))).alias("cleared"))
+
+
+def current_vectors(vectors: DataFrame, model: str, last_model: str | None) -> DataFrame:
+    """Vectors that still count: all, unless the last build names another model; then only those of ``model``."""
+    return vectors.where(F.col("model") == model) if last_model and last_model != model else vectors

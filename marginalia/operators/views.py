@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -211,10 +213,17 @@ def figure_view(figures: DataFrame, clip: int = 400) -> DataFrame:
 
 
 def index_list(items: DataFrame) -> DataFrame:
-    """(kind, year, n, lines): items listed by type and year, years descending, blank last."""
-    one = F.struct("first_author", "item_key", F.concat(F.lit("- "), F.coalesce("first_author", F.lit("")), F.lit(": "), F.coalesce("title", F.lit(""))).alias("t"))
-    grouped = items.groupBy(F.col("item_type").alias("kind"), F.coalesce("year", F.lit("")).alias("year")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["t"]), "\n").alias("lines"))
-    return grouped.orderBy("kind", F.desc(F.col("year") != ""), F.desc("year"))
+    """(kind, year, n, first_author, item_key, line): items listed by type and year, years descending, blank last.
+
+    One row a line, in order: a type of very many items is never one string. ``n`` counts the items of the type and year.
+    """
+    kind, year = F.col("item_type").alias("kind"), F.coalesce("year", F.lit("")).alias("year")
+    line = F.concat(F.lit("- "), F.coalesce("first_author", F.lit("")), F.lit(": "), F.coalesce("title", F.lit("")))
+    counts = items.select(kind, year).groupBy("kind", "year").agg(F.count("*").alias("n"))
+    c = counts.select(F.col("kind").alias("__k"), F.col("year").alias("__y"), "n")
+    lines = items.select(kind, year, "first_author", "item_key", line.alias("line"))
+    joined = lines.join(c, F.col("kind").eqNullSafe(F.col("__k")) & (F.col("year") == F.col("__y")))
+    return joined.select("kind", "year", "n", "first_author", "item_key", "line").orderBy("kind", F.desc(F.col("year") != ""), F.desc("year"), "first_author", "item_key")
 
 
 def source_distribution(items: DataFrame) -> DataFrame:
@@ -254,3 +263,47 @@ def sync_actions(plan: DataFrame, live: DataFrame) -> DataFrame:
     want = plan.select(fold(F.col("name")).alias("name"), F.lit(True).alias("w")).distinct()
     n = F.coalesce("n", F.lit(0))
     return want.join(have, "name", "full_outer").select("name", F.when(F.col("w").isNull(), "unplanned").when(n == 0, "create").when(n == 1, "keep").otherwise("merge").alias("action"))
+
+
+def facet_keys(extras: DataFrame, kind: str = "", tag: str = "", codes: str = "", labels: dict[str, str] | None = None) -> DataFrame:
+    """(item_key): items whose extras meet every facet that is asked for.
+
+    ``kind`` equals source_kind, or is one of ``labels`` (code to label) for it; ``tag`` is a member of the comma list
+    publication_tag; each of ``codes`` begins some member of clc. Case doesn't count. Without the column that a
+    facet needs no item passes: a filter that can't be read is never taken for one that all meet.
+    """
+    lowered = kind.strip().lower()
+    want_kind = {v.lower(): k for k, v in (labels or {}).items()}.get(lowered, lowered)
+    want_codes = [c.upper() for c in re.split(r"[;；,，\s]+", codes) if c]
+    fold = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    members = lambda c, cut, fn: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), cut), lambda x: fn(F.trim(x)))
+    asked = [("source_kind", want_kind), ("publication_tag", tag.strip()), ("clc", want_codes)]
+    if any(want and c not in extras.columns for c, want in asked):
+        return extras.where(F.lit(False)).select("item_key")
+    keep = F.lit(True)
+    if want_kind:
+        keep = keep & (fold("source_kind") == want_kind)
+    if tag.strip():
+        keep = keep & F.array_contains(members("publication_tag", "[,，]", F.lower), tag.strip().lower())
+    begins = lambda code: lambda m: m.startswith(code)
+    for code in want_codes:
+        keep = keep & F.exists(members("clc", r"[;；,，\s]+", F.upper), begins(code))
+    return extras.where(keep).select("item_key").distinct()
+
+
+#: How captions and tables are written at the end of a page.
+CAPTIONS_HEAD, IMAGE_LINE, TABLE_LINE, TABLE_HEAD, TABLE_SIZE = "**本页图注**", "- 图：", "- 表：", "**本页表格 %d**", "（%d×%d）"
+
+
+def page_appends(captions: DataFrame, tables: DataFrame) -> DataFrame:
+    """(item_key, page, appended): markdown of a page's captions and tables, in order, for pages that have any.
+
+    captions: (item_key, page, seq, kind, text); tables: (item_key, page, seq, rows, cols, markdown). Texts from a
+    layout parser hold theirs already, so only those of the fallback source get these lines.
+    """
+    caps = captions.groupBy("item_key", "page").agg(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.when(F.col("kind") == "image", IMAGE_LINE).otherwise(TABLE_LINE), F.coalesce("text", F.lit(""))).alias("t")))).alias("c"))
+    tabs = tables.groupBy("item_key", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "rows", "cols", F.rtrim(F.coalesce("markdown", F.lit(""))).alias("t")))).alias("g"))
+    none = F.array().cast("array<string>")
+    lines = F.when(F.col("c").isNotNull(), F.concat(F.array(F.lit(CAPTIONS_HEAD)), F.transform("c", lambda s: s["t"]), F.array(F.lit("")))).otherwise(none)
+    grid = F.when(F.col("g").isNotNull(), F.flatten(F.transform("g", lambda s, i: F.array(F.concat(F.format_string(TABLE_HEAD, i + 1), F.format_string(TABLE_SIZE, s["rows"], s["cols"])), F.lit(""), s["t"], F.lit(""))))).otherwise(none)
+    return caps.join(tabs, ["item_key", "page"], "full_outer").select("item_key", "page", F.array_join(F.concat(lines, grid), "\n").alias("appended"))

@@ -65,26 +65,13 @@ def coverage_topk(spark, d):
     return coverage_route(read(spark, d, "documents"), UNITS, "doc_id", 50).select("doc_id", F.round("coverage", 6).alias("coverage"), "strong", "rank")
 
 
-@query(f"""WITH q AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(array_to_string(string_split(text, ' ')[1:8], ' '), '[A-Za-z][A-Za-z0-9_\\-]{{0,30}}'), lambda x: lower(x)))) AS unit FROM benchmark),
-t AS (SELECT item_id, sum(length(unit) * length(unit)) AS total FROM q GROUP BY item_id),
-h AS (SELECT item_id, doc_id, sum(length(unit) * length(unit)) AS hit, count(*) FILTER (WHERE length(unit) >= 2) AS strong FROM ({TERMS_SQL}) p JOIN q ON p.term = q.unit GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, round(CAST(hit AS DOUBLE) / total, 6) AS coverage, CAST(strong AS INTEGER) AS strong FROM h JOIN t USING (item_id)
-QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY CAST(hit AS DOUBLE) / total DESC, doc_id) <= 5""")
-def query_coverage(spark, d):
-    words = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-    asks = read(spark, d, "benchmark").select("item_id", words.alias("query"))
-    out = rt.query_coverage(read(spark, d, "documents"), asks, "doc_id", "text", "item_id")
-    w = Window.partitionBy("item_id").orderBy(F.desc("coverage"), "doc_id")
-    return out.withColumn("r", F.row_number().over(w)).where("r <= 5").select("item_id", "doc_id", F.round("coverage", 6).alias("coverage"), "strong")
-
-
 @query(f"""WITH q AS (SELECT item_id, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9_\\-]{{0,30}}|[一-鿿]'), lambda x: lower(x)))) AS unit FROM benchmark),
 t AS (SELECT item_id, sum(length(unit) * length(unit)) AS total FROM q GROUP BY item_id),
 h AS (SELECT item_id, doc_id, sum(length(unit) * length(unit)) AS hit, count(*) FILTER (WHERE length(unit) >= 2) AS strong FROM ({TERMS_SQL}) p JOIN q ON p.term = q.unit GROUP BY item_id, doc_id)
 SELECT item_id, doc_id, round(CAST(hit AS DOUBLE) / total, 6) AS coverage, CAST(strong AS INTEGER) AS strong FROM h JOIN t USING (item_id)
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY CAST(hit AS DOUBLE) / total DESC, doc_id) <= 5""")
-def query_coverage_whole(spark, d):
-    """The same with the whole text of each item as its query."""
+def query_coverage(spark, d):
+    """Coverage of every document by each benchmark item, whose whole text is the query; the five best documents of each."""
     asks = read(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
     out = rt.query_coverage(read(spark, d, "documents"), asks, "doc_id", "text", "item_id")
     w = Window.partitionBy("item_id").orderBy(F.desc("coverage"), "doc_id")
@@ -252,9 +239,10 @@ def ledger_renumber(spark, d):
 
 @query("SELECT p_partkey, p_brand, p_type FROM part WHERE list_contains(list_transform(string_split(p_name, ' '), lambda x: lower(x)), 'widget') AND len(list_filter(string_split(p_brand, '#'), lambda x: starts_with(x, '1'))) > 0 AND p_type = 'ECONOMY'")
 def facet_filter(spark, d):
-    tags, codes = F.split("p_name", " "), F.split("p_brand", "#")
-    keep = F.exists(tags, lambda x: F.lower(x) == "widget") & F.forall(F.array(F.lit("1")), lambda want: F.exists(codes, lambda x: x.startswith(want))) & (F.col("p_type") == "ECONOMY")
-    return read(spark, d, "part").where(keep).select("p_partkey", "p_brand", "p_type")
+    p = read(spark, d, "part")
+    extras = p.select(F.col("p_partkey").alias("item_key"), F.col("p_type").alias("source_kind"), F.translate("p_name", " ", ",").alias("publication_tag"), F.translate("p_brand", "#", ";").alias("clc"))
+    keys = vw.facet_keys(extras, kind="cheap", tag="Widget", codes="1", labels={"economy": "Cheap"}).withColumnRenamed("item_key", "p_partkey")
+    return p.join(keys, "p_partkey", "left_semi").select("p_partkey", "p_brand", "p_type")
 
 
 @query("SELECT o_orderkey FROM orders WHERE year(o_orderdate) >= 1997 AND year(o_orderdate) <= 1998")
@@ -572,9 +560,25 @@ def unclassified(spark, d):
     return rl.missing(docs, docs.where("lang IN ('en', 'de')").select("doc_id"), "doc_id").groupBy("source").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
-@query()
+WHITE = "[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x85]"
+
+
+def _stop_sql(at: str) -> str:
+    """Where a child window that starts at ``at`` ends: after a sentence, if one ends soon enough."""
+    low = f"CAST({at} + {ck.CHILD_TARGET} - 1 AS BIGINT)"
+    rest = f"substring(text, {low} + 1, 400)"
+    found = f"regexp_extract({rest}, '[。！？；!?;]{WHITE}*')"
+    end = f"{low} + strpos({rest}, {found}) - 1 + length({found})"
+    return f"CAST(CASE WHEN {at} + {ck.CHILD_TARGET} >= length(text) THEN length(text) WHEN {found} <> '' AND {end} <= {at} + {ck.CHILD_TARGET + ck.CHILD_OVERLAP} THEN {end} ELSE {at} + {ck.CHILD_TARGET} END AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, {_stop_sql("0")} AS b FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, a, {_stop_sql("a")} FROM (SELECT r.doc_id, greatest(b - {ck.CHILD_OVERLAP}, r.a + 1) AS a, text FROM r JOIN documents d ON d.doc_id = r.doc_id WHERE b < length(text))),
+p AS (SELECT r.doc_id, a, length(regexp_replace(substring(text, a + 1, b - a), '^{WHITE}+|{WHITE}+$', '', 'g')) AS n FROM r JOIN documents d ON d.doc_id = r.doc_id),
+k AS (SELECT doc_id, a, n FROM p WHERE n >= {ck.CHILD_MIN} UNION ALL SELECT doc_id, 0, length(regexp_replace(text, '^{WHITE}+|{WHITE}+$', '', 'g')) FROM documents WHERE regexp_matches(text, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]') AND doc_id NOT IN (SELECT doc_id FROM p WHERE n >= {ck.CHILD_MIN}))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS seq, CAST(a AS INTEGER) AS "offset", CAST(n AS INTEGER) AS n_chars FROM k""")
 def chunk_windows(spark, d):
-    """Child windows: sequential, so held against their properties in tests."""
+    """Child windows of whole texts."""
     return read(spark, d, "documents").select("doc_id", F.posexplode(ck.child_chunks(F.col("text"))).alias("seq", "c")).select("doc_id", "seq", "c.offset", F.length("c.text").alias("n_chars"))
 
 
@@ -593,7 +597,12 @@ def document_sections(spark, d):
     return ck.sectionize(_pages(spark, d), "doc_id").select("doc_id", "seq", "level", "kind", F.length("text").alias("n_chars"))
 
 
-@query()
+SCAN_SQL = HEALTH_SQL[:HEALTH_SQL.index(",\nr AS (")] + f""",
+r AS (SELECT doc_id, shift, CASE WHEN n > 0 THEN c / n ELSE 0 END AS ratio FROM (SELECT doc_id, shift, {COMMON_SQL} AS c, len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) AS n FROM m))
+SELECT doc_id, CAST(CASE WHEN ratio > 0 THEN shift ELSE 0 END AS INTEGER) AS shift, round(ratio, 6) AS ratio FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ratio DESC, shift) = 1"""
+
+
+@query(SCAN_SQL)
 def shift_scan(spark, d):
     """Caesar shifts of the documents that look unreadable."""
     t = F.col("text")
@@ -646,10 +655,10 @@ def item_info(spark, d):
     return vw.item_info(c.select("item_key"), c.where("item_key % 3 <> 0"), chunks).select("item_key", "in_kb", "title", "n_chunks")
 
 
-@query("SELECT o_orderstatus AS kind, CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) AS n, md5(string_agg('- ' || o_orderpriority || ': ' || CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderpriority, o_orderkey)) AS lines_md5 FROM orders GROUP BY 1, 2")
+@query("SELECT o_orderstatus AS kind, CAST(year(o_orderdate) AS VARCHAR) AS year, count(*) OVER (PARTITION BY o_orderstatus, year(o_orderdate)) AS n, '- ' || o_orderpriority || ': ' || CAST(o_orderkey AS VARCHAR) AS line FROM orders")
 def index_list(spark, d):
     o = read(spark, d, "orders").select(F.col("o_orderstatus").alias("item_type"), F.date_format("o_orderdate", "yyyy").alias("year"), F.col("o_orderpriority").alias("first_author"), F.col("o_orderkey").alias("item_key"), F.col("o_orderkey").cast("string").alias("title"))
-    return vw.index_list(o).select("kind", "year", "n", F.md5("lines").alias("lines_md5"))
+    return vw.index_list(o).select("kind", "year", "n", "line")
 
 
 @query("SELECT c_custkey, 'Customer' || chr(10) AS head, CAST(sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS n_apply, CAST(sum(CASE WHEN o_orderstatus = 'F' AND o_orderpriority LIKE '1%' THEN 0 ELSE 1 END) AS BIGINT) AS n_excluded FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -658,7 +667,7 @@ def metadata_plan(spark, d):
     return vw.metadata_plan(o, ["title"]).select(F.col("item").alias("c_custkey"), F.lit("Customer\n").alias("head"), "n_apply", "n_excluded")
 
 
-@query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 2")
+@query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 2")
 def newest_per_group(spark, d):
     return vw.newest(read(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", 2)
 
@@ -743,3 +752,35 @@ def title_tails(spark, d):
 def source_distribution(spark, d):
     docs = read(spark, d, "documents").select(F.nullif("source", F.lit("src0")).alias("fulltext_src"), F.col("n_chars").alias("fulltext_chars"))
     return vw.source_distribution(docs)
+
+
+@query("SELECT c_custkey AS item_key, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE 'old' END AS extra_raw FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 2 <> 0 AND c_custkey % 5 = 0 AND c_custkey % 3 <> 0")
+def extras_sync(spark, d):
+    """Stored extras of even keys; a sync brings multiples of five anew and multiples of three blank."""
+    keys = read(spark, d, "customer").select(F.col("c_custkey").alias("item_key"))
+    parsed = keys.where("item_key % 5 = 0 OR item_key % 3 = 0").withColumn("extra_raw", F.when(F.col("item_key") % 3 == 0, " ").otherwise("new"))
+    return rl.sync_extras(keys.where("item_key % 2 = 0").withColumn("extra_raw", F.lit("old")), parsed)
+
+
+@query("SELECT count(*) AS items, count(*) FILTER (WHERE c_custkey % 3 <> 0) AS rows, count(*) FILTER (WHERE c_custkey % 6 = 0) AS cleared FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0")
+def extras_sync_counts(spark, d):
+    keys = read(spark, d, "customer").select(F.col("c_custkey").alias("item_key"))
+    parsed = keys.where("item_key % 5 = 0 OR item_key % 3 = 0").withColumn("extra_raw", F.when(F.col("item_key") % 3 == 0, "").otherwise("new"))
+    return rl.sync_counts(keys.where("item_key % 2 = 0"), parsed)
+
+
+@query(f"SELECT user_id, effective, pinned FROM ({LEDGER_SQL}) WHERE effective > 0 OR ineffective > 0 OR partial > 0 OR pinned > 0")
+def idle_weights(spark, d):
+    """Weights without those that say nothing; attempts are left out here, so that some do."""
+    return lg.without_idle(_weights(spark, d).withColumn("attempts", F.lit(0))).select("user_id", "effective", "pinned")
+
+
+@query("""SELECT coalesce(c.conv_id, t.conv_id) AS conv_id, md5(coalesce(c.x, '') || CASE WHEN c.x IS NOT NULL AND t.x IS NOT NULL THEN chr(10) ELSE '' END || coalesce(t.x, '')) AS md FROM
+(SELECT conv_id, '**本页图注**' || chr(10) || string_agg(CASE WHEN role = 'user' THEN '- 图：' ELSE '- 表：' END || text, chr(10) ORDER BY turn) || chr(10) AS x FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id) c FULL JOIN
+(SELECT conv_id, string_agg('**本页表格 ' || k || '**（' || turn || '×' || length(role) || '）' || chr(10) || chr(10) || rtrim(text, ' ') || chr(10), chr(10) ORDER BY turn) AS x FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn % 3 = 0) GROUP BY conv_id) t ON c.conv_id = t.conv_id""")
+def page_appends(spark, d):
+    """Turns as captions and tables of their conversation's page."""
+    c = read(spark, d, "conversations").withColumn("item_key", F.col("conv_id")).withColumn("page", F.lit(1)).withColumn("seq", F.col("turn"))
+    caps = c.where("turn % 2 = 0").withColumn("kind", F.when(F.col("role") == "user", "image").otherwise("table"))
+    tabs = c.where("turn % 3 = 0").select("item_key", "page", "seq", F.col("turn").alias("rows"), F.length("role").alias("cols"), F.col("text").alias("markdown"))
+    return vw.page_appends(caps, tabs).select(F.col("item_key").alias("conv_id"), F.md5("appended").alias("md"))

@@ -12,6 +12,7 @@ from marginalia.operators import extraction as ex
 from marginalia.operators import ledger as lg
 from marginalia.operators import relational as rl
 from marginalia.operators import retrieval as rt
+from marginalia.operators import views as vw
 from marginalia.plans.search import Search, search
 from marginalia.sources import files, library
 from marginalia.streaming import sessions
@@ -173,7 +174,7 @@ def test_query_coverage_of_whole_items(spark, tmp_path):
 
     spark.createDataFrame([(1, "aa bb cc dd ee ff gg hh late later")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, "aa"), (2, "late later")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.coverage, r.strong) for r in q.QUERIES["query_coverage_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.coverage, r.strong) for r in q.QUERIES["query_coverage"](spark, str(tmp_path)).collect()}
     assert got == {1: (round(4 / 73, 6), 1), 2: (round(41 / 73, 6), 2)}
 
 
@@ -334,3 +335,46 @@ def test_long_merge_chains(spark):
     edges = spark.createDataFrame([(f"k{i:04}", f"k{i + 1:04}") for i in range(150)] + [("a", "b"), ("b", "a")], "old_key string, new_key string")
     got = {r.key: (r.root, r.status) for r in rl.resolve_merges(edges, spark.createDataFrame([("k0000",), ("a",), ("z",)], "key string")).collect()}
     assert got == {"k0000": ("k0150", "ok"), "a": (None, "cycle"), "z": ("z", "ok")}
+
+
+def test_parent_for_offset_hot_key_ties_and_nulls(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = [("hot" if i % 3 else f"k{i % 7}", rng.randrange(400), i) for i in range(300)] + [("hot", None, 900), (None, 3, 901)]
+    kids = [("hot" if i % 2 else f"k{i % 9}", rng.choice([None, *range(-5, 420)]), i) for i in range(500)] + [(None, 7, 950), ("alone", 7, 951)]
+    want = {i: max(((s, p) for k2, s, p in parts if k is not None and k2 == k and s is not None and at is not None and s <= at), default=(0, None))[1] for k, at, i in kids}
+    c = spark.createDataFrame(kids, "sec string, offset int, side int")
+    p = spark.createDataFrame(parts, "sec string, start int, part_id int")
+    for ranges in (200, 3):
+        out = rl.parent_for_offset(c, p, "sec", ranges)
+        assert out.columns == ["sec", "offset", "side", "parent_part"]
+        assert {r.side: r.parent_part for r in out.collect()} == want
+    assert [r.parent_part for r in rl.parent_for_offset(c, p.limit(0), "sec").collect()] == [None] * len(kids)
+    assert rl.parent_for_offset(c.limit(0), p, "sec").count() == 0
+
+
+def test_subtree_texts(spark):
+    rows = [("d", 0, 1, " A "), ("d", 1, 2, ""), ("d", 2, 3, "B"), ("d", 3, 2, "CC"), ("d", 4, 1, None), ("e", 0, 2, "x")]
+    got = {(r.k, r.seq): (r.text, [tuple(o) for o in r.offsets]) for r in ck.subtree_texts(spark.createDataFrame(rows, "k string, seq int, level int, text string"), "k").collect()}
+    assert got[("d", 0)] == ("A\n\nB\n\nCC", [(0, 0), (1, 1), (2, 3), (3, 6)])
+    assert got[("d", 1)] == ("B", [(1, 0), (2, 0)])
+    assert got[("d", 4)] == ("", [(4, 0)]) and got[("e", 0)] == ("x", [(0, 0)])
+
+
+def test_facet_keys(spark):
+    rows = [("a", "Thesis", "EI，CSCD", "TP391.9; O1"), ("b", "thesis", "EIA", "tp3"), ("c", None, None, None)]
+    x = spark.createDataFrame(rows, "item_key string, source_kind string, publication_tag string, clc string")
+    keys = lambda **k: {r.item_key for r in vw.facet_keys(x, **k).collect()}
+    assert keys(kind="学位论文", labels={"thesis": "学位论文"}) == {"a", "b"}
+    assert keys(tag="ei") == {"a"} and keys(codes="TP3") == {"a", "b"} and keys(codes="tp39, o") == {"a"} and keys() == {"a", "b", "c"}
+    assert vw.facet_keys(x.drop("clc"), codes="TP").count() == 0 and vw.facet_keys(x.drop("clc"), tag="EI").count() == 1
+
+
+def test_extras_vectors_and_ledger_upkeep(spark, tmp_path):
+    v = spark.createDataFrame([(1, "m"), (2, "n")], "chunk_id int, model string")
+    assert rl.current_vectors(v, "m", "n").count() == 1 and rl.current_vectors(v, "m", None).count() == rl.current_vectors(v, "m", "m").count() == 2
+    led = spark.createDataFrame([("q", "m", "effective"), ("q", None, "partial")], "asked string, method string, outcome string")
+    lg.export_entries(led, str(tmp_path / "out"))
+    back = spark.read.schema(led.schema).json(str(tmp_path / "out"))
+    assert back.count() == 2 and lg.new_entries(back, led).count() == 0
