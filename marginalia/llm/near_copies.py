@@ -172,29 +172,37 @@ def _large_clusters(width: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, pivots, nodes, sets = None, None, [], []
+        out: tuple[list[int], list[bool]] = ([], [])
 
-        def settled(part: int) -> tuple[list[int], list[bool]]:
+        def settled() -> Pivots:
+            """The group's pivots. What becomes of them goes out once, with part 0."""
             found = Pivots(sets, least)
-            return found, (list(nodes), found.gone.tolist()) if part == 0 else ([], [])
+            if group[1] == 0:
+                out[0].extend(nodes)
+                out[1].extend(found.gone.tolist())
+            return found
 
         for batch in batches:
-            out: tuple[list[int], list[bool]] = ([], [])
             for root, part, place, node, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4).cast(pa.binary()).to_pylist()):
                 if (root, part) != group:
+                    if group and group[1] == 0 and pivots is None:  # no other row was dealt to it
+                        settled()
                     group, pivots, nodes, sets = (root, part), None, [], []
                 if place <= PIVOTS:
                     nodes.append(node)
                     sets.append(shingles(text, width))
                     continue
                 if pivots is None:
-                    pivots, (who, gone) = settled(part)
-                    out[0].extend(who)
-                    out[1].extend(gone)
+                    pivots = settled()
                 if pivots.similar(shingles(text, width)):
                     out[0].append(node)
                     out[1].append(True)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_())], names=["node", "gone"])
+                out = ([], [])
+        if group and group[1] == 0 and pivots is None:
+            settled()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_())], names=["node", "gone"])
 
     return run
 

@@ -583,6 +583,16 @@ def test_near_copies_of_large_clusters(spark, monkeypatch):
     assert plain(got.select("doc_id", "text")) == sorted(brute.without_near_copies(docs), key=repr)
 
 
+def test_pivots_are_decided_without_other_rows():
+    """Part 0 of a large cluster may get the pivots alone; they are decided all the same, or the search would never end."""
+    base, other = prose(100, 41), prose(100, 42)
+    pivots = [(1, 10, base), (2, 11, edited(base, 1, 3))]
+    rows = [(1, part, place, node, text) for part in (0, 1) for place, node, text in pivots] + [(1, 1, near_copies.PIVOTS + 1, 12, other), (1, 1, near_copies.PIVOTS + 1, 13, edited(base, 1, 4)), (2, 0, 1, 20, other)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["root", "part", "place", "node", "text"])
+    found = pa.Table.from_batches(near_copies._large_clusters(5, 0.8)(iter([batch]))).to_pylist()
+    assert {(x["node"], x["gone"]) for x in found} == {(10, False), (11, True), (13, True), (20, False)} and len(found) == 4
+
+
 def test_near_dedup_stage_applies_simhash_first(spark):
     import corpus_pipeline as cp
 
