@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.ann import nearest
+from marginalia.llm.collocations import collocations
 from marginalia.llm.decontamination import contamination
 from marginalia.llm.html_extract import extract_text, text_length
 from marginalia.llm.language_id import identify_language, learn_dictionaries
 from marginalia.llm.line_dedup import dedup_lines
 from marginalia.llm.mixing import mix_documents
+from marginalia.llm.periodic_runs import periodic_runs
+from marginalia.llm.pii import KINDS, personal_data
 from marginalia.llm.shared import held_out, table
 from marginalia.llm.simhash import near_duplicates
 from marginalia.llm.substring_dedup import repeated_spans
@@ -71,8 +74,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("__id", "__text")
 
 
+def replayed(docs: DataFrame) -> DataFrame:
+    """The texts that op11's contract searches: where crc32 of the id ends in 0, words from g % n on repeat with a period."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    hot = docs.where(hashed % 10 == 0).select("doc_id", words.alias("w"), F.floor(hashed / 10).alias("g")).withColumn("n", F.size("w"))
+    at = hot.withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = at.select("doc_id", F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')").alias("text"))
+    return docs.where(F.coalesce(hashed % 10 != 0, F.lit(True))).select("doc_id", "text").unionByName(again)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(replayed(table(spark, sf_dir, "documents")))
+    greater = "x.length * best.period > best.length * x.period"  # of equal ones the first by start and period stays
+    best = F.expr(f"aggregate(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (best, x) -> if(best is null or {greater}, x, best))")
+    listed = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda name: F.expr(f"array_join(transform({name}, x -> concat(x.kind, ':', x.start, ':', x.end)), ',')")
+    counts = [F.expr(f"cast(size(filter(base_spans, x -> x.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_warc, op3_mixing, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_html_extraction, op8_language_id, op9_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_ann, op2_warc, op3_mixing, op4_line_dedup, op5_substring_dedup, op6_toxicity, op7_html_extraction, op8_language_id, op9_simhash, op10_decontamination, op11_periodic_runs, op12_collocations, op13_pii)}
 
 
 WARC_SQL = r"""
@@ -166,5 +201,33 @@ SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(
 """
 
 
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM words, range(1, 6) t(k) WHERE len(w) >= k)
+), counts AS (SELECT lang, k AS size, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (SELECT lang, size, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 100
+), inside AS (
+  SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, w, f, k, unnest(range(1, size - k + 2)) AS s FROM candidates, range(2, 5) t(k) WHERE k < size) GROUP BY ALL
+), own AS (
+  SELECT c.* FROM candidates c LEFT JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.f
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:], ' ') AS p2 FROM (SELECT *, unnest(range(1, size)) AS k FROM own)
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.p1 JOIN counts y ON y.lang = c.lang AND y.phrase = c.p2 JOIN totals t ON t.lang = c.lang
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op3_mixing": MIXING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op10_decontamination": DECONTAMINATION_SQL}
+    return {"op2_warc": WARC_SQL, "op3_mixing": MIXING_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op10_decontamination": DECONTAMINATION_SQL, "op12_collocations": COLLOCATIONS_SQL}
