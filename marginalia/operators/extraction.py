@@ -9,18 +9,12 @@ from pyspark.sql.window import Window
 from marginalia.functions import scalars as sc
 from marginalia.functions import text as tx
 
-#: Markers of document families, and of what a date means.
+#: Markers of document families.
 FAMILIES = {
     "thesis": (r"学位论文", r"(?i)\bthesis\b", r"(?i)\bdissertation\b", r"指导教师|导师"),
     "conference": (r"(?i)\bproceedings\b", r"(?i)\bconference\b", r"(?i)\bsymposium\b", r"会议"),
     "journal": (r"(?i)\bjournal\b", r"(?i)\bvol\.?\s*\d+", r"(?i)\bissn\b", r"学报|期刊"),
 }
-DATE_KINDS = (("received", r"(?i)received|收稿"), ("revised", r"(?i)revised|修回"), ("accepted", r"(?i)accepted|录用"), ("online", r"(?i)online|网络"), ("published", r"(?i)published|出版|发表"))
-VOLUME_PATTERNS = (
-    r"(?i)\bvol(?:ume)?\.?\s*(\d{1,4})\s*,?\s*(?:no|issue)\.?\s*(\d{1,4})\s*,?\s*(?:pp?\.?\s*)?(\d{1,6}(?:\s*[-–]\s*\d{1,6})?)?",
-    r"第\s*(\d{1,4})\s*卷\s*第?\s*(\d{1,4})\s*期()",
-    r"\b(\d{1,4})\s*[(（](\d{1,4})[)）]\s*[:：]\s*(\d{1,6}(?:\s*[-–]\s*\d{1,6})?)",
-)
 
 
 def extract_doi(text: Column) -> Column:
@@ -31,24 +25,6 @@ def extract_doi(text: Column) -> Column:
     return sc.normalize_doi(F.coalesce(F.nullif(strict, F.lit("")), loose))
 
 
-def volume_issue_pages(text: Column) -> Column:
-    """struct(volume, issue, pages) by the first pattern that matches."""
-    t, out = F.coalesce(text, F.lit("")), None
-    for p in VOLUME_PATTERNS:
-        found = F.struct(*[F.nullif(F.regexp_replace(F.regexp_extract(t, p, i), r"\s*[-–]\s*", "-"), F.lit("")).alias(n) for i, n in ((1, "volume"), (2, "issue"), (3, "pages"))])
-        out = F.when(t.rlike(p), found) if out is None else out.when(t.rlike(p), found)
-    return out
-
-
-def dated(text: Column) -> Column:
-    """struct(kind, date): the first date whose 20 characters before it name what it is, by rank of the kind."""
-    t, tried = F.coalesce(text, F.lit("")), []
-    for kind, marker in DATE_KINDS:
-        window = F.regexp_extract(t, rf"((?:{marker}).{{0,20}}?(?:19|20)\d{{2}}[^a-zA-Z]{{0,8}})", 1)
-        tried.append(F.when(window != "", F.struct(F.lit(kind).alias("kind"), sc.partial_date(window).alias("date"))))
-    return F.coalesce(*tried)
-
-
 def document_family(text: Column) -> Column:
     """struct(family, sure): the family with most distinct markers; ties go conference, journal, thesis; sure if it alone has two or more."""
     n = {f: sum((F.coalesce(text, F.lit("")).rlike(p).cast("int") for p in ps), F.lit(0)) for f, ps in FAMILIES.items()}

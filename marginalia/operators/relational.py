@@ -97,22 +97,37 @@ def reference_status(keys: DataFrame, items: DataFrame, merges: DataFrame, tombs
     return j.select("key", status.alias("status"), F.when(live, F.col("root")).alias("target"))
 
 
+#: Members of a group that are compared at once.
+MEMBERS_A_PART = 10_000
+
+
 def overlap_pairs(members: DataFrame, group: str, member: str, min_ratio: float = 0.6) -> DataFrame:
     """(a, b, shared, ratio): groups that share at least ``min_ratio`` of the smaller one, each pair once.
 
-    Prefix filtering: with members ordered by rarity, a partner of at least the same size must hold
-    one of the smaller group's first n - ceil(ratio x n) + 1 members. Only those are joined, so a
-    member of very many groups pairs them only where rarer ones don't decide; candidates are then
-    counted by equi-joins.
+    Prefix filtering: with members ordered by rarity, the first one that two such groups share stands early enough in
+    both for the rest to make up the share, ceil(ratio x n). Only such places are joined, so a member of very many groups
+    pairs them only where rarer ones don't decide. Candidates then meet once, with their members as arrays of at most about
+    MEMBERS_A_PART each: larger groups are cut by a hash of the member. A hot member's rows are a skewed join, which
+    adaptive execution splits.
     """
     m = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g IS NOT NULL AND m IS NOT NULL").distinct()
-    sizes = m.groupBy("g").agg(F.count("*").alias("n"))
-    sized = m.join(sizes, "g")
-    ranked = sized.join(m.groupBy("m").agg(F.count("*").alias("df")), "m").withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("df", "m")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * min_ratio - 1e-9) + 1).select(F.col("g").alias("s"), F.col("n").alias("ns"), "m")
-    partner = sized.select(F.col("g").alias("t"), F.col("n").alias("nt"), "m")
-    pairs = prefix.join(partner, "m").where("s <> t AND (ns < nt OR ns = nt AND s < t)").select("s", "t", "ns").distinct()
-    counted = pairs.join(m.select(F.col("g").alias("s"), "m"), "s").join(m.select(F.col("g").alias("t"), "m"), ["t", "m"]).groupBy("s", "t", "ns").agg(F.count("*").alias("shared"))
+    df = m.groupBy("m").agg(F.count("*").alias("df"))
+    of = Window.partitionBy("g")
+    ranked = m.join(df, "m").withColumns({"n": F.count("*").over(of), "r": F.row_number().over(of.orderBy("df", "m"))})
+    need = F.ceil(F.col("ns") * min_ratio - 1e-9)
+    early = ranked.select(F.col("g").alias("s"), F.col("n").alias("ns"), F.col("r").alias("rs"), "m").where(F.col("ns") - F.col("rs") + 1 >= need)
+    other = ranked.select(F.col("g").alias("t"), F.col("n").alias("nt"), F.col("r").alias("rt"), "m")
+    met = early.join(other, "m").where((F.col("nt") - F.col("rt") + 1 >= need) & F.expr("s <> t AND (ns < nt OR ns = nt AND s < t)"))
+    # of several places that two groups share only the first decides, and what can follow it
+    pairs = met.groupBy("s", "t").agg(F.first("ns").alias("ns"), F.first("nt").alias("nt"), F.min("rs").alias("rs"), F.min("rt").alias("rt"))
+    pairs = pairs.where(1 + F.least(F.col("ns") - F.col("rs"), F.col("nt") - F.col("rt")) >= need).select("s", "t", "ns")
+    largest = m.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-largest // MEMBERS_A_PART) or 1
+    part = F.pmod(F.xxhash64("m"), F.lit(parts)) if parts > 1 else F.lit(0)
+    listed = m.groupBy("g", part.alias("p")).agg(F.collect_list("m").alias("ms"))
+    meet = pairs.join(listed.select(F.col("g").alias("s"), "p", F.col("ms").alias("__s")), "s").join(listed.select(F.col("g").alias("t"), "p", F.col("ms").alias("__t")), ["t", "p"])
+    shared = meet.select("s", "t", "ns", F.size(F.array_intersect("__s", "__t")).cast("long").alias("shared"))
+    counted = shared.groupBy("s", "t", "ns").agg(F.sum("shared").alias("shared")) if parts > 1 else shared
     ratio = F.col("shared") / F.col("ns")
     return counted.where(ratio >= min_ratio).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "shared", ratio.alias("ratio"))
 

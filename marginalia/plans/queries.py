@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 from marginalia.functions import scalars as sc
 from marginalia.functions import text as tx
 from marginalia.operators import chunking as ck
+from marginalia.operators import edits as ed
 from marginalia.operators import extraction as ex
 from marginalia.operators import ledger as lg
+from marginalia.operators import metadata as md
 from marginalia.operators import outline as ol
 from marginalia.operators import relational as rl
 from marginalia.operators import retrieval as rt
@@ -350,11 +352,12 @@ def running_headers(spark, d):
     return rl.running_headers(_pages(spark, d), "doc_id", "page").select("doc_id", F.md5("pattern").alias("pattern_md5"), "n")
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS g, CAST(year(o_orderdate) AS VARCHAR) || o_orderpriority AS m FROM orders), z AS (SELECT g, count(*) AS n FROM m GROUP BY g)
+@query("""WITH m AS (SELECT DISTINCT l_suppkey * 12 + month(l_shipdate) AS g, l_partkey AS m FROM lineitem), z AS (SELECT g, count(*) AS n FROM m GROUP BY g)
 SELECT x.g AS a, y.g AS b, count(*) AS shared, round(count(*) / least(max(za.n), max(zb.n)), 6) AS ratio FROM m x JOIN m y ON x.m = y.m AND x.g < y.g JOIN z za ON za.g = x.g JOIN z zb ON zb.g = y.g GROUP BY x.g, y.g HAVING count(*) / least(max(za.n), max(zb.n)) >= 0.6""")
 def overlap_pairs(spark, d):
-    orders = read(spark, d, "orders").select("o_custkey", F.concat(F.date_format("o_orderdate", "yyyy"), "o_orderpriority").alias("kind"))
-    return rl.overlap_pairs(orders, "o_custkey", "kind").withColumn("ratio", F.round("ratio", 6))
+    """Suppliers' months that sell the same parts."""
+    sold = read(spark, d, "lineitem").select((F.col("l_suppkey") * 12 + F.month("l_shipdate")).alias("g"), "l_partkey")
+    return rl.overlap_pairs(sold, "g", "l_partkey").withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""WITH n AS (SELECT DISTINCT lower(trim(x)) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part UNION ALL SELECT p_name FROM part) WHERE length(trim(x)) > 0)
@@ -694,9 +697,9 @@ def document_outlines(spark, d):
     return ol.document_outlines(blocks, "doc_id").select("doc_id", "seq", "page_from", "page_to", F.length("text").alias("n_chars"), "fp")
 
 
-@query("SELECT p_partkey, trim(p_name) AS title, length(p_name) AS width, lower(regexp_replace(p_name, '[^\\p{L}\\p{N}]+', '', 'g')) AS plain FROM part")
+@query("SELECT p_partkey, CASE WHEN length(trim(p_name)) >= 8 THEN trim(p_name) ELSE p_name || ' | IEEE Xplore' END AS title, length(p_name) AS width, lower(regexp_replace(p_name, '[^\\p{L}\\p{N}]+', '', 'g')) AS plain FROM part")
 def title_forms(spark, d):
-    decorated = F.concat("p_name", F.lit(" (2).pdf"))
+    decorated = F.concat("p_name", F.lit(" | IEEE Xplore"))
     return read(spark, d, "part").select("p_partkey", sc.clean_title(decorated).alias("title"), sc.title_weight(F.col("p_name")).cast("long").alias("width"), sc.plain_title(F.col("p_name")).alias("plain"))
 
 
@@ -784,3 +787,79 @@ def page_appends(spark, d):
     caps = c.where("turn % 2 = 0").withColumn("kind", F.when(F.col("role") == "user", "image").otherwise("table"))
     tabs = c.where("turn % 3 = 0").select("item_key", "page", "seq", F.col("turn").alias("rows"), F.length("role").alias("cols"), F.col("text").alias("markdown"))
     return vw.page_appends(caps, tabs).select(F.col("item_key").alias("conv_id"), F.md5("appended").alias("md"))
+
+
+DATED_SQL = """SELECT o_orderkey AS k, o_orderdate AS d, CASE o_orderkey % 8
+ WHEN 0 THEN 'Received ' || strftime(o_orderdate, '%Y-%m-%d') || ' and read'
+ WHEN 1 THEN 'Vol. 3, ' || strftime(o_orderdate, '%b. %Y') || ' 收稿日期:' || strftime(o_orderdate, '%Y/%m/%d')
+ WHEN 2 THEN '网络首发 ' || strftime(o_orderdate, '%Y 年 %m 月 %d 日') || ', doi 10.1234/abc.' || strftime(o_orderdate, '%Y.%m')
+ WHEN 3 THEN 'published ' || strftime(o_orderdate, '%d %B %Y') || '; revised ' || strftime(o_orderdate, '%Y-%m-%d')
+ WHEN 4 THEN 'ISSN ' || strftime(o_orderdate, '%Y-%m') || '12 https://x.org/' || strftime(o_orderdate, '%Y/%m/%d')
+ WHEN 5 THEN 'Accepted 2001-13-40, available online ' || strftime(o_orderdate, '%B %Y')
+ WHEN 6 THEN 'in ' || strftime(o_orderdate, '%Y-%m') || '-99 of'
+ ELSE NULL END AS t FROM orders"""
+
+
+@query(f"""SELECT k, CAST(CASE k % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END AS BIGINT) AS n,
+CASE WHEN k % 8 IN (0, 2) THEN strftime(d, '%Y-%m-%d') WHEN k % 8 IN (1, 3, 5, 6) THEN strftime(d, '%Y-%m') END AS value,
+CASE WHEN k % 8 = 0 THEN 'submitted' WHEN k % 8 IN (2, 5) THEN 'online_first' WHEN k % 8 IN (1, 3, 6) THEN 'published' END AS kind FROM ({DATED_SQL})""")
+def date_candidates(spark, d):
+    """Dates written in eight ways, by the rest of the key: in which way, the SQL knows from the key alone."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("at"))
+    form = lambda f: F.date_format("at", f)
+    ways = (
+        F.concat(F.lit("Received "), form("yyyy-MM-dd"), F.lit(" and read")),
+        F.concat(F.lit("Vol. 3, "), form("MMM. yyyy"), F.lit(" 收稿日期:"), form("yyyy/MM/dd")),
+        F.concat(F.lit("网络首发 "), form("yyyy 年 MM 月 dd 日"), F.lit(", doi 10.1234/abc."), form("yyyy.MM")),
+        F.concat(F.lit("published "), form("dd MMMM yyyy"), F.lit("; revised "), form("yyyy-MM-dd")),
+        F.concat(F.lit("ISSN "), form("yyyy-MM"), F.lit("12 https://x.org/"), form("yyyy/MM/dd")),
+        F.concat(F.lit("Accepted 2001-13-40, available online "), form("MMMM yyyy")),
+        F.concat(F.lit("in "), form("yyyy-MM"), F.lit("-99 of")),
+    )
+    text = F.lit(None).cast("string")
+    for i, way in enumerate(ways):
+        text = F.when(F.col("k") % 8 == i, way).otherwise(text)
+    found = o.withColumn("c", md.date_candidates(text)).withColumn("best", F.get("c", F.lit(0)))
+    return found.select("k", F.size("c").cast("long").alias("n"), "best.value", "best.kind")
+
+
+SUGGEST_SQL = """WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, k % 3 = 0 AS has_doi, k % 11 = 0 AS no_b, k % 5 = 0 AS other_volume, k % 7 = 0 AS no_pages FROM orders),
+f AS (SELECT k, 'volume' AS field, CAST(k % 50 + 1 AS VARCHAR) AS value, CASE WHEN no_b THEN 'single' WHEN other_volume THEN 'conflict' ELSE 'both' END AS state FROM o
+UNION ALL SELECT k, 'issue', CAST(k % 12 + 1 AS VARCHAR), CASE WHEN no_b THEN 'single' ELSE 'both' END FROM o
+UNION ALL SELECT k, 'pages', CAST(k % 90 + 1 AS VARCHAR) || '-' || CAST(k % 90 + 9 AS VARCHAR), CASE WHEN no_b OR no_pages THEN 'single' ELSE 'both' END FROM o
+UNION ALL SELECT k, 'date', strftime(d, '%Y-%m'), CASE WHEN no_b THEN 'single' ELSE 'both' END FROM o
+UNION ALL SELECT k, 'DOI', '10.1234/ord.' || CAST(k AS VARCHAR), CASE WHEN no_b THEN 'single' ELSE 'both' END FROM o WHERE NOT has_doi
+UNION ALL SELECT k, 'creators', CASE WHEN k % 4 = 0 AND NOT no_b THEN 'Zhang, San; Wang, Wei; Li, Bo' ELSE 'Zhang, San; Wang, Wei' END, CASE WHEN no_b THEN 'single' WHEN k % 4 = 0 THEN 'conflict' ELSE 'both' END FROM o)
+SELECT k, field, value, state, CASE WHEN state = 'conflict' THEN 'medium' ELSE 'high' END AS confidence FROM f"""
+
+
+@query(SUGGEST_SQL)
+def metadata_suggest(spark, d):
+    """Suggestions from two sources of an order's first page, which differ for some keys; the DOI is known for every third."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("item_key"), F.col("o_orderdate").alias("at"))
+    k = F.col("item_key")
+    n = lambda c: c.cast("string")
+    filler = F.lit("\n" + "nothing but words of prose that fill the page " * 6)
+
+    def page(volume, more, pages):
+        front = F.concat(F.lit("On the order of things\nSan Zhang1, Wei Wang2"), more, F.lit("\nVol. "), n(volume), F.lit(", No. "), n(k % 12 + 1), F.lit(", "), F.date_format("at", "MMM. yyyy"))
+        return F.concat(front, F.when(pages, F.concat(F.lit(" pp. "), n(k % 90 + 1), F.lit("-"), n(k % 90 + 9))).otherwise(""), F.lit("\nhttps://doi.org/10.1234/ord."), n(k), filler)
+
+    a = o.select(k, F.lit(1).alias("page"), page(k % 50 + 1, F.lit(""), F.lit(True)).alias("text"))
+    b = o.where("item_key % 11 <> 0").select(k, F.lit(1).alias("page"), page(F.when(k % 5 == 0, 99).otherwise(k % 50 + 1), F.when(k % 4 == 0, ", Bo Li").otherwise(""), k % 7 != 0).alias("text"))
+    empty = F.lit(None).cast("string")
+    items = o.select(k, F.lit("On the order of things").alias("title"), F.when(k % 3 == 0, F.lit("10.1/x")).alias("DOI"), *[empty.alias(f) for f in md.FIELDS if f != "DOI"])
+    return md.suggest(items, a, b).select(k.alias("k"), "field", "value", "state", "confidence")
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, l, [CASE WHEN i % 5 = 3 THEN 'edited ' || CAST(doc_id AS VARCHAR) || ' ' || CAST(i - 1 AS VARCHAR) ELSE l[i] END FOR i IN range(1, len(l) + 1) IF i % 7 <> 0] AS e FROM l)
+SELECT doc_id, CAST(len([1 FOR i IN range(1, len(l) + 1) IF i % 5 = 3 OR i % 7 = 0]) AS BIGINT) AS n_gone, md5(array_to_string(e, chr(10))) AS edit_md5 FROM e""")
+def page_diff(spark, d):
+    """A patch from every text to an edit of some of its lines, applied again."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    some = F.filter(F.transform(lines, lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("edited "), F.col("doc_id").cast("string"), F.lit(" "), i.cast("string"))).otherwise(x)), lambda x, i: i % 7 != 6)
+    diff = ed.page_diff(docs, docs.withColumn("text", F.array_join(some, "\n")), ["doc_id"])
+    gone = F.aggregate("patch", F.lit(0).cast("long"), lambda s, p: s + p["gone"])
+    return docs.join(diff, "doc_id").select("doc_id", gone.alias("n_gone"), F.md5(ed.patched(F.col("text"), F.col("patch"))).alias("edit_md5"))

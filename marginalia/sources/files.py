@@ -69,24 +69,3 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """Bucketed and sorted by key, so that later joins on it need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-
-
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], bucket: int = 64) -> DataFrame:
-    """The table at ``path`` with rows of ``new`` in place of those with their key; only touched buckets are rewritten."""
-    from marginalia.operators.relational import upsert
-
-    slot = F.pmod(F.xxhash64(*keys), F.lit(bucket)).cast("int")
-    new = new.withColumn("bucket", slot)
-    old = spark.read.parquet(path)
-    touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
-    return upsert(touched, new, keys)
-
-
-def restore_conflicts(archived: DataFrame, live: DataFrame, id_col: str, owner: str) -> DataFrame:
-    """Archived ids that another owner has taken meanwhile; a restore of their owners must be refused whole."""
-    return archived.select(id_col, F.col(owner).alias("archived_owner")).join(live.select(id_col, F.col(owner).alias("live_owner")), id_col).where("archived_owner <> live_owner")
-
-
-def restorable(archived: DataFrame, live: DataFrame, id_col: str, owner: str) -> DataFrame:
-    bad = restore_conflicts(archived, live, id_col, owner).select(F.col("archived_owner").alias(owner)).distinct()
-    return archived.join(bad, owner, "left_anti")

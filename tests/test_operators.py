@@ -154,9 +154,6 @@ def test_ledger(spark):
 def test_extraction(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()[0]
     assert one(ex.extract_doi(F.lit("see doi: 10.1016/j.x.2020.01.002, and"))) == "10.1016/j.x.2020.01.002"
-    assert tuple(one(ex.volume_issue_pages(F.lit("Vol. 12, No. 3, pp. 45-67")))) == ("12", "3", "45-67")
-    assert tuple(one(ex.volume_issue_pages(F.lit("第12卷 第3期")))) == ("12", "3", None)
-    assert one(ex.dated(F.lit("Received: 2020-03-04; Accepted 2020-05-06")))["kind"] == "received"
     assert tuple(one(ex.document_family(F.lit("Proceedings of the Conference")))) == ("conference", True)
     assert one(ex.table_usable(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"), F.lit("")))))
     assert one(ex.table_markdown(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c"))))) == "| a | b |\n| --- | --- |\n| c |  |"
@@ -226,12 +223,6 @@ def test_upsert_keeps_schema_growth(spark):
     assert rows(rl.upsert(old, new, ["k"]).select("k", "v", "extra"), "k") == [(1, "a", None), (2, "c", 1)]
 
 
-def test_restorable(spark):
-    arch = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id int, owner string")
-    live = spark.createDataFrame([(2, "z"), (3, "y")], "id int, owner string")
-    assert rows(files.restorable(arch, live, "id", "owner")) == [("y", 3)]
-
-
 EVENTS = [("s", 1, "user", "ask one"), ("s", 2, "assistant", "reply"), ("s", 3, "tool", "kb"), ("s", 4, "user", "ask two"), ("s", 5, "assistant", "again"), ("t", 1, "assistant", "no question")]
 
 
