@@ -6,8 +6,9 @@ labels are O, B-kind and I-kind; a word's features are its shape, its cues (a fe
 those of its two neighbours. It is trained from ``examples()``, a small labelled table, by gradient steps on the exact
 likelihood (forward-backward over all examples at once), and decoded by Viterbi in numpy batches.
 
-Decoding is exact and covers whole texts: where the word's own score for O exceeds all others by more than any choice of
-neighbours can make up for, O is on every best path, so chains are cut there and only the stretches between are decoded.
+Decoding is exact and covers whole texts: a run of other labels stands on a best path only if what its words gain over O together
+makes up for their transitions, so all words outside of such runs are O for certain, chains are cut there, and only the
+stretches between are decoded.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Signs spelled out in brackets.
 SPELLED = re.compile(r"[\[(](?:at|dot|\.)[\])]", re.IGNORECASE)
 #: Words whose scores are held together while texts are decoded, and distinct words remembered by a task.
-PASS_WORDS, MEMORY = 200_000, 200_000
+PASS_WORDS, MEMORY = 200_000, 500_000
 #: The fit takes at most so many examples.
 MAX_EXAMPLES = 4000
 STEPS, RATE, PENALTY = 120, 0.1, 0.02
@@ -279,6 +281,8 @@ EDGES = "\"'.,;:!?()[]{}<>|#$%&*=_-"
 
 def own_features(word: str, cues: frozenset[str]) -> list[str]:
     """What is seen of a word by itself. Words of letters only are told apart by case and cue, others by their shape."""
+    if word.isalpha() and len(word) > 1 and word.islower() and word not in cues:
+        return ["letters", "lower"]
     core = word.strip(EDGES)
     cue = word.lower().strip(".,:;")
     found = [f"word={cue}"] if cue in cues else []
@@ -322,10 +326,12 @@ class Tagger:
                     out[place] += self.weights[i]
         return out
 
-    def gains(self) -> np.ndarray:
-        """By how much neighbours can at most favour each label over O."""
-        into, out_of = np.vstack([self.trans, self.first[None]]), np.hstack([self.trans, self.last[:, None]])
-        return (into - into[:, :1]).max(0) + (out_of - out_of[:1]).max(1)
+    def favours(self) -> tuple[float, float]:
+        """By how much transitions can at most favour a run of other labels over O: for each of its words, and once for the run."""
+        t, first, last = self.trans, self.first, self.last
+        inner = float(t[1:, 1:].max() - t[0, 0])
+        edges = max((t[0, 1:] - t[0, 0]).max(), (first[1:] - first[0]).max()) + max((t[1:, 0] - t[0, 0]).max(), (last[1:] - last[0]).max())
+        return inner, float(edges) - inner
 
 
 def _tagged(text: str, spans: list[Span]) -> tuple[list[str], list[int]]:
@@ -449,32 +455,47 @@ class Decoder:
     """Labels words of whole texts; remembers the scores of distinct words."""
 
     def __init__(self, tagger: Tagger):
-        self.tagger, self.gains = tagger, tagger.gains()
+        self.tagger = tagger
+        self.inner, self.edge = tagger.favours()
         self.ids = _Ids(tagger)
 
+    def _scores(self, table: np.ndarray, ids: np.ndarray, at: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Scores of the words at some places, by label."""
+        before, after = table[ids[np.maximum(at - 1, 0)], 0], table[ids[np.minimum(at + 1, len(ids) - 1)], 2]
+        return table[ids[at], 1] + before * ~head[at][:, None] + after * ~tail[at][:, None]
+
+    def _open(self, w: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The words that may have another label than O: those that stand in a stretch whose words together gain enough.
+
+        A run of other labels replaced by O loses, for each word, at most ``w``, and at most ``edge`` besides. Best sums of
+        stretches that end or begin at a word are differences of running sums; an offset for each text keeps them inside it.
+        """
+        sums = np.cumsum(w)
+        apart = (sums.max() - sums.min() + np.abs(w).max() + 1) * text
+        upto = sums - np.minimum.accumulate(sums - w - apart) - apart
+        onward = np.maximum.accumulate((sums - apart)[::-1])[::-1] + apart - (sums - w)
+        return np.flatnonzero(upto + onward - w + self.edge >= -1e-6)
+
     def labels(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
         """(text, word, label) of all words that aren't O."""
         if len(self.ids.rows) > MEMORY:
             self.ids = _Ids(self.tagger)
-        ids = np.fromiter((i for words in texts for i in map(self.ids.__getitem__, words)), dtype=np.int64)
+        sizes = np.array([len(w) for w in texts], dtype=np.int64)
+        ids = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=sizes.sum())
         if not len(ids):
             return []
         table = np.array(self.ids.rows)
-        sizes = np.array([len(w) for w in texts])
         text = np.repeat(np.arange(len(texts)), sizes)
         head = np.r_[True, text[1:] != text[:-1]]
         tail = np.r_[head[1:], True]
-        open_, scores = [], []
+        w = np.empty(len(ids))
         for a in range(0, len(ids), PASS_WORDS):
-            part = np.arange(a, min(len(ids), a + PASS_WORDS))
-            e = table[ids[part], 1]
-            e = e + table[ids[np.maximum(part - 1, 0)], 0] * ~head[part][:, None] + table[ids[np.minimum(part + 1, len(ids) - 1)], 2] * ~tail[part][:, None]
-            unsure = np.flatnonzero(e[:, 0] <= (e[:, 1:] + self.gains[1:]).max(1))
-            open_.append(part[unsure])
-            scores.append(e[unsure])
-        at, e = np.concatenate(open_), np.concatenate(scores)
+            e = self._scores(table, ids, np.arange(a, min(len(ids), a + PASS_WORDS)), head, tail)
+            w[a : a + len(e)] = e[:, 1:].max(1) - e[:, 0] + self.inner
+        at = self._open(w, text)
         if not len(at):
             return []
+        e = self._scores(table, ids, at, head, tail)
         begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])])
         size = np.diff(np.r_[begin, len(at)])
         t, found = self.tagger, []

@@ -266,4 +266,5 @@ def test_op13_on_the_table(spark):
 
 
 def test_a_table_without_examples_finds_nothing():
-    assert pii.Decoder(pii.fit([])).labels([["+1", "a"], []]) == []
+    decoder = pii.Decoder(pii.fit([]))
+    assert decoder.labels([["+1", "a"], []]) == decoder.labels([]) == decoder.labels([[]]) == []
