@@ -65,18 +65,30 @@ def table_markdown(rows: Column) -> Column:
     return F.array_join(F.concat(F.transform(F.slice(rows, 1, 1), line), F.array(rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(0))), line)), "\n")
 
 
+#: Block types that are no part of a text.
+DROPPED_BLOCKS = ("header", "footer", "page_footnote", "page_number", "page_header", "page_footer")
+
+
+def block_text(blocks: DataFrame) -> Column:
+    """A layout block's text: titles with their marks, formulas between $$, images and tables with their captions; empty for other parts."""
+    has = lambda c, none: F.coalesce(F.col(c), F.lit(none)) if c in blocks.columns else F.lit(none)
+    kind, c, cap, image = F.coalesce("type", F.lit("")), F.trim(F.coalesce("content", F.lit(""))), F.trim(has("caption", "")), F.trim(has("image", ""))
+    depth = F.least(F.greatest(has("level", 1).cast("int") + 1, F.lit(2)), F.lit(6))
+    picture = F.concat_ws("\n", F.when(image != "", F.concat(F.lit("!["), F.when(cap != "", cap).otherwise(kind), F.lit("]("), image, F.lit(")"))), F.when(cap != "", cap).when((c != "") & (c != image), c))
+    return (
+        F.when(kind.isin(*DROPPED_BLOCKS), "")
+        .when(kind.isin("doc_title", "title"), F.concat(F.lit("# "), c))
+        .when(kind.isin("paragraph_title", "section_title", "heading"), F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), c))
+        .when(kind.isin("equation", "interline_equation", "inline_equation", "formula"), F.when(c != "", F.concat(F.lit("$$"), c, F.lit("$$"))).otherwise(""))
+        .when(kind.isin("image", "chart", "figure"), picture)
+        .when(kind == "table", F.concat_ws("\n\n", F.nullif(cap, F.lit("")), F.when(c != "", c).when(image != "", F.concat(F.lit("!["), F.when(cap != "", cap).otherwise("表"), F.lit("]("), image, F.lit(")")))))
+        .otherwise(c)
+    )
+
+
 def render_blocks(blocks: DataFrame, key: str) -> DataFrame:
     """(key, page, text): layout blocks (page, pos, type, content, level, caption, image) to page text."""
-    c = F.trim(F.coalesce("content", F.lit("")))
-    cap = F.trim(F.coalesce("caption", F.lit("")))
-    text = (
-        F.when(F.col("type").isin("header", "footer", "page_number"), "")
-        .when(F.col("type").isin("title", "paragraph_title"), F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.coalesce("level", F.lit(2)))), F.lit(" "), c))
-        .when(F.col("type").isin("equation", "formula"), F.concat(F.lit("$$\n"), c, F.lit("\n$$")))
-        .when(F.col("type").isin("image", "figure"), F.concat(F.lit("!["), cap, F.lit("]("), F.coalesce("image", F.lit("")), F.lit(")")))
-        .when(F.col("type") == "table", F.concat_ws("\n", F.nullif(cap, F.lit("")), c)).otherwise(c)
-    )
-    return blocks.withColumn("t", text).where("t <> ''").groupBy(key, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), "\n\n").alias("text"))
+    return blocks.withColumn("t", block_text(blocks)).where("t <> ''").groupBy(key, "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), "\n\n").alias("text"))
 
 
 def item_health(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,14 +61,29 @@ def changes(known: DataFrame, current: DataFrame, key: str, compare: list[str])
     return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(F.coalesce(F.col(f"n.{key}"), F.col(f"o.{key}")).alias(key), change.otherwise("same").alias("change"))
 
 
+SHARED = "spark.checkpoint.dir"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint, in the folder that spark.checkpoint.dir names; only a local session may run without one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
-    return df.checkpoint()
+    """A table written to the folder that spark.checkpoint.dir names, and read back: computed once, and lineage ends
+    here. Only a local session may run without that setting."""
+    spark = df.sparkSession
+    folder = spark.conf.get(SHARED, None) or spark.sparkContext.getConf().get(SHARED, None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SHARED} must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        spark.conf.set(SHARED, folder)
+    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than the cluster has cores dealt out evenly, for work that costs more than a shuffle
+    of the rows; any larger table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def resolve_merges(edges: DataFrame, keys: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.functions import text as tx
+from marginalia.operators.relational import kept
 
 #: Fixed values of the ranking.
 ROUTE_WEIGHTS = {"keyword": 0.65, "vector": 0.35}
@@ -78,6 +79,12 @@ def corpus_size(chunks: DataFrame, text: str = "text") -> tuple[int, float]:
     return int(n), float(mean or 1.0)
 
 
+def size_of(counted: DataFrame) -> tuple[int, float]:
+    """The same from a table that has the number of tokens, dl, of every chunk."""
+    n, mean = counted.agg(F.count("*"), F.avg("dl")).first()
+    return int(n), float(mean or 1.0)
+
+
 def _bm25_part(tf: Column, df: Column, dl: Column, size: tuple[int, float]) -> Column:
     n, mean = size
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5)))
@@ -94,33 +101,54 @@ def bm25(posts: DataFrame, queries: DataFrame, size: tuple[int, float], key: str
     return found.join(dfs, "term").join(queries, "term").groupBy(query_id, key).agg(F.sum(_bm25_part(F.col("tf"), F.col("df"), F.col("dl"), size)).alias("bm25"))
 
 
-def phrase_recall(posts: DataFrame, phrases: list[list[str]], size: tuple[int, float], key: str = "chunk_id", limit: int = 3 * ROUTE_LIMIT, need: list[list[int]] | None = None) -> DataFrame:
-    """(key, bm25): the best chunks that hold a phrase, by the sum over phrases; idf is that of the whole phrase.
+def _follow(positions: list[Column]) -> Column:
+    """In how many places the tokens stand one after the other: sorted positions, each moved to the first token's place, are
+    intersected, so the cost is linear in them."""
+    places = positions[0]
+    for i, p in enumerate(positions[1:], 1):
+        places = F.array_intersect(places, F.transform(p, _minus(i)))
+    return F.size(places)
 
-    A phrase is its tokens one after the other. ``need``: groups of phrase numbers all of which must be there; any
-    one group is enough, and by default each phrase is a group. Ties go to the smaller key.
-    """
+
+def _minus(n: int):
+    return lambda x: x - n
+
+
+def counted_in_index(posts: DataFrame, phrases: list[list[str]], key: str = "chunk_id") -> DataFrame:
+    """(key, dl, tf0, tf1 ...): how often each phrase, tokens one after the other, stands in a chunk that holds one of their tokens."""
     terms = sorted({t for p in phrases for t in p})
     rows = posts.where(F.col("term").isin(terms)).groupBy(key, "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-    at = lambda t: F.coalesce(F.get(F.array(F.col("at")), F.lit(0))[t], F.array().cast("array<int>"))
+    at = lambda t: F.coalesce(F.col("at")[t], F.array().cast("array<int>"))
+    return rows.select(key, "dl", *[_follow([at(t) for t in p]).alias(f"tf{i}") for i, p in enumerate(phrases)])
 
-    def count(tokens: list[str]) -> Column:
-        follows = lambda p: [F.array_contains(at(t), p + i) for i, t in enumerate(tokens) if i]
 
-        def whole(p: Column) -> Column:
-            ok = F.lit(True)
-            for c in follows(p):
-                ok = ok & c
-            return ok
+def counted_in_texts(chunks: DataFrame, phrases: list[list[str]], key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """The same from the texts, for every chunk, without an index and without a shuffle."""
+    tokens = chunks.select(key, token_list(F.col(text)).alias("w"))
+    terms = sorted({t for p in phrases for t in p})
+    placed = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda s: s["t"].isin(terms))
+    rows = tokens.select(key, F.size("w").alias("dl"), placed.alias("s"))
+    rows = rows.select(key, "dl", *[F.transform(F.filter("s", _is(t)), lambda s: s["i"]).alias(f"at{k}") for k, t in enumerate(terms)])
+    at = lambda t: F.col(f"at{terms.index(t)}")
+    return rows.select(key, "dl", *[_follow([at(t) for t in p]).alias(f"tf{i}") for i, p in enumerate(phrases)])
+
+
+def _is(term: str):
+    return lambda s: s["t"] == term
 
-        return F.size(F.filter(at(tokens[0]), whole))
 
-    counted = rows.select(key, "dl", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    dfs = counted.agg(*[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(phrases))]).first()
+def recalled(counted: DataFrame, phrases: list[list[str]], size: tuple[int, float], key: str = "chunk_id", limit: int = 3 * ROUTE_LIMIT, need: list[list[int]] | None = None) -> DataFrame:
+    """(key, bm25): the best chunks that hold a phrase, by the sum over phrases; idf is that of the whole phrase.
+
+    ``need``: groups of phrase numbers all of which must be there; any one group is enough, and by default each phrase is a
+    group. Phrases are tf0, tf1 ... of ``counted``. Ties go to the smaller key.
+    """
+    used = range(len(phrases))
+    dfs = counted.agg(*[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in used]).first()
     score, good = F.lit(0.0), F.lit(False)
-    for i in range(len(phrases)):
+    for i in used:
         score = score + F.when(F.col(f"tf{i}") > 0, _bm25_part(F.col(f"tf{i}"), F.lit(float(dfs[i] or 0)), F.col("dl"), size)).otherwise(0.0)
-    for group in need or [[i] for i in range(len(phrases))]:
+    for group in need or [[i] for i in used]:
         every = F.lit(True)
         for i in group:
             every = every & (F.col(f"tf{i}") > 0)
@@ -128,6 +156,11 @@ def phrase_recall(posts: DataFrame, phrases: list[list[str]], size: tuple[int, f
     return counted.where(good).select(key, F.round(score, 9).alias("bm25")).orderBy(F.desc("bm25"), key).limit(limit)
 
 
+def phrase_recall(posts: DataFrame, phrases: list[list[str]], size: tuple[int, float], key: str = "chunk_id", limit: int = 3 * ROUTE_LIMIT, need: list[list[int]] | None = None) -> DataFrame:
+    """``recalled`` from an index. What the phrases' postings give is stored, as it is read for the frequencies and again for the scores."""
+    return recalled(kept(counted_in_index(posts, phrases, key)), phrases, size, key, limit, need)
+
+
 def two_tier(phrase: DataFrame, wide: DataFrame, key: str = "chunk_id", query_id: str = "query_id", limit: int = 50) -> DataFrame:
     """Phrase hits first (3 x limit); if a query has fewer than five, wide hits (6 x limit) after them."""
     top = lambda df, n: df.withColumn("__r", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("bm25"), key))).where(F.col("__r") <= n)

@@ -70,11 +70,41 @@ def domain_grams(titles: DataFrame, title: str = "title", least: int = 3) -> Dat
     return titles.select(title).distinct().select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def key_inventory(extras: DataFrame, text: str = "extra") -> DataFrame:
-    """(key, n, filled, shape): which extra keys are used, how often, and the commonest shape of their values."""
-    rows = extras.select(F.explode(tx.parse_extra(F.col(text))).alias("key", "value"))
-    shape = F.when(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}$"), "date").when(F.col("value").rlike(r"^-?\d+(\.\d+)?$"), "number").when(F.col("value").rlike("[;；,，]"), "list").otherwise("text")
-    return rows.withColumn("shape", shape).groupBy("key").agg(F.count("*").alias("n"), F.count(_blank(F.col("value"))).alias("filled"), F.mode("shape", True).alias("shape"))
+#: An extra's line, and how the characters of a value stand for their kind.
+EXTRA_LINE = r"^\s*([A-Za-z][A-Za-z0-9 ._\-]{0,30}?)\s*[:：]\s*(.*?)\s*$"
+CHARACTER_RUNS = (("[0-9]+", "9"), ("[A-Z]+", "A"), ("[a-z]+", "a"), ("[一-鿿]+", "字"), (r"(?U)\s+", " "))
+
+
+def value_shape(value: Column) -> Column:
+    """A value with each run of digits, capitals, small letters, CJK characters or white space as one sign, at most 40 of them."""
+    out = F.coalesce(value, F.lit(""))
+    for pattern, sign in CHARACTER_RUNS:
+        out = F.regexp_replace(out, pattern, sign)
+    return F.substring(out, 1, 40)
+
+
+def key_inventory(extras: DataFrame, text: str = "extra", shapes: int = 8) -> DataFrame:
+    """(key, n, filled, shape, shapes, repeated, longest): which extra keys are used and how.
+
+    n items have the key and ``filled`` of them a value; shape is the commonest kind of value; shapes the commonest (shape, n)
+    of value_shape, most first, ties to the lesser; repeated counts items in which a key stands more than once, of which the
+    first counts elsewhere. Values themselves are never shown. Partial counts by (key, shape) keep the shuffle at one row for each and task.
+    """
+    line = F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")
+    rows = extras.select(F.filter(line, lambda x: x.rlike(EXTRA_LINE)).alias("l"))
+    found = F.transform("l", lambda x: F.struct(F.regexp_extract(x, EXTRA_LINE, 1).alias("key"), F.regexp_extract(x, EXTRA_LINE, 2).alias("value")))
+    keyed = rows.select(found.alias("kv")).withColumn("keys", F.transform("kv", lambda x: x["key"]))
+    one = F.filter(F.transform("kv", lambda x, i: F.struct(x["key"].alias("key"), x["value"].alias("value"), (F.array_position("keys", x["key"]) == i + 1).alias("first"), (F.size(F.filter("keys", lambda k: k == x["key"])) > 1).alias("again"))), lambda x: x["first"])
+    flat = keyed.select(F.inline(one))
+    v = F.col("value")
+    kind = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date").when(v.rlike(r"^-?\d+(\.\d+)?$"), "number").when(v.rlike("[;；,，]"), "list").otherwise("text")
+    parts = flat.groupBy("key", kind.alias("kind"), value_shape(v).alias("s")).agg(F.count("*").alias("n"), F.count(_blank(v)).alias("filled"), F.sum(F.col("again").cast("long")).alias("again"), F.max(F.length(v)).alias("longest"))
+    kinds = parts.groupBy("key", "kind").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max_by("kind", F.struct("n", "kind")).alias("shape"))
+    order = Window.partitionBy("key").orderBy(F.desc("n"), "s")
+    by_shape = parts.groupBy("key", "s").agg(F.sum("n").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= shapes)
+    listed = by_shape.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "s", "n"))), lambda x: F.struct(x["s"].alias("shape"), x["n"].alias("n"))).alias("shapes"))
+    counted = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("filled").alias("filled"), F.sum("again").alias("repeated"), F.max("longest").alias("longest"))
+    return counted.join(kinds, "key").join(listed, "key").select("key", "n", "filled", "shape", "shapes", "repeated", "longest")
 
 
 def block_counts(blocks: DataFrame) -> DataFrame:

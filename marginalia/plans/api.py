@@ -79,11 +79,9 @@ class KnowledgeBase:
     def reindex(self) -> KnowledgeBase:
         """Chunks, the keyword index and term statistics anew from items and pages; they are kept, so that queries read them only."""
         t = self.tables
-        rows = chunking.collect_chunks(t["items"], chunking.sectionize(t["pages"], "item_key"))
-        keyed = rows.withColumn("chunk_id", F.xxhash64("item_key", "level", "depth", "seq", "offset"))
-        parts = keyed.where("level = 0").select("item_key", "seq", F.col("offset").alias("start"), F.col("chunk_id").alias("part_id")).withColumn("section", F.struct("item_key", "seq"))
-        kids = relational.parent_for_offset(keyed.where("level = 1").withColumn("section", F.struct("item_key", "seq")), parts, "section").withColumnRenamed("parent_part", "parent_id").drop("section")
-        chunks = relational.kept(kids.unionByName(keyed.where("level = 0"), allowMissingColumns=True))
+        rows = chunking.collect_chunks(t["items"], chunking.sectionize(t["pages"], "item_key"), annotations=t.get("annotations"), notes=t["notes"].withColumnRenamed("note", "text") if "notes" in t else None)
+        number = lambda seq: F.when(F.col(seq).isNotNull(), F.xxhash64("item_key", seq))
+        chunks = relational.kept(rows.where("level = 0 OR indexable").withColumns({"chunk_id": number("seq"), "parent_id": number("parent_seq")}))
         indexed = chunks.where("level = 1")
         return self._with(chunks=chunks, postings=relational.kept(retrieval.postings(indexed)), term_df=relational.kept(retrieval.term_df(indexed)))
 

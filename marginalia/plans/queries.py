@@ -39,7 +39,9 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    # texts cost far more to work on than to deal out, and a small table may be one block of one file
+    return rl.spread(df) if name in ("documents", "pages") else df
 
 
 TERM = r"[一-鿿]|[A-Za-z][A-Za-z0-9_\-]{1,30}"
@@ -352,11 +354,14 @@ def running_headers(spark, d):
     return rl.running_headers(_pages(spark, d), "doc_id", "page").select("doc_id", F.md5("pattern").alias("pattern_md5"), "n")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_suppkey * 12 + month(l_shipdate) AS g, l_partkey AS m FROM lineitem), z AS (SELECT g, count(*) AS n FROM m GROUP BY g)
+@query("""WITH o AS (SELECT o_custkey, o_orderstatus, l_partkey AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT DISTINCT 2 * o_custkey AS g, m FROM o UNION SELECT DISTINCT 2 * o_custkey + 1, m FROM o WHERE o_orderstatus = 'F'), z AS (SELECT g, count(*) AS n FROM m GROUP BY g)
 SELECT x.g AS a, y.g AS b, count(*) AS shared, round(count(*) / least(max(za.n), max(zb.n)), 6) AS ratio FROM m x JOIN m y ON x.m = y.m AND x.g < y.g JOIN z za ON za.g = x.g JOIN z zb ON zb.g = y.g GROUP BY x.g, y.g HAVING count(*) / least(max(za.n), max(zb.n)) >= 0.6""")
 def overlap_pairs(spark, d):
-    """Suppliers' months that sell the same parts."""
-    sold = read(spark, d, "lineitem").select((F.col("l_suppkey") * 12 + F.month("l_shipdate")).alias("g"), "l_partkey")
+    """Collections of parts: what each customer ordered, and what of it is delivered."""
+    o = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    both = F.array(F.lit(0), F.when(F.col("o_orderstatus") == "F", 1))
+    sold = o.select("o_custkey", "l_partkey", F.explode(both).alias("side")).where("side IS NOT NULL").select((2 * F.col("o_custkey") + F.col("side")).alias("g"), "l_partkey")
     return rl.overlap_pairs(sold, "g", "l_partkey").withColumn("ratio", F.round("ratio", 6))
 
 
@@ -863,3 +868,11 @@ def page_diff(spark, d):
     diff = ed.page_diff(docs, docs.withColumn("text", F.array_join(some, "\n")), ["doc_id"])
     gone = F.aggregate("patch", F.lit(0).cast("long"), lambda s, p: s + p["gone"])
     return docs.join(diff, "doc_id").select("doc_id", gone.alias("n_gone"), F.md5(ed.patched(F.col("text"), F.col("patch"))).alias("edit_md5"))
+
+
+@query("SELECT 'k' AS key, count(*) AS n, count(json_extract_string(props, '$.k')) AS filled, 'number' AS shape, '9' AS first_shape, count(*) AS first_n, 0 AS repeated, max(length(json_extract_string(props, '$.k'))) AS longest FROM events")
+def key_inventory(spark, d):
+    """Events' properties as lines of keys and values."""
+    lines = read(spark, d, "events").select(F.regexp_replace(F.regexp_replace("props", '[{}"]', ""), ", ", "\n").alias("extra"))
+    top = F.get("shapes", F.lit(0))
+    return vw.key_inventory(lines).select("key", "n", "filled", "shape", top["shape"].alias("first_shape"), top["n"].alias("first_n"), "repeated", "longest")

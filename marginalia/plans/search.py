@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import text as tx
 from marginalia.operators import retrieval as rt
+from marginalia.operators.relational import kept
 
 
 @dataclass(frozen=True)
@@ -122,14 +123,21 @@ def keyword_route(chunks: DataFrame, query: str, key: str = "chunk_id", limit: i
     if nothing of the query can be known. Without a stored ``index`` one is made of ``chunks``.
     """
     units = parse_units(query)
-    index = index or Index(rt.postings(chunks, key), rt.corpus_size(chunks))
-    if not units or not any_known(units, index.term_df):
+    if not units or not any_known(units, index.term_df if index else None):
         return None
-    found = rt.phrase_recall(index.posts, phrase_terms(query), index.size, key, 3 * limit)
-    phrases, groups = wide_terms(query)
-    if phrases and found.count() < rt.MIN_PHRASE_HITS:
-        wide = rt.phrase_recall(index.posts, phrases, index.size, key, 6 * limit, groups)
-        found = found.union(wide.join(found.select(key), key, "left_anti"))
+    narrow, (wide, groups) = phrase_terms(query), wide_terms(query)
+    if index is None:
+        # one pass over the texts counts all phrases; what follows reads its small result
+        both = [*narrow, *[p for p in wide if p not in narrow]]
+        counted = kept(rt.counted_in_texts(chunks, both, key))
+        size = rt.size_of(counted)
+        pick = lambda phrases: counted.select(key, "dl", *[F.col(f"tf{both.index(p)}").alias(f"tf{i}") for i, p in enumerate(phrases)])
+        recall = lambda phrases, n, need=None: rt.recalled(pick(phrases), phrases, size, key, n, need)
+    else:
+        recall = lambda phrases, n, need=None: rt.phrase_recall(index.posts, phrases, index.size, key, n, need)
+    found = kept(recall(narrow, 3 * limit))
+    if wide and found.count() < rt.MIN_PHRASE_HITS:
+        found = kept(found.union(recall(wide, 6 * limit, groups).join(found.select(key), key, "left_anti")))
     # at most nine times ``limit`` rows: a fixed bound
     covered = rt.coverage(chunks.join(F.broadcast(found.select(key)), key, "left_semi"), units, key).join(F.broadcast(found), key)
     best = [F.desc("coverage"), F.desc("strong"), F.desc("bm25"), F.col(key)]

@@ -31,15 +31,61 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path).where("seq IS NOT NULL")
 
 
-def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """Layout JSON, one document a file, to blocks (doc, page, pos, type, content, level, caption, image)."""
-    schema = "pages array<struct<blocks:array<struct<type:string,content:string,level:int,captions:array<string>,image_source:string>>>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("doc", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
-    pages = docs.select("doc", F.posexplode("pages").alias("p", "pg"))
+LAYOUT = "struct<pages:array<struct<blocks:array<struct<type:string,content:string,level:int,captions:array<string>,image_source:string>>>>>"
+FINGERPRINT = "path string, length long, modified timestamp, hash string"
+HASH_CHARS = 16
+
+
+def _doc(path: str):
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def layout_blocks(files: DataFrame) -> DataFrame:
+    """(doc, page, pos, type, content, level, caption, image) from files (path, content), a layout as JSON each. A file that can't be read
+    as such gives no block."""
+    docs = files.select(_doc("path").alias("doc"), F.from_json(F.decode("content", "UTF-8"), LAYOUT).alias("d"))
+    pages = docs.select("doc", F.posexplode("d.pages").alias("p", "pg"))
     blocks = pages.select("doc", (F.col("p") + 1).alias("page"), F.posexplode("pg.blocks").alias("pos", "b"))
     return blocks.select("doc", "page", "pos", "b.type", "b.content", "b.level", F.array_join(F.coalesce("b.captions", F.array().cast("array<string>")), " ").alias("caption"), F.col("b.image_source").alias("image"))
 
 
+def _found(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+def read_layout(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """All layouts of a folder as blocks."""
+    return layout_blocks(_found(spark, path, pattern))
+
+
+def changed_files(spark: SparkSession, path: str, known: DataFrame, pattern: str = "*.json") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changed, seen, gone): files whose content differs from what is known, with path, content and hash; the fingerprints of all
+    files as they are now (see FINGERPRINT); and the paths that are no longer there.
+
+    Files of a known length and time are taken for unchanged and not opened; the others are, and count as changed only if their hash differs. Contents
+    are read by one scan that leaves out files older than all those to be opened.
+    """
+    now = _found(spark, path, pattern).select("path", "length", F.col("modificationTime").alias("modified"))
+    old = known.select("path", F.col("length").alias("__length"), F.col("modified").alias("__modified"), F.col("hash").alias("__hash"))
+    compared = now.join(old, "path", "left")
+    same = F.col("length").eqNullSafe(F.col("__length")) & F.col("modified").eqNullSafe(F.col("__modified"))
+    touched = compared.where(~same)
+    since = touched.agg(F.min("modified")).first()[0]
+    contents = _found(spark, path, pattern)
+    contents = contents.where(F.col("modificationTime") >= F.lit(since)) if since is not None else contents.limit(0)
+    opened = contents.select("path", "content").join(touched.select("path", "length", "modified", "__hash"), "path").withColumn("hash", F.substring(F.sha1("content"), 1, HASH_CHARS))
+    changed = opened.where(~F.col("hash").eqNullSafe(F.col("__hash"))).select("path", "content", "hash")
+    seen = compared.where(same).select("path", "length", "modified", F.col("__hash").alias("hash")).unionByName(opened.select("path", "length", "modified", "hash"))
+    return changed, seen, known.select("path").join(now, "path", "left_anti")
+
+
+def refresh_layout(spark: SparkSession, path: str, blocks: DataFrame, known: DataFrame, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(blocks, fingerprints) after changed files were parsed anew: blocks of gone and changed files leave, all others stay unparsed."""
+    changed, seen, gone = changed_files(spark, path, known, pattern)
+    leave = changed.select(_doc("path").alias("doc")).union(gone.select(_doc("path").alias("doc"))).distinct()
+    return blocks.join(leave, "doc", "left_anti").unionByName(layout_blocks(changed)), seen
+
+
 def split_form_feeds(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\f")).alias("p", "text")).select(key, (F.col("p") + 1).alias("page"), "text")
 

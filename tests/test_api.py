@@ -1,8 +1,6 @@
 """Views, outlines and the knowledge base as a whole."""
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.operators import outline, views
@@ -98,16 +96,6 @@ def test_inventories(spark):
     assert [tuple(r) for r in lost.collect()] == [("i", "issn")]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 9), st.sampled_from(["title", "text"]), st.text(alphabet="ab \n", max_size=3000)), max_size=40))
-def test_outline(blocks):
-    found = outline.outline(sorted(blocks, key=lambda b: b[0]))
-    assert len(found) <= outline.MAX_SECTIONS
-    assert all(len(s["fp"]) == 6 and s["page_from"] <= s["page_to"] for s in found)
-    words = "".join("".join((s["title"] + s["text"]).split()) for s in found)
-    assert all(len("".join(b[2].split())) <= len(words) for b in blocks)
-
-
 def test_outline_status(spark):
     items = spark.createDataFrame([("a",), ("b",)], "key string")
     metas = spark.createDataFrame([("a", '{"sections": [1, 2]}')], "key string, v string")

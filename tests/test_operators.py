@@ -62,7 +62,7 @@ def test_collect_chunks(spark):
     pages = spark.createDataFrame([("k", 1, "# 1 One\n" + "Sentence here. " * 60), ("k", 2, "# References\n[1] x")], "item_key string, page int, text string")
     chunks = ck.collect_chunks(items, ck.sectionize(pages, "item_key"))
     levels = {(r.level, r.depth): r.n for r in chunks.groupBy("level", "depth").agg(F.count("*").alias("n")).collect()}
-    assert levels[(0, 0)] == 2 and levels[(1, 0)] > 1 and levels[(1, 2)] == 1
+    assert levels[(0, 1)] == 2 and levels[(1, 0)] > 1 and levels[(1, 2)] == 1
 
 
 def test_two_tier(spark):
