@@ -20,7 +20,7 @@ from marginalia.operators import relational as rl
 from marginalia.operators import retrieval as rt
 from marginalia.operators import views as vw
 from marginalia.plans.search import Search, coverage_route, keyword_route, parse_units, phrase_terms, search, vector_route
-from marginalia.streaming.sessions import DOC_WORDS, SIGNALS, is_doc_work, looks_promising, segments
+from marginalia.streaming.sessions import DOC_WORDS, SIGNALS, is_doc_work, looks_promising, segments, session_windows, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -737,8 +737,7 @@ SELECT k, name, CASE rule WHEN 'comma' THEN trim(name[:comma - 1]) WHEN 'caps' T
   CASE rule WHEN 'comma' THEN trim(name[comma + 1:]) WHEN 'caps' THEN array_to_string(list_filter(w, lambda x: x <> caps[1]), ' ') WHEN 'last' THEN array_to_string(w[:-2], ' ') ELSE '' END AS first FROM r""")
 def name_parts(spark, d):
     """First and last names, split only where that is safe."""
-    read(spark, d, "part").createOrReplaceTempView("part_names")
-    return spark.sql(NAMES_SQL.replace("FROM part", "FROM part_names")).select("k", "name", sc.split_name(F.col("name")).alias("s")).select("k", "name", "s.last", "s.first")
+    return spark.sql(NAMES_SQL.replace("FROM part", "FROM {part}"), part=read(spark, d, "part")).select("k", "name", sc.split_name(F.col("name")).alias("s")).select("k", "name", "s.last", "s.first")
 
 
 TAILED_SQL = "SELECT p_partkey AS k, p_name || CASE p_partkey % 6 WHEN 0 THEN ' | IEEE Xplore' WHEN 1 THEN ' | IEEE Journals & Magazine | IEEE Xplore' WHEN 2 THEN ' - ScienceDirect.com' WHEN 3 THEN ' | SpringerLink' WHEN 4 THEN ' | Some Site' ELSE '_央广网' END AS title FROM part"
@@ -751,8 +750,7 @@ g AS (SELECT *, CASE confidence WHEN 'high' THEN length(cut) >= 8 WHEN 'low' THE
 SELECT k, CASE WHEN good THEN cut ELSE title END AS title, CASE WHEN good THEN confidence END AS confidence FROM g""")
 def title_tails(spark, d):
     """Titles without the site names at their ends."""
-    read(spark, d, "part").createOrReplaceTempView("part_titles")
-    t = spark.sql(TAILED_SQL.replace("FROM part", "FROM part_titles"))
+    t = spark.sql(TAILED_SQL.replace("FROM part", "FROM {part}"), part=read(spark, d, "part"))
     return t.select("k", sc.clean_title(F.col("title")).alias("title"), sc.title_tail(F.col("title"))["confidence"].alias("confidence"))
 
 
@@ -876,3 +874,71 @@ def key_inventory(spark, d):
     lines = read(spark, d, "events").select(F.regexp_replace(F.regexp_replace("props", '[{}"]', ""), ", ", "\n").alias("extra"))
     top = F.get("shapes", F.lit(0))
     return vw.key_inventory(lines).select("key", "n", "filled", "shape", top["shape"].alias("first_shape"), top["n"].alias("first_n"), "repeated", "longest")
+
+
+@query("SELECT CASE quality WHEN 1 THEN 'ok' ELSE 'bad' END AS verdict, count(*) AS n, max(doc_id) AS last FROM labels GROUP BY 1")
+def verdict_stats(spark, d):
+    health = read(spark, d, "labels").select(F.when(F.col("quality") == 1, "ok").otherwise("bad").alias("verdict"), F.col("doc_id").alias("checked_at"))
+    return vw.quality_stats(health)
+
+
+@query("SELECT event_type AS type, count(*) AS n FROM events GROUP BY event_type")
+def block_types(spark, d):
+    return vw.block_counts(read(spark, d, "events").select(F.col("event_type").alias("type")))
+
+
+@query("SELECT c.event_id AS chunk_id, c.user_id AS item_key, cust.c_name AS title, p.props AS parent_text FROM events c JOIN customer cust ON c.user_id = cust.c_custkey LEFT JOIN events p ON p.event_id = CASE WHEN c.event_id % 3 <> 0 THEN c.event_id - c.event_id % 3 END")
+def chunk_parents(spark, d):
+    """Events as chunks of their user, every third one the parent of the two behind it."""
+    e = F.col("event_id")
+    chunks = read(spark, d, "events").select(e.alias("chunk_id"), F.col("user_id").alias("item_key"), F.when(e % 3 != 0, e - e % 3).alias("parent_id"), F.col("props").alias("text"))
+    items = read(spark, d, "customer").select(F.col("c_custkey").alias("item_key"), F.col("c_name").alias("title"), F.lit("2000").alias("year"))
+    return vw.chunk_rows(chunks, items).select("chunk_id", "item_key", "title", "parent_text")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def hourly_events(spark, d):
+    out = windowed_counts(read(spark, d, "events"))
+    return out.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""")
+def event_gaps(spark, d):
+    return session_windows(read(spark, d, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS items, (SELECT CAST(sum(c_custkey) AS BIGINT) FROM customer) AS chars, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM documents WHERE lang <> 'fr') AS indexable, (SELECT count(*) FROM embeddings) AS vectors")
+def library_manifest(spark, d):
+    items = read(spark, d, "customer").select(F.col("c_custkey").alias("fulltext_chars"))
+    chunks = read(spark, d, "documents").select(F.lit(1).alias("level"), F.when(F.col("lang") == "fr", "refs").otherwise("body").alias("kind"))
+    return vw.manifest(items, chunks, read(spark, d, "embeddings"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS kind FROM events")
+def extras_parsed(spark, d):
+    """Properties as the lines of an extra: a key, a line that is none, a full-width colon, and the key again, which doesn't count."""
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit("k: "), k, F.lit("\nno line of a key\r\n  kind ： "), "event_type", F.lit(" \nk: again"))
+    return read(spark, d, "events").select("event_id", tx.parse_extra(text).alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["kind"].alias("kind"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority LIKE '1%')")
+def missing_finished(spark, d):
+    """Customers without an urgent order that is finished."""
+    done = read(spark, d, "orders").where("o_orderstatus = 'F' AND o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("c_custkey"))
+    return rl.missing(read(spark, d, "customer"), done, "c_custkey").select("c_custkey", "c_name")
+
+
+@query("""WITH k AS (SELECT c_custkey AS k, c_custkey % 8 AS m FROM customer)
+SELECT k, CASE m WHEN 0 THEN 'live' WHEN 1 THEN CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = k - 1) THEN 'merged' ELSE 'merged-gone' END WHEN 2 THEN 'merged-gone' WHEN 3 THEN 'deleted' WHEN 4 THEN 'archived' ELSE 'unknown' END AS status,
+CASE WHEN m = 0 THEN k WHEN m = 1 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = k - 1) THEN k - 1 END AS target FROM k""")
+def reference_states(spark, d):
+    """All six states of a reference: by the rest of the key an item is live, merged into a live one or a lost one, deleted, archived, unknown, or in a circle."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("n"), F.col("c_custkey").cast("string").alias("key"))
+    text = lambda x: F.expr(x).cast("string")
+    edge = lambda rest, a, b: c.where(F.col("n") % 8 == rest).select(text(a).alias("old_key"), text(b).alias("new_key"))
+    merges = edge(1, "n", "n - 1").union(edge(2, "n", "-1 - n")).union(edge(6, "n", "n + 1")).union(edge(6, "n + 1", "n"))
+    dead = c.where("n % 8 IN (3, 4)").select("key", F.when(F.col("n") % 8 == 3, "deleted").otherwise("archived").alias("kind"))
+    out = rl.reference_status(c.select("key"), c.where("n % 8 = 0").select("key"), merges, dead)
+    return out.select(F.col("key").cast("long").alias("k"), "status", F.col("target").cast("long").alias("target"))

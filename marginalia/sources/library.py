@@ -41,10 +41,23 @@ def tags_of(t: Tables) -> DataFrame:
 
 
 def attachments(t: Tables, storage: str = "storage") -> DataFrame:
-    """Attachments with their path resolved: ``storage:`` paths lie in the folder of the attachment's key."""
+    """Attachments with their title and path: ``storage:`` paths lie in the folder of the attachment's key. Deleted ones are left out."""
     a = t["itemAttachments"].join(t["items"].select("itemID", "key"), "itemID")
+    if "deletedItems" in t:
+        a = a.join(t["deletedItems"].select("itemID"), "itemID", "left_anti")
+    titles = fields_map(t).select("itemID", F.col("fields")["title"].alias("title"))
     inner = F.col("path").startswith("storage:")
-    return a.select("itemID", F.col("parentItemID"), "contentType", "linkMode", F.when(inner, F.concat(F.lit(f"{storage}/"), "key", F.lit("/"), F.substring("path", 9, 4096))).otherwise(F.col("path")).alias("path"))
+    return a.join(titles, "itemID", "left").select("itemID", F.col("parentItemID"), "title", "contentType", "linkMode", F.when(inner, F.concat(F.lit(f"{storage}/"), "key", F.lit("/"), F.substring("path", 9, 4096))).otherwise(F.col("path")).alias("path"))
+
+
+def notes(t: Tables) -> DataFrame:
+    """(itemID, parentItemID, title, markdown, images): notes as markdown, with how many images are embedded; deleted ones are left out."""
+    from marginalia.functions.text import embedded_images, html_to_markdown
+
+    n = t["itemNotes"]
+    if "deletedItems" in t:
+        n = n.join(t["deletedItems"].select("itemID"), "itemID", "left_anti")
+    return n.select("itemID", "parentItemID", "title", html_to_markdown(F.col("note")).alias("markdown"), embedded_images(F.col("note")).alias("images"))
 
 
 def annotations(t: Tables) -> DataFrame:
@@ -61,16 +74,35 @@ def merge_relations(t: Tables, predicate: str = "dc:replaces") -> DataFrame:
     return rel.where(F.get(parts, F.size(parts) - 2) == "items").select(F.get(parts, F.size(parts) - 1).alias("old_key"), "new_key").where("old_key <> ''")
 
 
+def merge_counts(t: Tables, predicate: str = "dc:replaces") -> DataFrame:
+    """One row (relations, used, skipped): skipped ones name no item of a library, or none that is there."""
+    total = t["itemRelations"].join(t["relationPredicates"].where(F.col("predicate") == predicate), "predicateID").agg(F.count("*").alias("relations"))
+    used = merge_relations(t, predicate).agg(F.count("*").alias("used"))
+    return total.join(F.broadcast(used), F.lit(True)).withColumn("skipped", F.col("relations") - F.col("used"))
+
+
 def collection_tree(t: Tables) -> DataFrame:
     counts = t["collectionItems"].groupBy("collectionID").agg(F.count("*").alias("n_items"))
     return t["collections"].join(counts, "collectionID", "left").select("collectionID", "key", "collectionName", "parentCollectionID", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 
 def load_items(t: Tables) -> DataFrame:
-    """One nested row an item."""
+    """One nested row an item: fields, authors, collections, tags, and attachments, notes and annotations where their tables are given.
+
+    Annotations come from an item's attachments, in the order of their pages.
+    """
     out = top_level_items(t).join(t["itemTypes"], "itemTypeID", "left")
     for part in (fields_map(t), authors(t), collections_of(t), tags_of(t)):
         out = out.join(part, "itemID", "left")
+    listed = lambda name, *columns: F.array_sort(F.collect_list(F.struct(*columns))).alias(name)
+    if "itemAttachments" in t:
+        files = attachments(t)
+        out = out.join(files.groupBy(F.col("parentItemID").alias("itemID")).agg(listed("attachments", F.col("itemID").alias("id"), "title", "contentType", "path")), "itemID", "left")
+        if "itemAnnotations" in t:
+            of = annotations(t).join(files.select(F.col("itemID").alias("parentItemID"), F.col("parentItemID").alias("__item")), "parentItemID")
+            out = out.join(of.groupBy(F.col("__item").alias("itemID")).agg(listed("annotations", "page_order", F.col("itemID").alias("id"), F.col("pageLabel").alias("page"), "text", "comment")), "itemID", "left")
+    if "itemNotes" in t:
+        out = out.join(notes(t).where("parentItemID IS NOT NULL").groupBy(F.col("parentItemID").alias("itemID")).agg(listed("notes", F.col("itemID").alias("id"), "title", "markdown")), "itemID", "left")
     return out
 
 
