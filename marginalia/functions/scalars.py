@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,18 +95,64 @@ def collections_signature(keys: Column, tags: Column) -> Column:
     return sha1_prefix(F.concat(side(keys), F.lit("\x1e"), side(tags)), 16)
 
 
-def short_author(line: Column) -> Column:
-    """The first author of a line, with ``et al.`` if there are more."""
-    names = F.filter(F.split(F.coalesce(line, F.lit("")), r"\s*[;；、]\s*|\s+and\s+"), lambda x: F.trim(x) != "")
-    first = F.trim(F.get(names, F.lit(0)))
-    return F.when(F.size(names) == 0, "").when(F.size(names) == 1, first).otherwise(F.concat(first, F.lit(" et al.")))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once and standing once in the plan, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+NO_TITLE = "(无标题)"
+
+
+def clean_name(text: Column) -> Column:
+    """A name fit for tables and files: without the signs that file systems refuse, white space as single spaces, no blanks or dots at its ends."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"""[<>:"/\\|?*\x00-\x1f]""", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), r"^[ .]+|[ .]+$", "")
 
 
 def short_title(title: Column, limit: int = 40) -> Column:
-    """The title without its subtitle, cut at a word boundary."""
-    head = F.trim(F.regexp_extract(F.coalesce(title, F.lit("")), r"^(.*?)(?:[:：]|——| - |$)", 1))
-    cut = F.regexp_replace(F.substring(head, 1, limit), r"\s+\S*$", "")
-    return F.when(F.length(head) <= limit, head).otherwise(F.concat(cut, F.lit("…")))
+    """A clean title without its subtitle, at most ``limit`` characters and an ellipsis; Latin text is cut between words where one ends near the limit.
+
+    A subtitle begins at a full-width colon or a long dash that has six characters or more before it. A blank title gives a mark.
+    """
+    head = lambda t, sep: F.trim(F.get(F.split(t, sep, 2), F.lit(0)))
+    main = lambda t: F.when(t.contains("：") & (F.length(head(t, "：")) >= 6), head(t, "：")).when(t.contains("——") & (F.length(head(t, "——")) >= 6), head(t, "——")).otherwise(t)
+    word = F.lit(max(6, limit - 16))
+    space = lambda c: F.length(c) - F.length(F.regexp_extract(c, " ([^ ]*)$", 0))
+    cut = lambda c: F.when(c.rlike("[A-Za-z]") & c.contains(" ") & (space(c) >= word), F.call_function("substring", c, F.lit(1), space(c))).otherwise(c)
+    shown = lambda t: F.when(t == "", NO_TITLE).when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(let(F.substring(t, 1, limit), cut), "[ ,，、;；]+$", ""), F.lit("…")))
+    return let(let(clean_name(title), main), shown)
+
+
+def short_author(name: Column) -> Column:
+    """A Western name as last name and initials; CJK names and single words as they are. A first word of at most three letters is
+    taken for the last name, else the final word is."""
+
+    def shorten(parts: Column) -> Column:
+        short = F.length(F.regexp_replace(F.get(parts, F.lit(0)), r"\.+$", "")) <= 3
+        family = F.when(short, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.size(parts) - 1))
+        given = F.when(short, F.slice(parts, F.lit(2), F.size(parts) - 1)).otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1))
+        return F.concat_ws(" ", family, F.array_join(F.transform(given, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lit("."))), ""))
+
+    return let(clean_name(name), lambda a: F.when(a.rlike("[一-鿿]") | ~a.contains(" "), a).otherwise(let(F.split(a, " "), shorten)))
+
+
+def western_short(last: Column, first: Column) -> Column:
+    """Last name and initials of an author of two fields; one that is all last name as it is."""
+    last, first = F.coalesce(last, F.lit("")), F.coalesce(first, F.lit(""))
+    parts = F.filter(F.split(F.replace(first, F.lit("."), F.lit(" ")), r"(?U)\s+"), lambda p: p != "")
+    initials = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lit("."))), "")
+    return F.when((last != "") & (first == ""), last).otherwise(F.trim(F.concat_ws(" ", last, initials)))
+
+
+def human_ref(title: Column, first_author: Column, year: Column, limit: int = 40) -> Column:
+    """``Author Year · short title``, for show; parts that are missing are left out."""
+    head = F.concat_ws(" ", F.nullif(short_author(first_author), F.lit("")), F.nullif(F.trim(F.coalesce(year.cast("string"), F.lit(""))), F.lit("")))
+    return F.concat_ws(" · ", F.nullif(head, F.lit("")), short_title(title, limit))
+
+
+def human_label(title: Column, first_author: Column, year: Column, key: Column, limit: int = 40) -> Column:
+    """The same with the key that tells equal ones apart."""
+    return F.concat_ws("  ", human_ref(title, first_author, year, limit), F.when(F.coalesce(key, F.lit("")) != "", F.concat(F.lit("["), key, F.lit("]"))))
 
 
 def missing_fields(fields: dict[str, Column]) -> Column:

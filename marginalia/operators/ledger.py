@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.functions import scalars as sc
+from marginalia.operators.relational import kept
 
 OUTCOMES = ("effective", "ineffective", "partial")
 
@@ -46,7 +47,8 @@ def weight_board(weights: DataFrame, items: DataFrame, key: str = "item_key", li
 
 def renumber(ledger: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
     """Ids 1..N in order. A range sort and counts of its partitions, so no task holds the whole ledger."""
-    parts = ledger.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    # stored once: both branches below must see the same partitions
+    parts = kept(ledger.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     placed = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
@@ -71,6 +73,22 @@ def without_tests(ledger: DataFrame, markers: list[str]) -> DataFrame:
     return ledger.where(~bad)
 
 
+def clean_ledger(ledger: DataFrame, weights: DataFrame, markers: list[str], order: list[str], item: str = "item_key") -> tuple[DataFrame, DataFrame]:
+    """(ledger, weights) without test rows, those whose question or tags hold a marker.
+
+    Stored counts are rolled back by what the test rows had added to their items, never below zero, and weights that say nothing any more go. The
+    rest is numbered anew in ``order``.
+    """
+    bad = F.lit(False)
+    for m in markers:
+        bad = bad | F.coalesce(F.col("asked").contains(m), F.lit(False)) | F.coalesce(F.col("tags").contains(m), F.lit(False))
+    undo = ledger_weights(explode_items(ledger.where(bad), item=item), item)
+    counts = ("attempts", *OUTCOMES)
+    less = weights.join(undo.select(item, *[F.col(c).alias(f"__{c}") for c in counts]), item, "left")
+    back = less.select(*[F.greatest(F.col(c) - F.coalesce(f"__{c}", F.lit(0)), F.lit(0)).alias(c) if c in counts else F.col(c) for c in weights.columns])
+    return renumber(ledger.where(~bad), order), without_idle(back)
+
+
 def new_entries(incoming: DataFrame, ledger: DataFrame) -> DataFrame:
     """Import without repeats of (asked, method, outcome); nulls compare equal."""
     i, o = incoming.alias("i"), ledger.select("asked", "method", "outcome").distinct().alias("o")

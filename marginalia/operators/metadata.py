@@ -5,7 +5,6 @@ Everything is a Column expression over one text, or a window over the first line
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import scalars as sc
 from marginalia.functions import text as tx
+from marginalia.functions.scalars import let
 from marginalia.operators.extraction import extract_doi
 from marginalia.operators.views import evidence
 
@@ -66,11 +66,6 @@ FIELDS = ("date", "DOI", "volume", "issue", "pages", "creators")
 BELIEVED = {"creators": "b"}
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)``, with the value computed once and standing once in the plan, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end,found>>: the matches of a pattern in order, in characters from 0, the end exclusive.
 

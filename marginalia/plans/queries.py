@@ -932,7 +932,7 @@ def missing_finished(spark, d):
 
 @query("""WITH k AS (SELECT c_custkey AS k, c_custkey % 8 AS m FROM customer)
 SELECT k, CASE m WHEN 0 THEN 'live' WHEN 1 THEN CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = k - 1) THEN 'merged' ELSE 'merged-gone' END WHEN 2 THEN 'merged-gone' WHEN 3 THEN 'deleted' WHEN 4 THEN 'archived' ELSE 'unknown' END AS status,
-CASE WHEN m = 0 THEN k WHEN m = 1 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = k - 1) THEN k - 1 END AS target FROM k""")
+CAST(CASE WHEN m = 0 THEN k WHEN m = 1 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = k - 1) THEN k - 1 END AS VARCHAR) AS target FROM k""")
 def reference_states(spark, d):
     """All six states of a reference: by the rest of the key an item is live, merged into a live one or a lost one, deleted, archived, unknown, or in a circle."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("n"), F.col("c_custkey").cast("string").alias("key"))
@@ -941,4 +941,4 @@ def reference_states(spark, d):
     merges = edge(1, "n", "n - 1").union(edge(2, "n", "-1 - n")).union(edge(6, "n", "n + 1")).union(edge(6, "n + 1", "n"))
     dead = c.where("n % 8 IN (3, 4)").select("key", F.when(F.col("n") % 8 == 3, "deleted").otherwise("archived").alias("kind"))
     out = rl.reference_status(c.select("key"), c.where("n % 8 = 0").select("key"), merges, dead)
-    return out.select(F.col("key").cast("long").alias("k"), "status", F.col("target").cast("long").alias("target"))
+    return out.select(F.col("key").cast("long").alias("k"), "status", "target")

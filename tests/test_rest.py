@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import scalars as sc
 from marginalia.functions import text as tx
+from marginalia.operators import ledger as lg
 from marginalia.operators import relational as rl
 from marginalia.operators import retrieval as rt
 from marginalia.operators import views as vw
@@ -18,7 +19,13 @@ def one(spark, column):
 
 def test_scalars(spark):
     cases = [
-        (sc.short_title(F.lit("A title: and more")), "A title"), (sc.short_title(F.lit("word " * 20)), "word word word word word word word word…"), (sc.short_title(F.lit(None).cast("string")), ""),
+        (sc.short_title(F.lit("A title: and more")), "A title and more"), (sc.short_title(F.lit("word " * 20)), "word word word word word word word word…"), (sc.short_title(F.lit(None).cast("string")), "(无标题)"),
+        (sc.short_title(F.lit("深度学习方法研究：一个综述")), "深度学习方法研究"), (sc.short_title(F.lit("短题：一个综述")), "短题：一个综述"), (sc.short_title(F.lit("电" * 50)), "电" * 40 + "…"), (sc.short_title(F.lit("a" * 50)), "a" * 40 + "…"),
+        (sc.short_title(F.lit("Some Long Words, Supercapattery Energy, Storage")), "Some Long Words, Supercapattery Energy…"), (sc.clean_name(F.lit(' .a<b>:c|  d?*"\\/. ')), "abc d"), (sc.short_author(F.lit("Yucheng Jiao")), "Jiao Y."),
+        (sc.short_author(F.lit("Du Changping")), "Du C."), (sc.short_author(F.lit("Anjana P. M")), "M A.P."), (sc.short_author(F.lit("张 三")), "张 三"), (sc.short_author(F.lit("ACME")), "ACME"), (sc.short_author(F.lit(None).cast("string")), ""),
+        (sc.western_short(F.lit("Doe"), F.lit("jane q.r")), "Doe J.Q.R."), (sc.western_short(F.lit("ACME"), F.lit(None).cast("string")), "ACME"), (sc.western_short(F.lit(""), F.lit("Ann")), "A."),
+        (sc.human_ref(F.lit("A title"), F.lit("Yucheng Jiao"), F.lit(2020)), "Jiao Y. 2020 · A title"), (sc.human_ref(F.lit("A title"), F.lit(None).cast("string"), F.lit(None).cast("string")), "A title"),
+        (sc.human_label(F.lit(""), F.lit("王五"), F.lit(" "), F.lit("KEY1")), "王五 · (无标题)  [KEY1]"),
         (sc.cli_score(F.lit(1), F.lit(0.5), F.lit(2), F.lit(3)), 10.5), (sc.title_weight(F.lit("中文ab")), 6), (sc.title_weight(F.lit("\u3400\uf900")), 2),
         (tx.embedded_images(F.lit("<img data-attachment-key='A'><img data-attachment-key='B'>")), 2), (tx.strip_jats(F.lit("<jats:p>a &lt; b  &amp;amp; c</jats:p>")), "a < b &amp; c"),
         (sessions.head_tail(F.lit("abcdefghij"), 4), "ab\n\n…\n\nij"), (sessions.head_tail(F.lit("abc"), 4), "abc"), (rl.interval_iou([F.lit(x) for x in (0.0, 0.0, 2.0, 2.0)], [F.lit(x) for x in (1.0, 1.0, 3.0, 3.0)]), 1 / 7),
@@ -95,3 +102,11 @@ def test_phrases_in_an_index_and_in_texts(spark, phrases):
 def test_spread(spark):
     few, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
     assert rl.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rl.spread(many) is many
+
+
+def test_clean_ledger_undoes_weights(spark):
+    led = spark.createDataFrame([(1, "a real one", "", "effective", ["x"]), (2, "[test] q", "", "effective", ["x", "y", "x"]), (3, "other", "tags,[test]", "ineffective", ["z"]), (4, "last", None, "partial", ["z"])], "id long, asked string, tags string, outcome string, item_keys array<string>")
+    weights = spark.createDataFrame([("x", 2, 2, 0, 0, 0, 0.0), ("y", 1, 1, 0, 0, 0, 0.0), ("z", 0, 0, 0, 1, 0, 0.0), ("p", 0, 0, 0, 0, 1, 0.0)], "item_key string, attempts long, effective long, ineffective long, partial long, pinned int, manual double")
+    kept, after = lg.clean_ledger(led, weights, ["[test]"], ["id"])
+    assert sorted((r.id, r.asked) for r in kept.collect()) == [(1, "a real one"), (2, "last")]
+    assert {r.item_key: (r.attempts, r.effective, r.ineffective, r.partial) for r in after.collect()} == {"x": (1, 1, 0, 0), "z": (0, 0, 0, 1), "p": (0, 0, 0, 0)}
