@@ -148,7 +148,7 @@ def test_collocations_with_a_full_bitmap_and_small_counters(spark, monkeypatch):
     want = sorted(plain_collocations([(lang, t) for _, t, lang in rows], low=4))
     monkeypatch.setattr(collocations, "MIN_BITS", 64)
     monkeypatch.setattr(collocations, "MAX_BITS", 64)
-    monkeypatch.setattr(collocations, "HELD", 10)
+    monkeypatch.setattr(collocations, "PORTION_CHARS", 300)
     assert sorted(map(tuple, collocations.collocations(df, min_count=4).collect())) == want
 
 
