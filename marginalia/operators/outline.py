@@ -9,10 +9,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.scalars import let
+from marginalia.functions.text import strip
 from marginalia.operators.extraction import DROPPED_BLOCKS, block_text
+from marginalia.operators.metadata import spans
 
 #: Sizes in characters, the most sections of a document, and how much of a section its fingerprint covers.
 WINDOW_CHARS, SHORT, LONG, MAX_SECTIONS, PRINT_CHARS = 4000, 120, 9000, 24, 2000
@@ -159,3 +162,31 @@ def replace_formula(text: str, new: str, nth: int | None = None, old: str | None
             body = new if not tag or "\\tag" in new else f"{new} {tag[0]}"
             return f"{text[: m.start()]}$$\n{body.strip()}\n$${text[m.end() :]}"
     return text
+
+
+FORMULA = r"(?s)\$\$.*?\$\$"
+TAG = r"\\tag\{[^}]*\}"
+
+
+def _squeezed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s+", "")
+
+
+def formula_replaced(text: Column, new: Column, nth: Column | None = None, old: Column | None = None) -> Column:
+    """``replace_formula`` as an expression: the nth (from 0) $$ formula, or the first that holds ``old`` but for spaces, gets a new body and
+    keeps its tag. A text without such a formula stays as it is."""
+    chosen = lambda s, i: i == nth if nth is not None else _squeezed(s["found"]).contains(_squeezed(old))
+    tag = lambda s: F.regexp_extract(s["found"], TAG, 0)
+    body = lambda s: F.when((tag(s) == "") | new.contains("\\tag"), new).otherwise(F.concat(new, F.lit(" "), tag(s)))
+
+    def put(t: Column, s: Column) -> Column:
+        return F.when(s.isNull(), t).otherwise(F.concat(F.call_function("substring", t, F.lit(1), s["start"]), F.lit("$$\n"), strip(body(s)), F.lit("\n$$"), F.call_function("substring", t, s["end"] + 1, F.length(t))))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.get(F.filter(spans(t, FORMULA), chosen), F.lit(0)), lambda s: put(t, s)))
+
+
+def formulas(pages: DataFrame, key: str, page: str = "page", text: str = "text") -> DataFrame:
+    """(key, page, nth, formula, tag, start): the $$ formulas of each page in order."""
+    found = pages.select(key, page, F.posexplode(spans(F.col(text), FORMULA)).alias("nth", "s"))
+    inner = strip(F.regexp_replace(F.col("s.found"), r"^\$\$|\$\$$", ""))
+    return found.select(key, page, "nth", inner.alias("formula"), F.nullif(F.regexp_extract(F.col("s.found"), r"\\tag\{([^}]*)\}", 1), F.lit("")).alias("tag"), F.col("s.start").alias("start"))

@@ -203,3 +203,15 @@ LINE = st.sampled_from(["words", "", "  ", "# 1 One", "## 1.1 Part", "### 1.1.1
 @given(st.lists(st.tuples(st.integers(1, 5), st.lists(LINE, max_size=12).map("\n".join)), max_size=4))
 def test_sections_as_the_rules_say(pages):
     assert ck.sections(pages) == plain_sections(pages)
+
+
+def test_formulas(spark):
+    texts = ["x $$a = b \\tag{1}$$ y $$c$$", "none", "$$ multi\nline $$ and $$a=b$$", "", "$$open", "$$$$ $$q$$"]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "k int, page int, text string")
+    new, old = "z", " a =b"
+    got = df.select("k", *[ol.formula_replaced(F.col("text"), F.lit(new), nth=F.lit(n)).alias(f"n{n}") for n in (0, 1)], ol.formula_replaced(F.col("text"), F.lit(new), old=F.lit(old)).alias("o"), ol.formula_replaced(F.col("text"), F.lit("t \\tag{9}"), nth=F.lit(0)).alias("t")).collect()
+    for r in got:
+        text = texts[r.k]
+        assert (r.n0, r.n1, r.o, r.t) == (ol.replace_formula(text, new, nth=0), ol.replace_formula(text, new, nth=1), ol.replace_formula(text, new, old=old), ol.replace_formula(text, "t \\tag{9}", nth=0)), text
+    listed = {(r.k, r.nth): (r.formula, r.tag, r.start) for r in ol.formulas(df, "k").collect()}
+    assert listed[0, 0] == ("a = b \\tag{1}", "1", 2) and listed[0, 1] == ("c", None, 22) and listed[2, 0] == ("multi\nline", None, 0) and (4, 0) not in listed
