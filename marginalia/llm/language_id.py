@@ -29,35 +29,59 @@ MAX_BROADCAST_LANGUAGES = 100_000
 LEVEL = 9
 PIECE_BYTES = 1 << 13
 MIN_MARGIN = 0.01
+#: Word characters but digits; among them numbers that are no decimal digits (½, ², Ⅷ), which are no letters.
 LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def bare(text: str) -> bytes:
     """The letters of a whole text: lowered, what stands between words one space, a word that is
     repeated at once written once. Ornaments, case and repetition say nothing of the language."""
-    return " ".join(word for word, _ in groupby(NO_LETTERS.sub(" ", text.lower()).split())).encode("utf-8", "replace")
+    plain = NO_LETTERS.sub(" ", text.lower())
+    if not plain.replace(" ", "").isalpha():
+        plain = "".join(c if c.isalpha() else " " for c in plain)
+    return " ".join(word for word, _ in groupby(plain.split())).encode("utf-8", "replace")
+
 
+def _letters(dict_bytes: int):
+    """Rows (lang, n, k, text) to (lang, n, k, letters): of each text the last ``dict_bytes`` of its letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [bare(t)[-dict_bytes:] for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cut, pa.binary())], names=["lang", "n", "k", "letters"])
 
-def _join(sample: pd.DataFrame) -> pd.DataFrame:
-    """One language's dictionary, of its sampled texts in the order of their hash."""
-    rows = sample.sort_values(["k", "text"])
-    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "n": [int(rows["n"].iloc[0])], "known": [b"\n".join(bare(t) for t in rows["text"])[-DICT_BYTES:]]})
+    return run
+
+
+def _joined(dict_bytes: int):
+    def run(sample: pd.DataFrame) -> pd.DataFrame:
+        """One language's dictionary, of its sampled texts in the order of their hash."""
+        rows = sample.sort_values(["k", "letters"])
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "n": [int(rows["n"].iloc[0])], "known": [b"\n".join(rows["letters"])[-dict_bytes:]]})
+
+    return run
 
 
-def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_bytes: int = MIN_DICT_BYTES) -> dict[str, bytes]:
+def learn_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, min_bytes: int = MIN_DICT_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Language to dictionary, from rows of (doc_id, text, lang) chosen by a hash of the id; the commonest language first.
 
-    Rows without an id, a language or a letter of text take no part; repeated rows count each time. The texts are joined
-    by a task for each language, which holds about ``sample_docs`` of them; the driver gets at most DICT_BYTES a language.
-    Languages with less than ``min_bytes`` of letters are left out. No usable rows give no dictionaries.
+    Rows without an id, a language or a letter of text take no part; repeated rows count each time. A text is cut to the last
+    ``dict_bytes`` of its letters before it is shuffled, as no dictionary holds more; a task for each language joins about ``sample_docs``
+    of them, and the driver gets at most ``dict_bytes`` a language. Languages with less than ``min_bytes`` of letters are left out: their
+    texts are taken for another language. No usable rows give no dictionaries.
     """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", "text")
     counts = stored(train.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
     small = F.broadcast if counts.count() <= MAX_BROADCAST_LANGUAGES else (lambda df: df)
     share = F.col("n") * F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1_000_000))
-    sample = train.join(small(counts), "lang").where(share < F.lit(sample_docs * 1_000_000))
-    known = sample.select("lang", "n", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("k")).groupBy("lang").applyInPandas(_join, "lang string, n long, known binary")
+    sample = train.join(small(counts), "lang").where(share < F.lit(sample_docs * 1_000_000)).select("lang", "n", F.xxhash64(F.col("doc_id").cast("string")).alias("k"), "text")
+    letters = sample.mapInArrow(_letters(dict_bytes), "lang string, n long, k long, letters binary")
+    known = letters.groupBy("lang").applyInPandas(_joined(dict_bytes), "lang string, n long, known binary")
     return {r.lang: bytes(r.known) for r in sorted(known.where(F.octet_length("known") >= min_bytes).collect(), key=lambda r: (-r.n, r.lang))}
 
 
@@ -76,7 +100,7 @@ class Judge:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin is too narrow. No letter: ``und``, 0, rejected."""
-        if not self.langs or text is None or not LETTER.search(text):
+        if not self.langs or text is None or not has_letter(text):
             return "und", 0.0, True
         sizes = self.sizes(bare(text))
         best, *others = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
