@@ -28,6 +28,8 @@ DEGREE, BEAM, ALPHA = 32, 48, 1.2
 SEARCH_BEAM = 128
 SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
+#: Queries searched and scored together.
+QUERY_SLICE = 256
 SALTS = 32
 #: Distinct vectors that a task collapses together.
 HELD_VECTORS = 50_000
@@ -162,17 +164,25 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, bloc
 
 
 def search_shard(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Node numbers and exact distances, by double precision differences, of up to k nodes found, ties to the smaller number."""
+    """Node numbers and exact distances, by double precision differences, of up to k nodes found, ties to the smaller number.
+
+    Queries are searched and scored QUERY_SLICE at a time, which bounds what is held to that many times the beam vectors.
+    """
     width = max(beam, k)
-    if len(points) <= width:
-        ids = np.tile(np.arange(len(points), dtype=np.int32), (len(queries), 1))
-    else:
-        light = Points(points)
-        ids = np.concatenate([beam_search(light, graph, start, queries[a : a + 256].astype(np.float32), width)[0] for a in range(0, len(queries), 256)])
-    exact = np.sqrt(((points[np.maximum(ids, 0)] - queries[:, None, :]) ** 2).sum(axis=2))
-    exact[ids < 0] = np.inf
-    order = np.lexsort((ids, exact), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(exact, order, 1)
+    light = Points(points) if len(points) > width else None
+    most = min(k, len(points))
+    found = [(np.empty((0, most), dtype=np.int32), np.empty((0, most)))]
+    for a in range(0, len(queries), QUERY_SLICE):
+        asked = queries[a : a + QUERY_SLICE]
+        if light is None:
+            ids = np.tile(np.arange(len(points), dtype=np.int32), (len(asked), 1))
+        else:
+            ids = beam_search(light, graph, start, asked.astype(np.float32), width)[0]
+        exact = np.sqrt(((points[np.maximum(ids, 0)] - asked[:, None, :]) ** 2).sum(axis=2))
+        exact[ids < 0] = np.inf
+        order = np.lexsort((ids, exact), axis=1)[:, :k]
+        found.append((np.take_along_axis(ids, order, 1), np.take_along_axis(exact, order, 1)))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
