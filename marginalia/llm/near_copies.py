@@ -13,14 +13,16 @@ sets are collapsed before. Components are found without the driver (see componen
 A cluster of at most CLUSTER_DOCS documents and CLUSTER_SHINGLES shingles meets in one task, which finds similar
 sets by prefix filtering: with shingles ordered by rarity, two such sets share one of their first
 n - ceil(similarity x n) + 1. Of a larger cluster the first PIVOTS documents are compared with one another, and
-all others, dealt to many tasks, with those of them that stay. What is left clusters anew, until no
-large cluster is left; both ways follow the same rule.
+all others, dealt to many tasks, with those of them that stay. What is left clusters anew, with twice as many pivots in each round up to
+PIVOT_SHINGLES shingles, until no large cluster is left; both ways follow the same rule. A cluster of copies
+is settled in one round; one of n documents that are alike but not similar enough takes log2(n / PIVOTS) rounds, and beyond
+PIVOT_SHINGLES one for so many shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 48, 8
 SEED = 42
 CLUSTER_DOCS, CLUSTER_SHINGLES = 2000, 4_000_000
-PIVOTS, PART_DOCS = 64, 2000
+PIVOTS, PIVOT_SHINGLES, PART_DOCS = 64, 1_000_000, 2000
+#: The place of documents that are no pivots.
+REST = 1 << 30
 _random = np.random.default_rng(20250611)
 FLIPS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -188,7 +192,7 @@ def _large_clusters(width: int, least: float):
                     if group and group[1] == 0 and pivots is None:  # no other row was dealt to it
                         settled()
                     group, pivots, nodes, sets = (root, part), None, [], []
-                if place <= PIVOTS:
+                if place < REST:
                     nodes.append(node)
                     sets.append(shingles(text, width))
                     continue
@@ -225,7 +229,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     entries = stored(entries.join(homes.select("key"), "key", "left_semi"), "shingle-entries")
     texts = keyed.select(*KEY, "text")
     decided = None
-    while True:
+    for turn in count():
         left = entries if decided is None else entries.join(decided.select("node"), "node", "left_anti")
         homes = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
         stars = components(left.join(homes, "key").select(F.col("node").alias("u"), F.col("low").alias("v")).where("u <> v"))
@@ -239,10 +243,11 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
         if sizes.where(large).isEmpty():
             break
         parts = sizes.where(large).select("root", F.ceil(F.greatest(F.col("n") / PART_DOCS, F.col("total") / CLUSTER_SHINGLES)).alias("parts"))
-        order = F.row_number().over(Window.partitionBy("root").orderBy(*KEY))
-        first = members.join(parts, "root").withColumn("place", order).where(F.col("place") <= PIVOTS)
+        order = Window.partitionBy("root").orderBy(*KEY)
+        placed = members.join(parts, "root").withColumns({"place": F.row_number().over(order), "__upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+        first = placed.where((F.col("place") <= PIVOTS) | (F.col("place") <= PIVOTS << min(turn, 24)) & (F.col("__upto") <= PIVOT_SHINGLES))
         first = stored(first.select("root", "node", *KEY, "parts", "place"), "near-copies-pivots")
-        rest = members.join(parts, "root").join(first.select("node"), "node", "left_anti").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("place", F.lit(PIVOTS + 1))
+        rest = members.join(parts, "root").join(first.select("node"), "node", "left_anti").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("place", F.lit(REST))
         dealt = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         columns = ["root", "part", "place", "node", *KEY]
         asked = texts.dropDuplicates(KEY).join(rest.select(*columns).unionByName(dealt.select(*columns)), KEY).select("root", "part", "place", "node", "text")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import ann, html_extract, language_id, line_dedup, mixing, near_copies, queries, simhash, substring_dedup, toxicity, twice_filter, warc
 from marginalia.llm.components import components
+from marginalia.llm.shared import stored
 from marginalia.llm.decontamination import contamination, drop_contaminated
 from tests.llm import brute
 
@@ -583,11 +584,64 @@ def test_near_copies_of_large_clusters(spark, monkeypatch):
     assert plain(got.select("doc_id", "text")) == sorted(brute.without_near_copies(docs), key=repr)
 
 
+def test_language_letters_are_of_category_l(spark):
+    """½, ², Ⅷ and the like are word characters, but no letters: ``und``, and never in a dictionary. Texts are cut before the shuffle."""
+    known = {"en": b"the dog and the house", "de": b"der hund und das haus"}
+    judge = language_id.Judge(known)
+    for text in ("½", "² ①", "Ⅷ", "12 ³", "_", ""):
+        assert judge.predict(text)[0] == "und"
+    assert judge.predict("½ a")[0] != "und" and language_id.bare("Ⅷ the½dog ²² the") == b"the dog the"
+    docs = spark.createDataFrame([(i, f"w{i} " + prose(3000, i), "en") for i in range(5)], "doc_id long, text string, lang string")
+    whole = language_id.learn_dictionaries(docs, min_bytes=0, dict_bytes=500)["en"]
+    parts = sorted((spark.sql(f"SELECT xxhash64('{i}') AS k").first().k, language_id.bare(t)) for i, t, _ in docs.collect())
+    assert whole == b"\n".join(t for _, t in parts)[-500:]
+
+
+def test_rounds_of_documents_of_one_template(spark, monkeypatch):
+    """2500 documents at a similarity of about 0.6 to each other, none a copy of another, are one cluster, and settle in few rounds."""
+    names = []
+    monkeypatch.setattr(near_copies, "stored", lambda df, name: names.append(name) or stored(df, name))
+    monkeypatch.setattr(near_copies, "PIVOTS", 16)
+    base = prose(60, 61)
+    docs = [(i, base + " " + prose(14, 80_000 + i)) for i in range(2500)]
+    assert near_copies.drop_near_copies(frame(spark, docs), cluster_docs=100).count() == len(docs)
+    rounds = names.count("shingle-clusters")
+    assert 3 < rounds <= 10  # 16 + 32 + ... pass 2500 in 8 rounds; 150 it would be with 16 in each
+
+
+def test_search_in_slices(monkeypatch):
+    """Slices change nothing, and scoring holds a slice's vectors only."""
+    r = np.random.default_rng(4)
+    points = r.normal(size=(3000, 16))
+    graph, start = ann.build_graph(points)
+    queries = points[:700] + 0.01
+    ids, dist = ann.search_shard(points, graph, start, queries, 11)
+    monkeypatch.setattr(ann, "QUERY_SLICE", 64)
+    again = ann.search_shard(points, graph, start, queries, 11)
+    assert (ids == again[0]).all() and (dist == again[1]).all() and ids.shape == (700, 11)
+    small = ann.search_shard(points[:5], graph[:5], 0, queries[:3], 11)
+    assert small[0].shape == (3, 5) and ann.search_shard(points, graph, start, queries[:0], 11)[0].shape == (0, 11)
+
+
+def test_substring_recall_by_length():
+    """How much of a repeated passage of a length is found: all from 240 bytes on, most of 160 and 200 (see the README)."""
+    r = random.Random(8)
+    found = {}
+    for size in (160, 200, 240, 300):
+        hits = 0
+        for i in range(300):
+            passage = prose(120, 5_000 + i)[:size]
+            a, b = (f"{prose(40, r.random())} {passage} {prose(40, r.random())}".encode() for _ in range(2))
+            hits += bool(set(substring_dedup.chunks(a)[1]) & set(substring_dedup.chunks(b)[1]))
+        found[size] = hits / 300
+    assert found[160] > 0.8 and found[200] > 0.95 and found[240] == found[300] == 1.0, found
+
+
 def test_pivots_are_decided_without_other_rows():
     """Part 0 of a large cluster may get the pivots alone; they are decided all the same, or the search would never end."""
     base, other = prose(100, 41), prose(100, 42)
     pivots = [(1, 10, base), (2, 11, edited(base, 1, 3))]
-    rows = [(1, part, place, node, text) for part in (0, 1) for place, node, text in pivots] + [(1, 1, near_copies.PIVOTS + 1, 12, other), (1, 1, near_copies.PIVOTS + 1, 13, edited(base, 1, 4)), (2, 0, 1, 20, other)]
+    rows = [(1, part, place, node, text) for part in (0, 1) for place, node, text in pivots] + [(1, 1, near_copies.REST, 12, other), (1, 1, near_copies.REST, 13, edited(base, 1, 4)), (2, 0, 1, 20, other)]
     batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["root", "part", "place", "node", "text"])
     found = pa.Table.from_batches(near_copies._large_clusters(5, 0.8)(iter([batch]))).to_pylist()
     assert {(x["node"], x["gone"]) for x in found} == {(10, False), (11, True), (13, True), (20, False)} and len(found) == 4
