@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the ranking weights.
@@ -100,6 +100,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that later filters and columns read: as a generator's output it is never written out again where they stand."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 NO_TITLE = "(无标题)"
 
 

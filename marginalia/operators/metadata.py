@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 
 from marginalia.functions import scalars as sc
 from marginalia.functions import text as tx
-from marginalia.functions.scalars import let
+from marginalia.functions.scalars import let, once
 from marginalia.operators.extraction import extract_doi
+from marginalia.operators.relational import kept
 from marginalia.operators.views import evidence
 
 HEAD_PAGES, HEAD_LINES, HEAD_CHARS, LEAST_CHARS, LINE_CHARS = 2, 30, 6000, 200, 160
@@ -193,16 +194,18 @@ def line_names(line: Column) -> Column:
     return let(tx.strip(F.get(F.split(F.coalesce(line, F.lit("")), r"[（(\[【]", 2), F.lit(0))), read)
 
 
-def creators(heads_: DataFrame, key: str, titles: DataFrame | None = None, head: str = "head") -> DataFrame:
-    """(key, creators, partial, labeled, score, line): the line of authors among the first HEAD_LINES of a head.
+def creators(heads_: DataFrame, key: str, titles: DataFrame | None = None, head: str = "head", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, creators, partial, labeled, score, line): the line of authors among the first HEAD_LINES of a head; ``also`` names
+    columns that tell apart several heads of one key.
 
     titles: (key, title); a line that begins with the title is none. A line counts 3 for a label (or "by" above it), 2 each for
     "et al." and for marks, 1 each for standing in the first 12 lines and below a line of six characters or more. Chinese names
     add 2 when lines are compared, not when it is decided whether the best one has the 2 points it needs. A name alone
     without label or mark is too little. Ties go to the earlier line.
     """
-    lines = heads_.select(key, F.posexplode(F.slice(F.split(F.coalesce(F.col(head), F.lit("")), "\n"), 1, HEAD_LINES)).alias("pos", "line")).withColumn("bare", tx.strip(F.col("line")))
-    above = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    keys = (key, *also)
+    lines = heads_.select(*keys, F.posexplode(F.slice(F.split(F.coalesce(F.col(head), F.lit("")), "\n"), 1, HEAD_LINES)).alias("pos", "line")).withColumn("bare", tx.strip(F.col("line")))
+    above = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("above", F.coalesce(F.last(F.nullif("bare", F.lit("")), ignorenulls=True).over(above), F.lit("")))
     if titles is not None:
         squeeze = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), tx.SPACE, "")
@@ -210,13 +213,13 @@ def creators(heads_: DataFrame, key: str, titles: DataFrame | None = None, head:
         lines = lines.where((F.coalesce("__title", F.lit("")) == "") | ~squeeze(F.col("bare")).startswith(F.col("__title")))
     label = _part(F.col("bare"), r"(?iU)^(?:" + "|".join(AUTHOR_LABELS) + r")\s*[:：]\s*(.+)$")
     by = F.lower(F.regexp_replace("above", r"(?U)^[\s:：]+|[\s:：]+$", "")) == "by"
-    read = lines.where("bare <> ''").withColumns({"labeled": label.isNotNull() | by, "got": line_names(F.coalesce(label, F.col("bare")))}).where("got IS NOT NULL")
+    read = once(lines.where("bare <> ''").withColumn("labeled", label.isNotNull() | by), "got", line_names(F.coalesce(label, F.col("bare")))).where("got IS NOT NULL")
     read = read.where("labeled OR size(got.names) > 1 OR got.partial OR got.marked")
     score = F.when(F.col("labeled"), 3).otherwise(0) + F.when(F.col("got.partial"), 2).otherwise(0) + F.when(F.col("got.marked"), 2).otherwise(0) + F.when(F.col("pos") < 12, 1).otherwise(0) + F.when(F.length("above") >= 6, 1).otherwise(0)
     ranked = read.withColumn("score", score).withColumn("rank", F.col("score") + F.when(F.exists("got.names", lambda n: n.rlike("[一-鿿]")), 2).otherwise(0))
-    best = ranked.where("rank > 0").groupBy(key).agg(F.min_by(F.struct("got", "labeled", "score", "bare"), F.struct(-F.col("rank"), "pos")).alias("b")).where("b.score >= 2")
+    best = ranked.where("rank > 0").groupBy(*keys).agg(F.min_by(F.struct("got", "labeled", "score", "bare"), F.struct(-F.col("rank"), "pos")).alias("b")).where("b.score >= 2")
     made = F.filter(F.transform("b.got.names", lambda n: let(n, sc.split_name)), lambda n: (n["last"] != "") | (n["first"] != ""))
-    return best.select(key, made.alias("creators"), "b.got.partial", "b.labeled", "b.score", F.col("b.bare").alias("line")).where(F.size("creators") > 0)
+    return once(best, "creators", made).select(*keys, "creators", "b.got.partial", "b.labeled", "b.score", F.col("b.bare").alias("line")).where(F.size("creators") > 0)
 
 
 def creators_line(names: Column) -> Column:
@@ -225,17 +228,22 @@ def creators_line(names: Column) -> Column:
 
 def field_candidates(pages: DataFrame, key: str, titles: DataFrame | None = None) -> DataFrame:
     """(key, field, value, kind, found): what the first pages of one source say; pages that hold under LEAST_CHARS say nothing."""
-    head = heads(pages, key).where(F.length("head") >= LEAST_CHARS)
+    return _said(heads(pages, key), key, titles)
+
+
+def _said(head: DataFrame, key: str, titles: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """field_candidates of heads."""
+    head = head.where(F.length("head") >= LEAST_CHARS)
     t = F.col("head")
-    read = head.withColumns({"d": best_date(t), "doi": F.nullif(extract_doi(t), F.lit("")), "v": volume_issue_pages(t)})
+    read = once(head, "r", F.struct(best_date(t).alias("d"), F.nullif(extract_doi(t), F.lit("")).alias("doi"), volume_issue_pages(t).alias("v")))
     row = lambda name, value, kind, found: F.struct(F.lit(name).alias("field"), value.alias("value"), kind.alias("kind"), found.alias("found"))
     none = F.lit(None).cast("string")
     rows = F.array(
-        row("date", F.col("d.value"), F.col("d.kind"), F.col("d.found")), row("DOI", F.col("doi"), none, F.col("doi")),
-        *[row(n, F.col(f"v.{n}"), none, F.col(f"v.found.{n}")) for n in ("volume", "issue", "pages")],
+        row("date", F.col("r.d.value"), F.col("r.d.kind"), F.col("r.d.found")), row("DOI", F.col("r.doi"), none, F.col("r.doi")),
+        *[row(n, F.col(f"r.v.{n}"), none, F.col(f"r.v.found.{n}")) for n in ("volume", "issue", "pages")],
     )
-    plain = read.select(key, F.inline(rows)).where("value IS NOT NULL")
-    people = creators(head, key, titles).select(key, F.lit("creators").alias("field"), creators_line(F.col("creators")).alias("value"), F.when(F.col("partial"), "partial").alias("kind"), F.substring("line", 1, LINE_CHARS).alias("found"))
+    plain = read.select(key, *also, F.inline(rows)).where("value IS NOT NULL")
+    people = creators(head, key, titles, also=also).select(key, *also, F.lit("creators").alias("field"), creators_line(F.col("creators")).alias("value"), F.when(F.col("partial"), "partial").alias("kind"), F.substring("line", 1, LINE_CHARS).alias("found"))
     return plain.unionByName(people)
 
 
@@ -256,13 +264,14 @@ def suggest(items: DataFrame, a: DataFrame, b: DataFrame | None = None, answers:
     """
     titles = items.select(key, "title")
     empty = items.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "").alias("empty")) for f in FIELDS])).alias("f")).where("f.empty").select(key, "f.field")
-    said = field_candidates(a, key, titles).withColumn("source", F.lit("a"))
-    text = heads(a, key).select(key, F.col("head").alias("__a"))
+    # both sources are read in one pass; what is stored keeps the long rules out of every later plan
+    read = heads(a, key).withColumn("source", F.lit("a"))
     if b is not None:
-        said = said.unionByName(field_candidates(b, key, titles).withColumn("source", F.lit("b")))
-        text = text.join(heads(b, key).select(key, F.col("head").alias("__b")), key, "full_outer")
-    else:
-        text = text.withColumn("__b", F.lit(None).cast("string"))
+        read = read.unionByName(heads(b, key).withColumn("source", F.lit("b")))
+    read = kept(read)
+    said = kept(_said(read, key, titles, ("source",)))
+    of = lambda source: F.max(F.when(F.col("source") == source, F.col("head")))
+    text = read.groupBy(key).agg(of("a").alias("__a"), of("b").alias("__b"))
     one = F.struct("source", "value", "kind", "found", _same(F.col("field"), F.col("value")).alias("same"))
     merged = said.groupBy(key, "field").agg(F.array_sort(F.collect_list(one)).alias("vs"))
     rows = empty.join(merged, [key, "field"], "left")

@@ -92,3 +92,10 @@ def test_suggest(spark):
     why = {(r.item_key, r.field): r.why for r in md.not_suggested(items, md.suggest(items, a)).collect()}
     assert why[2, "date"] == "filled" and why[3, "volume"] == "nothing found" and (1, "volume") not in why
     assert md.suggest(items.limit(0), a, b).count() == 0 and md.suggest(items, a.limit(0)).count() == 0
+
+
+def test_rules_of_a_line_stand_once_in_the_plan(spark):
+    """Filters on what a line holds must not repeat the rules that read it."""
+    heads = spark.createDataFrame([("k", "On things\nSan Zhang1, Wei Wang2")], "item_key string, head string")
+    plan = md.creators(heads, "item_key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("申请号") == 1
