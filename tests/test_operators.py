@@ -273,6 +273,19 @@ def test_overlap_pairs(spark, groups, ratio):
     assert {(r.a, r.b, r.shared) for r in rl.overlap_pairs(df, "g", "m", ratio).collect()} == want
 
 
+@pytest.mark.parametrize("inline", [1, 3, 256])
+def test_overlap_of_small_and_large_groups(spark, monkeypatch, inline):
+    """Groups on both sides of MEMBERS_INLINE are linked alike, each pair once."""
+    monkeypatch.setattr(rl, "MEMBERS_INLINE", inline)
+    groups = [{1}, {1, 2}, {1, 2}, {1, 2, 3, 4}, {1, 2, 3, 4}, {3, 4, 5, 6, 7}, {8}]
+    df = spark.createDataFrame([(i, x) for i, g in enumerate(groups) for x in g], "g int, m int")
+    n = range(len(groups))
+    linked = [(a, b, len(groups[a] & groups[b])) for a in n for b in n if a != b and len(groups[a] & groups[b]) / min(len(groups[a]), len(groups[b])) >= 0.6]
+    assert sorted((r.a, r.b, r.shared) for r in rl.overlap_pairs(df, "g", "m").collect()) == [x for x in linked if x[0] < x[1]]
+    want = [(a, groups.index(groups[a]), sum(x[0] == a for x in linked)) for a in n]
+    assert sorted(tuple(r) for r in rl.overlap_classes(df, "g", "m").collect()) == want
+
+
 def test_ledger_edits(spark):
     led = spark.createDataFrame([(1, "2024", "q", "effective", ["a"], None), (2, "2024", "r", "partial", [], ["{}"])], "id long, created_at string, asked string, outcome string, item_keys array<string>, history array<string>")
     edited = lg.update_entries(led, spark.createDataFrame([(2, "ineffective")], "id long, outcome string"), "2025")
