@@ -17,6 +17,8 @@ REVIEW_BOOST, TOP_CHUNKS = 1.1, 3
 BM25_K1, BM25_B = 1.2, 0.75
 #: A side of at most so many bytes is broadcast; a unit's row takes about UNIT_BYTES besides its text.
 BROADCAST_BYTES, UNIT_BYTES = 64 << 20, 64
+#: About how many sums of a query and a chunk a task may hold at once.
+TASK_SUMS = 1 << 20
 
 
 def term_df(chunks: DataFrame, text: str = "text", min_df: int = 2) -> DataFrame:
@@ -49,11 +51,16 @@ def query_coverage(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id",
     """The same for a table of queries, through postings: an equi-join on terms instead of a scan for each query.
 
     Units are whole terms here (single CJK characters and Latin words), matched lowered. Units that are measured to
-    be small are broadcast: postings then stay where they are, and a chunk's hits are summed before the shuffle.
+    be small are broadcast: postings then stay where they are, and a chunk's hits are summed before the shuffle. Chunks are
+    dealt to as many tasks as keep a task's sums near TASK_SUMS, however many chunks there are.
     """
     units = queries.select(query_id, F.explode(tx.coverage_units(F.col(query))).alias("u")).select(query_id, "u.unit", "u.weight").distinct()
     totals = units.groupBy(query_id).agg(F.sum("weight").alias("total"))
-    posts = chunks.select(key, F.explode(tx.index_terms(F.col(text))).alias("unit"))
+    listed = chunks.select(key, tx.index_terms(F.col(text)).alias("__units"))
+    tasks = -(-chunks.count() * totals.count() // TASK_SUMS)
+    if tasks > listed.rdd.getNumPartitions():
+        listed = listed.repartition(tasks)
+    posts = listed.select(key, F.explode("__units").alias("unit"))
     size = units.agg(F.coalesce(F.sum(F.octet_length("unit") + F.octet_length(F.col(query_id).cast("string")) + UNIT_BYTES), F.lit(0))).first()[0]
     known = F.broadcast(units) if size <= BROADCAST_BYTES else units
     hits = posts.join(known, "unit").groupBy(query_id, key).agg(F.sum("weight").alias("hit"), F.sum(F.when(F.length("unit") >= 2, 1).otherwise(0)).cast("int").alias("strong"))

@@ -134,3 +134,25 @@ def test_chunks_keep_few_rows_as_python_objects():
     out = ck._sliced(lambda t: [Piece(t)], rows, kind, 7)
     assert out.to_pylist() == [[{"offset": 0, "text": x}] for x in rows.to_pylist()] and alive[1] <= 14
     assert ck._sliced(lambda t: [Piece(t)], rows.slice(0, 0), kind).to_pylist() == []
+
+
+@pytest.mark.parametrize("size", [0, 64 << 20])
+def test_probes_broadcast_or_joined(spark, monkeypatch, size):
+    """Small probes are broadcast before the texts' windows are shuffled; the hits are the same either way."""
+    monkeypatch.setattr(rl, "PROBE_BYTES", size)
+    docs = spark.createDataFrame([(1, "one two three four five one two three four"), (2, "nothing of it at all"), (3, None)], "d int, x string")
+    titles = spark.createDataFrame([("p", "two three four five"), ("q", "one two three four")], "t string, y string")
+    found = rl.probe_match(docs, titles, "d", "x", "t", "y")
+    assert sorted((r.d, r.t, r.hits, r.r) for r in found.collect()) == [(1, "p", 1, 1), (1, "q", 1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftSemi" in plan) == (size > 0)
+
+
+def test_query_coverage_in_portions(spark, monkeypatch):
+    """A task's sums stay near TASK_SUMS: more chunks make more tasks."""
+    docs = spark.createDataFrame([(i, "alpha beta" if i % 2 else "beta") for i in range(40)], "chunk_id int, text string").coalesce(1)
+    asks = spark.createDataFrame([("q", "alpha beta")], "query_id string, query string")
+    monkeypatch.setattr(rt, "TASK_SUMS", 8)
+    found = rt.query_coverage(docs, asks)
+    assert {(r.chunk_id, r.strong) for r in found.collect()} == {(i, 1 + i % 2) for i in range(40)}
+    assert "Repartition 5" in found._jdf.queryExecution().optimizedPlan().toString()
