@@ -1,7 +1,9 @@
 """Rules on literal rows: one case for each."""
 
 import math
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +58,55 @@ def test_deshift(spark):
     assert one(spark, tx.best_shift(F.lit(moved)))["shift"] == 7 - 32  # upper case reads as well, and is tried first
 
 
+ODD = [
+    None, "", " ", "a", "the", "of the", "The THE tHe the_ the1 _the 1the", "the\u0301 the\u203fx \u0130s \u0131s \u017fuch", "\x1cthe\x1f\x0b\x85\u3000of\xa0",
+    "汉字the汉 the汉字，of。", "الف ०१ ก the 😀of😀 x😀y", "é the éthe theé ½the the½ Ⅷof", "ab" * 40 + " whichever which", "~}|{ the !\"# of", "\x7fthe\x00of\n",
+    "".join(map(chr, range(33, 127))) * 3, *(tx._shift_map(n)[1][:60] + " " + "the which And OF it".translate(str.maketrans(*tx._shift_map(n))) for n in (-40, -29, -1, 3, 31, 40)),
+]
+
+
+def counted(text):
+    """(words, common) by the SQL's rules."""
+    import re
+
+    low = "".join("i" if c == "\u0130" else c.lower() for c in text)
+    tokens = "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in low).split(" ")
+    return len(re.findall("[A-Za-z]{2,}", text)), sum(w in tx.COMMON_WORDS for w in tokens)
+
+
+@pytest.mark.parametrize("size", [4, 1 << 18])
+def test_counts_of_odd_texts(monkeypatch, size):
+    monkeypatch.setattr(tx, "SLICE_CHARS", size)
+    got = tx.count_texts(pa.array(ODD), tx._known()).tolist()
+    for text, row in zip(ODD, got):
+        t = "".join((text or "").split())
+        own = [len(t), sum("一" <= c <= "鿿" for c in t), sum(c.isascii() and c.isalpha() for c in t), sum("\u0900" <= c <= "\u09ff" or "\u0f00" <= c <= "\u0fff" or "\u0590" <= c <= "\u06ff" or "\u0e00" <= c <= "\u0e7f" for c in t)]
+        assert row == [*own, *counted(text or "")], text
+
+
+def test_counts_of_broken_bytes():
+    rows = pa.array([b"the \xff of", b"\xe6\xb1"]).view(pa.string())
+    assert tx.count_texts(rows, tx._known()).tolist() == [[6, 0, 5, 0, 2, 2], [1, 0, 0, 0, 0, 0]]
+
+
+def test_all_shifts_at_once():
+    """Every shift's share is that of the shifted text, whatever stands beside it."""
+    texts = [t or "" for t in ODD] + ["Of the and " * 200, ""]
+    for text, got in zip(texts, tx.shift_ratios(texts, tx._known()), strict=True):
+        for shift, ratio in zip(tx.SHIFTS, got, strict=True):
+            words, common = counted(text.translate(str.maketrans(*tx._shift_map(shift))))
+            assert ratio == (common / words if words else 0), (text, shift)
+
+
+def test_shift_scan_counts_a_text_once(spark):
+    """Texts are dealt out first, then counted in one pass that builds no matches."""
+    from marginalia.plans import queries as q
+
+    plan = q.shift_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and plan.count("ArrowEvalPython") == 2
+    assert plan.index("Filter") < plan.index("Exchange")
+
+
 def test_html(spark):
     got = one(spark, tx.html_to_markdown(F.lit('<h2> T </h2><p>a <b>b</b> &amp; <a href="u">l</a></p><ul><li>x</li></ul><img src="z">')))
     assert got == "## T\n\na **b** & [l](u)\n\n- x"
