@@ -107,6 +107,18 @@ def test_shift_scan_counts_a_text_once(spark):
     assert plan.index("Filter") < plan.index("Exchange")
 
 
+def test_item_health_counts_a_text_once(spark):
+    """One count and one scan of suspects; the scan takes in suspects only."""
+    from marginalia.operators import extraction as ex
+
+    plain = "the cat and the dog of it were in this for that with as on by be an we " * 20
+    rows = [(1, plain.translate(str.maketrans(*tx._shift_map(3)))), (2, plain), (3, "zzzzzz qqqqqq " * 150), (4, None), (5, "short"), (6, "汉字" * 200)]
+    found = ex.item_health(spark.createDataFrame(rows, "d int, text string").repartition(1))
+    assert {r.d: r.verdict for r in found.collect()} == {1: "bad", 2: "ok", 3: "unsure", 4: "bad", 5: "bad", 6: "ok"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("run(") == 2
+
+
 def test_html(spark):
     got = one(spark, tx.html_to_markdown(F.lit('<h2> T </h2><p>a <b>b</b> &amp; <a href="u">l</a></p><ul><li>x</li></ul><img src="z">')))
     assert got == "## T\n\na **b** & [l](u)\n\n- x"
