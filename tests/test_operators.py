@@ -286,6 +286,24 @@ def test_overlap_of_small_and_large_groups(spark, monkeypatch, inline):
     assert sorted(tuple(r) for r in rl.overlap_classes(df, "g", "m").collect()) == want
 
 
+@pytest.mark.parametrize("bits, members", [(0, 12), (1024, 12), (1024, 64), (1024, 150)])
+def test_overlaps_as_bits_and_by_rare_members(spark, monkeypatch, bits, members):
+    """Few members that most groups share: compared as bits in blocks, with the same pairs as by rare members."""
+    import random
+
+    for name, value in (("MEMBERS_AS_BITS", bits), ("GROUPS_A_BLOCK", 7), ("PAIRS_AT_ONCE", 16)):
+        monkeypatch.setattr(rl, name, value)
+    rnd = random.Random(members)
+    groups = {f"g{i}": set(rnd.sample(range(members), rnd.randint(1, members))) for i in range(40)} | {"all": set(range(members))}
+    df = spark.createDataFrame([(g, f"m{x}") for g, xs in groups.items() for x in [*xs, min(xs)]] + [(None, "m1"), ("g0", None)], "g string, m string")
+    found = rl.overlap_pairs(df, "g", "m")
+    assert ("MapInArrow" in found._jdf.queryExecution().toString()) == (bits > 0)
+    want = sorted((a, b, k, k / min(len(groups[a]), len(groups[b]))) for a in groups for b in groups if a < b and (k := len(groups[a] & groups[b])) / min(len(groups[a]), len(groups[b])) >= 0.6)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert sum(r.n_links for r in rl.overlap_classes(df, "g", "m").collect()) == 2 * len(want)
+    assert rl.overlap_pairs(df.where("false"), "g", "m").count() == 0
+
+
 def test_ledger_edits(spark):
     led = spark.createDataFrame([(1, "2024", "q", "effective", ["a"], None), (2, "2024", "r", "partial", [], ["{}"])], "id long, created_at string, asked string, outcome string, item_keys array<string>, history array<string>")
     edited = lg.update_entries(led, spark.createDataFrame([(2, "ineffective")], "id long, outcome string"), "2025")
