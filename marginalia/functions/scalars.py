@@ -195,24 +195,26 @@ def split_name(name: Column) -> Column:
     last name, or else before its final word. Names with a CJK character, a suffix, a hyphen or a particle
     stay whole, and so do single words, four words or more and several words in capitals.
     """
-    n = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", ""))
-    words = F.filter(F.split(n, r"\s+"), lambda w: w != "")
     bare = lambda w: F.regexp_replace(w, r"\.+$", "")
-    caps = F.filter(words, lambda w: (F.length(bare(w)) >= 2) & (w == F.upper(w)) & (w != F.lower(w)))
-    particle = F.exists(words, lambda w: F.lower(bare(w)).isin(NAME_PARTICLES))
-    cut = F.split(n, ",", 2)
-    before, after = F.trim(F.get(cut, F.lit(0))), F.trim(F.get(cut, F.lit(1)))
     named = lambda last, first: F.struct(last.alias("last"), first.alias("first"))
-    whole = named(n, F.lit(""))
-    one = F.get(caps, F.lit(0))
-    return (
-        F.when(n.rlike(r"[一-鿿]") | n.rlike(NAME_SUFFIX) | n.rlike("[-\u2010\u2011]") | particle, whole)
-        .when(n.contains(","), F.when((before != "") & (after != ""), named(before, after)).otherwise(whole))
-        .when((F.size(words) < 2) | (F.size(caps) >= 2), whole)
-        .when(F.size(caps) == 1, named(one, F.array_join(F.filter(words, lambda w: w != one), " ")))
-        .when(F.size(words) >= 4, whole)
-        .otherwise(named(F.get(words, F.size(words) - 1), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")))
-    )
+
+    def by_words(n: Column, words: Column, caps: Column) -> Column:
+        particle = F.exists(words, lambda w: F.lower(bare(w)).isin(NAME_PARTICLES))
+        cut = F.split(n, ",", 2)
+        before, after = F.trim(F.get(cut, F.lit(0))), F.trim(F.get(cut, F.lit(1)))
+        whole, one = named(n, F.lit("")), F.get(caps, F.lit(0))
+        return (
+            F.when(n.rlike(r"[一-鿿]") | n.rlike(NAME_SUFFIX) | n.rlike("[-\u2010\u2011]") | particle, whole)
+            .when(n.contains(","), F.when((before != "") & (after != ""), named(before, after)).otherwise(whole))
+            .when((F.size(words) < 2) | (F.size(caps) >= 2), whole)
+            .when(F.size(caps) == 1, named(one, F.array_join(F.filter(words, lambda w: w != one), " ")))
+            .when(F.size(words) >= 4, whole)
+            .otherwise(named(F.get(words, F.size(words) - 1), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")))
+        )
+
+    capitals = lambda words: F.filter(words, lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(bare(w)) >= 2))
+    split = lambda n: let(F.filter(F.split(n, r"\s+"), lambda w: w != ""), lambda words: let(capitals(words), lambda caps: by_words(n, words, caps)))
+    return let(F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")), split)
 
 
 #: Site names at the end of a title, with how sure they are, the surest first.

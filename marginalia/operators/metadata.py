@@ -32,24 +32,25 @@ MARKERS = {
 }
 KIND_RANK = {"published": 0, "online_first": 1, "submitted": 2}
 MARKER_REACH = 20
-#: Spans whose digits are no dates, and words right before a number that is none.
-MASKS = r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+|https?://\S+|\b(?:ISSN|ISBN)\s*[0-9Xx-]{6,}|\bCN\s*[0-9]{1,2}\s*[-–]\s*[0-9]{3,4}\s*/\s*[A-Za-z]"
+#: Spans whose digits are no dates, and words right before a number that is none. Here and below a look-ahead names
+#: the characters that a match can begin with: it changes no match, and most places of a text are passed by without a word boundary.
+MASKS = r"(?=[1hIC])(?:10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+|https?://\S+|\b(?:ISSN|ISBN)\s*[0-9Xx-]{6,}|\bCN\s*[0-9]{1,2}\s*[-–]\s*[0-9]{3,4}\s*/\s*[A-Za-z])"
 NO_YEAR = r"(?i)(?:issn|cn|isbn|no\.?\s*|vol\.?\s*)\s*$"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = "(" + "|".join(MONTHS) + r")[a-z]*\.?,?"
 #: How dates are written. Groups are numbered by DATE_PARTS: year, month, day (0: none).
 DATE_SHAPES = (
-    (r"(?U)\b((?:19|20)[0-9]{2})\s*[-/.年]\s*([0-9]{1,2})\s*(?:[-/.月]\s*([0-9]{1,2})\s*日?)?", (1, 2, 3)),
-    (rf"(?iU)\b{_MONTH}\s+((?:19|20)[0-9]{{2}})\b", (2, 1, 0)),
-    (rf"(?iU)\b([0-9]{{1,2}})\s+{_MONTH}\s+((?:19|20)[0-9]{{2}})\b", (3, 2, 1)),
+    (r"(?U)(?=[12])\b((?:19|20)[0-9]{2})\s*[-/.年]\s*([0-9]{1,2})\s*(?:[-/.月]\s*([0-9]{1,2})\s*日?)?", (1, 2, 3)),
+    (rf"(?iU)(?=[jfmasond][aepuco][nbrylgptvc])\b{_MONTH}\s+((?:19|20)[0-9]{{2}})\b", (2, 1, 0)),
+    (rf"(?iU)(?=[0-9])\b([0-9]{{1,2}})\s+{_MONTH}\s+((?:19|20)[0-9]{{2}})\b", (3, 2, 1)),
 )
 _DASH = "[-–—~～]"
 #: How volumes, issues and pages are written.
-VOLUME_CN, ISSUE_CN = r"(?U)第\s*([0-9]{1,4})\s*卷", r"(?U)(?<!卷)\s?第\s*([0-9]{1,3})\s*期"
-VOLUME_EN, ISSUE_EN = r"(?iU)vol\.?\s*([0-9]{1,4})(?![0-9])", r"(?iU)\b(?:No|Issue)\.?\s*([0-9]{1,3})(?![0-9])"
-CITED = rf"(?U)\b([0-9]{{1,4}})\s*\(\s*([0-9]{{1,3}})\s*\)\s*[:：]\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\b"
-CITED_YEAR = rf"(?U)\b(?:19|20)[0-9]{{2}}\s*,\s*([0-9]{{1,4}})\s*\(\s*([0-9]{{1,3}})\s*\)\s*[:：]\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\b"
-PAGES_EN, PAGES_CN = rf"(?iU)\b(?:pp?|pages?)\s*\.?\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\b", rf"(?U)第\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\s*页"
+VOLUME_CN, ISSUE_CN = r"(?U)第\s*([0-9]{1,4})\s*卷", r"(?U)(?![!-~])(?<!卷)\s?第\s*([0-9]{1,3})\s*期"
+VOLUME_EN, ISSUE_EN = r"(?iU)vol\.?\s*([0-9]{1,4})(?![0-9])", r"(?iU)(?=[ni])\b(?:No|Issue)\.?\s*([0-9]{1,3})(?![0-9])"
+CITED = rf"(?U)(?=[0-9])\b([0-9]{{1,4}})\s*\(\s*([0-9]{{1,3}})\s*\)\s*[:：]\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\b"
+CITED_YEAR = rf"(?U)(?=[12])\b(?:19|20)[0-9]{{2}}\s*,\s*([0-9]{{1,4}})\s*\(\s*([0-9]{{1,3}})\s*\)\s*[:：]\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\b"
+PAGES_EN, PAGES_CN = rf"(?iU)(?=p)\b(?:pp?|pages?)\s*\.?\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\b", rf"(?U)第\s*([0-9]{{1,5}})\s*{_DASH}\s*([0-9]{{1,5}})\s*页"
 ARTICLE_NUMBER = r"(?U)文章编号\s*[:：]?\s*[0-9]{4}\s*[-–—]\s*[0-9]{4}\s*\(\s*([0-9]{4})\s*\)\s*([0-9]{1,3})\s*[-–—]\s*([0-9]{4,5})\s*[-–—]\s*([0-9]{2})"
 #: What marks a line of authors, and what rules one out.
 AUTHOR_LABELS = ("研究生姓名", "学位申请人", "作者姓名", "第一作者", "通讯作者", "作者", "姓名", "authors", "author")
@@ -60,7 +61,7 @@ NO_AUTHORS = (
 )
 NAME_MARKS = r"\*†‡§¶∗#"
 CN_NAME, LATIN_NAME = "^[一-鿿·]{2,8}$", r"^[A-Za-z][A-Za-z'’-]*\.?(?:\s+[A-Za-z][A-Za-z'’-]*\.?){0,2}$"
-PARTIAL = r"(?iU)(?:[,，;；、]\s*)?(?:et\s*al\.?|etc\.?|等)\s*$"
+PARTIAL = r"(?iU)(?=[,，;；、e等])(?:[,，;；、]\s*)?(?:et\s*al\.?|etc\.?|等)\s*$"
 MOST_NAMES = 15
 FIELDS = ("date", "DOI", "volume", "issue", "pages", "creators")
 #: The source that is believed where two differ.
@@ -70,19 +71,16 @@ BELIEVED = {"creators": "b"}
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end,found>>: the matches of a pattern in order, in characters from 0, the end exclusive.
 
-    What lies between the matches gives their places, so one pass of the pattern for each is enough.
+    A single match whose characters stand in the text once is where they are. Else what lies between the matches gives their places.
     """
-    steps = lambda t: F.zip_with(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern), lambda m, b: F.struct(F.length(b).alias("gap"), m.alias("m")))
+    span = lambda start, m: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("found"))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("spans"))
-
-    def on(state: Column, step: Column) -> Column:
-        moved = lambda start: F.struct(
-            (start + F.length(step["m"])).alias("at"),
-            F.concat(state["spans"], F.array(F.struct(start.alias("start"), (start + F.length(step["m"])).alias("end"), step["m"].alias("found")))).alias("spans"),
-        )
-        return let(state["at"] + step["gap"], moved)
-
-    return let(F.coalesce(text, F.lit("")), lambda t: F.aggregate(F.filter(steps(t), lambda x: x["m"].isNotNull()), none, on, lambda s: s["spans"]))
+    between = lambda t, found: F.zip_with(found, tx.split_at(t, pattern), lambda m, b: F.struct(F.length(b).alias("gap"), m.alias("m")))
+    on = lambda state, step: let(state["at"] + step["gap"], lambda start: F.struct((start + F.length(step["m"])).alias("at"), F.concat(state["spans"], F.array(span(start, step["m"]))).alias("spans")))
+    all_of = lambda t, found: F.aggregate(F.filter(between(t, found), lambda x: x["m"].isNotNull()), none, on, lambda s: s["spans"])
+    only = lambda t, m: let(F.call_function("instr", t, m), lambda at: F.when(F.call_function("locate", m, t, at + 1) == 0, F.array(span(at - 1, m))))
+    placed = lambda t, found: F.when(F.size(found) == 0, none["spans"]).otherwise(F.coalesce(F.when(F.size(found) == 1, only(t, F.get(found, F.lit(0)))), all_of(t, found)))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: placed(t, found)))
 
 
 def _before(text: Column, start: Column, reach: int) -> Column:
@@ -146,22 +144,32 @@ def volume_issue_pages(text: Column) -> Column:
     In order: Chinese and English volume and issue, ``37(4): 765-770``, the same behind a year, ``pp. 765-770`` or its Chinese form,
     and an article number, whose last parts are the first page and how many there are; it serves only where pages are still missing.
     """
-    t = F.coalesce(text, F.lit(""))
-    both = lambda p, a, b: F.concat_ws("-", _part(t, p, a), _part(t, p, b))
-    pages_of = lambda p, a, b: F.when(t.rlike(p), both(p, a, b))
-    first, count = _part(t, ARTICLE_NUMBER, 3).cast("int"), _part(t, ARTICLE_NUMBER, 4).cast("int")
-    written = F.coalesce(pages_of(CITED, 3, 4), pages_of(CITED_YEAR, 3, 4), pages_of(PAGES_EN, 1, 2), pages_of(PAGES_CN, 1, 2))
-    numbered = written.isNull() & t.rlike(ARTICLE_NUMBER)
-    pages = F.coalesce(written, F.when(numbered & (count > 0), F.concat_ws("-", first.cast("string"), (first + count - 1).cast("string"))))
-    volume = [(VOLUME_CN, 1), (VOLUME_EN, 1), (CITED, 1), (CITED_YEAR, 1)]
-    issue = [(ISSUE_CN, 1), (ISSUE_EN, 1), (CITED, 2), (CITED_YEAR, 2)]
-    seen = lambda ways: F.coalesce(*[_part(t, p, 0) for p, _ in ways])
-    return F.struct(
-        F.coalesce(*[_part(t, p, g) for p, g in volume]).alias("volume"),
-        F.coalesce(*[_part(t, p, g) for p, g in issue], F.when(numbered, _part(t, ARTICLE_NUMBER, 2).cast("int").cast("string"))).alias("issue"),
-        pages.alias("pages"),
-        F.struct(seen(volume).alias("volume"), seen([*issue, (ARTICLE_NUMBER, 2)]).alias("issue"), seen([(p, 0) for p in (CITED, CITED_YEAR, PAGES_EN, PAGES_CN, ARTICLE_NUMBER)]).alias("pages")).alias("found"),
-    )
+    ways = {"vc": VOLUME_CN, "ic": ISSUE_CN, "ve": VOLUME_EN, "ie": ISSUE_EN, "c": CITED, "cy": CITED_YEAR, "pe": PAGES_EN, "pc": PAGES_CN, "a": ARTICLE_NUMBER}
+    # a text without a sign that every match holds isn't searched
+    signs = {"vc": "卷", "ic": "期", "c": "(", "cy": "(", "pc": "页", "a": "文章编号"}
+
+    def read(m: Column) -> Column:
+        """From what matched for each way; its groups are the same as in the whole text."""
+        part = lambda way, g=1: _part(m[way], ways[way], g)
+        both = lambda way, a, b: F.when(m[way].isNotNull(), F.concat_ws("-", part(way, a), part(way, b)))
+        first, count = part("a", 3).cast("int"), part("a", 4).cast("int")
+        written = F.coalesce(both("c", 3, 4), both("cy", 3, 4), both("pe", 1, 2), both("pc", 1, 2))
+        numbered = written.isNull() & m["a"].isNotNull()
+        pages = F.coalesce(written, F.when(numbered & (count > 0), F.concat_ws("-", first.cast("string"), (first + count - 1).cast("string"))))
+        volume = [("vc", 1), ("ve", 1), ("c", 1), ("cy", 1)]
+        issue = [("ic", 1), ("ie", 1), ("c", 2), ("cy", 2)]
+        seen = lambda of: F.coalesce(*[m[way] for way in of])
+        return F.struct(
+            F.coalesce(*[part(*way) for way in volume]).alias("volume"),
+            F.coalesce(*[part(*way) for way in issue], F.when(numbered, part("a", 2).cast("int").cast("string"))).alias("issue"),
+            pages.alias("pages"),
+            F.struct(seen(["vc", "ve", "c", "cy"]).alias("volume"), seen(["ic", "ie", "c", "cy", "a"]).alias("issue"), seen(["c", "cy", "pe", "pc", "a"]).alias("pages")).alias("found"),
+        )
+
+    def matches(t: Column) -> Column:
+        return F.struct(*[(F.when(t.contains(signs[way]), _part(t, p, 0)) if way in signs else _part(t, p, 0)).alias(way) for way, p in ways.items()])
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(matches(t), read))
 
 
 def heads(pages: DataFrame, key: str, page: str = "page", text: str = "text", n: int = HEAD_PAGES) -> DataFrame:
@@ -182,8 +190,8 @@ def line_names(line: Column) -> Column:
         return let(bare, lambda b: F.struct(F.when(more(b), F.regexp_replace(b, "等$", "")).otherwise(b).alias("name"), more(b).alias("partial"), (b != part).alias("marked")))
 
     def read(head: Column) -> Column:
-        refused = reduce(lambda a, w: a | F.lower(head).contains(w), NO_AUTHORS, F.lit(False))
-        parts = F.split(tx.strip(F.regexp_replace(head, PARTIAL, "")), r"(?iU)\s*[,，;；、]\s*|\s+(?:and|&)\s+")
+        refused = let(F.lower(head), lambda low: reduce(lambda a, w: a | low.contains(w), NO_AUTHORS, F.lit(False)))
+        parts = tx.split_at(tx.strip(F.regexp_replace(head, PARTIAL, "")), r"(?iU)\s*[,，;；、]\s*|\s+(?:and|&)\s+")
         parts = F.filter(F.transform(parts, lambda p: F.regexp_replace(tx.strip(p), r"(?iU)^(?:and|&)\s+", "")), lambda p: p != "")
         like = lambda n: n.rlike(CN_NAME) | (n.rlike(LATIN_NAME) & n.rlike(r"(?:^|\s)[A-Z]"))
         some = lambda named: (F.size(named) > 0) & (F.size(named) <= MOST_NAMES) & F.forall(named, lambda x: like(x["name"]))
@@ -191,7 +199,7 @@ def line_names(line: Column) -> Column:
         listed = let(F.transform(parts, one), lambda made: let(F.filter(made, lambda x: x["name"] != ""), lambda named: shown(made, named)))
         return F.when((head != "") & (F.length(head) <= LINE_CHARS) & ~refused, listed)
 
-    return let(tx.strip(F.get(F.split(F.coalesce(line, F.lit("")), r"[（(\[【]", 2), F.lit(0))), read)
+    return let(tx.strip(reduce(lambda t, bracket: F.substring_index(t, bracket, 1), "（([【", F.coalesce(line, F.lit("")))), read)
 
 
 def creators(heads_: DataFrame, key: str, titles: DataFrame | None = None, head: str = "head", also: tuple[str, ...] = ()) -> DataFrame:
@@ -204,16 +212,18 @@ def creators(heads_: DataFrame, key: str, titles: DataFrame | None = None, head:
     without label or mark is too little. Ties go to the earlier line.
     """
     keys = (key, *also)
-    lines = heads_.select(*keys, F.posexplode(F.slice(F.split(F.coalesce(F.col(head), F.lit("")), "\n"), 1, HEAD_LINES)).alias("pos", "line")).withColumn("bare", tx.strip(F.col("line")))
-    above = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("above", F.coalesce(F.last(F.nullif("bare", F.lit("")), ignorenulls=True).over(above), F.lit("")))
-    if titles is not None:
-        squeeze = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), tx.SPACE, "")
-        lines = lines.join(titles.select(key, squeeze(F.col("title")).alias("__title")), key, "left")
-        lines = lines.where((F.coalesce("__title", F.lit("")) == "") | ~squeeze(F.col("bare")).startswith(F.col("__title")))
+    bare = F.transform(F.slice(F.split(F.coalesce(F.col(head), F.lit("")), "\n"), 1, HEAD_LINES), tx.strip)
+    lines = once(heads_, "__lines", bare).select(*keys, "__lines", F.posexplode("__lines").alias("pos", "bare"))
     label = _part(F.col("bare"), r"(?iU)^(?:" + "|".join(AUTHOR_LABELS) + r")\s*[:：]\s*(.+)$")
+    # what lists no names needs neither what stands above it nor a title
+    read = once(lines.where("bare <> ''").withColumn("label", label), "got", line_names(F.coalesce("label", "bare"))).where("got IS NOT NULL")
+    above = let(F.filter(F.slice("__lines", F.lit(1), F.col("pos")), lambda x: x != ""), lambda x: F.coalesce(F.get(x, F.size(x) - 1), F.lit("")))
     by = F.lower(F.regexp_replace("above", r"(?U)^[\s:：]+|[\s:：]+$", "")) == "by"
-    read = once(lines.where("bare <> ''").withColumn("labeled", label.isNotNull() | by), "got", line_names(F.coalesce(label, F.col("bare")))).where("got IS NOT NULL")
+    read = read.withColumn("above", above).withColumn("labeled", F.col("label").isNotNull() | by).drop("__lines")
+    if titles is not None:
+        squeeze = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), tx.SPACE, "")
+        read = read.join(titles.select(key, squeeze(F.col("title")).alias("__title")), key, "left")
+        read = read.where((F.coalesce("__title", F.lit("")) == "") | ~squeeze(F.col("bare")).startswith(F.col("__title")))
     read = read.where("labeled OR size(got.names) > 1 OR got.partial OR got.marked")
     score = F.when(F.col("labeled"), 3).otherwise(0) + F.when(F.col("got.partial"), 2).otherwise(0) + F.when(F.col("got.marked"), 2).otherwise(0) + F.when(F.col("pos") < 12, 1).otherwise(0) + F.when(F.length("above") >= 6, 1).otherwise(0)
     ranked = read.withColumn("score", score).withColumn("rank", F.col("score") + F.when(F.exists("got.names", lambda n: n.rlike("[一-鿿]")), 2).otherwise(0))
@@ -264,14 +274,13 @@ def suggest(items: DataFrame, a: DataFrame, b: DataFrame | None = None, answers:
     """
     titles = items.select(key, "title")
     empty = items.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "").alias("empty")) for f in FIELDS])).alias("f")).where("f.empty").select(key, "f.field")
-    # both sources are read in one pass; what is stored keeps the long rules out of every later plan
-    read = heads(a, key).withColumn("source", F.lit("a"))
-    if b is not None:
-        read = read.unionByName(heads(b, key).withColumn("source", F.lit("b")))
-    read = kept(read)
-    said = kept(_said(read, key, titles, ("source",)))
-    of = lambda source: F.max(F.when(F.col("source") == source, F.col("head")))
-    text = read.groupBy(key).agg(of("a").alias("__a"), of("b").alias("__b"))
+    # both sources are read in one pass, and once where they say the same; what is stored keeps the long rules out of every later plan
+    text = heads(a, key).withColumnRenamed("head", "__a")
+    text = kept(text.withColumn("__b", F.lit(None).cast("string")) if b is None else text.join(heads(b, key).withColumnRenamed("head", "__b"), key, "full_outer"))
+    same = F.col("__a") == F.col("__b")
+    both = F.array(F.struct(F.when(same, "ab").otherwise("a").alias("source"), F.col("__a").alias("head")), F.struct(F.lit("b").alias("source"), F.when(same, F.lit(None)).otherwise(F.col("__b")).alias("head")))
+    read = text.select(key, F.inline(both)).where("head IS NOT NULL")
+    said = kept(_said(read, key, titles, ("source",))).withColumn("source", F.explode(F.split("source", "")))
     one = F.struct("source", "value", "kind", "found", _same(F.col("field"), F.col("value")).alias("same"))
     merged = said.groupBy(key, "field").agg(F.array_sort(F.collect_list(one)).alias("vs"))
     rows = empty.join(merged, [key, "field"], "left")

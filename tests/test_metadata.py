@@ -99,3 +99,23 @@ def test_rules_of_a_line_stand_once_in_the_plan(spark):
     heads = spark.createDataFrame([("k", "On things\nSan Zhang1, Wei Wang2")], "item_key string, head string")
     plan = md.creators(heads, "item_key")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("申请号") == 1
+
+
+def test_equal_sources_are_read_once(spark, monkeypatch):
+    """Where both sources say the same, the rules read one text, and both are still named as sources."""
+    seen, read = [], md._said
+    monkeypatch.setattr(md, "_said", lambda head, *more: (seen.extend((r.item_key, r.source) for r in head.collect()), read(head, *more))[1])
+    items = spark.createDataFrame([(k, "T", *[None] * 6) for k in (1, 2, 3, 4)], ITEM)
+    text = lambda n: f"The Title\n张三1, 李四2\nVol. {n}, No. 2, Dec. 2020" + FILL
+    page = "item_key int, page int, text string"
+    got = md.suggest(items, spark.createDataFrame([(1, 1, text(3)), (2, 1, text(3)), (3, 1, text(3))], page), spark.createDataFrame([(1, 1, text(3)), (2, 1, text(4)), (4, 1, text(5))], page)).collect()
+    assert sorted(seen) == [(1, "ab"), (2, "a"), (2, "b"), (3, "a"), (4, "b")]
+    assert {(r.item_key, r.value, r.source, r.state) for r in got if r.field == "volume"} == {(1, "3", "a", "both"), (2, "3", "a", "conflict"), (3, "3", "a", "single"), (4, "5", "b", "single")}
+    assert {(r.item_key, r.state) for r in got if r.field == "creators"} == {(1, "both"), (2, "both"), (3, "single"), (4, "single")}
+
+
+def test_split_at_and_white_space(spark):
+    from marginalia.functions import text as tx
+
+    assert one(spark, tx.split_at(F.lit("a1b￿22c"), "[0-9]+")) == ["a", "b￾", "c"] and one(spark, tx.split_at(F.lit("1"), "[0-9]")) == ["", ""]
+    assert one(spark, tx.strip(F.lit("　\x85 a b\n \xa0"))) == "a b" and one(spark, tx.strip(F.lit("​\x1c"))) == "​\x1c" and one(spark, tx.strip(F.lit(" \t"))) == ""
