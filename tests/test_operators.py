@@ -304,6 +304,33 @@ def test_overlaps_as_bits_and_by_rare_members(spark, monkeypatch, bits, members)
     assert rl.overlap_pairs(df.where("false"), "g", "m").count() == 0
 
 
+@pytest.mark.parametrize(("size", "rounds"), [(1 << 30, 0), (8000, 4), (2500, 11)])
+def test_overlaps_in_rounds(spark, monkeypatch, size, rounds):
+    """Places go in rounds of a bounded size, each stored before the next, with the same pairs; larger groups beside them."""
+    import random
+
+    stored, kept = [], rl.kept
+    for name, value in (("MEMBERS_AS_BITS", 0), ("MEMBERS_INLINE", 12), ("ROUND_BYTES", size), ("kept", lambda df: (stored.append(df.columns), kept(df))[1])):
+        monkeypatch.setattr(rl, name, value)
+    rnd = random.Random(7)
+    groups = [set(rnd.sample(range(15), rnd.randint(5, 12))) for _ in range(40)] + [set(range(14)), set(range(15))]
+    df = spark.createDataFrame([(i, x) for i, g in enumerate(groups) for x in g], "g int, m int")
+    want = sorted((a, b, k) for a in range(42) for b in range(a + 1, 42) if (k := len(groups[a] & groups[b])) / min(len(groups[a]), len(groups[b])) >= 0.6)
+    assert sorted((r.a, r.b, r.shared) for r in rl.overlap_pairs(df, "g", "m").collect()) == want
+    assert -(-sum(8 * len(g) ** 2 for g in groups[:40]) // size) in (rounds, 1) and stored.count(["s", "t", "ns", "nt", "shared"]) == rounds
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What is stored needs its shuffle no more, and the session's setting is as it was."""
+    spark.conf.unset(rl.CLEANUP)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    assert rl.kept(df).count() == 7 and spark.conf.get(rl.CLEANUP, None) in (None, "false")
+    rl.kept(df)
+    assert tracker.shuffleStatuses().size() <= before + 1
+
+
 def test_ledger_edits(spark):
     led = spark.createDataFrame([(1, "2024", "q", "effective", ["a"], None), (2, "2024", "r", "partial", [], ["{}"])], "id long, created_at string, asked string, outcome string, item_keys array<string>, history array<string>")
     edited = lg.update_entries(led, spark.createDataFrame([(2, "ineffective")], "id long, outcome string"), "2025")
